@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import bpe, chat, mixing, quality_rules, sharding
+from parchment.llm import bpe, chat, mixing, quality_rules, sharding, simhash
 from parchment.llm.common import table
 from parchment.llm.oracles import SQL  # noqa: F401
 
@@ -57,9 +57,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "doc_bytes", "shard", "depth", "shard_bytes", "oversize")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return done.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op5_sharding, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op5_sharding, op6_simhash, op7_mixing)}
