@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import bpe, chat, mixing, quality_rules, sharding, simhash
+from parchment.llm import bpe, chat, mixing, quality_rules, sharding, simhash, substring
 from parchment.llm.common import table
 from parchment.llm.oracles import SQL  # noqa: F401
 
@@ -52,6 +52,11 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=SHARD_BYTES)
     return done.select("doc_id", "doc_bytes", "shard", "depth", "shard_bytes", "oversize")
@@ -66,4 +71,4 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op5_sharding, op6_simhash, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op4_substring_dedup, op5_sharding, op6_simhash, op7_mixing)}
