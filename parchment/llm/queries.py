@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import bpe, chat, mixing, quality_rules, sharding, simhash, substring
+from parchment.llm import bpe, chat, mixing, quality_model, quality_rules, sharding, simhash, substring, toxicity
 from parchment.llm.common import table
+from parchment.llm.labelled import held_out
 from parchment.llm.oracles import SQL  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -71,4 +72,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op4_substring_dedup, op5_sharding, op6_simhash, op7_mixing)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=4, remainder=2)
+    done = toxicity.score(docs, model)
+    return done.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"), modulus=5, remainder=0)
+    done = quality_model.score(docs, model)
+    return done.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op4_substring_dedup, op5_sharding, op6_simhash, op7_mixing, op8_toxicity, op9_quality_model)}
