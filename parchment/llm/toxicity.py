@@ -5,8 +5,9 @@ case without marks around it, its beginnings and endings); a 2 x 2 table scores
 word's marginal. Chains are cut after CHAIN words; every word of a text is in one.
 
 Labels are known for documents only, so words are labelled first: in a toxic training document, words and beginnings that
-toxic documents have far more often than others are toxic; all other words are not. One half of the sample fits the field
-by gradient steps on its likelihood, the other fits the logistic step from marginals to the document's score.
+toxic documents have far more often than others are toxic; all other words are not. Near copies in the sample count once.
+Three quarters of the sample fit the
+field by gradient steps on its likelihood, the rest fits the logistic step from marginals to the document's score.
 
 A null or empty text has no words and gets the score of a text without suspicious words. Labels of other values than 0
 and 1 are ignored; without labels of both kinds every text scores the share of label 1 (0 if there is no label). Repeated
@@ -15,6 +16,7 @@ rows score alike. Extra columns are kept, those with an output's name replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -92,12 +94,37 @@ class Model:
     constant: float | None = None
 
 
-def _word_labels(texts: list[list[str]], labels: list[int], least: int = 3, times: float = 25.0) -> list[list[int]]:
-    n = Counter(labels)
-    seen = {0: Counter(), 1: Counter()}
-    for words, y in zip(texts, labels):
-        seen[y].update({f for w in set(words) for f in features(w) if f[0] != "e"})
-    toxic = {f for f, k in seen[1].items() if k >= least and (k / n[1]) / ((seen[0][f] + 0.5) / n[0]) >= times}
+def _apart(texts: list[list[str]]) -> list[int]:
+    """Texts without near copies of earlier ones: two least hashes of five-word shingles tell them."""
+    import xxhash
+
+    seen, kept = set(), []
+    for i, words in enumerate(texts):
+        shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        marks = {(seed, min(xxhash.xxh64_intdigest(s, seed) for s in shingles)) for seed in (1, 2)}
+        if seen.isdisjoint(marks):
+            kept.append(i)
+        seen |= marks
+    return kept
+
+
+def _word_labels(texts: list[list[str]], labels: list[int], share: float = 0.02, rare: float = 0.015, times: float = 25.0) -> list[list[int]]:
+    """A feature is toxic if toxic documents have it `times` as often as others and it is in a `share` of them, or if it is
+    in a share `rare` of them that no such feature explains; in three of them at least."""
+    sets = [{f for w in set(words) for f in features(w) if f[0] != "e"} for words in texts]
+    n, seen = Counter(labels), {0: Counter(), 1: Counter()}
+    least = max(3, math.ceil(rare * n[1]))
+    for s, y in zip(sets, labels):
+        seen[y].update(s)
+    telling = {f for f, k in seen[1].items() if k >= least and (k / n[1]) / ((seen[0][f] + 0.5) / n[0]) >= times}
+    toxic = {f for f in telling if seen[1][f] >= max(least, share * n[1])}
+    left = [s & telling for s, y in zip(sets, labels) if y and toxic.isdisjoint(s)]
+    while left:
+        best, k = max(Counter(f for s in left for f in s).items(), key=lambda x: (x[1], x[0]), default=("", 0))
+        if k < least:
+            break
+        toxic.add(best)
+        left = [s for s in left if best not in s]
     return [[int(y and not toxic.isdisjoint(features(w))) for w in words] for words, y in zip(texts, labels)]
 
 
@@ -119,16 +146,19 @@ def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay
     labels = [y for _, y in rows]
     none = Model(np.zeros(DIMS, np.float32), np.zeros((2, 2)), np.zeros(3), sum(labels) / max(1, len(labels)))
     texts = [split(t) for t, _ in rows]
-    own, rest = slice(0, None, 2), slice(1, None, 2)
-    if min((sum(x) for x in ([y == k for y in labels[s]] for s in (own, rest) for k in (0, 1))), default=0) < 1:
+    apart = _apart(texts)
+    texts, labels = [texts[i] for i in apart], [labels[i] for i in apart]
+    part = lambda x, own: [v for i, v in enumerate(x) if (i % 4 < 3) == own]
+    others, their_labels, texts, labels = part(texts, False), part(labels, False), part(texts, True), part(labels, True)
+    if len({*labels}) < 2 or len({*their_labels}) < 2:
         return none
-    tagged = _word_labels(texts[own], labels[own])
-    sizes = np.array([len(t) for t in texts[own]])
+    tagged = _word_labels(texts, labels)
+    sizes = np.array([len(t) for t in texts])
     at, n = chains(sizes)
     if not n:
         return none
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts[own] for w in t))}
-    word = np.fromiter((vocabulary[w] for t in texts[own] for w in t), np.int64)
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    word = np.fromiter((vocabulary[w] for t in texts for w in t), np.int64)
     y = np.fromiter((v for t in tagged for v in t), np.float64)
     listed = [hashed(features(w)) for w in vocabulary]
     of_word = np.repeat(np.arange(len(listed)), [len(f) for f in listed])
@@ -160,9 +190,9 @@ def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay
         bias += rate * by_bias / np.sqrt(moved[2])
     model = Model(np.append(weights, bias).astype(np.float32), table, np.zeros(3))
     tagger = Tagger(model)
-    sizes = np.array([len(t) for t in texts[rest]])
-    odds, at = tagger.odds(texts[rest], sizes)
-    inputs, target = _document_inputs(odds, sizes, at), np.array(labels[rest], float)
+    sizes = np.array([len(t) for t in others])
+    odds, at = tagger.odds(others, sizes)
+    inputs, target = _document_inputs(odds, sizes, at), np.array(their_labels, float)
     coef = np.zeros(3)
     for _ in range(50):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(inputs @ coef, -30, 30)))
