@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import bpe, chat, mixing, quality_model, quality_rules, sharding, simhash, substring, toxicity
+from parchment.llm import bpe, chat, mixing, quality_model, quality_rules, sharding, simhash, substring, topk, toxicity
 from parchment.llm.common import table
 from parchment.llm.labelled import held_out
 from parchment.llm.oracles import SQL  # noqa: F401
@@ -86,4 +86,9 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op4_substring_dedup, op5_sharding, op6_simhash, op7_mixing, op8_toxicity, op9_quality_model)}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return done.select("query_id", "rank", "vec_id", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op4_substring_dedup, op5_sharding, op6_simhash, op7_mixing, op8_toxicity, op9_quality_model, op10_topk)}
