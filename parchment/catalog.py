@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from parchment.queries.reference import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "knn_topk"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = ""
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
