@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions.naming import BASE_KEYWORDS, DECISION_MARKERS
-from parchment.functions.text import is_blank, nvl, trim, truncate
+from parchment.functions.text import CUT, is_blank, nvl, trim, truncate
 
+HEADER = "\n\n===== 文件：{} · {} =====\n"
 REVIEW, REVIEW_LEAST, REVIEW_MOST = 14_000, 1_200, 5_000
-SUFFIX_LENGTH = 12  # of the mark behind a cut text
 
 
 def review_shares(docs: DataFrame, budget: int = REVIEW, least: int = REVIEW_LEAST, most: int = REVIEW_MOST) -> DataFrame:
@@ -24,7 +24,7 @@ def review_shares(docs: DataFrame, budget: int = REVIEW, least: int = REVIEW_LEA
         "project_id",
         "id",
         F.length("text_content").alias("n"),
-        (F.length(nvl(F.col("file_key"))) + F.length(nvl(F.col("file_name"))) + F.length(F.lit("\n\n===== 文件： · =====\n")) + 1).alias("head"),
+        (F.length(nvl(F.col("file_key"))) + F.length(nvl(F.col("file_name"))) + len(HEADER.format("", ""))).alias("head"),
     )
     total = docs.groupBy("project_id").agg(F.count("*").alias("total"))
     place = docs.select("project_id", "id", F.row_number().over(W.partitionBy("project_id").orderBy("id")).alias("nth"))
@@ -39,7 +39,7 @@ def review_shares(docs: DataFrame, budget: int = REVIEW, least: int = REVIEW_LEA
         allow = F.least(F.lit(most), F.greatest(F.lit(least), share))
         used = F.least(d["n"], allow)
         cut = d["n"] > allow
-        spent = used + d["head"] + F.when(cut, F.lit(SUFFIX_LENGTH)).otherwise(0)
+        spent = used + d["head"] + F.when(cut, F.lit(len(CUT))).otherwise(0)
         entry = F.struct(d["id"].cast("bigint").alias("id"), used.cast("int").alias("used"), cut.alias("cut"))
         return F.when(acc["left"] <= 0, acc).otherwise(F.struct((acc["left"] - spent).cast("int").alias("left"), F.array_append(acc["out"], entry).alias("out")))
 
@@ -77,7 +77,7 @@ def focused(docs: DataFrame, budget: int, text: str = "text", key: str = "doc_id
     spans = marker_spans(docs, text, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     joined = docs.join(spans, key, "left")
     pieces = F.array_join(F.transform("_spans", lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])), gap)
-    return joined.withColumn("focused", trim(F.when(F.col("_spans").isNull(), truncate(F.col(text), budget, "\n...[已截断]")).otherwise(F.substring(pieces, 1, budget)))).drop("_spans")
+    return joined.withColumn("focused", trim(F.when(F.col("_spans").isNull(), truncate(F.col(text), budget, CUT)).otherwise(F.substring(pieces, 1, budget)))).drop("_spans")
 
 
 def keyword_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", keywords: list[str] | None = None, least: int = 6) -> DataFrame:

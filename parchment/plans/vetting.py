@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.functions.text import needles_of, nvl
+from parchment.functions.text import CUT, needles_of, nvl
 from parchment.operators import budget, findings, locate, sourceset
 
 
@@ -14,7 +14,7 @@ def payload(docs: DataFrame) -> DataFrame:
     read = sourceset.reviewable(docs)
     shares = budget.review_shares(read)
     parts = read.join(shares, ["project_id", "id"])
-    body = F.concat(F.lit("\n\n===== 文件："), nvl(F.col("file_key")), F.lit(" · "), nvl(F.col("file_name")), F.lit(" =====\n"), F.expr("substring(text_content, 1, used)"), F.when(F.col("cut"), F.lit("\n...[已截断]")).otherwise(""))
+    body = F.concat(F.lit("\n\n===== 文件："), nvl(F.col("file_key")), F.lit(" · "), nvl(F.col("file_name")), F.lit(" =====\n"), F.expr("substring(text_content, 1, used)"), F.when(F.col("cut"), F.lit(CUT)).otherwise(""))
     return parts.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", body.alias("b")))), lambda x: x["b"]), "").alias("payload"))
 
 

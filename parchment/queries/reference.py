@@ -419,10 +419,10 @@ def focus_segments(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_READABLE}, tot AS (SELECT project_id, count(*) AS total FROM base GROUP BY 1),
-i AS (SELECT project_id, id, length(text_content) AS n, length(coalesce(file_key, '')) + length(file_name) + 22 AS head, row_number() OVER (PARTITION BY project_id ORDER BY id) AS nth FROM base),
+i AS (SELECT project_id, id, length(text_content) AS n, length(coalesce(file_key, '')) + length(file_name) + 21 AS head, row_number() OVER (PARTITION BY project_id ORDER BY id) AS nth FROM base),
 w(project_id, nth, id, used, cut, rem) AS (SELECT project_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false, CAST(14000 AS BIGINT) FROM tot
 UNION ALL SELECT w.project_id, w.nth + 1, i.id, least(i.n, least(5000, greatest(1200, w.rem // (t.total - w.nth)))), i.n > least(5000, greatest(1200, w.rem // (t.total - w.nth))),
- w.rem - least(i.n, least(5000, greatest(1200, w.rem // (t.total - w.nth)))) - i.head - CASE WHEN i.n > least(5000, greatest(1200, w.rem // (t.total - w.nth))) THEN 12 ELSE 0 END FROM w JOIN i ON i.project_id = w.project_id AND i.nth = w.nth + 1 JOIN tot t ON t.project_id = w.project_id WHERE w.rem > 0)
+ w.rem - least(i.n, least(5000, greatest(1200, w.rem // (t.total - w.nth)))) - i.head - CASE WHEN i.n > least(5000, greatest(1200, w.rem // (t.total - w.nth))) THEN 9 ELSE 0 END FROM w JOIN i ON i.project_id = w.project_id AND i.nth = w.nth + 1 JOIN tot t ON t.project_id = w.project_id WHERE w.rem > 0)
 SELECT project_id, id, CAST(used AS INTEGER) AS used, cut FROM w WHERE nth > 0""")
 def budget_alloc(spark, d):
     return budget.review_shares(sourceset.readable(source_documents(spark, d)))
