@@ -148,7 +148,8 @@ def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay
     texts = [split(t) for t, _ in rows]
     apart = _apart(texts)
     texts, labels = [texts[i] for i in apart], [labels[i] for i in apart]
-    part = lambda x, own: [v for i, v in enumerate(x) if (i % 4 < 3) == own]
+    nth = [labels[:i].count(y) for i, y in enumerate(labels)]  # of its label
+    part = lambda x, own: [v for i, v in zip(nth, x) if (i % 4 < 3) == own]
     others, their_labels, texts, labels = part(texts, False), part(labels, False), part(texts, True), part(labels, True)
     if len({*labels}) < 2 or len({*their_labels}) < 2:
         return none
