@@ -28,13 +28,15 @@ def prefix(h: Column, depth: Column) -> Column:
     return F.call_function("shiftright", h, (F.lit(HASH_BITS) - depth).cast("int"))
 
 
-def _smallest_fit(sizes: DataFrame, key: str, low: int, high: int, limit: int) -> DataFrame:
-    """For each value of key (its first `high` bits): the least depth in low..high whose bucket fits; none if none does."""
+def _shards(sizes: DataFrame, key: str, low: int, high: int, limit: int) -> DataFrame:
+    """Buckets of depth low..high that fit though the one above does not; sizes has the bytes by `key`, the first `high` bits."""
     at = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")
     every = sizes.select(key, "bytes", at).withColumn("bucket", F.call_function("shiftright", F.col(key), (F.lit(high) - F.col("depth")).cast("int")))
-    fits = every.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit)
-    hit = every.join(fits, ["depth", "bucket"])
-    return hit.groupBy(key).agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("fit")).select(key, "fit.*")
+    sums = every.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes"))
+    over = sums.where(F.col("shard_bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("bucket").alias("_above"))
+    fits = sums.where(F.col("shard_bytes") <= limit)
+    split = fits.where(F.col("depth") > low).withColumn("_above", F.shiftright("bucket", 1)).join(over, ["depth", "_above"], "left_semi").drop("_above")
+    return fits.where(F.col("depth") == low).unionByName(split)
 
 
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 64 << 20) -> DataFrame:
@@ -50,9 +52,14 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 6
     bits = min(40, max(6, math.ceil(math.log2(max(1, total / limit))) + 6))
     rows = rows.withColumn("_leaf", F.shiftright("_h", HASH_BITS - bits))
     leaves = rows.groupBy("_leaf").agg(F.sum("doc_bytes").alias("bytes"))
-    upper = _smallest_fit(leaves, "_leaf", 0, bits, limit)
+    shift = F.lit(bits) - F.col("depth")
+    first = F.call_function("shiftleft", F.col("bucket"), shift)
+    # a shard's leaves lie in a row; all shards together have as many as the directory
+    upper = _shards(leaves, "_leaf", 0, bits, limit).withColumn("_leaf", F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("bigint"), shift) - 1)))
     below = rows.join(leaves.where(F.col("bytes") > limit).select("_leaf"), "_leaf", "left_semi").groupBy("_h").agg(F.sum("doc_bytes").alias("bytes"))
-    lower = _smallest_fit(below, "_h", bits + 1, HASH_BITS, limit)
+    deep = _shards(below, "_h", bits + 1, HASH_BITS, limit)
+    paths = below.select("_h", F.explode(F.sequence(F.lit(bits + 1), F.lit(HASH_BITS))).alias("depth")).withColumn("bucket", prefix(F.col("_h"), F.col("depth")))
+    lower = paths.join(deep, ["depth", "bucket"])
     single = below.where(F.col("bytes") > limit).select("_h", F.lit(HASH_BITS).alias("depth"), F.col("_h").alias("bucket"), F.col("bytes").alias("shard_bytes"))
     under = lower.unionByName(single).select("_h", *[F.col(c).alias(f"_{c}") for c in ("depth", "bucket", "shard_bytes")])
     found = rows.join(upper, "_leaf", "left").join(under, "_h", "left")
