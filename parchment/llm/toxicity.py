@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -111,21 +112,30 @@ def _apart(texts: list[list[str]]) -> list[int]:
 def _word_labels(texts: list[list[str]], labels: list[int], share: float = 0.02, rare: float = 0.015, times: float = 25.0) -> list[list[int]]:
     """A feature is toxic if toxic documents have it `times` as often as others and it is in a `share` of them, or if it is
     in a share `rare` of them that no such feature explains; in three of them at least."""
-    sets = [{f for w in set(words) for f in features(w) if f[0] != "e"} for words in texts]
+    known: dict[str, list[str]] = {}
     n, seen = Counter(labels), {0: Counter(), 1: Counter()}
+
+    def own(words: list[str]) -> set[str]:
+        """A text's features; of a word they are the same strings each time."""
+        for w in words:
+            if w not in known:
+                known[w] = [sys.intern(f) for f in features(w) if f[0] != "e"]
+        return {f for w in set(words) for f in known[w]}
+
     least = max(3, math.ceil(rare * n[1]))
-    for s, y in zip(sets, labels):
-        seen[y].update(s)
+    for words, y in zip(texts, labels):
+        seen[y].update(own(words))
     telling = {f for f, k in seen[1].items() if k >= least and (k / n[1]) / ((seen[0][f] + 0.5) / n[0]) >= times}
     toxic = {f for f in telling if seen[1][f] >= max(least, share * n[1])}
-    left = [s & telling for s, y in zip(sets, labels) if y and toxic.isdisjoint(s)]
+    left = [found & telling for words, y in zip(texts, labels) if y and toxic.isdisjoint(found := own(words))]
     while left:
         best, k = max(Counter(f for s in left for f in s).items(), key=lambda x: (x[1], x[0]), default=("", 0))
         if k < least:
             break
         toxic.add(best)
         left = [s for s in left if best not in s]
-    return [[int(y and not toxic.isdisjoint(features(w))) for w in words] for words, y in zip(texts, labels)]
+    bad = {w for w, names in known.items() if not toxic.isdisjoint(names)}
+    return [[int(y and w in bad) for w in words] for words, y in zip(texts, labels)]
 
 
 def _document_inputs(odds: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -145,7 +155,8 @@ def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay
     """Fits a model on (text, label); the same rows give the same model."""
     labels = [y for _, y in rows]
     none = Model(np.zeros(DIMS, np.float32), np.zeros((2, 2)), np.zeros(3), sum(labels) / max(1, len(labels)))
-    texts = [split(t) for t, _ in rows]
+    same: dict[str, str] = {}
+    texts = [[same.setdefault(w, w) for w in split(t)] for t, _ in rows]  # a word is kept once
     apart = _apart(texts)
     texts, labels = [texts[i] for i in apart], [labels[i] for i in apart]
     nth = [labels[:i].count(y) for i, y in enumerate(labels)]  # of its label
