@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import TypeVar
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Model = TypeVar("Model")
+
 
 def held_out(key: Column, modulus: int, remainder: int) -> Column:
     """True for ids whose crc32 (of the id as text; null: empty text) leaves the remainder."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """Up to per_class (text, label) of either label, least hash of the id first, never a held-out one.
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, per_class: int, max_chars: int) -> DataFrame:
+    """Up to per_class rows (doc_id, text, y) of either label, least hash of the id first, never a held-out one.
 
     Only whole texts of up to max_chars characters are taken. Both bounds hold at every size of the input, so the ids
-    can be broadcast and the texts fit the driver.
+    can be broadcast and the texts fit one task.
     """
     known = labels.select(F.col("doc_id"), F.col(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), modulus, remainder)).distinct()
     whole = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
     order = [F.xxhash64("doc_id", F.lit(label)), "doc_id"]
     chosen = [known.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1])
-    rows = whole.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.y, r.text))]
+    return whole.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "y")
+
+
+def fitted(rows: DataFrame, train: Callable[[list[tuple[str, int]]], Model]) -> Model:
+    """train((text, label), ...) over a bounded sample, in a task of its own; the same rows in the same order each time."""
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(int(i), int(y), t) for b in batches for i, t, y in zip(b.doc_id, b.text, b.y)]
+        held.sort()
+        yield pd.DataFrame({"model": [pickle.dumps(train([(t, y) for _, y, t in held]))]})
+
+    found = rows.repartition(1).mapInPandas(over, "model binary").first()
+    return train([]) if found is None else pickle.loads(found["model"])

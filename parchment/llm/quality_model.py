@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from parchment.llm.labelled import sample
+from parchment.llm.labelled import fitted, sample
 
 DIMS = 1 << 20
 #: Bounds of the sample that the weights are fitted on.
@@ -118,7 +118,7 @@ def train(rows: list[tuple[str, int]], passes: int = 3, alpha: float = 0.3, beta
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     """The model of a bounded sample of labelled documents."""
-    return train(sample(docs, labels, "quality", modulus, remainder, per_class, max_chars))
+    return fitted(sample(docs, labels, "quality", modulus, remainder, per_class, max_chars), train)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

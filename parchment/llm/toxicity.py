@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from parchment.llm.common import WORD
-from parchment.llm.labelled import sample
+from parchment.llm.labelled import fitted, sample
 
 CHAIN, DIMS = 64, 1 << 18
 #: Bounds of the sample that the field is fitted on.
@@ -266,7 +266,7 @@ class _Scores(dict):
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     """The model of a bounded sample of labelled documents."""
-    return train(sample(docs, labels, "toxic", modulus, remainder, per_class, max_chars))
+    return fitted(sample(docs, labels, "toxic", modulus, remainder, per_class, max_chars), train)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
