@@ -10,6 +10,7 @@ from parchment.functions.naming import BASE_KEYWORDS, DECISION_MARKERS
 from parchment.functions.text import CUT, is_blank, nvl, trim, truncate
 
 HEADER = "\n\n===== 文件：{} · {} =====\n"
+EVIDENCE_HEADER = "\n\n=== {} ===\n"
 REVIEW, REVIEW_LEAST, REVIEW_MOST = 14_000, 1_200, 5_000
 
 
@@ -46,6 +47,26 @@ def review_shares(docs: DataFrame, budget: int = REVIEW, least: int = REVIEW_LEA
     return listed.select("project_id", F.inline(F.aggregate("_docs", seed, step)["out"]))
 
 
+def evidence_shares(docs: DataFrame, budget: int = 8_000, least: int = 400) -> DataFrame:
+    """How much of each document goes into a prompt as evidence: its part of what is left, `least` at the least, never more
+    than is left behind its header; the first document that has no room ends it. Only lengths are folded, as above."""
+    held = docs.where(~is_blank(F.col("text_content")))
+    place = held.select("project_id", "id", F.row_number().over(W.partitionBy("project_id").orderBy("id")).alias("nth"), F.length("text_content").alias("n"), (F.length(nvl(F.col("file_name"))) + len(EVIDENCE_HEADER.format(""))).alias("head"))
+    total = held.groupBy("project_id").agg(F.count("*").alias("total"))
+    listed = place.where(F.col("nth") <= budget).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "n", "head"))).alias("_docs")).join(total, "project_id")
+    seed = F.struct(F.lit(budget).alias("left"), F.array().cast("array<struct<id:bigint,used:int,cut:boolean>>").alias("out"))
+
+    def step(acc: Column, d: Column) -> Column:
+        share = F.greatest(F.lit(least), F.floor(acc["left"] / F.greatest(F.lit(1), F.col("total") - (d["nth"] - 1))).cast("int"))
+        allow = F.least(share, acc["left"] - d["head"])
+        used, cut = F.least(d["n"], allow), d["n"] > allow
+        entry = F.struct(d["id"].cast("bigint").alias("id"), used.cast("int").alias("used"), cut.alias("cut"))
+        spent = used + d["head"] + F.when(cut, F.lit(len(CUT))).otherwise(0)
+        return F.when(allow <= 0, F.struct(F.lit(0).alias("left"), acc["out"].alias("out"))).otherwise(F.struct((acc["left"] - spent).cast("int").alias("left"), F.array_append(acc["out"], entry).alias("out")))
+
+    return listed.select("project_id", F.inline(F.aggregate("_docs", seed, step)["out"]))
+
+
 def merged_spans(rows: DataFrame, key: list[str], start: str = "start", end: str = "end", tie: str = "pos") -> DataFrame:
     """Overlapping or touching spans of a key as one: first start, last end, how many."""
     order = W.partitionBy(*key).orderBy(start, tie)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchment.functions.naming import BASE_VARIABLES
 from parchment.functions.text import is_blank
 
 
@@ -37,6 +38,22 @@ def follow_default(stored: DataFrame, catalog: DataFrame, key: str, text: str, d
     return both.select(key, current.alias(text), F.coalesce("_default", default).alias(default), F.coalesce(customised, F.lit(False)).alias("customised"))
 
 
+def ensure_base(stored: DataFrame, projects: DataFrame) -> DataFrame:
+    """Every project has each base variable; what the blueprint fixes follows it, values and confirmations stay."""
+    spec = projects.sparkSession.createDataFrame([(k, i, label, action, affects) for i, (k, label, action, _, _, affects) in enumerate(BASE_VARIABLES)], "var_key string, _order int, _label string, _action string, _affects string")
+    wanted = projects.select("project_id").distinct().crossJoin(F.broadcast(spec))  # eight rows
+    both = stored.join(wanted, ["project_id", "var_key"], "full_outer")
+    fixed = F.col("_order").isNotNull()
+    take = lambda new, old: F.when(fixed, F.col(new)).otherwise(F.col(old)).alias(old)
+    rest = [c for c in stored.columns if c not in ("project_id", "var_key", "sort_order", "label", "action", "affects", "scope", "confirmed")]
+    return both.select("project_id", "var_key", take("_order", "sort_order"), take("_label", "label"), take("_action", "action"), take("_affects", "affects"), F.when(fixed, "BASE").otherwise(F.col("scope")).alias("scope"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), *rest)
+
+
+def absent(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of keys that are not stored yet: what a seed adds."""
+    return rows.join(stored.select(*keys).distinct(), keys, "left_anti")
+
+
 def patch(rows: DataFrame, where: Column, **values: Column | None) -> DataFrame:
     """Rows that match take the given values; a value of None changes nothing."""
     for name, value in values.items():

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.functions.jsontext import first_value
+from parchment.functions.jsontext import first_value, ocr_lines
 
 Chat = Callable[[str], str]
 Embed = Callable[[list[str]], list[list[float]]]
@@ -69,6 +72,44 @@ def complete_json(prompts: DataFrame, provider: Chat, prompt: str = "prompt", re
     return prompts.mapInPandas(over, f"{fields}, raw string, answer string, error string")
 
 
+def recognize(images: DataFrame, provider: Callable[[bytes], str], most: int = 60) -> DataFrame:
+    """images (doc_id, page_no, png): text and mean confidence of each page's recognised lines; a page that fails has none.
+
+    Only the first pages of a document are read, as a setting says.
+    """
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            said = []
+            for png in rows.png:
+                try:
+                    said.append(ocr_lines(provider(bytes(png))))
+                except Exception:  # noqa: BLE001  a page must not end the job
+                    said.append([])
+            yield pd.DataFrame({"doc_id": rows.doc_id, "page_no": rows.page_no, "text": ["\n".join(x["text"] for x in s) for s in said], "confidence": [float(np.mean([x["confidence"] for x in s])) if s else None for s in said]})
+
+    return images.where(F.col("page_no") <= most).select("doc_id", "page_no", "png").mapInPandas(over, "doc_id long, page_no int, text string, confidence double")
+
+
+def http_chat(url: str, model: str, temperature: float = 0.2, timeout: float = 1200.0, retries: int = 1) -> Chat:
+    """A chat model behind an OpenAI-compatible address; only broken connections are tried again."""
+
+    def chat(prompt: str) -> str:
+        body = json.dumps({"model": model, "temperature": temperature, "stream": False, "messages": [{"role": "user", "content": prompt}]}).encode()
+        for turn in range(retries + 1):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as answer:
+                    return json.load(answer)["choices"][0]["message"]["content"]
+            except urllib.error.HTTPError:
+                raise
+            except OSError:
+                if turn == retries:
+                    raise
+        raise AssertionError
+
+    return chat
+
+
 def format_prompt(template: str, *values: str) -> str:
     """%s by %s; values that are left over follow on lines of their own."""
     parts = template.split("%s")

@@ -454,6 +454,94 @@ def markdown_download(spark, d):
     return variables(spark, d).select("project_id", "var_key", report.download(F.col("label"), F.col("value_text")).alias("content"))
 
 
+# ---- finders, keys, deletions
+
+
+@query(f"WITH {SOURCE_DOCUMENTS} SELECT id, project_id, file_key FROM sd WHERE project_id = 'src3' AND category = 'PROJECT_INPUT'")
+def find_documents(spark, d):
+    docs = source_documents(spark, d).where(search.facets(project_id="src3", category="PROJECT_INPUT"))
+    return docs.orderBy("id").select("id", "project_id", "file_key")
+
+
+@query(f"WITH {SOURCE_DOCUMENTS} SELECT project_id, id, file_key FROM (SELECT *, row_number() OVER (PARTITION BY project_id, file_key ORDER BY id) AS k FROM sd WHERE file_key IS NOT NULL) WHERE k = 1")
+def first_by_key(spark, d):
+    docs = source_documents(spark, d).where("file_key IS NOT NULL")
+    return findings.first_wins(docs, ["project_id", "file_key"], "id").select("project_id", "id", "file_key")
+
+
+@query(f"WITH {SOURCE_DOCUMENTS} SELECT id FROM sd WHERE parse_status = 'PARSED' AND upper(coalesce(file_key, '')) = 'GCC' AND regexp_matches(text_content, '[^\\x00-\\x20]')".replace("\\\\", "\\"))
+def documents_of_file(spark, d):
+    return sourceset.of_file(sourceset.readable(source_documents(spark, d)), "gcc").select("id")
+
+
+@query("SELECT doc_id, printf('VAR-%02d', CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS INTEGER)) AS var_key FROM documents QUALIFY doc_id % 3 = 0")
+def auto_keys(spark, d):
+    blank = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
+    nth = F.sum(blank).over(W.partitionBy("source").orderBy("doc_id"))
+    return table(spark, d, "documents").select("doc_id", F.format_string("VAR-%02d", nth).alias("var_key"), blank.alias("b")).where("b = 1").drop("b")
+
+
+@query("WITH b AS (SELECT unnest(['contractTitle', 'worksType', 'fundingArrangement', 'billNos', 'subcontractors', 'twoEnvelopeSystem', 'foundationIncluded', 'contractPeriod39Months']) AS var_key, unnest(range(0, 8)) AS sort_order), p AS (SELECT DISTINCT c_nationkey AS project_id FROM customer) SELECT project_id, var_key, CAST(sort_order AS INTEGER) AS sort_order, 'BASE' AS scope, project_id % 3 = 0 AND var_key = 'billNos' AS confirmed FROM p, b")
+def ensure_base(spark, d):
+    projects = table(spark, d, "customer").select(F.col("c_nationkey").alias("project_id"))
+    null = F.lit(None).cast("string")
+    stored = projects.where("project_id % 3 = 0").distinct().select("project_id", F.lit("billNos").alias("var_key"), F.lit(99).alias("sort_order"), null.alias("label"), null.alias("action"), null.alias("affects"), F.lit("FILE").alias("scope"), F.lit(True).alias("confirmed"))
+    return merge.ensure_base(stored, projects).select("project_id", "var_key", "sort_order", "scope", "confirmed")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def seed_absent(spark, d):
+    return merge.absent(table(spark, d, "orders"), table(spark, d, "lineitem").where("l_quantity > 45").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"]).select("o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey <> 7")
+def delete_project(spark, d):
+    c = table(spark, d, "customer")
+    return merge.without(c, c.where("c_nationkey = 7"), ["c_nationkey"]).select("c_custkey", "c_name")
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN label + 100 ELSE label END AS label FROM embeddings")
+def vector_upsert(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    new = e.where("vec_id % 4 = 0").withColumn("label", F.col("label") + 100)
+    return merge.without(e, new, ["vec_id"]).unionByName(new)
+
+
+@query("SELECT o_orderpriority AS group_key, count(*) AS n, min(o_orderkey) AS first_key, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1")
+def grouped_prompts(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("group_key")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || ' 2' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def patch_rows(spark, d):
+    c = table(spark, d, "customer")
+    return merge.patch(c, F.col("c_custkey") % 3 == 0, c_mktsegment=F.concat("c_mktsegment", F.lit(" 2")), c_name=None).select("c_custkey", "c_mktsegment")
+
+
+@query("""WITH m AS (SELECT doc_id, length(text) AS n, instr(text, 'the ') - 1 AS i FROM documents) SELECT doc_id, greatest(0, i - 300) AS start, least(n, i + 500) AS "end" FROM m WHERE i >= 0""")
+def first_marker_span(spark, d):
+    t = table(spark, d, "documents")
+    first = t.withColumn("text", F.concat(F.substring_index("text", "the ", 1), F.when(F.contains("text", F.lit("the ")), F.lit("the ")).otherwise(""), F.expr("repeat('x', cast(length(text) as int))")))
+    spans = budget.marker_spans(first, markers=["the "])
+    n = t.select("doc_id", F.length("text").alias("_n"))
+    return spans.join(n, "doc_id").select("doc_id", "start", F.least("end", "_n").alias("end"))
+
+
+@query(f"""WITH RECURSIVE {_READABLE}, tot AS (SELECT project_id, count(*) AS total FROM base GROUP BY 1),
+i AS (SELECT project_id, id, length(text_content) AS n, length(file_name) + 11 AS head, row_number() OVER (PARTITION BY project_id ORDER BY id) AS nth FROM base),
+w(project_id, nth, id, used, cut, rem) AS (SELECT project_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false, CAST(8000 AS BIGINT) FROM tot
+UNION ALL SELECT project_id, nth, id, least(n, allow), n > allow, rem - least(n, allow) - head - CASE WHEN n > allow THEN 9 ELSE 0 END FROM (SELECT w.project_id, w.nth + 1 AS nth, i.id, i.n, i.head, w.rem, least(greatest(400, w.rem // (t.total - w.nth)), w.rem - i.head) AS allow FROM w JOIN i ON i.project_id = w.project_id AND i.nth = w.nth + 1 JOIN tot t ON t.project_id = w.project_id) WHERE allow > 0)
+SELECT project_id, id, CAST(used AS INTEGER) AS used, cut FROM w WHERE nth > 0""")
+def evidence_budget(spark, d):
+    return budget.evidence_shares(sourceset.readable(source_documents(spark, d)))
+
+
+@query("SELECT doc_id, regexp_replace(substr(text, 1, 20), '[^a-zA-Z]', 'x', 'g') AS inner_text FROM documents")
+def code_fences(spark, d):
+    fenced = F.concat(F.lit("```json\n"), F.regexp_replace(F.substring("text", 1, 20), "[^a-zA-Z]", "x"), F.lit("\n```"))
+    return table(spark, d, "documents").select("doc_id", jsontext.strip_fence(fenced).alias("inner_text"))
+
+
 # ---- whole flows, on stand-in providers
 
 
