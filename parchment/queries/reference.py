@@ -476,9 +476,8 @@ def documents_of_file(spark, d):
 
 @query("SELECT doc_id, printf('VAR-%02d', CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS INTEGER)) AS var_key FROM documents QUALIFY doc_id % 3 = 0")
 def auto_keys(spark, d):
-    blank = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
-    nth = F.sum(blank).over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.format_string("VAR-%02d", nth).alias("var_key"), blank.alias("b")).where("b = 1").drop("b")
+    blank = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", "source")
+    return findings.numbered(blank, "source", "doc_id").select("doc_id", F.format_string("VAR-%02d", "nth").alias("var_key"))
 
 
 @query("WITH b AS (SELECT unnest(['contractTitle', 'worksType', 'fundingArrangement', 'billNos', 'subcontractors', 'twoEnvelopeSystem', 'foundationIncluded', 'contractPeriod39Months']) AS var_key, unnest(range(0, 8)) AS sort_order), p AS (SELECT DISTINCT c_nationkey AS project_id FROM customer) SELECT project_id, var_key, CAST(sort_order AS INTEGER) AS sort_order, 'BASE' AS scope, project_id % 3 = 0 AND var_key = 'billNos' AS confirmed FROM p, b")
