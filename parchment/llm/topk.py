@@ -77,25 +77,26 @@ def search_bucket(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, quer
     live = np.flatnonzero((floors <= 0) | (need <= 1 + eps))
     if not len(live) or not len(ids):
         return found
-    exact = products(queries[live], rows, (float(asked[live].max()), longest))
+    exact = float(asked.max(initial=0)) * longest < 2**52  # then floating point holds every sum
+    own, asking = (rows.astype(np.float64), queries.astype(np.float64)) if exact else (rows, queries)
     unit = rows / np.maximum(lengths, eps)[:, None]
-    for nth, q in enumerate(live.tolist()):
+    for q in live.tolist():
         floor, length = floors[q], max(asked[q], eps)
         n = len(ids)
         if floor > 0:  # by length: no product passes |q| times the candidate's length
             n = int(np.searchsorted(-lengths, -(floor / length) * (1 - eps), "right"))
-        at = np.arange(n)
+        passed: np.ndarray | slice = slice(0, n)
         if floor > 0 and need[q] > COSINE and n:
             j = int(np.argmax(np.abs(queries[q])))
             x, c = queries[q, j] / length, np.minimum(1.0, floor / (length * np.maximum(lengths[:n], eps)))
             # within the angle whose cosine is c, coordinate j lies between these
             spread = np.sqrt(np.maximum(0, 1 - c * c)) * math.sqrt(max(0.0, 1 - x * x)) + 1e-7
-            at = np.flatnonzero(np.abs(unit[:n, j] - c * x) <= spread + (1 - c) * abs(x))
-        scores = exact[nth, at]
-        ok = (scores >= floor) & (ids[at] != query_ids[q])
-        at, scores = at[ok], scores[ok]
-        top = best(scores, ids[at], k)
-        found += [(int(query_ids[q]), int(i), int(s)) for i, s in zip(ids[at[top]], scores[top])]
+            passed = np.flatnonzero(np.abs(unit[:n, j] - c * x) <= spread + (1 - c) * abs(x))
+        near, scores = ids[passed], (own[passed] @ asking[q]).astype(np.int64)
+        ok = (scores >= floor) & (near != query_ids[q])
+        near, scores = near[ok], scores[ok]
+        top = best(scores, near, k)
+        found += [(int(query_ids[q]), int(i), int(s)) for i, s in zip(near[top], scores[top])]
     return found
 
 
