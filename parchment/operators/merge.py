@@ -40,8 +40,8 @@ def follow_default(stored: DataFrame, catalog: DataFrame, key: str, text: str, d
 
 def ensure_base(stored: DataFrame, projects: DataFrame) -> DataFrame:
     """Every project has each base variable; what the blueprint fixes follows it, values and confirmations stay."""
-    spec = projects.sparkSession.createDataFrame([(k, i, label, action, affects) for i, (k, label, action, _, _, affects) in enumerate(BASE_VARIABLES)], "var_key string, _order int, _label string, _action string, _affects string")
-    wanted = projects.select("project_id").distinct().crossJoin(F.broadcast(spec))  # eight rows
+    spec = F.array(*[F.struct(F.lit(k).alias("var_key"), F.lit(i).alias("_order"), F.lit(label).alias("_label"), F.lit(action).alias("_action"), F.lit(files).alias("_affects")) for i, (k, label, action, _, _, files) in enumerate(BASE_VARIABLES)])
+    wanted = projects.select("project_id").distinct().select("project_id", F.inline(spec))
     both = stored.join(wanted, ["project_id", "var_key"], "full_outer")
     fixed = F.col("_order").isNotNull()
     take = lambda new, old: F.when(fixed, F.col(new)).otherwise(F.col(old)).alias(old)

@@ -37,9 +37,8 @@ _COSINE = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS D
 @query(f"SELECT vec_id, label, round(score, 6) AS score FROM (SELECT a.vec_id, a.label, {_COSINE} AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b) WHERE score >= -1 ORDER BY score DESC, vec_id LIMIT 20")
 def knn_topk(spark, d):
     e = table(spark, d, "embeddings")
-    first = e.where("vec_id = 0").select(F.col("embedding").alias("query"))
-    held = e.join(F.broadcast(first))  # one row
-    return search.nearest(held, F.col("query"), 20, -1.0).select("vec_id", "label", F.round("score", 6).alias("score"))
+    asked = F.array(*[F.lit(x).cast("float") for x in e.where("vec_id = 0").first()["embedding"]])
+    return search.nearest(e, asked, 20, -1.0).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH q AS (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
