@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Pre-tokens kept by a worker; the cache starts anew when full.
-CACHE_ENTRIES, CACHE_LENGTH = 400_000, 64
+CACHE_ENTRIES, CACHE_LENGTH = 150_000, 64
 BASE = 0x100
 
 

@@ -25,7 +25,7 @@ from parchment.llm.labelled import fitted, sample
 DIMS = 1 << 20
 #: Bounds of the sample that the weights are fitted on.
 PER_CLASS, MAX_CHARS = 3000, 20_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _RUNS = re.compile(r"(\d)\d*|([^\W\d_])[^\W\d_]*|(.)\3*", re.S)
 
 

@@ -33,7 +33,7 @@ WINDOW = 20
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Bits of a block's value beside those that name its bucket; two more are flags.
 BLOCK_BITS = 38
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 150_000
 NO_ID = np.iinfo(np.int64).max
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,12 +34,13 @@ from parchment.llm.labelled import fitted, sample
 CHAIN, DIMS = 64, 1 << 18
 #: Bounds of the sample that the field is fitted on.
 PER_CLASS, MAX_CHARS = 2000, 20_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 SPLIT = re.compile(WORD)
 EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "¡¿«»“”‘’„…–—"
 
 
 def features(word: str) -> list[str]:
+    """The word, its beginnings, and, last, its endings."""
     w = word.lower().strip(EDGE)
     return [f"w{w}", *[f"b{w[:k]}" for k in (3, 4, 5, 6) if len(w) > k], *[f"e{w[-k:]}" for k in (3, 4) if len(w) > k]]
 
@@ -47,7 +48,7 @@ def features(word: str) -> list[str]:
 def hashed(names: list[str]) -> list[int]:
     import xxhash
 
-    return [xxhash.xxh64_intdigest(n) % DIMS for n in names]
+    return [xxhash.xxh64_intdigest(n) for n in names]
 
 
 def split(text: str | None) -> list[str]:
@@ -109,33 +110,60 @@ def _apart(texts: list[list[str]]) -> list[int]:
     return kept
 
 
-def _word_labels(texts: list[list[str]], labels: list[int], share: float = 0.02, rare: float = 0.015, times: float = 25.0) -> list[list[int]]:
-    """A feature is toxic if toxic documents have it `times` as often as others and it is in a `share` of them, or if it is
-    in a share `rare` of them that no such feature explains; in three of them at least."""
-    known: dict[str, list[str]] = {}
-    n, seen = Counter(labels), {0: Counter(), 1: Counter()}
-
-    def own(words: list[str]) -> set[str]:
-        """A text's features; of a word they are the same strings each time."""
+@dataclass
+class _Vocabulary:
+    """Distinct words by number, and the hashes of their features one word after another."""
+
+    words: dict[str, int]
+    feature: np.ndarray
+    of_word: np.ndarray
+    ending: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[list[str]]) -> _Vocabulary:
+        words = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+        flat, size, ending = array("Q"), array("l"), bytearray()
         for w in words:
-            if w not in known:
-                known[w] = [sys.intern(f) for f in features(w) if f[0] != "e"]
-        return {f for w in set(words) for f in known[w]}
+            names = features(w)
+            flat.extend(hashed(names))
+            size.append(len(names))
+            ending.extend(n[0] == "e" for n in names)
+        return cls(words, np.array(flat, np.uint64), np.repeat(np.arange(len(words)), size), np.frombuffer(bytes(ending), bool))
+
+
+def _toxic_words(known: _Vocabulary, texts: list[np.ndarray], labels: list[int], share: float = 0.02, rare: float = 0.015, times: float = 25.0) -> np.ndarray:
+    """Which words count as toxic in a toxic text: those with a toxic feature.
 
+    A feature is toxic if toxic documents have it `times` as often as others and it is in a `share` of them, or if it is
+    in a share `rare` of them that no such feature explains; in three of them at least. Endings don't count.
+    """
+    whole = ~known.ending
+    names, feature = np.unique(known.feature[whole], return_inverse=True)
+    of_word = known.of_word[whole]
+    first, last = np.searchsorted(of_word, np.arange(len(known.words))), np.searchsorted(of_word, np.arange(len(known.words)), "right")
+
+    def own(words: np.ndarray) -> np.ndarray:
+        w = np.unique(words)
+        n = last[w] - first[w]
+        return np.unique(feature[np.repeat(first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+
+    n, seen = Counter(labels), np.zeros((2, len(names)), np.int64)
     least = max(3, math.ceil(rare * n[1]))
     for words, y in zip(texts, labels):
-        seen[y].update(own(words))
-    telling = {f for f, k in seen[1].items() if k >= least and (k / n[1]) / ((seen[0][f] + 0.5) / n[0]) >= times}
-    toxic = {f for f in telling if seen[1][f] >= max(least, share * n[1])}
-    left = [found & telling for words, y in zip(texts, labels) if y and toxic.isdisjoint(found := own(words))]
+        seen[y, own(words)] += 1
+    telling = (seen[1] >= least) & (seen[1] / n[1] >= times * (seen[0] + 0.5) / n[0])
+    toxic = telling & (seen[1] >= max(least, share * n[1]))
+    left = [f[telling[f]] for words, y in zip(texts, labels) if y and not toxic[f := own(words)].any()]
     while left:
-        best, k = max(Counter(f for s in left for f in s).items(), key=lambda x: (x[1], x[0]), default=("", 0))
-        if k < least:
+        found, k = np.unique(np.concatenate(left), return_counts=True)
+        if not len(k) or k.max() < least:
             break
-        toxic.add(best)
-        left = [s for s in left if best not in s]
-    bad = {w for w, names in known.items() if not toxic.isdisjoint(names)}
-    return [[int(y and w in bad) for w in words] for words, y in zip(texts, labels)]
+        best = found[k.argmax()]
+        toxic[best] = True
+        left = [f for f in left if best not in f]
+    out = np.zeros(len(known.words), bool)
+    out[of_word[toxic[feature]]] = True
+    return out
 
 
 def _document_inputs(odds: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -164,17 +192,15 @@ def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay
     others, their_labels, texts, labels = part(texts, False), part(labels, False), part(texts, True), part(labels, True)
     if len({*labels}) < 2 or len({*their_labels}) < 2:
         return none
-    tagged = _word_labels(texts, labels)
     sizes = np.array([len(t) for t in texts])
     at, n = chains(sizes)
     if not n:
         return none
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-    word = np.fromiter((vocabulary[w] for t in texts for w in t), np.int64)
-    y = np.fromiter((v for t in tagged for v in t), np.float64)
-    listed = [hashed(features(w)) for w in vocabulary]
-    of_word = np.repeat(np.arange(len(listed)), [len(f) for f in listed])
-    feature = np.array([i for f in listed for i in f])
+    known = _Vocabulary.of(texts)
+    word = np.fromiter((known.words[w] for t in texts for w in t), np.int64, int(sizes.sum()))
+    toxic = _toxic_words(known, np.split(word, np.cumsum(sizes)[:-1]), labels)
+    y = (toxic[word] & np.repeat(np.array(labels, bool), sizes)).astype(np.float64)
+    of_word, feature, count = known.of_word, (known.feature % np.uint64(DIMS)).astype(np.int64), len(known.words)
     real = np.zeros(CHAIN * n)
     real[at] = 1
     real = real.reshape(CHAIN, n)
@@ -186,13 +212,13 @@ def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay
     weights, table, bias = np.zeros(DIMS), np.zeros((2, 2)), -4.0
     moved = [np.full(DIMS, 1e-6), np.full((2, 2), 1e-6), 1e-6]
     for _ in range(steps):
-        own_scores = np.bincount(of_word, weights[feature], len(listed)) + bias
+        own_scores = np.bincount(of_word, weights[feature], count) + bias
         scores = np.full(CHAIN * n, -30.0)
         scores[at] = own_scores[word]
         odds, *messages = marginals(scores.reshape(CHAIN, n), table)
         p = odds.ravel()[at]
         slope = (y - p / (1 + p)) / max(1.0, y.sum())
-        by_word = np.bincount(word, slope, len(listed))
+        by_word = np.bincount(word, slope, count)
         by_feature = np.bincount(feature, by_word[of_word], DIMS) - decay * weights
         by_table = (counted - pairs(odds, *messages, table, real)) / max(1.0, y.sum()) - decay * table
         by_bias = slope.sum()
@@ -260,7 +286,7 @@ class _Scores(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = value = float(self.weights[hashed(features(word))].sum() + self.weights[-1])
+        self[word] = value = float(self.weights[[h % DIMS for h in hashed(features(word))]].sum() + self.weights[-1])
         return value
 
 
