@@ -84,8 +84,8 @@ def pairs(odds: np.ndarray, ahead: np.ndarray, back: np.ndarray, e: np.ndarray,
     """Expected numbers of neighbours (from, to) among real words."""
     m = np.exp(table)
     x, y = ahead[:-1], e[1:] * back[1:]
-    parts = np.array([m[0, 0] * np.ones_like(x), m[0, 1] * y, m[1, 0] * x, m[1, 1] * x * y])
-    return ((parts / parts.sum(0)) * real[1:]).sum((1, 2)).reshape(2, 2)
+    each = real[1:] / (m[0, 0] + m[0, 1] * y + m[1, 0] * x + m[1, 1] * x * y)
+    return m * np.array([[each.sum(), (each * y).sum()], [(each * x).sum(), (each * x * y).sum()]])
 
 
 @dataclass
