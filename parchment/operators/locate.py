@@ -2,42 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions.text import excerpt, find_loose, page_at
 
 
-def _hits(findings: DataFrame, docs: DataFrame, on: list[str]) -> DataFrame:
-    """findings (finding_id, needles, *on) against docs (doc_id, text, *on): each document's first needle that it holds, and where."""
-    pairs = findings.select("finding_id", "needles", *on).join(docs.select("doc_id", "text", *on), on) if on else None
-    if pairs is None:
-        raise ValueError("documents are searched within their project or file")
-    places = F.transform("needles", lambda n, i: F.struct(i.alias("needle_pos"), find_loose(F.col("text"), n).alias("index")))
-    first = F.get(F.filter(places, lambda p: p["index"] >= 0), F.lit(0))
-    return pairs.withColumn("_hit", first).where("_hit IS NOT NULL").select("finding_id", "doc_id", "_hit.*", page_at(F.col("text"), F.col("_hit.index")).alias("page"), excerpt(F.col("text"), F.col("_hit.index")).alias("excerpt"))
+def _flat(c: Column) -> Column:
+    return F.regexp_replace(c, r"\p{javaWhitespace}+", "")
+
+
+def _hits(findings: DataFrame, docs: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """findings (finding_id, needles, *on) against docs (doc_id, text, *on): needles of findings, and where documents hold them.
+
+    Each distinct needle of a project or file is looked for once, whoever asks for it; only texts that hold its characters,
+    white space aside, are searched for its place.
+    """
+    asked = findings.select("finding_id", *on, F.posexplode("needles").alias("needle_pos", "needle"))
+    distinct = asked.select(*on, "needle").distinct().withColumn("_n", _flat(F.col("needle")))
+    flat = docs.select("doc_id", *on, "text", _flat(F.col("text")).alias("_t")).withColumns({"_lower": F.lower("_t"), "_upper": F.upper("_t")}).drop("_t")
+    maybe = F.contains("_lower", F.lower("_n")) | F.contains("_upper", F.upper("_n"))
+    held = flat.join(distinct, on).where(maybe).select(*on, "needle", "doc_id", find_loose(F.col("text"), F.col("needle")).alias("index"))
+    return asked, held.where(F.col("index") >= 0)
+
+
+def _shown(places: DataFrame, docs: DataFrame, on: list[str]) -> DataFrame:
+    """places with the page and what stands around."""
+    text, index = F.col("text"), F.col("index")
+    joined = places.join(docs.select("doc_id", *on, "text"), ["doc_id", *on])
+    return joined.withColumn("page", page_at(text, index)).withColumn("excerpt", excerpt(text, index)).drop("text")
 
 
 def first_place(findings: DataFrame, docs: DataFrame, on: list[str]) -> DataFrame:
     """One place for each finding: the earliest needle that any document holds, in the document of least id."""
-    rest = ["needle_pos", "doc_id", "index", "page", "excerpt"]
-    hits = _hits(findings, docs, on)
-    return hits.groupBy("finding_id").agg(F.min_by(F.struct(*rest), F.struct("needle_pos", "doc_id")).alias("_row")).select("finding_id", "_row.*")
+    asked, held = _hits(findings, docs, on)
+    least = held.groupBy(*on, "needle").agg(F.min(F.struct("doc_id", "index")).alias("_at"))
+    own = asked.join(least, [*on, "needle"]).groupBy("finding_id", *on).agg(F.min(F.struct("needle_pos", "_at.doc_id", "_at.index")).alias("_row"))
+    return _shown(own.select("finding_id", *on, "_row.*"), docs, on).drop(*on)
 
 
 def first_documents(findings: DataFrame, docs: DataFrame, on: list[str], most: int = 3) -> DataFrame:
-    """The first documents, by id, that hold any needle; each with its place."""
-    hits = _hits(findings, docs, on)
-    from pyspark.sql import Window as W
+    """The first documents, by id, that hold any needle; each with its place.
 
-    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("finding_id").orderBy("doc_id")))
-    return ranked.where(F.col("rank") <= most)
+    A document that is among a finding's first is among the first of each needle that it holds, so no more are kept.
+    """
+    asked, held = _hits(findings, docs, on)
+    few = held.withColumn("_k", F.row_number().over(W.partitionBy(*on, "needle").orderBy("doc_id"))).where(F.col("_k") <= most).drop("_k")
+    each = asked.join(few, [*on, "needle"]).groupBy("finding_id", "doc_id", *on).agg(F.min(F.struct("needle_pos", "index")).alias("_row"))
+    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("finding_id").orderBy("doc_id"))).where(F.col("rank") <= most)
+    return _shown(ranked.select("finding_id", "doc_id", "rank", *on, "_row.*"), docs, on).drop(*on)
 
 
 def as_of(events: DataFrame, marks: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
     """Each event with the value of its key's last mark at or before it: one union, one sort within keys, no join of ranges."""
-    from pyspark.sql import Window as W
-
     e = events.withColumn("_at", F.col(at)).withColumn("_kind", F.lit(1)).withColumn("_value", F.lit(None).cast(marks.schema[value].dataType))
     m = marks.select(F.col(key), F.col(since).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_value"))
     both = e.unionByName(m, allowMissingColumns=True)
