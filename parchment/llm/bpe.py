@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Pre-tokens kept by a worker; the cache starts anew when full.
-CACHE_ENTRIES, CACHE_LENGTH = 150_000, 64
+#: Pre-tokens kept by a worker; a full cache takes no more.
+CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
 BASE = 0x100
 
 
@@ -109,9 +109,7 @@ class Codec:
             ids = cache.get(token)
             if ids is None:
                 ids = self._ids(token)
-                if len(token) <= CACHE_LENGTH:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
+                if len(token) <= CACHE_LENGTH and len(cache) < CACHE_ENTRIES:  # frequent ones come early
                     cache[token] = ids
             out.append(ids)
         return b"".join(out)

@@ -25,7 +25,7 @@ from parchment.llm.labelled import fitted, sample
 DIMS = 1 << 20
 #: Bounds of the sample that the weights are fitted on.
 PER_CLASS, MAX_CHARS = 3000, 20_000
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 _RUNS = re.compile(r"(\d)\d*|([^\W\d_])[^\W\d_]*|(.)\3*", re.S)
 
 
@@ -44,14 +44,14 @@ def shape(word: str) -> str:
 
 
 class _Words(dict):
-    """Two hashes of a word: of itself and of its shape; starts anew when full."""
+    """Two hashes of a word: of itself and of its shape; full, it takes no more."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         import xxhash
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = (xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(shape(word.decode()), 1))
+        value = (xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(shape(word.decode()), 1))
+        if len(self) < CACHE_WORDS:  # frequent words come early
+            self[word] = value
         return value
 
 

@@ -33,19 +33,19 @@ WINDOW = 20
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Bits of a block's value beside those that name its bucket; two more are flags.
 BLOCK_BITS = 38
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 NO_ID = np.iinfo(np.int64).max
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words; starts anew when full."""
+    """64-bit hashes of words; full, it takes no more."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < CACHE_WORDS:  # frequent words come early
+            self[word] = value
         return value
 
 

@@ -34,7 +34,7 @@ from parchment.llm.labelled import fitted, sample
 CHAIN, DIMS = 64, 1 << 18
 #: Bounds of the sample that the field is fitted on.
 PER_CLASS, MAX_CHARS = 2000, 20_000
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 SPLIT = re.compile(WORD)
 EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "¡¿«»“”‘’„…–—"
 
@@ -42,7 +42,14 @@ EDGE = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(
 def features(word: str) -> list[str]:
     """The word, its beginnings, and, last, its endings."""
     w = word.lower().strip(EDGE)
-    return [f"w{w}", *[f"b{w[:k]}" for k in (3, 4, 5, 6) if len(w) > k], *[f"e{w[-k:]}" for k in (3, 4) if len(w) > k]]
+    n, names = len(w), ["w" + w]
+    for k in (3, 4, 5, 6):
+        if n > k:
+            names.append("b" + w[:k])
+    for k in (3, 4):
+        if n > k:
+            names.append("e" + w[-k:])
+    return names
 
 
 def hashed(names: list[str]) -> list[int]:
@@ -279,14 +286,21 @@ class Tagger:
 
 
 class _Scores(dict):
+    """Scores of words; full, it takes no more: frequent words come early."""
+
     def __init__(self, weights: np.ndarray):
+        import xxhash
+
         super().__init__()
-        self.weights = weights
+        self.weights, self.bias, self.hash = weights[:-1].tolist(), float(weights[-1]), xxhash.xxh64_intdigest
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = float(self.weights[[h % DIMS for h in hashed(features(word))]].sum() + self.weights[-1])
+        weights, hash_ = self.weights, self.hash
+        value = self.bias
+        for name in features(word):
+            value += weights[hash_(name) % DIMS]
+        if len(self) < CACHE_WORDS:
+            self[word] = value
         return value
 
 
