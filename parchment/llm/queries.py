@@ -76,7 +76,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=4, remainder=2)
     done = toxicity.score(docs, model)
-    return done.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
+    toxic = (F.col("score") >= 0.3) & F.lit(model.fitted)  # without a model the score is the same for all
+    return done.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", toxic.cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans"))
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ word's marginal. Chains are cut after CHAIN words; every word of a text is in on
 Labels are known for documents only, so words are labelled first: in a toxic training document, words and beginnings that
 toxic documents have far more often than others are toxic; all other words are not. Near copies in the sample count once.
 Three quarters of the sample fit the
-field by gradient steps on its likelihood, the rest fits the logistic step from marginals to the document's score.
+field by gradient steps on its likelihood, the rest fits the logistic step from marginals to the document's score. A label
+with fewer than four different texts has all of them in both parts.
 
 A null or empty text has no words and gets the score of a text without suspicious words. Labels of other values than 0
-and 1 are ignored; without labels of both kinds every text scores the share of label 1 (0 if there is no label). Repeated
+and 1 are ignored; without labels of both kinds, or without a word that tells them apart, no model is fitted: every text
+scores the share of label 1 among different texts (0 if there is no label), which says nothing of a text. Repeated
 rows score alike. Extra columns are kept, those with an output's name replaced. Texts are scored whole.
 """
 
@@ -102,6 +104,10 @@ class Model:
     document: np.ndarray  # of 1, the largest log odds, log(1 + expected toxic words)
     constant: float | None = None
 
+    @property
+    def fitted(self) -> bool:
+        return self.constant is None
+
 
 def _apart(texts: list[list[str]]) -> list[int]:
     """Texts without near copies of earlier ones: two least hashes of five-word shingles tell them."""
@@ -189,13 +195,14 @@ def _document_inputs(odds: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.
 def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay: float = 1e-4) -> Model:
     """Fits a model on (text, label); the same rows give the same model."""
     labels = [y for _, y in rows]
-    none = Model(np.zeros(DIMS, np.float32), np.zeros((2, 2)), np.zeros(3), sum(labels) / max(1, len(labels)))
     same: dict[str, str] = {}
     texts = [[same.setdefault(w, w) for w in split(t)] for t, _ in rows]  # a word is kept once
     apart = _apart(texts)
     texts, labels = [texts[i] for i in apart], [labels[i] for i in apart]
+    none = Model(np.zeros(DIMS, np.float32), np.zeros((2, 2)), np.zeros(3), sum(labels) / max(1, len(labels)))
     nth = [labels[:i].count(y) for i, y in enumerate(labels)]  # of its label
-    part = lambda x, own: [v for i, v in zip(nth, x) if (i % 4 < 3) == own]
+    all_labels, few = labels, [labels.count(y) < 4 for y in (0, 1)]
+    part = lambda x, own: [v for i, y, v in zip(nth, all_labels, x) if few[y] or (i % 4 < 3) == own]
     others, their_labels, texts, labels = part(texts, False), part(labels, False), part(texts, True), part(labels, True)
     if len({*labels}) < 2 or len({*their_labels}) < 2:
         return none
@@ -206,6 +213,8 @@ def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay
     known = _Vocabulary.of(texts)
     word = np.fromiter((known.words[w] for t in texts for w in t), np.int64, int(sizes.sum()))
     toxic = _toxic_words(known, np.split(word, np.cumsum(sizes)[:-1]), labels)
+    if not toxic.any():
+        return none
     y = (toxic[word] & np.repeat(np.array(labels, bool), sizes)).astype(np.float64)
     of_word, feature, count = known.of_word, (known.feature % np.uint64(DIMS)).astype(np.int64), len(known.words)
     real = np.zeros(CHAIN * n)
