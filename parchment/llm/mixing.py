@@ -24,7 +24,10 @@ SLICE_DIGITS = 3  # 4,096 slices
 
 
 def water_fill(sources: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
-    """sources (source, source_size) with weight, target. The level is found where the caps, ordered by cap / weight, meet it."""
+    """sources (source, source_size) with weight, target. The level is found where the caps, ordered by cap / weight, meet it.
+
+    The sources are ordered in one task: memory and time are bounded by their number, one row each.
+    """
     by_name = W.orderBy(F.col("source").isNull(), "source")
     place = (F.row_number().over(by_name) - 1) % len(weights)
     s = sources.withColumn("weight", F.get(F.array(*map(F.lit, weights)), place)).withColumn("_cap", F.col("source_size") * F.lit(max_epochs))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions.naming import BASE_VARIABLES
@@ -71,7 +72,10 @@ def confirm_all(variables: DataFrame, scope: str | None, file_key: str | None =
 
 
 def progress(variables: DataFrame, documents: DataFrame, generated: DataFrame) -> DataFrame:
-    """For each project how far drafting is; each table is counted by itself and the counts are joined."""
+    """For each project how far drafting is; each table is counted by itself and the counts are joined.
+
+    The generated files' keys of a project meet in one value, so memory is bounded by a project's generated files.
+    """
     base, own, sure = F.col("scope") == "BASE", F.col("scope") == "FILE", F.col("confirmed")
     v = variables.groupBy("project_id").agg(F.count_if(base).alias("base_total"), F.count_if(base & sure).alias("base_confirmed"), F.count_if(own).alias("file_total"), F.count_if(own & sure).alias("file_confirmed"))
     d = documents.groupBy("project_id").agg(F.count_if((F.col("category") == "STANDARD_TEMPLATE") & (F.col("parse_status") == "PARSED")).alias("template_count"), F.count_if(F.col("category") == "PROJECT_INPUT").alias("evidence_count"))
@@ -86,9 +90,16 @@ def next_sort_order(variables: DataFrame) -> DataFrame:
 
 
 def parse_summary(docs: DataFrame) -> DataFrame:
-    """For each project: files taken in, parsed, failed, and the messages of failures in order."""
-    said = F.array_sort(F.collect_list(F.when(F.col("parse_status") == "FAILED", F.struct("id", F.concat("file_name", F.lit(" failed")).alias("m")))))
-    return docs.groupBy("project_id").agg(F.count("*").alias("accepted"), F.count_if(F.col("parse_status") == "PARSED").alias("parsed"), F.count_if(F.col("parse_status") == "FAILED").alias("failed"), F.array_join(F.slice(F.transform(said, lambda x: x["m"]), 1, 5), "; ").alias("first_messages"))
+    """For each project: files taken in, parsed, failed, and the messages of the first five failures in order.
+
+    Failures are ranked and limited before they are gathered, so a project of any size holds five messages.
+    """
+    said = docs.where("parse_status = 'FAILED'").select(F.col("project_id").alias("_project"), "id", F.concat("file_name", F.lit(" failed")).alias("m"))
+    first = said.withColumn("_nth", F.row_number().over(W.partitionBy("_project").orderBy("id", "m"))).where("_nth <= 5")
+    messages = first.groupBy("_project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "m"))), lambda x: x["m"]), "; ").alias("_messages"))
+    counts = docs.groupBy("project_id").agg(F.count("*").alias("accepted"), F.count_if(F.col("parse_status") == "PARSED").alias("parsed"), F.count_if(F.col("parse_status") == "FAILED").alias("failed"))
+    both = counts.join(messages, F.col("project_id").eqNullSafe(F.col("_project")), "left")
+    return both.select("project_id", "accepted", "parsed", "failed", F.coalesce("_messages", F.lit("")).alias("first_messages"))
 
 
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
