@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +22,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary
+    one; a cluster has no folder of that kind, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+#: Tables that stored() wrote in each scratch() that is open.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are stored inside are deleted at the end: what is made of them has to be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            forget(df)
+
+
+def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(found)
+    return found
 
 
 def forget(df: DataFrame) -> None:
@@ -43,10 +68,30 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def apart(df: DataFrame, outputs: Iterable[str] = ()) -> tuple[list[str], Callable[[str], str]]:
+    """The columns of df that stay beside an operator's outputs, quoted, and names for its own columns that none of them has."""
+    gone, mark = {o.lower() for o in outputs}, "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() not in gone], lambda name: mark + name
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+def parts(texts: pa.Array, rows: int = 1024, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of a batch: up to `rows` texts of up to `size` bytes together, or one longer text."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and (i - start == rows or held + (n or 0) > size):
+            yield start, i - start
+            start, held = i, 0
+        held += n or 0
+    if len(texts):
+        yield start, len(texts) - start
+
+
 def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
