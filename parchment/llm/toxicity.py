@@ -2,18 +2,19 @@
 
 Words are labelled toxic or not. A word's own score for "toxic" adds the weights of its hashed features (the word in lower
 case without marks around it, its beginnings and endings); a 2 x 2 table scores neighbours. Forward-backward gives each
-word's marginal. Chains are cut after CHAIN words; every word of a text is in one.
+word's marginal. A text is one chain, whatever its length.
 
 Labels are known for documents only, so words are labelled first: in a toxic training document, words and beginnings that
-toxic documents have far more often than others are toxic; all other words are not. Near copies in the sample count once.
-Three quarters of the sample fit the
-field by gradient steps on its likelihood, the rest fits the logistic step from marginals to the document's score. A label
-with fewer than four different texts has all of them in both parts.
+toxic documents have, or have twice, far more often than others are toxic; all other words are not. Near copies in the
+sample count once. Three quarters of the sample fit the field by gradient steps on its likelihood, the rest fits the
+logistic step from marginals to the document's score. A label with fewer than four different texts has all of them in
+both parts.
 
 A null or empty text has no words and gets the score of a text without suspicious words. Labels of other values than 0
 and 1 are ignored; without labels of both kinds, or without a word that tells them apart, no model is fitted: every text
 scores the share of label 1 among different texts (0 if there is no label), which says nothing of a text. Repeated
-rows score alike. Extra columns are kept, those with an output's name replaced. Texts are scored whole.
+rows score alike, an empty table gives an empty one. Extra columns are kept, those with an output's name replaced. Texts
+are scored whole: a long one is passed in segments, and messages are carried from segment to segment.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from parchment.llm.common import WORD
-from parchment.llm.labelled import fitted, sample
+from parchment.llm.common import WORD, apart, parts
+from parchment.llm.labelled import fitted, sample, shift
 
-CHAIN, DIMS = 64, 1 << 18
+#: Words of a segment: segments of all texts are passed side by side.
+SPAN, DIMS = 64, 1 << 18
+#: Words whose messages are held together, or one text.
+TOGETHER = 1 << 20
 #: Bounds of the sample that the field is fitted on.
 PER_CLASS, MAX_CHARS = 2000, 20_000
 CACHE_WORDS = 300_000
@@ -64,39 +68,121 @@ def split(text: str | None) -> list[str]:
     return SPLIT.findall(text or "")
 
 
-def chains(sizes: np.ndarray) -> tuple[np.ndarray, int]:
-    """Where each word of texts of these sizes stands in a (CHAIN, n) array that is read column by column."""
-    columns = -(-sizes // CHAIN)
-    first = np.concatenate([[0], np.cumsum(columns)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
+def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where each word of texts of these sizes stands in a (SPAN, n) array that is read column by column; each text's first
+    column, and n. A text fills its columns one after another."""
+    columns = -(-sizes // SPAN)
+    first = np.cumsum(columns) - columns
     place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     n = int(columns.sum())
-    return place % CHAIN * n + np.repeat(first, sizes) + place // CHAIN, n
+    return place % SPAN * n + np.repeat(first, sizes) + place // SPAN, first, n
 
 
-def marginals(scores: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """scores (CHAIN, n) of label 1 against 0, table [from, to]. Odds of label 1, and the expected pairs (from, to) summed.
+def _even(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maps of odds stay what they are when both rows are divided by the same number."""
+    total = (x + y).sum(0)
+    return x / total, y / total
 
-    Messages are kept as odds, so that chains of any scores neither overflow nor vanish.
+
+def marginals(scores: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """scores of label 1 against 0, one for each word of texts of these sizes; table [from, to]. Odds of label 1, and the
+    messages ahead and back and the words' own factors, from which pairs() takes what it needs.
+
+    Messages are kept as odds, so that texts of any scores and lengths neither overflow nor vanish. From one segment to
+    the next they go through the segment's map (a x + b) / (c x + d), the product of its words' maps.
     """
     e, m = np.exp(np.clip(scores, -30, 30)), np.exp(table)
-    ahead, back = np.empty_like(e), np.ones_like(e)
-    ahead[0] = e[0]
-    for t in range(1, len(e)):
-        ahead[t] = e[t] * (m[0, 1] + m[1, 1] * ahead[t - 1]) / (m[0, 0] + m[1, 0] * ahead[t - 1])
-    for t in range(len(e) - 2, -1, -1):
-        x = e[t + 1] * back[t + 1]
-        back[t] = (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
+    at, first, n = places(sizes)
+    if not n:
+        return e, e, e, e
+    columns = -(-sizes // SPAN)
+    grid, real = np.ones(SPAN * n), np.zeros(SPAN * n + n, bool)
+    grid[at], real[at] = e, True
+    grid, real = grid.reshape(SPAN, n), real.reshape(SPAN + 1, n)
+    some = columns > 0
+    start, last = np.zeros(n, bool), np.zeros(n, bool)
+    start[first[some]], last[(first + columns - 1)[some]] = True, True
+    most = int(columns.max())
+    # messages ahead: what each column gets from the one before
+    got = np.zeros(n)
+    full = np.flatnonzero(~last)
+    if len(full):
+        own = grid[:, full]
+        x, y = np.array([own[0] * m[1, 1], own[0] * m[0, 1]]), np.array([np.full(len(full), m[1, 0]), np.full(len(full), m[0, 0])])
+        opens = start[full]
+        x[:, opens], y[:, opens] = [np.zeros(opens.sum()), own[0, opens]], [[0.0], [1.0]]
+        for t in range(1, SPAN):
+            x, y = own[t] * (m[1, 1] * x + m[0, 1] * y), m[1, 0] * x + m[0, 0] * y
+            if t % 8 == 7:
+                x, y = _even(x, y)
+        of = np.cumsum(~last) - 1  # a column's place in full
+        for k in range(1, most):
+            c = (first + k)[columns > k]
+            f, before = of[c - 1], got[c - 1]
+            got[c] = (x[0, f] * before + x[1, f]) / (y[0, f] * before + y[1, f])
+    ahead = np.empty_like(grid)
+    ahead[0] = np.where(start, grid[0], grid[0] * (m[0, 1] + m[1, 1] * got) / (m[0, 0] + m[1, 0] * got))
+    for t in range(1, SPAN):
+        ahead[t] = grid[t] * (m[0, 1] + m[1, 1] * ahead[t - 1]) / (m[0, 0] + m[1, 0] * ahead[t - 1])
+    # messages back: what each column's end gets from the one behind; 1 at a text's end
+    behind = np.ones(n)
+    step = lambda x: (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
+    if len(full):
+        b = np.ones(int(last.sum()))
+        own, known = grid[:, last], real[:, last]
+        for t in range(SPAN - 1, 0, -1):
+            b = np.where(known[t], step(own[t] * b), 1.0)
+        entry = np.ones(n)
+        entry[last] = step(own[0] * b)  # what the column before a last one gets
+        inner = np.flatnonzero(~last & ~start)
+        own = grid[:, inner]
+        x, y = np.array([np.ones(len(inner)), np.zeros(len(inner))]), np.array([np.zeros(len(inner)), np.ones(len(inner))])
+        for t in range(SPAN - 1, -1, -1):
+            z = own[t] * x
+            x, y = m[1, 1] * z + m[1, 0] * y, m[0, 1] * z + m[0, 0] * y
+            if t % 8 == 0:
+                x, y = _even(x, y)
+        of = np.cumsum(~last & ~start) - 1
+        for k in range(most - 2, -1, -1):
+            c = (first + k)[columns > k + 1]
+            behind[c] = entry[c + 1]
+            c = c[~start[c]]
+            f = of[c]
+            entry[c] = (x[0, f] * behind[c] + x[1, f]) / (y[0, f] * behind[c] + y[1, f])
+    back = np.empty_like(grid)
+    back[-1] = behind
+    for t in range(SPAN - 2, -1, -1):
+        back[t] = np.where(real[t + 1], step(grid[t + 1] * back[t + 1]), 1.0)
+    ahead, back = ahead.ravel()[at], back.ravel()[at]
     return ahead * back, ahead, back, e
 
 
-def pairs(odds: np.ndarray, ahead: np.ndarray, back: np.ndarray, e: np.ndarray, table: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """Expected numbers of neighbours (from, to) among real words."""
+def pairs(ahead: np.ndarray, back: np.ndarray, e: np.ndarray, table: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Expected numbers of neighbours (from, to); joined: which words are followed by one of the same text."""
     m = np.exp(table)
-    x, y = ahead[:-1], e[1:] * back[1:]
-    each = real[1:] / (m[0, 0] + m[0, 1] * y + m[1, 0] * x + m[1, 1] * x * y)
+    x, y = ahead[:-1][joined], (e * back)[1:][joined]
+    each = 1 / (m[0, 0] + m[0, 1] * y + m[1, 0] * x + m[1, 1] * x * y)
     return m * np.array([[each.sum(), (each * y).sum()], [(each * x).sum(), (each * x * y).sum()]])
 
 
+def followed(sizes: np.ndarray) -> np.ndarray:
+    """Which words, but the last, have the next one in the same text."""
+    out = np.ones(max(0, int(sizes.sum())), bool)
+    out[np.cumsum(sizes)[sizes > 0] - 1] = False
+    return out[:-1]
+
+
+def slices(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of texts of TOGETHER words at most, or of one text."""
+    cuts, held = [0], 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > TOGETHER:
+            cuts.append(i)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], len(sizes)]))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -147,26 +233,31 @@ class _Vocabulary:
 def _toxic_words(known: _Vocabulary, texts: list[np.ndarray], labels: list[int], share: float = 0.02, rare: float = 0.015, times: float = 25.0) -> np.ndarray:
     """Which words count as toxic in a toxic text: those with a toxic feature.
 
-    A feature is toxic if toxic documents have it `times` as often as others and it is in a `share` of them, or if it is
-    in a share `rare` of them that no such feature explains; in three of them at least. Endings don't count.
+    A feature is toxic if toxic documents have it, or have it twice, `times` as often as others and it is in a `share` of
+    them, or if it is in a share `rare` of them that no such feature explains; in three of them at least. Endings don't
+    count.
     """
     whole = ~known.ending
     names, feature = np.unique(known.feature[whole], return_inverse=True)
     of_word = known.of_word[whole]
     first, last = np.searchsorted(of_word, np.arange(len(known.words))), np.searchsorted(of_word, np.arange(len(known.words)), "right")
 
-    def own(words: np.ndarray) -> np.ndarray:
+    def own(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of different words of a text, and how many words have them."""
         w = np.unique(words)
         n = last[w] - first[w]
-        return np.unique(feature[np.repeat(first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        return np.unique(feature[np.repeat(first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], return_counts=True)
 
-    n, seen = Counter(labels), np.zeros((2, len(names)), np.int64)
+    n, seen = Counter(labels), np.zeros((2, 2, len(names)), np.int64)  # once or more, twice or more
     least = max(3, math.ceil(rare * n[1]))
     for words, y in zip(texts, labels):
-        seen[y, own(words)] += 1
-    telling = (seen[1] >= least) & (seen[1] / n[1] >= times * (seen[0] + 0.5) / n[0])
-    toxic = telling & (seen[1] >= max(least, share * n[1]))
-    left = [f[telling[f]] for words, y in zip(texts, labels) if y and not toxic[f := own(words)].any()]
+        f, k = own(words)
+        seen[0, y, f] += 1
+        seen[1, y, f[k > 1]] += 1
+    often = [(s[1] >= least) & (s[1] / n[1] >= times * (s[0] + 0.5) / n[0]) for s in seen]
+    telling = often[0] | often[1]
+    toxic = telling & (np.where(often[0], seen[0, 1], seen[1, 1]) >= max(least, share * n[1]))
+    left = [f[telling[f]] for words, y in zip(texts, labels) if y and not toxic[f := own(words)[0]].any()]
     while left:
         found, k = np.unique(np.concatenate(left), return_counts=True)
         if not len(k) or k.max() < least:
@@ -179,8 +270,8 @@ def _toxic_words(known: _Vocabulary, texts: list[np.ndarray], labels: list[int],
     return out
 
 
-def _document_inputs(odds: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    p = odds.ravel()[at] if len(at) else np.zeros(0)
+def _document_inputs(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each text: 1, its largest log odds, log(1 + expected toxic words)."""
     out = np.zeros((len(sizes), 3))
     out[:, 0], out[:, 1] = 1, -12
     some = np.flatnonzero(sizes)
@@ -207,37 +298,32 @@ def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay
     if len({*labels}) < 2 or len({*their_labels}) < 2:
         return none
     sizes = np.array([len(t) for t in texts])
-    at, n = chains(sizes)
-    if not n:
+    if not sizes.sum():
         return none
     known = _Vocabulary.of(texts)
     word = np.fromiter((known.words[w] for t in texts for w in t), np.int64, int(sizes.sum()))
-    toxic = _toxic_words(known, np.split(word, np.cumsum(sizes)[:-1]), labels)
+    ends = np.cumsum(sizes)
+    toxic = _toxic_words(known, np.split(word, ends[:-1]), labels)
     if not toxic.any():
         return none
-    y = (toxic[word] & np.repeat(np.array(labels, bool), sizes)).astype(np.float64)
+    y = toxic[word] & np.repeat(np.array(labels, bool), sizes)
     of_word, feature, count = known.of_word, (known.feature % np.uint64(DIMS)).astype(np.int64), len(known.words)
-    real = np.zeros(CHAIN * n)
-    real[at] = 1
-    real = real.reshape(CHAIN, n)
-    grid = np.zeros(CHAIN * n)
-    grid[at] = y
-    grid = grid.reshape(CHAIN, n)
-    a, b = grid[:-1], grid[1:]
-    counted = np.array([[((1 - a) * (1 - b) * real[1:]).sum(), ((1 - a) * b * real[1:]).sum()], [(a * (1 - b) * real[1:]).sum(), (a * b * real[1:]).sum()]])
+    runs = [(sizes[a:z], slice(ends[a] - sizes[a], ends[z - 1])) for a, z in slices(sizes)]
+    joined = followed(sizes)
+    counted = np.bincount(y[:-1][joined] * 2 + y[1:][joined], minlength=4).reshape(2, 2)
     weights, table, bias = np.zeros(DIMS), np.zeros((2, 2)), -4.0
-    moved = [np.full(DIMS, 1e-6), np.full((2, 2), 1e-6), 1e-6]
+    moved, n_toxic = [np.full(DIMS, 1e-6), np.full((2, 2), 1e-6), 1e-6], max(1.0, y.sum())
     for _ in range(steps):
         own_scores = np.bincount(of_word, weights[feature], count) + bias
-        scores = np.full(CHAIN * n, -30.0)
-        scores[at] = own_scores[word]
-        odds, *messages = marginals(scores.reshape(CHAIN, n), table)
-        p = odds.ravel()[at]
-        slope = (y - p / (1 + p)) / max(1.0, y.sum())
-        by_word = np.bincount(word, slope, count)
+        by_word, expected = np.zeros(count), np.zeros((2, 2))
+        for part, at in runs:
+            odds, *messages = marginals(own_scores[word[at]], part, table)
+            by_word += np.bincount(word[at], y[at] - odds / (1 + odds), count)
+            expected += pairs(*messages, table, followed(part))
+        by_word /= n_toxic
         by_feature = np.bincount(feature, by_word[of_word], DIMS) - decay * weights
-        by_table = (counted - pairs(odds, *messages, table, real)) / max(1.0, y.sum()) - decay * table
-        by_bias = slope.sum()
+        by_table = (counted - expected) / n_toxic - decay * table
+        by_bias = by_word.sum()
         moved = [moved[0] + by_feature**2, moved[1] + by_table**2, moved[2] + by_bias**2]
         weights += rate * by_feature / np.sqrt(moved[0])
         table += rate * by_table / np.sqrt(moved[1])
@@ -245,8 +331,7 @@ def train(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, decay
     model = Model(np.append(weights, bias).astype(np.float32), table, np.zeros(3))
     tagger = Tagger(model)
     sizes = np.array([len(t) for t in others])
-    odds, at = tagger.odds(others, sizes)
-    inputs, target = _document_inputs(odds, sizes, at), np.array(their_labels, float)
+    inputs, target = _document_inputs(tagger.odds(others, sizes), sizes), np.array(their_labels, float)
     coef = np.zeros(3)
     for _ in range(50):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(inputs @ coef, -30, 30)))
@@ -262,12 +347,13 @@ class Tagger:
     def __init__(self, model: Model):
         self.model, self.known = model, _Scores(model.weights)
 
-    def odds(self, texts: list[list[str]], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, n = chains(sizes)
-        scores = np.full(CHAIN * n, -30.0)
-        look = self.known.__getitem__
-        scores[at] = np.fromiter((s for t in texts for s in map(look, t)), np.float64, int(sizes.sum()))
-        return marginals(scores.reshape(CHAIN, n), self.model.table)[0] if n else scores, at
+    def odds(self, texts: list[list[str]], sizes: np.ndarray) -> np.ndarray:
+        """Odds of every word, text by text."""
+        look, found = self.known.__getitem__, [np.zeros(0)]
+        for a, z in slices(sizes):
+            scores = np.fromiter((s for t in texts[a:z] for s in map(look, t)), np.float64, int(sizes[a:z].sum()))
+            found.append(marginals(scores, sizes[a:z], self.model.table)[0])
+        return np.concatenate(found)
 
     def documents(self, texts: list[str | None], limit: float) -> tuple[list[float], list[list[dict]]]:
         """Scores, and spans (characters from 0, end not included) of words in a row whose marginal is `limit` or more."""
@@ -275,9 +361,8 @@ class Tagger:
         sizes = np.array([len(w) for w in words], np.int64)
         if self.model.constant is not None:
             return [self.model.constant] * len(texts), [[] for _ in texts]
-        odds, at = self.odds(words, sizes)
-        scores = 1 / (1 + np.exp(-np.clip(_document_inputs(odds, sizes, at) @ self.model.document, -30, 30)))
-        p = odds.ravel()[at] if len(at) else np.zeros(0)
+        p = self.odds(words, sizes)
+        scores = 1 / (1 + np.exp(-np.clip(_document_inputs(p, sizes) @ self.model.document, -30, 30)))
         bad, spans = p >= limit / (1 - limit), []
         for text, x, n in zip(texts, (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
             found: list[dict] = []
@@ -314,14 +399,16 @@ class _Scores(dict):
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    """The model of a bounded sample of labelled documents."""
-    return fitted(sample(docs, labels, "toxic", modulus, remainder, per_class, max_chars), train)
+    """The model of a bounded sample of labelled documents; its log odds stand for the share of toxic ones among all."""
+    model, had = fitted(sample(docs, labels, "toxic", modulus, remainder, per_class, max_chars), train)
+    model.document = model.document + [shift(labels, "toxic", modulus, remainder, had), 0, 0]
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """Adds score (0 to 1) and toxic_spans (start, end in characters)."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    rows = docs.select(*[c for c in docs.columns if c.lower() not in {"score", "toxic_spans"}])
+    rows = docs.select(*apart(docs, ("score", "toxic_spans"))[0])
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", span)])
     held, names = docs.sparkSession.sparkContext.broadcast(model), schema.names
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -329,8 +416,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5)
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at, n in parts(batch.column(batch.schema.get_field_index(text))):
+                part = batch.slice(at, n)
                 scores, spans = tagger.documents(part.column(part.schema.get_field_index(text)).to_pylist(), limit)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], names)
 

@@ -1,8 +1,12 @@
+import math
 import random
+import re
 import zlib
 from itertools import product
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parchment.llm import toxicity as X
@@ -28,16 +32,67 @@ def made(n: int, seed: int) -> list[tuple[str, int]]:
 
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
-    scores, table = rng.normal(size=(5, 1)), rng.normal(size=(2, 2))
-    total = [np.exp(sum(scores[t, 0] * y[t] for t in range(5)) + sum(table[a, b] for a, b in zip(y, y[1:]))) for y in product((0, 1), repeat=5)]
+    scores, table = rng.normal(size=5), rng.normal(size=(2, 2))
+    total = [np.exp(sum(scores[t] * y[t] for t in range(5)) + sum(table[a, b] for a, b in zip(y, y[1:]))) for y in product((0, 1), repeat=5)]
     p = [sum(z for y, z in zip(product((0, 1), repeat=5), total) if y[t]) / sum(total) for t in range(5)]
     pair = np.zeros((2, 2))
     for y, z in zip(product((0, 1), repeat=5), total):
         for a, b in zip(y, y[1:]):
             pair[a, b] += z / sum(total)
-    odds, *rest = X.marginals(scores, table)
-    assert np.allclose(odds[:, 0] / (1 + odds[:, 0]), p)
-    assert np.allclose(X.pairs(odds, *rest, table, np.ones((5, 1))), pair)
+    odds, *rest = X.marginals(scores, np.array([5]), table)
+    assert np.allclose(odds / (1 + odds), p)
+    assert np.allclose(X.pairs(*rest, table, X.followed(np.array([5]))), pair)
+
+
+def plain_odds(scores: list[float], table: np.ndarray) -> list[float]:
+    """Forward-backward over a whole text, word by word."""
+    e, m, ahead, back = [math.exp(min(30, max(-30, s))) for s in scores], np.exp(table), [], [1.0]
+    for x in e:
+        ahead.append(x * (m[0, 1] + m[1, 1] * ahead[-1]) / (m[0, 0] + m[1, 0] * ahead[-1]) if ahead else x)
+    for x in reversed(e[1:]):
+        back.append((m[1, 0] + m[1, 1] * x * back[-1]) / (m[0, 0] + m[0, 1] * x * back[-1]))
+    return [a * b for a, b in zip(ahead, reversed(back))]
+
+
+@pytest.mark.parametrize("spread", [1.0, 12.0])
+def test_texts_are_whole_chains(spread):
+    rng = np.random.default_rng(2)
+    sizes = np.array([0, 3, 64, 65, 1, 0, 128, 129, 1000, 63, 5000, 0])
+    scores, table = rng.normal(size=sizes.sum()) * spread, rng.normal(size=(2, 2)) * 2
+    odds = X.marginals(scores, sizes, table)[0]
+    ends = np.cumsum(sizes)
+    want = [o for z, n in zip(ends, sizes) if n for o in plain_odds(scores[z - n : z].tolist(), table)]
+    assert np.allclose(np.log(odds), np.log(want), atol=1e-9)
+
+
+def plain_scores(model: X.Model, text: str | None) -> tuple[float, list[tuple[int, int]]]:
+    """A text's score and spans by the definition: no segments, no caches."""
+    words = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+    if not words:
+        odds, inputs = [], [1.0, -12.0, 0.0]
+    else:
+        own = [float(model.weights[-1]) + sum(float(model.weights[xxhash.xxh64_intdigest(f) % X.DIMS]) for f in X.features(w.group())) for w in words]
+        odds = plain_odds(own, model.table)
+        inputs = [1.0, min(12, max(-12, math.log(max(odds)))), math.log1p(sum(o / (1 + o) for o in odds if o > 0.25))]
+    spans, last = [], None
+    for i, o in enumerate(odds):
+        if o >= 1:
+            if last == i - 1 and spans:
+                spans[-1] = (spans[-1][0], words[i].end())
+            else:
+                spans.append(words[i].span())
+            last = i
+    return 1 / (1 + math.exp(-min(30, max(-30, float(np.dot(inputs, model.document)))))), spans
+
+
+def test_same_as_plain_scorer(spark, monkeypatch):
+    model = X.train(made(400, 5))
+    texts = [t for t, _ in made(60, 6)] + [None, "", " \n", "x", " ".join(f"{c} {b}" for c in CLEAN for b in (BAD[0], c) * 9), f"{BAD[1]}, {BAD[2]}! \u00a0 end"]
+    monkeypatch.setattr(X, "TOGETHER", 200)  # several runs of texts, some of one long text
+    scores, spans = X.Tagger(model).documents(texts, 0.5)
+    for text, s, found in zip(texts, scores, spans):
+        want, places = plain_scores(model, text)
+        assert s == pytest.approx(want, abs=1e-9) and [(x["start"], x["end"]) for x in found] == places
 
 
 def test_spans_and_scores(spark):
@@ -75,4 +130,4 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = op8_toxicity(spark, SF).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     hits = sum(r.predicted and r.toxic for r in got)
-    assert len(got) > 800 and hits / sum(r.toxic for r in got) > 0.85 and hits / sum(r.predicted for r in got) > 0.75
+    assert len(got) > 800 and hits / sum(r.toxic for r in got) >= 0.9 and hits / sum(r.predicted for r in got) > 0.9
