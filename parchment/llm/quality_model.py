@@ -5,8 +5,8 @@ capitals, digits or a mark as one sign, so that words never seen before still co
 weights; a text's value of a weight is its count by the root of all its n-grams.
 
 A null or empty text has no n-grams and scores by the bias. Labels of other values than 0 and 1 are ignored; without labels of
-both kinds every text scores the share of label 1 (0 if there is no label). Repeated rows score alike. Extra columns are
-kept, those with an output's name replaced. Texts are scored whole.
+both kinds every text scores the share of label 1 (0 if there is no label). Repeated rows score alike, an empty table gives
+an empty one. Extra columns are kept, those with an output's name replaced. Texts are scored whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from parchment.llm.labelled import fitted, sample
+from parchment.llm.common import apart, parts
+from parchment.llm.labelled import fitted, sample, shift
 
 DIMS = 1 << 20
 #: Bounds of the sample that the weights are fitted on.
@@ -117,20 +118,22 @@ def train(rows: list[tuple[str, int]], passes: int = 3, alpha: float = 0.3, beta
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    """The model of a bounded sample of labelled documents."""
-    return fitted(sample(docs, labels, "quality", modulus, remainder, per_class, max_chars), train)
+    """The model of a bounded sample of labelled documents; its log odds stand for the share of good ones among all."""
+    model, had = fitted(sample(docs, labels, "quality", modulus, remainder, per_class, max_chars), train)
+    model.bias += shift(labels, "quality", modulus, remainder, had)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds score (0 to 1)."""
-    rows = docs.select(*[c for c in docs.columns if c.lower() != "score"])
+    rows = docs.select(*apart(docs, ("score",))[0])
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
     held, names = docs.sparkSession.sparkContext.broadcast(model), schema.names
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at, n in parts(batch.column(batch.schema.get_field_index(text))):
+                part = batch.slice(at, n)
                 scores = held.value.score(part.column(part.schema.get_field_index(text)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names)
 
