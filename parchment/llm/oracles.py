@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from parchment.llm.quality_rules import PHRASES
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_PHRASES = PHRASES.replace("'", "''")
+
 SQL: dict[str, str] = {}
 
 SQL["op2_quality_rules"] = rf"""
@@ -15,7 +19,7 @@ r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, un
 l AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 f AS (SELECT doc_id, x, length(x) AS n,
   length(x) - length(regexp_replace(x, '[|»›·•]', '', 'g')) >= 3
-  OR (length(x) <= 200 AND regexp_matches(x, '(?i)\b(cookies?|privacy policy|all rights reserved|terms of (use|service)|sign (in|up)|log ?in|subscribe|javascript|copyright|lorem ipsum|click here|read more)\b'))
+  OR (length(x) <= 200 AND regexp_matches(x, '(?i)(^|[^\p{{L}}])({_PHRASES})($|[^\p{{L}}])'))
   OR length(x) - length(regexp_replace(x, '[#*$%&|<>{{}}\\^~=+@]', '', 'g')) > 0.1 * length(x)
   OR (length(x) - length(replace(x, '!', '')) > 0.05 * length(x) AND contains(x, '!!'))
   OR (length(x) <= 30 AND NOT regexp_matches(x, '[.!?…:;,"''»”’)\]][\x20\x09-\x0D]*$')) AS failed FROM l),

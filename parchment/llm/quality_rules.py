@@ -2,22 +2,37 @@
 
 A null text has no words and no lines. Empty lines (no word) are neither judged nor counted. A text is judged whole,
 whatever its length; repeated windows and lines are found within one row, so no row meets another and nothing is
-shuffled. Columns of the input are kept; one that has an output's name is replaced.
+shuffled. Repeated rows come out alike, an empty table gives an empty one. Columns of the input are kept; one that has an
+output's name is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import words
+from parchment.llm.common import apart, words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: What separates the entries of a menu.
 SEPARATORS = r"[|»›·•]"
-BOILERPLATE = r"(?i)\b(cookies?|privacy policy|all rights reserved|terms of (use|service)|sign (in|up)|log ?in|subscribe|javascript|copyright|lorem ipsum|click here|read more)\b"
+#: What the furniture of a page says, in English, French, German and Spanish: phrases, as prose has each of their words too.
+PHRASES = "|".join(
+    (
+        r"(?:uses?|accept|our|all|manage) cookies|cookie (?:policy|settings|notice|consent)|privacy policy|all rights reserved|terms of (?:use|service)",
+        r"(?:sign|log) ?(?:in|up)|subscribe (?:now|today|to our)|(?:enable|requires?) javascript|copyright (?:©|\(c\)|[12][0-9]{3})|lorem ipsum|click here|read more",
+        r"(?:utilise|accepte|accepter|gérer) (?:des|les|nos) cookies|politique de confidentialité|tous droits réservés|conditions d['’]utilisation",
+        r"mentions légales|connectez-vous|inscrivez-vous|abonnez-vous|cliquez ici|lire la suite",
+        r"(?:verwendet|nutzt|akzeptieren|alle) cookies|datenschutzerklärung|alle rechte vorbehalten|nutzungsbedingungen",
+        r"jetzt (?:anmelden|registrieren|abonnieren)|hier klicken|hier anmelden|mehr lesen",
+        r"(?:utiliza|usa|aceptar|acepta) (?:las )?cookies|política de (?:privacidad|cookies)|todos los derechos reservados|(?:términos|condiciones) de uso",
+        r"aviso legal|iniciar sesión|regístrate|suscríbete|haga clic aquí|leer más",
+    )
+)
+BOILERPLATE = rf"(?iu)(?<!\p{{L}})(?:{PHRASES})(?!\p{{L}})"
 TERMINAL = r"""[.!?…:;,"'»”’)\]][\x20\x09-\x0D]*$"""
 
 
@@ -53,7 +68,7 @@ def failing(line: Column, rules: LineRules) -> Column:
     )
 
 
-def repeated_words(found: Column, size: int = 3) -> list[tuple[str, Column]]:
+def repeated_words(found: Column, own: Callable[[str], str], size: int = 3) -> list[tuple[str, Column]]:
     """Steps, each a column for the next: the words that lie in windows which the text has twice or more.
 
     Windows are sorted by hash and place within the row; those with an equal neighbour repeat, and what they cover is
@@ -63,7 +78,7 @@ def repeated_words(found: Column, size: int = 3) -> list[tuple[str, Column]]:
         F.size(found) >= size,
         F.transform(F.sequence(F.lit(0), F.size(found) - size), lambda i: F.xxhash64(*[F.get(found, i + k) for k in range(size)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    h, s, p = F.col("_hashes"), F.col("_sorted"), F.col("_places")
+    h, s, p = map(F.col, (own("hashes"), own("sorted"), own("places")))
     ranked = F.when(
         F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     )
@@ -74,33 +89,37 @@ def repeated_words(found: Column, size: int = 3) -> list[tuple[str, Column]]:
     covered = F.aggregate(
         F.transform(p, lambda x, k: F.least(F.lit(size), F.coalesce(F.get(p, k + 1) - x, F.lit(size)))), F.lit(0).cast("bigint"), lambda a, x: a + x
     )
-    return [("_hashes", hashes), ("_sorted", ranked), ("_places", places), ("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint")))]
+    return [(own("hashes"), hashes), (own("sorted"), ranked), (own("places"), places), (own("repeated"), F.coalesce(covered, F.lit(0).cast("bigint")))]
+
+
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned_text", "n_lines_failed", "lost_share")
 
 
 def clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """Adds the base counts, cleaned_text, n_lines_failed, lost_share (of characters in lines) and kept."""
+    keep, own = apart(docs, OUTPUTS)
+    said, found, lines, good, joined = map(own, ("said", "words", "lines", "good", "joined"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = F.col("_words")
-    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    chars = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
-    outputs = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned_text", "n_lines_failed", "lost_share"}
-    keep = [c for c in docs.columns if c.lower() not in outputs]
-    df = docs.select(*keep).withColumn("_words", words(F.col(text)))
-    df = df.withColumn("_joined", F.array_join("_words", "")).withColumn("_lines", lines)
-    df = df.withColumn("_good", F.filter("_lines", lambda x: failing(x, rules) == ""))
-    for name, step in repeated_words(found):
+    # the text has its own column here, as it may be one that an output replaces
+    df = docs.select(*keep, whole.alias(said)).withColumn(found, words(F.col(said)))
+    df = df.withColumn(joined, F.array_join(found, "")).withColumn(lines, F.filter(F.split(said, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn(good, F.filter(lines, lambda x: failing(x, rules) == ""))
+    for name, step in repeated_words(F.col(found), own):
         df = df.withColumn(name, step)
-    n = F.size(found).cast("bigint")
+    n, repeated = F.size(found).cast("bigint"), F.col(own("repeated"))
+    chars = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
+    lost = F.coalesce(1 - chars(F.col(good)) / F.nullif(chars(F.col(lines)), F.lit(0)), F.lit(0.0))
+    failed = (n < 50) | (F.lit(100) * repeated > F.lit(50) * n)
     df = df.select(
         *keep,
         n.alias("n_words"),
-        F.length("_joined").cast("bigint").alias("word_chars"),
-        _count(F.col("_joined"), SYMBOLS).cast("bigint").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        "n_repeat_words",
-        ((n < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * n)).alias("base_failed"),
-        F.array_join("_good", "\n").alias("cleaned_text"),
-        (F.size("_lines") - F.size("_good")).cast("bigint").alias("n_lines_failed"),
-        F.coalesce(1 - chars(F.col("_good")) / F.nullif(chars(F.col("_lines")), F.lit(0)), F.lit(0.0)).alias("lost_share"),
+        F.length(joined).cast("bigint").alias("word_chars"),
+        _count(F.col(joined), SYMBOLS).cast("bigint").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+        repeated.alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        F.array_join(good, "\n").alias("cleaned_text"),
+        (F.size(lines) - F.size(good)).cast("bigint").alias("n_lines_failed"),
+        lost.alias("lost_share"),
     )
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= rules.lost_share))
