@@ -4,17 +4,20 @@ them, and hits are extended to all windows around them, whose repeats merge to m
 A window is `window` consecutive words of one document. A word goes if it lies in a window whose words also start earlier:
 in a document of smaller id, or earlier in the same document. A window of 20 words holds a whole block of 10 that starts
 at a multiple of 10; so does its earlier twin, and the block's words occur in both. The hashes of blocks and probes meet
-by value; a value that a block has and that occurs twice is a hit. Only windows that hold a hit are hashed (96 bits) and
-meet by value too; the least id that has a window is its first place.
+by value; a value that a block has and that occurs twice is a hit. Only windows that hold a hit are hashed, to 128 bits
+from two hashes of each word, and meet by value too; the least id and start that a window has is its first place. Words
+themselves are not compared across chunks: 10^13 windows hold a pair of equal hashes and different words with probability
+10^-13.
 
-Documents are dealt to chunks by a hash of their id; a chunk is some megabytes of text. It sends each distinct value
+Documents are dealt to chunks by a hash of their id and text; a chunk is some megabytes of text. It sends each distinct value
 once, however often it holds it, sorted and packed, to one of the value ranges ("buckets"), and gets back one bit for each
 value. So a passage that a third of all documents share is one value for each chunk, no pair of documents is ever made,
 and what moves is about five bytes for each word. The same exchange of texts serves all three passes.
 
-Null texts have no words, texts shorter than a window keep all. A null id stands after all others. Rows of one id are one
-document: windows that start at the same word in both don't remove each other, so repeated rows come out alike. Extra
-columns are kept, those with an output's name replaced. A text is taken whole, whatever its length.
+Null texts have no words, texts shorter than a window keep all, an empty table gives an empty one. A null id stands after
+all others. Rows of one id are one document, wherever they are dealt: windows that start at the same word in both don't
+remove each other, so repeated rows come out alike. Extra columns are kept, those with an output's name replaced. A text is
+taken whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchment.llm.common import apart
+
 WINDOW = 20
 #: Text in a chunk, and text whose words' values make up a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
@@ -40,16 +45,20 @@ NO_ID = np.iinfo(np.int64).max
 class _WordHashes(dict):
     """64-bit hashes of words; full, it takes no more."""
 
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        value = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word, self.seed)
         if len(self) < CACHE_WORDS:  # frequent words come early
             self[word] = value
         return value
 
 
-_HASHES = _WordHashes()
+_HASHES, _OTHER = _WordHashes(0), _WordHashes(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -105,6 +114,13 @@ class Chunk:
         values = rolling(self.values, self.block, 0x9E3779B97F4A7C15)[at] >> np.uint64(64 - bits)
         return at, values, self.place[at] % self.block == 0
 
+    def _others(self, docs: np.ndarray) -> np.ndarray:
+        """Second hashes of the words of these documents."""
+        out, look = np.zeros(len(self.values), np.uint64), _OTHER.__getitem__
+        for d in np.unique(docs).tolist():
+            out[self.starts[d] : self.ends[d]] = np.fromiter(map(look, self.words[d]), np.uint64, len(self.words[d]))
+        return out
+
     def windows(self, hit: np.ndarray) -> tuple[np.ndarray, ...]:
         """Windows that hold a probe of those places, ordered by value and first place: place, both hashes, id, group's number."""
         at = self._fits(self.window, self.window)
@@ -113,7 +129,7 @@ class Chunk:
         upto = np.cumsum(mark)
         at = at[upto[at + self.window - self.block + 1] > upto[at]]
         a = rolling(self.values, self.window, 0x9E3779B97F4A7C15)[at]
-        b = rolling(_mixed(self.values + np.uint64(0x5851F42D4C957F2D)), self.window, 0xD6E8FEB86659FD93)[at] >> np.uint64(32)
+        b = rolling(self._others(self.doc[at]), self.window, 0xD6E8FEB86659FD93)[at]
         ids, place = self.ids[self.doc[at]], self.place[at]
         order = np.lexsort((place, ids, b, a))
         at, a, b, ids = at[order], a[order], b[order], ids[order]
@@ -171,10 +187,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     if window < 2 or window % 2:
         raise ValueError("a window is an even number of words")
     outputs = {"n_words": T.LongType(), "n_removed": T.LongType(), "removed": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])), "kept_text": T.StringType()}
-    rows = docs.select(*[c for c in docs.columns if c.lower() not in {*outputs, "_chunk"}])
+    keep, own = apart(docs, outputs)
+    rows, dealt = docs.select(*keep), own("chunk")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks, bits = max(1, math.ceil(size / chunk_bytes)), math.ceil(math.log2(max(2, size / bucket_bytes)))
-    held = rows.withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
+    held = rows.withColumn(dealt, F.pmod(F.xxhash64(key, text), F.lit(chunks)).cast("int"))
     fields, names = rows.schema.fields, rows.columns
 
     def send_probes(table: pa.Table) -> pa.Table:
@@ -182,7 +199,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         _, _, values, counts, block = _distinct_probes(chunk, bits)
         edges = _bucket_edges(values, BLOCK_BITS, bits)
         sent = (values & np.uint64((1 << BLOCK_BITS) - 1)) << np.uint64(2) | (counts > 1).astype(np.uint64) << np.uint64(1) | block.astype(np.uint64)
-        nth = table["_chunk"][0].as_py()
+        nth = table[dealt][0].as_py()
         return _table([(i, nth, PROBES, _packed(sent[a:z], 5)) for i, (a, z) in enumerate(zip(edges, edges[1:])) if z > a])
 
     def find_hits(table: pa.Table) -> pa.Table:
@@ -205,30 +222,30 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     def send_windows(table: pa.Table, got: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([])
-        chunk, nth = Chunk(table[key], table[text], window), table["_chunk"][0].as_py()
+        chunk, nth = Chunk(table[key], table[text], window), table[dealt][0].as_py()
         places, hit = hit_places(chunk, got, False)
-        _, a, b, ids, new = chunk.windows(places)
-        a, b, ids = a[new], b[new], ids[new]  # the first of each group has its least id
+        at, a, b, ids, new = chunk.windows(places)
+        a, b, ids, place = a[new], b[new], ids[new], chunk.place[at[new]]  # the first of each group has its least id and start
         edges = _bucket_edges(a, 64 - bits, bits)
-        rows = [(i, nth, WINDOWS, _packed(a[x:z], 8) + _packed(b[x:z], 4) + _packed(ids[x:z], 8)) for i, (x, z) in enumerate(zip(edges, edges[1:])) if z > x]
+        rows = [(i, nth, WINDOWS, b"".join(_packed(v[x:z], 8) for v in (a, b, ids, place))) for i, (x, z) in enumerate(zip(edges, edges[1:])) if z > x]
         return _table([*rows, (nth % (1 << bits), nth, HITS, np.packbits(hit).tobytes())])  # the chunk's own, for the last pass
 
     def find_first(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         rows = list(zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist()))
         own = [(bucket, c, HITS, d) for c, k, d in rows if k == HITS]
-        asked = [(c, d, len(d) // 20) for c, k, d in rows if k == WINDOWS]
+        asked = [(c, d, len(d) // 32) for c, k, d in rows if k == WINDOWS]
         if not asked:
             return _table(own)
-        a = np.concatenate([_unpacked(d[: 8 * n], 8) for _, d, n in asked])
-        b = np.concatenate([_unpacked(d[8 * n : 12 * n], 4) for _, d, n in asked])
-        ids = np.concatenate([_unpacked(d[12 * n :], 8).view(np.int64) for _, d, n in asked])
-        order = np.lexsort((ids, b, a))
-        a, b, sorted_ids = a[order], b[order], ids[order]
+        a, b, ids, place = (np.concatenate([_unpacked(d[8 * i * n : 8 * (i + 1) * n], 8) for _, d, n in asked]) for i in range(4))
+        ids = ids.view(np.int64)
+        order = np.lexsort((place, ids, b, a))
+        a, b, ids, place = a[order], b[order], ids[order], place[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = np.zeros(len(a), bool)
-        later[order] = sorted_ids > sorted_ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+        later[order] = (ids != ids[first]) | (place != place[first])
         cuts = np.cumsum([n for _, _, n in asked])[:-1]
         return _table([*own, *[(bucket, c, LATER, np.packbits(x).tobytes()) for (c, _, _), x in zip(asked, np.split(later, cuts))]])
 
@@ -262,7 +279,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             out = out.append_column(name, array)
         return out
 
-    by_chunk = held.groupBy("_chunk")
+    by_chunk = held.groupBy(dealt)
     hits = by_chunk.applyInArrow(send_probes, _SENT).groupBy("bucket").applyInArrow(find_hits, _SENT)
     asked = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, _SENT)
     answers = asked.groupBy("bucket").applyInArrow(find_first, _SENT)
