@@ -4,7 +4,7 @@ The model holds one piece for each rank. A piece's bytes are mapped one to one t
 its score is the negated rank and normalisation is identity, so sentencepiece merges the pair of the lowest rank
 first, leftmost on ties, as byte-level BPE does. Texts are cut into pre-tokens first; no merge crosses one.
 
-A null text counts as empty: no ids, no bytes. Ids travel as little-endian unsigned 32-bit integers in one binary
+A null text counts as empty: no ids, no bytes. Repeated rows come out alike, an empty table gives an empty one. Ids travel as little-endian unsigned 32-bit integers in one binary
 value a document. Columns of the input are kept; one that has an output's name is replaced. A text of any length
 is encoded whole; only the text itself, its ids and a cache of bounded size are held.
 """
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from parchment.llm.common import apart, parts
+
 #: Pre-tokens kept by a worker; a full cache takes no more.
 CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
 BASE = 0x100
@@ -118,20 +120,19 @@ class Codec:
         return b"".join(map(self.piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _with_column(df: DataFrame, run, adds: dict[str, T.DataType]) -> DataFrame:
-    """df with the binary columns that run(batch) gives."""
-    kept = df.select(*[f for f in df.columns if f.lower() not in {a.lower() for a in adds}])
+def _with_column(df: DataFrame, run, source: str, adds: dict[str, T.DataType]) -> DataFrame:
+    """df with the binary columns that run(batch) gives from its source column."""
+    kept = df.select(*apart(df, adds)[0])
     schema = T.StructType([*kept.schema.fields, *[T.StructField(n, t) for n, t in adds.items()]])
     names = kept.columns
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         act = run()
         for batch in batches:
-            table = pa.Table.from_batches([batch])
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            for at in range(0, table.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([*[a.slice(at, 1024) for a in arrays], *act(part)], [*names, *adds])
+            for at, n in parts(batch.column(batch.schema.get_field_index(source))):
+                part = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([*[a.slice(at, n) for a in arrays], *act(part)], [*names, *adds])
 
     return df.mapInArrow(over, schema)
 
@@ -149,7 +150,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
         codec = Codec(model.value, pattern)
         return lambda batch: [pa.array([codec.encode(x.as_py()) for x in batch[text]], pa.binary())]
 
-    return _with_column(df, run, {ids: T.BinaryType()})
+    return _with_column(df, run, text, {ids: T.BinaryType()})
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -160,7 +161,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", decode
         codec = Codec(model.value, pattern)
         return lambda batch: [pa.array([codec.decode(x.as_py() or b"") for x in batch[ids]], pa.binary())]
 
-    return _with_column(df, run, {decoded: T.BinaryType()})
+    return _with_column(df, run, ids, {decoded: T.BinaryType()})
 
 
 def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -176,4 +177,4 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
 
         return act
 
-    return _with_column(df, run, {ids: T.BinaryType(), decoded: T.BinaryType()})
+    return _with_column(df, run, text, {ids: T.BinaryType(), decoded: T.BinaryType()})

@@ -3,7 +3,9 @@
 Events: conv_id, seq, event ('message' opens a message, 'delta' appends to it, 'edit' replaces its text, 'regenerate'
 drops its text so far), message_id, role, text. An event goes to the message last opened under its message_id in
 its conversation; events of a message that was never opened are dropped. Events of equal seq are taken in the order
-message, regenerate, edit, delta, then by role and text. A null text or role is empty; repeated rows each count.
+message, regenerate, edit, delta, then by role and text. A null text or role is empty, a null seq comes first, a null
+conversation or message id is an id of its own; rows of other events are dropped; repeated rows each count. An empty table
+gives none. Extra columns are dropped, texts of any length are kept whole.
 
 Messages of a conversation are rendered in blocks of seq, so that a conversation of any length spreads over tasks; a
 block is a piece of the final text and join_blocks() puts the pieces together.

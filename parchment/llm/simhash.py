@@ -9,8 +9,8 @@ Only distinct fingerprints are compared, each standing for the least id that has
 its groups, not all pairs. A bucket above `tile` fingerprints is cut into tiles, and each pair of tiles is a task's work.
 
 A null or empty text has no words: fingerprint zero, linked like any other. A text with fewer words than a shingle is one
-shingle. Repeated rows share a fingerprint. Texts are read whole. Rows of one id with different texts each keep their own
-fingerprint and share the id's group.
+shingle. Repeated rows share a fingerprint, an empty table gives an empty one. Texts are read whole, whatever their length.
+Rows of one id with different texts each keep their own fingerprint and share the id's group. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import forget, parts_for, stored
+from parchment.llm.common import parts, parts_for, stored
 from parchment.llm.components import components
 
 SEED, SHINGLE, RADIUS, BLOCKS, TILE = 42, 3, 3, 5, 4096
@@ -211,8 +211,8 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at, n in parts(batch.column(1), 2048):
+                part = batch.slice(at, n)
                 fps = fingerprints(part.column(1).to_pylist(), shingle, seed)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
