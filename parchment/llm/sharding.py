@@ -3,10 +3,13 @@
 A row's hash is the first 60 bits of the MD5 of its key, its size the UTF-8 bytes of its text (null: 0). A bucket is a
 bit prefix; one above the limit splits on the next bit until each shard fits. What no bit can split (one row above the
 limit, or rows of one key) stays a shard of 60 bits if it is too large, marked oversize. A null key hashes as the empty
-string. Extra columns are kept, those with an output's name replaced. Column functions only.
+string; rows of one key stay together. A text of any length counts by its bytes; an empty table stays empty. Extra columns
+are kept, those with an output's name replaced. Column functions only.
 
-The sizes of all prefixes of up to `bits` bits come from one aggregate over the rows and one over its sums; rows below a
-prefix that is still too large then are split by the rest of their bits the same way. No bucket is gathered anywhere.
+One scan writes a narrow table, the bytes of each key; sizes of all prefixes of up to `bits` bits come from it, and keys
+below a prefix that is still too large then are split by the rest of their bits the same way. No bucket is gathered
+anywhere. The directory is a stored table of known size, so that Spark sends it to all tasks if it is small, and else
+parts a hot key's rows by its skew join; rows keep to a second scan.
 """
 
 from __future__ import annotations
@@ -16,7 +19,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchment.llm.common import apart, stored
+
 HASH_BITS = 60
+OUTPUTS = ("doc_bytes", "shard", "depth", "shard_bytes", "oversize")
 
 
 def hashed(key: Column) -> Column:
@@ -41,30 +47,31 @@ def _shards(sizes: DataFrame, key: str, low: int, high: int, limit: int) -> Data
 
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 64 << 20) -> DataFrame:
     """Adds doc_bytes, shard (the bucket's bits as a string), depth, shard_bytes and oversize."""
-    outputs = {"doc_bytes", "shard", "depth", "shard_bytes", "oversize"}
-    rows = df.select(
-        *[c for c in df.columns if c.lower() not in outputs],
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("doc_bytes"),
-        hashed(F.col(key)).alias("_h"),
-    )
-    total = rows.agg(F.sum("doc_bytes")).first()[0] or 0
+    keep, own = apart(df, OUTPUTS)
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
+    keys = stored(df.select(hashed(F.col(key)).alias("h"), size.alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes")), "keys")
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
     # so deep that a leaf holds about 1/64 of a shard; leaves grow in number with the shards, in rows never
     bits = min(40, max(6, math.ceil(math.log2(max(1, total / limit))) + 6))
-    rows = rows.withColumn("_leaf", F.shiftright("_h", HASH_BITS - bits))
-    leaves = rows.groupBy("_leaf").agg(F.sum("doc_bytes").alias("bytes"))
+    leaf = F.shiftright("h", HASH_BITS - bits)
+    leaves = stored(keys.groupBy(leaf.alias("leaf")).agg(F.sum("bytes").alias("bytes")), "leaves")
     shift = F.lit(bits) - F.col("depth")
     first = F.call_function("shiftleft", F.col("bucket"), shift)
     # a shard's leaves lie in a row; all shards together have as many as the directory
-    upper = _shards(leaves, "_leaf", 0, bits, limit).withColumn("_leaf", F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("bigint"), shift) - 1)))
-    below = rows.join(leaves.where(F.col("bytes") > limit).select("_leaf"), "_leaf", "left_semi").groupBy("_h").agg(F.sum("doc_bytes").alias("bytes"))
-    deep = _shards(below, "_h", bits + 1, HASH_BITS, limit)
-    paths = below.select("_h", F.explode(F.sequence(F.lit(bits + 1), F.lit(HASH_BITS))).alias("depth")).withColumn("bucket", prefix(F.col("_h"), F.col("depth")))
+    upper = _shards(leaves, "leaf", 0, bits, limit).withColumn("leaf", F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("bigint"), shift) - 1)))
+    below = keys.withColumn("leaf", leaf).join(leaves.where(F.col("bytes") > limit).select("leaf"), "leaf", "left_semi").select("h", "bytes")
+    deep = _shards(below, "h", bits + 1, HASH_BITS, limit)
+    paths = below.select("h", F.explode(F.sequence(F.lit(bits + 1), F.lit(HASH_BITS))).alias("depth")).withColumn("bucket", prefix(F.col("h"), F.col("depth")))
     lower = paths.join(deep, ["depth", "bucket"])
-    single = below.where(F.col("bytes") > limit).select("_h", F.lit(HASH_BITS).alias("depth"), F.col("_h").alias("bucket"), F.col("bytes").alias("shard_bytes"))
-    under = lower.unionByName(single).select("_h", *[F.col(c).alias(f"_{c}") for c in ("depth", "bucket", "shard_bytes")])
-    found = rows.join(upper, "_leaf", "left").join(under, "_h", "left")
-    for c in ("depth", "bucket", "shard_bytes"):
-        found = found.withColumn(c, F.coalesce(F.col(c), F.col(f"_{c}")))
-    name = F.when(F.col("depth") > 0, F.lpad(F.conv(F.col("bucket").cast("string"), 10, 2), F.col("depth"), F.lit("0"))).otherwise("")
-    found = found.withColumn("shard", name).withColumn("oversize", F.col("shard_bytes") > limit)
-    return found.drop("_leaf", "_h", "bucket", "_depth", "_bucket", "_shard_bytes")
+    single = below.where(F.col("bytes") > limit).select("h", F.lit(HASH_BITS).alias("depth"), F.col("h").alias("bucket"), F.col("bytes").alias("shard_bytes"))
+    found = ["depth", "bucket", "shard_bytes"]
+    tables = []
+    for at, rows in (("leaf", upper), ("h", lower.unionByName(single))):
+        table = stored(rows.select(at, *found), "directory")
+        tables.append(table.select(F.col(at).alias(own(f"{at}_of")), *[F.col(c).alias(own(f"{at}_{c}")) for c in found]))
+    h = own("h")
+    rows = df.select(*keep, size.alias("doc_bytes"), hashed(F.col(key)).alias(h))
+    rows = rows.join(tables[0], F.shiftright(h, HASH_BITS - bits) == F.col(own("leaf_of")), "left").join(tables[1], F.col(h) == F.col(own("h_of")), "left")
+    depth, bucket, held = (F.coalesce(own(f"leaf_{c}"), own(f"h_{c}")) for c in found)
+    name = F.when(depth > 0, F.lpad(F.conv(bucket.cast("string"), 10, 2), depth, F.lit("0"))).otherwise("")
+    return rows.select(*keep, "doc_bytes", name.alias("shard"), depth.alias("depth"), held.alias("shard_bytes"), (held > limit).alias("oversize"))
