@@ -7,9 +7,16 @@ is skipped whole. For what is left, the local threshold chooses: low, candidates
 coordinates too, as a vector within that angle of q has its coordinate at q's largest one in a narrow range. Products of
 what passes are taken exactly.
 
-A group of one length, such as many equal vectors, is dealt to as many buckets as it needs. Queries meet buckets in blocks; a bucket gives k rows for a query at most. Vectors that are null or hold null, NaN or an
-infinity take no part, nor do null ids; shorter vectors are filled with zeros. Equal scores go to the smaller id. Rows of a
-query's own id are no candidates for it; repeated rows are candidates each, and one query. Extra columns are dropped.
+Queries stand in classes by the first group that can still serve them, so that neither they nor a group's candidates are
+sent where no product is left to take; within a class they are dealt to blocks, and a block and a bucket meet in one
+task. A group of one length, such as many equal vectors, is dealt to as many buckets as it needs. A bucket gives k rows
+for a query at most.
+
+Vectors that are null or hold null, NaN or an infinity take no part, nor do null ids; shorter vectors are filled with zeros.
+Finite components of any size count: products are taken in floating point, in 64 bits or in whole numbers of any length,
+as the lengths demand; a score beyond 64 bits is given, and ranked, as the nearest 64-bit number. Equal scores go to the
+smaller id. Rows of a query's own id are no candidates for it; repeated rows are candidates each, and one query. An empty
+table gives none. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -22,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SCALE, BUCKET, BLOCK, SEED_ROWS = 256, 4096, 1024, 2048
+from parchment.llm.common import stored
+
+SCALE, BUCKET, BLOCK, SEED_ROWS = 256, 8192, 4096, 2048
 #: Groups of like length at most.
 GROUPS = 256
 #: Local cosine above which coordinates prune as well.
 COSINE = 0.6
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def usable(vector: Column) -> Column:
@@ -36,24 +47,41 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fits, F.lit(False))
 
 
-def whole(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-
-
 def matrix(vectors: pa.Array, width: int = 0) -> np.ndarray:
-    """Rows of whole numbers, filled with zeros to the longest."""
+    """Rows of numbers, filled with zeros to the longest."""
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     sizes = np.diff(vectors.offsets.to_numpy())
-    out = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))), np.int64)
+    out = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))))
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = vectors.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def products(a: np.ndarray, b: np.ndarray, norms: tuple[float, float]) -> np.ndarray:
-    """Exact inner products of rows; through floating point where no sum can leave its whole numbers."""
-    if norms[0] * norms[1] < 2**52:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def wide(rows: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
+
+
+class Whole:
+    """Rows of floor(scale * x) and their lengths."""
+
+    def __init__(self, rows: np.ndarray, scale: int):
+        self.raw, self.scale = rows, scale
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.rows = np.floor(rows * scale)
+            self.lengths = np.linalg.norm(self.rows, axis=1)
+
+    def ints(self, at: np.ndarray | slice) -> list[list[int]]:
+        """Whole numbers of any length; where a number has no fraction, scaling it can't round."""
+        return [[int(x) * self.scale if abs(x) >= 2.0**53 else math.floor(x * self.scale) for x in row] for row in self.raw[at].tolist()]
+
+    def dots(self, at: np.ndarray | slice, other: "Whole", q: int) -> np.ndarray:
+        """Products of the rows at `at` with other's row q, within 64 bits."""
+        bound = float(self.lengths[at].max(initial=0)) * float(other.lengths[q])
+        if bound < 2.0**52:  # floating point holds every sum
+            return (self.rows[at] @ other.rows[q]).astype(np.int64)
+        if bound < 2.0**62 and np.abs(self.rows[at]).max() < 2.0**62 and np.abs(other.rows[q]).max() < 2.0**62:
+            return self.rows[at].astype(np.int64) @ other.rows[q].astype(np.int64)
+        asked = other.ints([q])[0]
+        return np.array([min(MOST, max(LEAST, sum(map(int.__mul__, row, asked)))) for row in self.ints(at)], np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -63,36 +91,30 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         keep = np.flatnonzero(scores >= least)
     else:
         keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
-
-
-def search_bucket(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score): up to k of each query's candidates in this bucket that reach its floor."""
-    lengths, asked = np.linalg.norm(rows.astype(np.float64), axis=1), np.linalg.norm(queries.astype(np.float64), axis=1)
-    order = np.argsort(-lengths, kind="stable")
-    ids, rows, lengths = ids[order], rows[order], lengths[order]
-    longest, eps = float(lengths[0]) if len(lengths) else 0.0, 1e-9
-    found = []
-    need = floors / np.maximum(asked * longest, eps)  # the local cosine
-    live = np.flatnonzero((floors <= 0) | (need <= 1 + eps))
-    if not len(live) or not len(ids):
+    return keep[np.lexsort((ids[keep], -(scores[keep].astype(object))))][:k]
+
+
+def search_bucket(ids: np.ndarray, rows: Whole, query_ids: np.ndarray, queries: Whole, floors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query, id, score): up to k of each query's candidates in this bucket that reach its floor. Rows stand by length, longest first."""
+    found, eps = [], 1e-9
+    if not len(ids):
         return found
-    exact = float(asked.max(initial=0)) * longest < 2**52  # then floating point holds every sum
-    own, asking = (rows.astype(np.float64), queries.astype(np.float64)) if exact else (rows, queries)
-    unit = rows / np.maximum(lengths, eps)[:, None]
-    for q in live.tolist():
+    lengths, asked = rows.lengths, queries.lengths
+    need = floors / np.maximum(asked * lengths[0], eps)  # the local cosine
+    for q in np.flatnonzero((floors <= 0) | (need <= 1 + eps)).tolist():
         floor, length = floors[q], max(asked[q], eps)
         n = len(ids)
         if floor > 0:  # by length: no product passes |q| times the candidate's length
             n = int(np.searchsorted(-lengths, -(floor / length) * (1 - eps), "right"))
         passed: np.ndarray | slice = slice(0, n)
         if floor > 0 and need[q] > COSINE and n:
-            j = int(np.argmax(np.abs(queries[q])))
-            x, c = queries[q, j] / length, np.minimum(1.0, floor / (length * np.maximum(lengths[:n], eps)))
+            j = int(np.argmax(np.abs(queries.rows[q])))
+            x, c = queries.rows[q, j] / length, np.minimum(1.0, floor / (length * np.maximum(lengths[:n], eps)))
             # within the angle whose cosine is c, coordinate j lies between these
             spread = np.sqrt(np.maximum(0, 1 - c * c)) * math.sqrt(max(0.0, 1 - x * x)) + 1e-7
-            passed = np.flatnonzero(np.abs(unit[:n, j] - c * x) <= spread + (1 - c) * abs(x))
-        near, scores = ids[passed], (own[passed] @ asking[q]).astype(np.int64)
+            own = rows.rows[:n, j] / np.maximum(lengths[:n], eps)
+            passed = np.flatnonzero(np.abs(own - c * x) <= spread + (1 - c) * abs(x))
+        near, scores = ids[passed], rows.dots(passed, queries, q)
         ok = (scores >= floor) & (near != query_ids[q])
         near, scores = near[ok], scores[ok]
         top = best(scores, near, k)
@@ -103,48 +125,59 @@ def search_bucket(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, quer
 def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that `queries` holds for, its k best among all other ids."""
     spark = vectors.sparkSession
+    kind = vectors.schema[vector].dataType.elementType
+    form = "array<float>" if isinstance(kind, T.FloatType) else "array<double>"
     usable_rows = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull())
-    rows = usable_rows.select(F.col(key).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"), queries.alias("asks"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = rows.withColumn("length", norm)
-    n = rows.count()
+    rows = usable_rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(form).alias("v"), queries.alias("asks"))
+    square = lambda s, x: s + F.pow(F.floor(x.cast("double") * scale).cast("double"), F.lit(2.0))
+    far = F.exists("v", lambda x: F.abs(x) > 1e15)  # beyond what floor() gives as a 64-bit number
+    rough = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") * scale, F.lit(2.0))) * 1.0001
+    rows = rows.withColumn("length", F.sqrt(F.when(far, rough).otherwise(F.aggregate("v", F.lit(0.0), square))))
+    points = [i / GROUPS for i in range(1, GROUPS)]
+    stats = rows.agg(F.count("*").alias("n"), F.max("length").alias("longest"), F.percentile_approx("length", points, 10_000).alias("at")).first()
     seed = rows.orderBy(F.desc("length"), "id").limit(SEED_ROWS).select("id", "v").toPandas()
-    held = spark.sparkContext.broadcast((seed["id"].to_numpy(np.int64), [np.asarray(v, np.int64) for v in seed["v"]]))
+    held = spark.sparkContext.broadcast((seed["id"].to_numpy(np.int64), [np.asarray(v, np.float64) for v in seed["v"]]))
+    # quantiles of the length part the rows into groups of like length, a group's rows are dealt to buckets by hash
+    steps = max(1, min(GROUPS, stats["n"] // bucket))
+    marks = [stats["at"][GROUPS * i // steps - 1] for i in range(1, steps)]
+    edges = sorted(set(marks))
+    above = [*edges, stats["longest"] or 0.0]  # no vector of a group is longer
+    spans = [1, *[marks.count(e) for e in edges]]  # how many quantiles a group takes
+    parts = [max(1, math.ceil(stats["n"] * m / steps / bucket)) for m in spans]
+    group = lambda c, closed: F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda s, e: s + ((c >= e) if closed else (c > e * (1 + 1e-9))).cast("int")) if edges else F.lit(0)
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, listed = held.value
-        own = matrix(pa.array(listed, pa.list_(pa.int64()))) if len(ids) else np.zeros((0, 0), np.int64)
+        own = matrix(pa.array(listed, pa.list_(pa.float64())))
         for batch in batches:
-            asked = matrix(batch.column(1), own.shape[1])
-            wide = np.pad(own, ((0, 0), (0, asked.shape[1] - own.shape[1])))
-            scores = products(asked, wide, (float(np.linalg.norm(asked.astype(float), axis=1).max(initial=0)), float(np.linalg.norm(wide.astype(float), axis=1).max(initial=0))))
-            scores = np.where(batch.column(0).to_numpy()[:, None] == ids[None, :], np.iinfo(np.int64).min, scores)
-            out = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(asked), np.iinfo(np.int64).min)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["id", "v", "floor"])
-
-    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(floors, "id long, v array<long>, floor long")
-    # quantiles of the length part the rows into groups of like length, a group's rows are dealt to buckets by hash
-    steps = min(GROUPS, n // bucket)
-    edges = sorted(set(rows.stat.approxQuantile("length", [i / steps for i in range(1, steps)], 0.001))) if steps > 1 else []
-    within = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda s, e: s + (F.col("length") >= e).cast("int")) if edges else F.lit(0)
-    grouped = rows.select("id", "v", "length", within.alias("group"))
-    of_group = {r["group"]: (r["n"], r["longest"]) for r in grouped.groupBy("group").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()}
-    of_group = [of_group.get(g, (0, 0.0)) for g in range(len(edges) + 1)]
-    parts = F.array(*[F.lit(max(1, math.ceil(m / bucket))) for m, _ in of_group])
-    longest = F.array(*[F.lit(float(x)) for _, x in of_group])
-    blocks = max(1, math.ceil(rows.where("asks").count() / block))
-    left = grouped.select("id", "v", "group", F.pmod(F.xxhash64("id", "v"), F.get(parts, F.col("group"))).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = asked.select("*", norm.alias("length"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("group"))
-    right = right.where((F.col("floor") <= 0) | (F.col("floor") <= F.col("length") * F.get(longest, F.col("group")) * (1 + 1e-9)))
-    right = right.select("id", "v", "floor", "block", "group", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("group")) - 1)).alias("part"))
+            asking = matrix(batch.column(1), own.shape[1])
+            seeds, asking = Whole(wide(own, asking.shape[1]), scale), Whole(asking, scale)
+            out = []
+            for q, i in enumerate(batch.column(0).to_pylist()):
+                scores = seeds.dots(np.flatnonzero(ids != i), asking, q)
+                out.append(int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else LEAST)
+            reach = np.where(np.array(out, float) > 0, np.array(out, float) / np.maximum(asking.lengths, 1e-9), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64()), pa.array(reach)], ["id", "v", "floor", "reach"])
+
+    single = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    asked = stored(single.mapInArrow(floors, f"id long, v {form}, floor long, reach double").withColumn("class", group(F.col("reach"), False)), "asked")
+    in_class = {r["class"]: r["n"] for r in asked.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    blocks = [math.ceil(in_class.get(c, 0) / block) for c in range(len(above))]
+    before = [sum(blocks[:c]) for c in range(len(above) + 1)]
+    of = lambda numbers, c: F.get(F.array(*map(F.lit, numbers)), c)
+    left = rows.withColumn("group", group(F.col("length"), True)).where(of(before[1:], F.col("group")) > 0)
+    left = left.select("id", "v", "group", F.pmod(F.xxhash64("id", "v"), of(parts, F.col("group"))).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), of(before[1:], F.col("group")) - 1)).alias("block"))
+    right = asked.select("id", "v", "floor", (of(before, F.col("class")) + F.pmod(F.xxhash64("id"), of(blocks, F.col("class")))).cast("int").alias("block"), F.explode(F.sequence(F.col("class"), F.lit(len(edges)))).alias("group"))
+    right = right.select("id", "v", "floor", "block", "group", F.explode(F.sequence(F.lit(0), of(parts, F.col("group")) - 1)).alias("part"))
 
     def cell(candidates: pa.Table, questions: pa.Table) -> pa.Table:
         found: list[tuple[int, int, int]] = []
         if candidates.num_rows and questions.num_rows:
             rows_, asked_ = matrix(candidates["v"]), matrix(questions["v"])
             width = max(rows_.shape[1], asked_.shape[1])
-            rows_, asked_ = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (rows_, asked_))
-            found = search_bucket(candidates["id"].to_numpy(), rows_, questions["id"].to_numpy(), asked_, questions["floor"].to_numpy(), k)
+            order = np.argsort(-Whole(rows_, scale).lengths, kind="stable")
+            rows_, asked_ = Whole(wide(rows_[order], width), scale), Whole(wide(asked_, width), scale)
+            found = search_bucket(candidates["id"].to_numpy()[order], rows_, questions["id"].to_numpy(), asked_, questions["floor"].to_numpy(), k)
         return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
     keys = ["group", "part", "block"]

@@ -47,3 +47,16 @@ def test_odd_rows(spark):
 def test_many_equal_vectors(spark):
     rows = [(i, [1.0, 0.5, 0.25], 0) for i in range(400)] + [(1000 + i, [0.5, i / 64, 0.0], 0) for i in range(100)]
     check(spark, rows, bucket=32, block=16)
+
+
+def test_large_components(spark):
+    rows = [(0, [1e17, 1.0], 0), (1, [1e17, -3.0], 0), (2, [1e300, 0.5], 0), (10, [1e300, -1e300], 0), (3, [3e9, 7.5], 0), (20, [3e9, -2.25], 0), (4, [0.5, 1e308], 0), (5, [-1e308, 2.0], 0), (6, [1.0, 1.0], 0), (30, [0.25, 1.5], 0)]
+    clamp = lambda n: max(-(1 << 63), min((1 << 63) - 1, n))
+    whole = {i: [int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x) for x in v] for i, v, _ in rows}
+    want = set()
+    for q in (0, 10, 20, 30):
+        scored = sorted((-clamp(sum(a * b for a, b in zip(whole[q], w))), i) for i, w in whole.items() if i != q)
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])}
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    for bounds in ({}, {"bucket": 2, "block": 1}):
+        assert {tuple(r) for r in search(wide, F.col("vec_id") % 10 == 0, **bounds).collect()} == want
