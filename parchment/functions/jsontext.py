@@ -3,47 +3,47 @@
 from __future__ import annotations
 
 import json
+import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parchment.functions.text import nvl, trim
+
 # Fixed value: fields under which a list may be wrapped, in this order.
 WRAPPERS = ["items", "findings", "variables", "results", "data", "list"]
 
 
 def strip_fence(c: Column) -> Column:
-    """Without the ``` lines around a text that starts with one."""
-    t = F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    inner = F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*(\n|$)", ""), r"```[\x00-\x20]*$", "")
-    return F.when(F.startswith(t, F.lit("```")), F.regexp_replace(inner, r"^[\x00-\x20]+|[\x00-\x20]+$", "")).otherwise(t)
+    """The trimmed text; of one that starts with ``` what stands between its first line and its last ```."""
+    t = trim(nvl(c))
+    inner = F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n", ""), r"(?s)^(.*)```.*$", "$1")
+    return F.when(F.startswith(t, F.lit("```")), trim(inner)).otherwise(t)
+
+
+#: Strings (one that never ends goes on to the end) and brackets of one kind.
+_TOKENS = {pair[0]: re.compile(rf'"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)|[{re.escape(pair)}]', re.S) for pair in ("{}", "[]")}
+_BLANKS = "".join(map(chr, range(33)))
 
 
 def first_value(text: str | None) -> str | None:
-    """The first {...} or [...] whose brackets of its own kind balance outside strings; the rest of the text if none does."""
+    """The first {...} or [...] whose brackets of its own kind balance outside strings; the rest of the text if none does; the
+    whole text, without a fence around it, if it has no bracket."""
     if text is None:
         return None
-    starts = [i for i in (text.find("{"), text.find("[")) if i >= 0]
-    if not starts:
-        return None
-    start = min(starts)
-    opening = text[start]
-    closing, depth, inside, skip = {"{": "}", "[": "]"}[opening], 0, False, False
-    for i in range(start, len(text)):
-        ch = text[i]
-        if skip:
-            skip = False
-        elif inside:
-            skip, inside = ch == "\\", ch != '"'
-        elif ch == '"':
-            inside = True
-        elif ch == opening:
-            depth += 1
-        elif ch == closing:
-            depth -= 1
-            if not depth:
-                return text[start : i + 1]
-    return text[start:]
+    said = text.strip(_BLANKS)
+    if said.startswith("```"):
+        said = said.partition("\n")[2] if "\n" in said else said
+        said = (said.rpartition("```")[0] if "```" in said else said).strip(_BLANKS)
+    found = re.search(r"[{\[]", said)
+    if found is None:
+        return said
+    tokens = list(_TOKENS[found.group()].finditer(said, found.start()))
+    depths = accumulate({found.group(): 1, "}": -1, "]": -1}.get(t.group(), 0) for t in tokens)
+    end = next((t.end() for t, depth in zip(tokens, depths) if depth == 0), len(said))
+    return said[found.start() : end]
 
 
 def _unwrapped(node):
@@ -127,3 +127,8 @@ OCR_LINES = "array<struct<text:string,confidence:double,bbox:struct<x:double,y:d
 
 def parse_ocr(c: Column) -> Column:
     return _by_batch(ocr_lines, OCR_LINES, c)
+
+
+def mean_confidence(lines: Column) -> Column:
+    """Of recognised lines; null for none."""
+    return F.aggregate(lines, F.lit(0.0), lambda s, x: s + x["confidence"]) / F.nullif(F.size(lines), F.lit(0))

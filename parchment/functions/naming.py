@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,7 +101,8 @@ def severity(c: Column) -> Column:
 
 
 def file_key(c: Column, allowed: list[str] = FILE_ORDER) -> Column:
-    return F.when(F.upper(trim(nvl(c))).isin(allowed), F.upper(trim(c)))
+    """A known key in capitals; null for anything else, blanks around a key included."""
+    return F.when(F.upper(c).isin(allowed), F.upper(c))
 
 
 def status(c: Column) -> Column:
@@ -152,23 +156,26 @@ def sanitize_affects(c: Column) -> Column:
     return F.nullif(F.array_join(kept, ","), F.lit(""))
 
 
+# How a model words a choice. How it is compared (the whole, its beginning, any part), with what, and the option.
+WORDINGS = [
+    ("is", ["yes", "y", "true", "1"], "是"),
+    ("is", ["no", "n", "false", "0"], "否"),
+    ("begins", ["pending"], "待确认"),
+    ("holds", ["待确认", "待確認", "tbd", "unknown"], "待确认"),
+    ("begins", ["tender a"], "Tender A"),
+    ("begins", ["tender b"], "Tender B"),
+    ("holds", ["l10pro", "l10 pro"], "L10Pro"),
+    ("holds", ["hardcopy", "hard copy"], "hardcopy"),
+]
+
+
 def normalize_choice(value: Column, options: Column) -> Column:
-    """A model's wording of a choice as the option that it means; other wording stays."""
-    v = trim(value)
-    low = F.lower(v)
-    has = lambda *parts: F.lit(False) if not parts else F.contains(low, F.lit(parts[0])) | has(*parts[1:])
-    return (
-        F.when(value.isNull() | options.isNull() | (F.size(options) == 0), value)
-        .when(F.array_contains(options, v), v)
-        .when(low.isin("yes", "y", "true", "1"), "是")
-        .when(low.isin("no", "n", "false", "0"), "否")
-        .when(F.startswith(low, F.lit("pending")) | has("待确认", "待確認", "tbd", "unknown"), "待确认")
-        .when(F.startswith(low, F.lit("tender a")), "Tender A")
-        .when(F.startswith(low, F.lit("tender b")), "Tender B")
-        .when(has("l10pro", "l10 pro"), "L10Pro")
-        .when(has("hardcopy", "hard copy"), "hardcopy")
-        .otherwise(value)
-    )
+    """A model's wording of a choice as the option that it means, by the first of WORDINGS; an option itself, and other
+    wording, stays."""
+    said, compare = F.lower(trim(value)), {"is": lambda a, b: a == b, "begins": F.startswith, "holds": F.contains}
+    meant = F.coalesce(*[F.when(reduce(or_, [compare[how](said, F.lit(w)) for w in words]), option) for how, words, option in WORDINGS], value)
+    own = F.array_contains(options, trim(value))
+    return F.when(own, trim(value)).when(F.size(options) > 0, meant).otherwise(value)
 
 
 def choice_of(value: Column, options: Column) -> Column:

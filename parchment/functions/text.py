@@ -127,11 +127,14 @@ def find_loose(text: Column, needle: Column) -> Column:
 
 
 def page_at(text: Column, index: Column) -> Column:
-    """The page of the last marker that starts at or before a place (from 0): 'P' and its number, or null."""
-    pieces = F.split(text, r"---\s*P\d+\s*---")
-    marks = F.regexp_extract_all(text, F.lit(PAGE_MARKER), F.lit(0))
-    pages = F.regexp_extract_all(text, F.lit(PAGE_MARKER), F.lit(1))
-    ends = F.aggregate(F.sequence(F.lit(0), F.size(marks)), F.array(F.lit(0)), lambda a, i: F.when(i < F.size(marks), F.array_append(a, F.element_at(a, -1) + F.length(F.get(pieces, i)) + F.length(F.get(marks, i)))).otherwise(a))
-    # marker i starts where the pieces and markers before it, and its own piece, end
-    before = F.filter(F.sequence(F.lit(0), F.size(marks)), lambda i: (i < F.size(marks)) & (F.get(ends, i) + F.length(F.get(pieces, i)) <= index))
-    return F.when(F.size(before) > 0, F.concat(F.lit("P"), F.get(pages, F.try_element_at(before, F.lit(-1)))))
+    """The page of the last marker that starts at or before a place (from 0): 'P' and its number, or null. One fold over the
+    markers and what stands between them."""
+    mark = lambda group: F.regexp_extract_all(text, F.lit(PAGE_MARKER), F.lit(group))
+    parts = F.arrays_zip(F.split(text, r"---\s*P\d+\s*---").alias("piece"), mark(0).alias("mark"), mark(1).alias("page"))
+
+    def step(so_far: Column, part: Column) -> Column:
+        start = so_far["at"] + F.length(part["piece"])
+        page = F.when(start <= index, part["page"]).otherwise(so_far["page"])
+        return F.when(part["mark"].isNull(), so_far).otherwise(F.struct((start + F.length(part["mark"])).alias("at"), page.alias("page")))
+
+    return F.concat(F.lit("P"), F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("page")), step)["page"])

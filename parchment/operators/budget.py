@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from parchment.functions.naming import BASE_KEYWORDS, DECISION_MARKERS
 from parchment.functions.text import CUT, is_blank, nvl, trim, truncate
 
+# Fixed values.
 HEADER = "\n\n===== 文件：{} · {} =====\n"
 EVIDENCE_HEADER = "\n\n=== {} ===\n"
 REVIEW, REVIEW_LEAST, REVIEW_MOST = 14_000, 1_200, 5_000
 
 
 def review_shares(docs: DataFrame, budget: int = REVIEW, least: int = REVIEW_LEAST, most: int = REVIEW_MOST) -> DataFrame:
-    """How much of each document (project_id, id, file_key, file_name, text_content) goes into a review, in order of ids.
+    """How much of each document (project_id, id, place, file_key, file_name, text_content) goes into a review, in order of
+    places and ids; nth is its number there.
 
     Each document may use its part of what is left, between `least` and `most`; header and cut mark count as well; once
     nothing is left the rest is out. Only ids and lengths are folded, one array for each project; a fold by its nature
@@ -28,12 +30,12 @@ def review_shares(docs: DataFrame, budget: int = REVIEW, least: int = REVIEW_LEA
         (F.length(nvl(F.col("file_key"))) + F.length(nvl(F.col("file_name"))) + len(HEADER.format("", ""))).alias("head"),
     )
     total = docs.groupBy("project_id").agg(F.count("*").alias("total"))
-    place = docs.select("project_id", "id", F.row_number().over(W.partitionBy("project_id").orderBy("id")).alias("nth"))
+    place = docs.select("project_id", "id", F.row_number().over(W.partitionBy("project_id").orderBy("place", "id")).alias("nth"))
     # a document takes one character and a header at least, so no more than `budget` of them can matter
     first = place.where(F.col("nth") <= budget)
     items = lengths.join(first, ["project_id", "id"])
     listed = items.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "n", "head"))).alias("_docs")).join(total, "project_id")
-    seed = F.struct(F.lit(budget).alias("left"), F.array().cast("array<struct<id:bigint,used:int,cut:boolean>>").alias("out"))
+    seed = F.struct(F.lit(budget).alias("left"), F.array().cast("array<struct<nth:int,id:bigint,used:int,cut:boolean>>").alias("out"))
 
     def step(acc: Column, d: Column) -> Column:
         share = F.floor(acc["left"] / F.greatest(F.lit(1), F.col("total") - (d["nth"] - 1))).cast("int")
@@ -41,7 +43,7 @@ def review_shares(docs: DataFrame, budget: int = REVIEW, least: int = REVIEW_LEA
         used = F.least(d["n"], allow)
         cut = d["n"] > allow
         spent = used + d["head"] + F.when(cut, F.lit(len(CUT))).otherwise(0)
-        entry = F.struct(d["id"].cast("bigint").alias("id"), used.cast("int").alias("used"), cut.alias("cut"))
+        entry = F.struct(d["nth"].cast("int").alias("nth"), d["id"].cast("bigint").alias("id"), used.cast("int").alias("used"), cut.alias("cut"))
         return F.when(acc["left"] <= 0, acc).otherwise(F.struct((acc["left"] - spent).cast("int").alias("left"), F.array_append(acc["out"], entry).alias("out")))
 
     return listed.select("project_id", F.inline(F.aggregate("_docs", seed, step)["out"]))
@@ -92,10 +94,10 @@ def marker_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", marke
     return merged_spans(rows, [key])
 
 
-def focused(docs: DataFrame, budget: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+def focused(docs: DataFrame, budget: int, text: str = "text", key: str = "doc_id", markers: list[str] | None = None) -> DataFrame:
     """Each text cut to what stands around its markers, or to its beginning if it has none."""
     gap = "\n……（未命中决策线索的正文省略）……\n"
-    spans = marker_spans(docs, text, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = marker_spans(docs, text, key, markers).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     joined = docs.join(spans, key, "left")
     pieces = F.array_join(F.transform("_spans", lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])), gap)
     return joined.withColumn("focused", trim(F.when(F.col("_spans").isNull(), truncate(F.col(text), budget, CUT)).otherwise(F.substring(pieces, 1, budget)))).drop("_spans")

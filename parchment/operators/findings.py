@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,8 +45,8 @@ def cap(rows: DataFrame, project: str, order: str, group: str = "risk", most: in
 
 
 def accept(records: DataFrame, most: int = MAX_RISK) -> DataFrame:
-    """A model's findings (project_id, pos, types, refs, location, title, quote, scope, severity, file_key, bucket_key, expected)
-    as they are kept: blank types go, repeats go, classes and enumerations are settled, risks are capped, codes run on."""
+    """A model's findings (project_id, pos, types, refs, location, title, quote, scope, severity, file_key, bucket_key, expected,
+    page_no) as they are kept: blank types go, repeats go, classes and enumerations are settled, risks are capped, codes run on."""
     typed = records.where(~is_blank(F.col("types"))).withColumn("dedupe_key", dedupe_key(*map(F.col, ("types", "refs", "location", "title", "quote"))))
     single = first_wins(typed, ["project_id", "dedupe_key"], "pos").withColumn("group_key", naming.group_of(F.col("types")))
     kept = numbered(cap(single, "project_id", "pos", most=most).where("NOT over_cap").drop("over_cap"), "project_id", "pos")
@@ -65,6 +65,7 @@ def accept(records: DataFrame, most: int = MAX_RISK) -> DataFrame:
         truncate(F.col("refs"), 500).alias("refs"),
         truncate(F.col("location"), 500).alias("location"),
         truncate(F.col("expected"), 500).alias("expected"),
+        "page_no",
     )
 
 
@@ -84,6 +85,11 @@ def metrics(findings: DataFrame) -> DataFrame:
     return findings.groupBy("project_id").agg(*counts, F.count("*").alias("total"), F.count_if(F.col("scope") == "inter").alias("cross_file"))
 
 
+def count_of(group: Column) -> Column:
+    """The count of a row's group among the columns of metrics()."""
+    return F.coalesce(*[F.when(group == g, F.col(g)) for g in naming.GROUPS])
+
+
 def report_rows(findings: DataFrame) -> DataFrame:
     """Findings in order of their codes with `header`: true where the group differs from the one before."""
     before = F.lag("group_key").over(W.partitionBy("project_id").orderBy("code"))

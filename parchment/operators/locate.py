@@ -6,51 +6,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parchment.functions.text import excerpt, find_loose, page_at
+from parchment.functions.text import excerpt, find_loose, is_blank, page_at, trim
 
 
 def _flat(c: Column) -> Column:
     return F.regexp_replace(c, r"\p{javaWhitespace}+", "")
 
 
+#: Needles of a project or file that meet a text together.
+TOGETHER = 256
+
+
 def _hits(findings: DataFrame, docs: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """findings (finding_id, needles, *on) against docs (doc_id, text, *on): needles of findings, and where documents hold them.
+    """findings (finding_id, needles, *on) against docs (doc_id, place, text, *on): needles of findings, and which documents hold them.
 
-    Each distinct needle of a project or file is looked for once, whoever asks for it; only texts that hold its characters,
-    white space aside, are searched for its place.
+    Each distinct needle of a project or file is looked for once, whoever asks for it. Needles meet a text in lists of
+    bounded size, so a text is copied once for each list, not for each needle. What leaves a row are the needles that the
+    text holds; where they stand is asked of those alone that a finding ends with. (An outer generator: Spark would compute
+    the array of another one a second time, for a filter on its size.)
     """
-    asked = findings.select("finding_id", *on, F.posexplode("needles").alias("needle_pos", "needle"))
+    asked = findings.select("finding_id", *on, F.posexplode("needles").alias("needle_pos", "needle")).where(~is_blank(F.col("needle")))
     distinct = asked.select(*on, "needle").distinct().withColumn("_n", _flat(F.col("needle")))
-    flat = docs.select("doc_id", *on, "text", _flat(F.col("text")).alias("_t")).withColumns({"_lower": F.lower("_t"), "_upper": F.upper("_t")}).drop("_t")
-    maybe = F.contains("_lower", F.lower("_n")) | F.contains("_upper", F.upper("_n"))
-    held = flat.join(distinct, on).where(maybe).select(*on, "needle", "doc_id", find_loose(F.col("text"), F.col("needle")).alias("index"))
-    return asked, held.where(F.col("index") >= 0)
+    sizes = distinct.groupBy(*on).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_lists"))
+    one = F.struct("needle", F.lower(trim(F.col("needle"))).alias("as_is"), F.lower("_n").alias("lower"), F.upper("_n").alias("upper"), _odd(F.col("_n")).alias("odd"))
+    lists = distinct.join(sizes, on).groupBy(*on, F.pmod(F.xxhash64("needle"), "_lists").alias("_list")).agg(F.collect_list(one).alias("_needles"))
+    flat = docs.select("doc_id", "place", *on, "text", _flat(F.col("text")).alias("_t"))
+    flat = flat.withColumns({"_as_is": F.lower("text"), "_lower": F.lower("_t"), "_upper": F.upper("_t"), "_odd": _odd(F.col("_t"))}).drop("_t")
+    # white space aside, then as it is, then as find_loose() takes white space
+    same = lambda n: F.contains(F.col("_lower"), n["lower"]) | ((F.col("_odd") | n["odd"]) & F.contains(F.col("_upper"), n["upper"]))
+    holds = lambda n: same(n) & (F.contains(F.col("_as_is"), n["as_is"]) | (find_loose(F.col("text"), n["needle"]) >= 0))
+    found = F.transform(F.filter("_needles", holds), lambda n: n["needle"])
+    held = flat.join(lists, on).select(*on, "doc_id", "place", F.explode_outer(found).alias("needle")).where(F.col("needle").isNotNull())
+    return asked, held
+
+
+def _odd(c: Column) -> Column:
+    """Whether letters are there that small and capital letters don't turn into each other."""
+    return F.coalesce(F.lower(F.upper(c)) != F.lower(c), F.lit(False))
 
 
 def _shown(places: DataFrame, docs: DataFrame, on: list[str]) -> DataFrame:
-    """places with the page and what stands around."""
+    """places with the index, the page and what stands around."""
     text, index = F.col("text"), F.col("index")
-    joined = places.join(docs.select("doc_id", *on, "text"), ["doc_id", *on])
-    return joined.withColumn("page", page_at(text, index)).withColumn("excerpt", excerpt(text, index)).drop("text")
+    joined = places.join(docs.select("doc_id", *on, "text"), ["doc_id", *on]).withColumn("index", find_loose(text, F.col("needle")))
+    return joined.withColumn("page", page_at(text, index)).withColumn("excerpt", excerpt(text, index)).drop("text", "needle")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs if "place" in docs.columns else docs.withColumn("place", F.lit(0))
 
 
 def first_place(findings: DataFrame, docs: DataFrame, on: list[str]) -> DataFrame:
-    """One place for each finding: the earliest needle that any document holds, in the document of least id."""
-    asked, held = _hits(findings, docs, on)
-    least = held.groupBy(*on, "needle").agg(F.min(F.struct("doc_id", "index")).alias("_at"))
-    own = asked.join(least, [*on, "needle"]).groupBy("finding_id", *on).agg(F.min(F.struct("needle_pos", "_at.doc_id", "_at.index")).alias("_row"))
+    """One place for each finding: the earliest needle that any document holds, in the document of least place (if docs have
+    that column) and id."""
+    asked, held = _hits(findings, _placed(docs), on)
+    least = held.groupBy(*on, "needle").agg(F.min(F.struct("place", "doc_id")).alias("_at"))
+    own = asked.join(least, [*on, "needle"]).groupBy("finding_id", *on).agg(F.min(F.struct("needle_pos", "_at.doc_id", "needle")).alias("_row"))
     return _shown(own.select("finding_id", *on, "_row.*"), docs, on).drop(*on)
 
 
 def first_documents(findings: DataFrame, docs: DataFrame, on: list[str], most: int = 3) -> DataFrame:
-    """The first documents, by id, that hold any needle; each with its place.
+    """The first documents, by place and id, that hold any needle; each with its place in the text.
 
     A document that is among a finding's first is among the first of each needle that it holds, so no more are kept.
     """
-    asked, held = _hits(findings, docs, on)
-    few = held.withColumn("_k", F.row_number().over(W.partitionBy(*on, "needle").orderBy("doc_id"))).where(F.col("_k") <= most).drop("_k")
-    each = asked.join(few, [*on, "needle"]).groupBy("finding_id", "doc_id", *on).agg(F.min(F.struct("needle_pos", "index")).alias("_row"))
-    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("finding_id").orderBy("doc_id"))).where(F.col("rank") <= most)
+    asked, held = _hits(findings, _placed(docs), on)
+    few = held.withColumn("_k", F.row_number().over(W.partitionBy(*on, "needle").orderBy("place", "doc_id"))).where(F.col("_k") <= most).drop("_k")
+    each = asked.join(few, [*on, "needle"]).groupBy("finding_id", "doc_id", "place", *on).agg(F.min(F.struct("needle_pos", "needle")).alias("_row"))
+    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("finding_id").orderBy("place", "doc_id"))).where(F.col("rank") <= most)
     return _shown(ranked.select("finding_id", "doc_id", "rank", *on, "_row.*"), docs, on).drop(*on)
 
 

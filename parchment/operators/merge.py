@@ -86,7 +86,8 @@ def progress(variables: DataFrame, documents: DataFrame, generated: DataFrame) -
 
 
 def next_sort_order(variables: DataFrame) -> DataFrame:
-    return variables.groupBy("project_id").agg((F.coalesce(F.max("sort_order"), F.lit(-1)) + 1).alias("next_order"))
+    """For each project the place behind its last variable; one without a place counts as at 0."""
+    return variables.groupBy("project_id").agg((F.greatest(F.max(F.coalesce("sort_order", F.lit(0))), F.lit(0)) + 1).alias("next_order"))
 
 
 def parse_summary(docs: DataFrame) -> DataFrame:

@@ -56,9 +56,10 @@ def complete_json(prompts: DataFrame, provider: Chat, prompt: str = "prompt", re
                     try:
                         raw = provider(f"{asked}{JSON_ONLY}")
                         answer, error = first_value(raw), None
-                        if answer:
-                            break
-                        error = "5002: no JSON in the answer"
+                        json.loads(answer or "")
+                        break
+                    except ValueError:
+                        answer, error = None, "5002: no JSON in the answer"
                     except OSError as e:
                         error = f"5002: {e}"
                     if turn < retries:

@@ -33,7 +33,8 @@ def longest_per_key(docs: DataFrame) -> DataFrame:
 
 
 def reviewable(docs: DataFrame) -> DataFrame:
-    """The first tier that a project has: its package; known files; whatever is neither supplement nor input; all. Adds tier, rank."""
+    """The first tier that a project has: its package; known files; whatever is neither supplement nor input; all. Adds tier,
+    rank, and place: documents are read in order of place and id, as one of each key is taken and ranked in two tiers only."""
     base = readable(docs)
     category = F.col("category")
     tier = F.when(category == "VETTING_PACKAGE", 1).when(F.col("file_key").isin(FILE_ORDER), 2).when(~category.isin("VETTING_SUPPLEMENT", "PROJECT_INPUT"), 3).otherwise(4)
@@ -44,7 +45,8 @@ def reviewable(docs: DataFrame) -> DataFrame:
     held = held.where(F.coalesce(fits, F.lit(False)))
     every = held.where(F.col("tier").isin(1, 4))
     single = longest_per_key(held.where(F.col("tier").isin(2, 3)))
-    return every.unionByName(single).withColumn("rank", rank(F.col("file_key")))
+    ranked = every.unionByName(single).withColumn("rank", rank(F.col("file_key")))
+    return ranked.withColumn("place", F.when(F.col("tier").isin(2, 3), F.col("rank")).otherwise(0))
 
 
 def listed_files(docs: DataFrame) -> DataFrame:
@@ -58,6 +60,15 @@ def listed_files(docs: DataFrame) -> DataFrame:
     return both.select("project_id", "list_key", "id", rank(F.col("list_key")).alias("rank"), generated.alias("generated"), ((F.col("parse_status") == "PARSED") | generated).alias("parsed"), F.coalesce("page_count", F.lit(0)).alias("page_count"))
 
 
+def placeholders(projects: DataFrame, files: DataFrame) -> DataFrame:
+    """A row for each project and each of a fixed list of files (file_key, file_name, role) that is still to come: the list, of
+    bounded size, goes into every project's row."""
+    listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("file_key", "file_name", "role")]) for r in files.collect()])
+    rows = projects.select("project_id").distinct().select("project_id", F.inline(listed))
+    made = F.when(F.col("file_key").isin(TEMPLATE_KEYS), "GENERATED").otherwise("PENDING")
+    return rows.select("project_id", F.lit("VETTING_SUPPLEMENT").alias("category"), "file_key", "file_name", made.alias("parse_status"), F.col("role").alias("parse_message"), F.lit(0).cast("bigint").alias("size_bytes"), F.lit(0).alias("page_count"), F.lit(False).alias("ocr_used"))
+
+
 def with_defaults(keys: DataFrame, docs: DataFrame, on: list[str]) -> DataFrame:
     """Every key with its last document, or none."""
     rest = [c for c in docs.columns if c not in on]

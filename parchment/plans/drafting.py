@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions import naming
-from parchment.functions.text import is_blank, sanitize_key, truncate
-from parchment.operators import merge, report
+from parchment.functions.text import is_blank, sanitize_key, trim, truncate
+from parchment.operators import findings, merge, report
 
 CONFIDENCE = 0.70
 VALUES = ["value_text", "choice", "source_ref", "label", "action", "affects", "kind", "file_key", "sort_order", "scope"]
 
 
+def named(records: DataFrame) -> DataFrame:
+    """records (project_id, pos, key) with var_key: the key's allowed characters, or a running number of those without any."""
+    key = sanitize_key(F.col("key"))
+    keyed = records.withColumn("var_key", key)
+    blank = findings.numbered(keyed.where(is_blank(key)), "project_id", "pos", to="_nth")
+    return keyed.where(~is_blank(key)).unionByName(blank.withColumn("var_key", F.format_string("VAR-%02d", "_nth")).drop("_nth"))
+
+
 def cleaned(records: DataFrame) -> DataFrame:
     """A model's records (project_id, pos, key, scope, file_key, label, action, options, affects, value, source, confidence)
     with settled keys; unsure file variables and invented base ones are gone, a later record of a key wins."""
     spec = records.sparkSession.createDataFrame([(k, i, label, action, options, kind, affects) for i, (k, label, action, options, kind, affects) in enumerate(naming.BASE_VARIABLES)], "base_key string, base_pos int, base_label string, base_action string, base_options array<string>, base_kind string, base_affects string")
-    key = sanitize_key(F.col("key"))
-    blank = F.sum(F.when(is_blank(key), 1).otherwise(0)).over(W.partitionBy("project_id").orderBy("pos"))
-    r = records.withColumn("var_key", F.when(is_blank(key), F.format_string("VAR-%02d", blank)).otherwise(key))
+    r = named(records)
     r = r.join(F.broadcast(spec), F.lower("var_key") == F.lower("base_key"), "left")
     known = F.col("base_key").isNotNull()
     r = r.where((F.coalesce("confidence", F.lit(0.8)) >= CONFIDENCE) | known).where(~(F.coalesce(F.col("scope"), F.lit("")) == "BASE") | known)
@@ -28,7 +33,8 @@ def cleaned(records: DataFrame) -> DataFrame:
     r = r.groupBy("project_id", "var_key").agg(F.max_by(F.struct(*own), "pos").alias("_r")).select("project_id", "var_key", "_r.*")
     value = F.when(known, naming.normalize_choice(F.col("value"), F.col("base_options"))).otherwise(F.col("value"))
     options = F.when(known, F.col("base_options")).otherwise(F.col("options"))
-    nth = F.row_number().over(W.partitionBy("project_id", known).orderBy("pos")) - 1
+    own_places = findings.numbered(r.where(~known).select("project_id", "pos"), "project_id", "pos", to="_nth")
+    r = r.join(own_places, ["project_id", "pos"], "left")
     return r.select(
         "project_id",
         "var_key",
@@ -39,8 +45,8 @@ def cleaned(records: DataFrame) -> DataFrame:
         F.coalesce("base_action", F.when(F.col("action").isin(naming.ACTIONS), F.col("action")), F.lit("fill")).alias("action"),
         F.coalesce("base_affects", naming.sanitize_affects(F.col("affects"))).alias("affects"),
         F.col("base_kind").alias("kind"),
-        naming.file_key(F.col("file_key"), naming.TEMPLATE_KEYS).alias("file_key"),
-        F.when(known, F.col("base_pos")).otherwise(1000 + nth).alias("sort_order"),
+        naming.file_key(trim(F.col("file_key")), naming.TEMPLATE_KEYS).alias("file_key"),
+        F.when(known, F.col("base_pos")).otherwise(1000 + F.col("_nth") - 1).alias("sort_order"),
         F.when(known, "BASE").otherwise("FILE").alias("scope"),
     )
 

@@ -1,35 +1,81 @@
-"""The review of a project's documents: what is sent, what comes back, where it stands."""
+"""The review of a project's documents: what is sent, what comes back, where it stands, and how it is read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.functions.text import CUT, needles_of, nvl
-from parchment.operators import budget, findings, locate, sourceset
+from parchment.functions.text import CUT, is_blank, needles, needles_of, nvl
+from parchment.operators import budget, findings, locate, search, sourceset
+
+UNVERIFIED = "unverified"
+#: What a keyword is looked for in.
+SEARCHED = ["code", "title", "body", "refs", "location", "expected", "quote", "types", "file_key", "page_no"]
 
 
 def payload(docs: DataFrame) -> DataFrame:
-    """For each project the text that is sent: its reviewable documents, cut to the budget, in order."""
+    """For each project the text that is sent: its reviewable documents, cut to the budget, in their order."""
     read = sourceset.reviewable(docs)
-    shares = budget.review_shares(read)
-    parts = read.join(shares, ["project_id", "id"])
+    parts = read.join(budget.review_shares(read), ["project_id", "id"])
     body = F.concat(F.lit("\n\n===== 文件："), nvl(F.col("file_key")), F.lit(" · "), nvl(F.col("file_name")), F.lit(" =====\n"), F.expr("substring(text_content, 1, used)"), F.when(F.col("cut"), F.lit(CUT)).otherwise(""))
-    return parts.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", body.alias("b")))), lambda x: x["b"]), "").alias("payload"))
+    return parts.groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", body.alias("b")))), lambda x: x["b"]), "").alias("payload"))
 
 
 def run(records: DataFrame, docs: DataFrame) -> DataFrame:
-    """A model's records as findings with the place where the project's documents hold what they quote.
+    """A model's records as findings with the place where the documents that it was sent hold what they quote.
 
-    A finding of a known file is looked for in that file's documents, another in all of the project's.
+    The quote is looked for first, then location and references; in the documents of the finding's file, or in all of the
+    project's if it names none; in the order in which they were sent. A place's page counts, else the page that the
+    model gave, else the first.
     """
-    kept = findings.accept(records)
-    needles = needles_of(F.lit(None).cast("string"), F.col("location"), F.col("refs"))
-    asked = kept.select(F.concat_ws("/", "project_id", "code").alias("finding_id"), "project_id", "file_key", needles.alias("needles"))
-    texts = sourceset.readable(docs).select(F.col("id").alias("doc_id"), "project_id", F.col("text_content").alias("text"), "file_key")
+    kept = findings.accept(records).withColumn("finding_id", F.concat_ws("/", "project_id", "code"))
+    asked = kept.select("finding_id", "project_id", "file_key", needles_of(F.col("quote"), F.col("location"), F.col("refs")).alias("needles"))
+    texts = sourceset.reviewable(docs).select(F.col("id").alias("doc_id"), "place", "project_id", F.col("text_content").alias("text"), "file_key")
     own = locate.first_place(asked.where("file_key IS NOT NULL"), texts, ["project_id", "file_key"])
     rest = locate.first_place(asked.where("file_key IS NULL").drop("file_key"), texts.drop("file_key"), ["project_id"])
-    placed = kept.withColumn("finding_id", F.concat_ws("/", "project_id", "code")).join(own.unionByName(rest), "finding_id", "left")
-    page = F.coalesce("page", F.lit("P1"))
-    evidence = F.when(F.col("doc_id").isNull(), "unverified").otherwise(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"), F.lit(":"), nvl(F.col("page"))))
-    return placed.select(*kept.columns, evidence.alias("evidence_id"), page.alias("page_no"))
+    placed = kept.join(own.unionByName(rest), "finding_id", "left")
+    given = F.when(is_blank(F.col("page_no")), "P1").otherwise(F.col("page_no"))
+    evidence = F.when(F.col("doc_id").isNull(), UNVERIFIED).otherwise(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"), F.lit(":"), nvl(F.col("page"))))
+    columns = [c for c in kept.columns if c not in ("finding_id", "page_no")]
+    return placed.select(*columns, evidence.alias("evidence_id"), F.coalesce("page", given).alias("page_no"), F.lit("Open").alias("status"))
+
+
+def summary(found: DataFrame, records: DataFrame) -> DataFrame:
+    """For each project what a run says of itself: rows said, blank, repeated and over the cap, findings kept, not verified."""
+    kept = found.groupBy("project_id").agg(F.count("*").alias("kept"), F.count_if(F.col("evidence_id") == UNVERIFIED).alias("unverified"))
+    return findings.run_counts(records).join(kept, "project_id", "left").na.fill(0, ["kept", "unverified"])
+
+
+def listed(found: DataFrame, word: str = "", group: str | None = None, scope: str | None = None, file_key: str | None = None, page: str | None = None) -> DataFrame:
+    """Findings that all facets and the keyword hold for; read them in order of project_id and code."""
+    facets = search.facets(group_key=group, scope=scope, file_key=file_key, page_no=page)
+    return found.where(facets & search.keyword(word, [c for c in SEARCHED if c in found.columns]))
+
+
+def evidence(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Up to three places for each finding: the first documents of its file (of the project, if it names none) that have a text
+    and hold one of its needles. A finding without one has no row."""
+    asked = found.select(F.concat_ws("/", "project_id", "code").alias("finding_id"), "project_id", F.upper("file_key").alias("file_key"), needles(F.col("quote"), F.col("location"), F.col("refs"), F.col("expected")).alias("needles"))
+    texts = docs.where(~is_blank(F.col("text_content"))).select(F.col("id").alias("doc_id"), "project_id", F.col("text_content").alias("text"), F.upper("file_key").alias("file_key"), F.concat(nvl(F.col("file_key")), F.lit(" · "), nvl(F.col("file_name"))).alias("label"))
+    named = ~is_blank(F.col("file_key"))
+    own = locate.first_documents(asked.where(named), texts.drop("label"), ["project_id", "file_key"])
+    rest = locate.first_documents(asked.where(~F.coalesce(named, F.lit(False))).drop("file_key"), texts.drop("file_key", "label"), ["project_id"])
+    return own.unionByName(rest).join(texts.select("doc_id", "label"), "doc_id").select("finding_id", "rank", "doc_id", "label", "page", "excerpt")
+
+
+def document_of(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """project_id, code, document_id, file_name, page: the document that a finding's evidence id ('doc:id:page') names."""
+    parts = F.split("evidence_id", ":")
+    named = found.where(F.startswith("evidence_id", F.lit("doc:"))).select("project_id", "code", F.get(parts, F.lit(1)).cast("bigint").alias("document_id"), F.get(parts, F.lit(2)).alias("page"))
+    return named.join(docs.select(F.col("id").alias("document_id"), "project_id", "file_name"), ["project_id", "document_id"])
+
+
+def export(found: DataFrame) -> DataFrame:
+    """A report's rows in order of their numbers: for each project a cover with its counts, a header for each run of a group,
+    and a card for each finding."""
+    counts = findings.metrics(found)
+    cover = counts.select("project_id", F.lit("").alias("code"), F.lit(0).alias("part"), F.lit("cover").alias("kind"), F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("reference", "conflict", "language", "risk", "total", "cross_file")]).alias("said"))
+    rows = findings.report_rows(found)
+    header = rows.where("header").join(counts, "project_id").select("project_id", "code", F.lit(1).alias("part"), F.lit("header").alias("kind"), F.concat("group_key", F.lit(" "), findings.count_of(F.col("group_key")).cast("string")).alias("said"))
+    card = rows.select("project_id", "code", F.lit(2).alias("part"), F.lit("card").alias("kind"), F.concat_ws(" | ", "code", "severity", "location", "refs", "title", "page_no").alias("said"))
+    return cover.unionByName(header).unionByName(card)

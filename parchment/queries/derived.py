@@ -23,7 +23,14 @@ FILE_NAMES = [
     "letter.eml",
     "minutes.msg",
 ]
-CATEGORIES = ["STANDARD_TEMPLATE", "PROJECT_INPUT", "VETTING_PACKAGE", "VETTING_SUPPLEMENT"]
+PLAIN_NAMES = ["memo.txt", "letter.eml", "minutes.msg", "scan.tif"]
+#: By the number in a project's name: one with packages, two with neither packages nor known files, one of inputs only.
+CATEGORIES = [
+    ["STANDARD_TEMPLATE", "PROJECT_INPUT", "VETTING_PACKAGE", "VETTING_SUPPLEMENT"],
+    ["STANDARD_TEMPLATE", "PROJECT_INPUT", "PROJECT_INPUT", "VETTING_SUPPLEMENT"],
+    ["STANDARD_TEMPLATE", "PROJECT_INPUT", "PROJECT_INPUT", "VETTING_SUPPLEMENT"],
+    ["PROJECT_INPUT", "PROJECT_INPUT", "VETTING_SUPPLEMENT", "VETTING_SUPPLEMENT"],
+]
 TYPES = ["f2-i", "f2-ii", "f2-iii,f2-v", "f2-iv", " f2-v", "f2-vi,f2-ii", "f2-vii", "f2-viii", "f2-ix", " "]
 
 
@@ -39,55 +46,70 @@ def sql_one_of(values: list, index: str) -> str:
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + f"][CAST({index} AS INTEGER) + 1]"
 
 
+def _names(i, j, shape):
+    return F.when(shape < 2, one_of(FILE_NAMES, (i + j) % 14)).otherwise(one_of(PLAIN_NAMES, j % 4))
+
+
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source_document: a project is a source."""
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    j = F.floor(i / 20)
+    shape = F.coalesce(F.regexp_extract("source", "([0-9]+)", 1).try_cast("int"), F.lit(0)) % 4
+    category = one_of(CATEGORIES[0], j % 4)
+    for n in (1, 2, 3):
+        category = F.when(shape == n, one_of(CATEGORIES[n], j % 4)).otherwise(category)
     rows = d.select(
         i.alias("id"),
         F.col("source").alias("project_id"),
-        one_of(CATEGORIES, i % 4).alias("category"),
-        one_of(FILE_NAMES, i % 14).alias("file_name"),
-        F.when(i % 7 == 0, "FAILED").when(i % 7 == 1, "PENDING").otherwise("PARSED").alias("parse_status"),
+        category.alias("category"),
+        _names(i, j, shape).alias("file_name"),
+        F.when(j % 7 == 1, "FAILED").when(j % 7 == 2, "PENDING").otherwise("PARSED").alias("parse_status"),
         (1 + i % 12).cast("int").alias("page_count"),
-        F.when(i % 11 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("text_content"),
+        F.when(j % 11 == 5, F.lit(" \n")).otherwise(F.col("text")).alias("text_content"),
     )
     return rows.withColumn("file_key", match_file_key(F.col("file_name")))
 
 
 _KEY = "CASE " + " ".join(f"WHEN contains(upper(file_name), '{k}') THEN '{k}'" for k in ("NTT", "SCT", "SCC", "GCT", "FT", "AA", "GCC", "SL", "PRE")) + " WHEN contains(upper(file_name), 'TENDERER') THEN 'NTT' WHEN contains(upper(file_name), 'SPECIFICATION') THEN 'SL' END"
-SOURCE_DOCUMENTS = f"""sd AS (SELECT *, {_KEY} AS file_key FROM (SELECT doc_id AS id, source AS project_id, {sql_one_of(CATEGORIES, 'doc_id % 4')} AS category,
-  {sql_one_of(FILE_NAMES, 'doc_id % 14')} AS file_name, CASE WHEN doc_id % 7 = 0 THEN 'FAILED' WHEN doc_id % 7 = 1 THEN 'PENDING' ELSE 'PARSED' END AS parse_status,
-  CAST(1 + doc_id % 12 AS INTEGER) AS page_count, CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(10) ELSE text END AS text_content FROM documents))"""
+_SHAPED = "(SELECT *, doc_id // 20 AS j, coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER), 0) % 4 AS shape FROM documents)"
+_FILE_NAME = f"CASE WHEN shape < 2 THEN {sql_one_of(FILE_NAMES, '(doc_id + j) % 14')} ELSE {sql_one_of(PLAIN_NAMES, 'j % 4')} END"
+SOURCE_DOCUMENTS = f"""sd AS (SELECT *, {_KEY} AS file_key FROM (SELECT doc_id AS id, source AS project_id,
+  CASE shape WHEN 0 THEN {sql_one_of(CATEGORIES[0], 'j % 4')} WHEN 3 THEN {sql_one_of(CATEGORIES[3], 'j % 4')} ELSE {sql_one_of(CATEGORIES[1], 'j % 4')} END AS category,
+  {_FILE_NAME} AS file_name, CASE WHEN j % 7 = 1 THEN 'FAILED' WHEN j % 7 = 2 THEN 'PENDING' ELSE 'PARSED' END AS parse_status,
+  CAST(1 + doc_id % 12 AS INTEGER) AS page_count, CASE WHEN j % 11 = 5 THEN ' ' || chr(10) ELSE text END AS text_content FROM {_SHAPED}))"""
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a model's review findings, in order of doc_id; titles of equal beginnings repeat."""
+    """documents as a model's review findings, in order of doc_id: the title is a text's first line, the quote stands in its
+    middle, most name the document's own file."""
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    return d.select(
+    own = source_documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.lower("file_key").alias("own"))
+    return d.join(own, "doc_id").select(
         F.col("source").alias("project_id"),
         i.alias("pos"),
-        one_of(TYPES, i % 10).alias("types"),
+        one_of(TYPES, F.floor(i / 20) % 10).alias("types"),
         F.concat(F.lit("NTT 3(b) → SCT"), (i % 6).cast("string")).alias("refs"),
         F.concat(F.lit("SCC "), (i % 3).cast("string"), F.lit(".1")).alias("location"),
-        F.substring("text", 1, 2).alias("title"),
-        F.substring(F.col("lang"), 1, 200).alias("quote"),
+        F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
+        F.substring(F.col("text"), F.floor(F.length("text") / 2).cast("int") + 1, F.lit(60)).alias("quote"),
         one_of(["intra", "inter", None], i % 3).alias("scope"),
         one_of(["HIGH", "low", "odd", None], i % 4).alias("severity"),
-        one_of(["ntt", "SCT", "zzz", None, "gcc"], i % 5).alias("file_key"),
+        F.when(i % 5 == 2, " ntt ").when(i % 5 == 3, "zzz").when(i % 5 != 4, F.col("own")).alias("file_key"),
         one_of([" own ", "", None], i % 3).alias("bucket_key"),
         F.col("lang").alias("expected"),
+        one_of(["P2", "", None], F.floor(i / 20) % 3).alias("page_no"),
     )
 
 
-RECORDS = f"""rec AS (SELECT source AS project_id, doc_id AS pos, {sql_one_of(TYPES, 'doc_id % 10')} AS types, 'NTT 3(b) → SCT' || (doc_id % 6) AS refs,
-  'SCC ' || (doc_id % 3) || '.1' AS location, substr(text, 1, 2) AS title, substr(lang, 1, 200) AS quote, {sql_one_of(['intra', 'inter', None], 'doc_id % 3')} AS scope,
-  {sql_one_of(['HIGH', 'low', 'odd', None], 'doc_id % 4')} AS severity, {sql_one_of(['ntt', 'SCT', 'zzz', None, 'gcc'], 'doc_id % 5')} AS file_key,
-  {sql_one_of([' own ', '', None], 'doc_id % 3')} AS bucket_key, lang AS expected FROM documents)"""
+RECORDS = f"""rec AS (SELECT source AS project_id, doc_id AS pos, {sql_one_of(TYPES, 'j % 10')} AS types, 'NTT 3(b) → SCT' || (doc_id % 6) AS refs,
+  'SCC ' || (doc_id % 3) || '.1' AS location, string_split(text, chr(10))[1] AS title, substr(text, CAST(length(text) // 2 AS BIGINT) + 1, 60) AS quote, {sql_one_of(['intra', 'inter', None], 'doc_id % 3')} AS scope,
+  {sql_one_of(['HIGH', 'low', 'odd', None], 'doc_id % 4')} AS severity, CASE doc_id % 5 WHEN 2 THEN ' ntt ' WHEN 3 THEN 'zzz' WHEN 4 THEN NULL ELSE lower({_KEY}) END AS file_key,
+  {sql_one_of([' own ', '', None], 'doc_id % 3')} AS bucket_key, lang AS expected, {sql_one_of(['P2', '', None], 'j % 3')} AS page_no FROM (SELECT *, {_FILE_NAME} AS file_name FROM {_SHAPED}))"""
 GROUP = "CASE " + " ".join(f"WHEN list_contains(ts, '{t}') THEN '{g}'" for t, g in (("f2-iii", "reference"), ("f2-iv", "reference"), ("f2-i", "conflict"), ("f2-vi", "conflict"), ("f2-viii", "conflict"), ("f2-ix", "language"), ("f2-v", "language"))) + " ELSE 'risk' END"
 #: typed: not blank, with its key; single: first of each; kept: under the cap, numbered.
 ACCEPTED = (
     RECORDS
-    + r""", typed AS (SELECT *, regexp_replace(lower(types || '|' || refs || '|' || location || '|' || title || '|' || substr(quote, 1, 120)), '\s+', '', 'g') AS dk,
+    + r""", typed AS (SELECT *, regexp_replace(lower(types || '|' || refs || '|' || location || '|' || title || '|' || substr(quote, 1, 120)), '[\s\x0B]+', '', 'g') AS dk,
   list_transform(string_split(types, ','), lambda x: trim(x)) AS ts FROM rec WHERE trim(types) <> ''),
 single AS (SELECT *, """
     + GROUP
@@ -98,7 +120,7 @@ accepted AS (SELECT project_id, pos, 'VT-' || CASE WHEN nth < 1000 THEN lpad(CAS
   CASE WHEN scope = 'intra' THEN 'intra' ELSE 'inter' END AS scope, CASE WHEN lower(severity) IN ('high', 'medium', 'low') THEN lower(severity) ELSE 'medium' END AS severity,
   CASE WHEN upper(file_key) IN ('NTT', 'SCT', 'SCC', 'GCT', 'FT', 'AA', 'GCC', 'SL', 'PRE') THEN upper(file_key) END AS file_key,
   CASE WHEN trim(coalesce(bucket_key, '')) <> '' THEN trim(bucket_key) WHEN group_key = 'reference' THEN 'missing' WHEN group_key = 'language' THEN 'grammar' WHEN group_key = 'conflict' THEN 'particulars' ELSE 'scope' END AS bucket_key,
-  title, substr(quote, 1, 480) AS quote, substr(refs, 1, 500) AS refs, substr(location, 1, 500) AS location, substr(expected, 1, 500) AS expected FROM kept)"""
+  title, substr(quote, 1, 480) AS quote, substr(refs, 1, 500) AS refs, substr(location, 1, 500) AS location, substr(expected, 1, 500) AS expected, page_no FROM kept)"""
 )
 
 

@@ -55,10 +55,15 @@ def vector_counts(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT label, vec_id, round(list_aggregate(CAST(embedding AS DOUBLE[]), 'min'), 6) AS x, round(list_aggregate(CAST(embedding AS DOUBLE[]), 'max') - list_aggregate(CAST(embedding AS DOUBLE[]), 'min'), 6) AS w FROM embeddings")
+@query("""WITH p AS (SELECT vec_id, list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: i % 2 = 1) AS xs, list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: i % 2 = 0) AS ys FROM embeddings)
+SELECT vec_id, round(list_min(xs), 5) AS x, round(list_min(ys), 5) AS y, round(list_max(xs) - list_min(xs), 5) AS w, round(list_max(ys) - list_min(ys), 5) AS h FROM p""")
 def bbox_minmax(spark, d):
+    """Boxes around polygons in a recogniser's answer; a vector's components are a polygon's points."""
     wide = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").select("label", "vec_id", F.round(F.array_min(wide), 6).alias("x"), F.round(F.array_max(wide) - F.array_min(wide), 6).alias("w"))
+    points = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda i: F.struct(F.get(wide, 2 * i).alias("x"), F.get(wide, 2 * i + 1).alias("y")))
+    answer = F.to_json(F.struct(F.lit("line").alias("text"), points.alias("points")))
+    boxes = table(spark, d, "embeddings").select("vec_id", F.get(jsontext.parse_ocr(answer), F.lit(0))["bbox"].alias("b"))
+    return boxes.select("vec_id", *[F.round(F.col("b")[c], 5).alias(c) for c in "xywh"])
 
 
 # ---- text
@@ -83,9 +88,9 @@ def strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(text.normalize(text.strip_html(F.col("html"))).cast("binary")).alias("said"))
 
 
-@query(r"SELECT doc_id, regexp_extract('see ' || ['SCC 4.1(a)', 'gcc 9', 'NTT3(b)(ii)', 'XSL 2'][doc_id % 4 + 1] || ' ' || substr(text, 1, 50), '\b((?:NTT|SCT|SCC|GCT|GCC|FT|AA|SL|PRE)\s?\d+(?:\.\d+)*(?:\([a-z0-9]+\))*)', 1) AS anchor FROM documents")
+@query(r"SELECT doc_id, regexp_extract(text || ' see ' || ['SCC 4.1(a)', 'gcc 9', 'NTT3(b)(ii)', 'XSL 2'][doc_id % 4 + 1], '\b((?:NTT|SCT|SCC|GCT|GCC|FT|AA|SL|PRE)\s?\d+(?:\.\d+)*(?:\([a-z0-9]+\))*)', 1) AS anchor FROM documents")
 def anchor_extract(spark, d):
-    said = F.concat(F.lit("see "), one_of(["SCC 4.1(a)", "gcc 9", "NTT3(b)(ii)", "XSL 2"], F.col("doc_id") % 4), F.lit(" "), F.substring("text", 1, 50))
+    said = F.concat("text", F.lit(" see "), one_of(["SCC 4.1(a)", "gcc 9", "NTT3(b)(ii)", "XSL 2"], F.col("doc_id") % 4))
     return table(spark, d, "documents").select("doc_id", text.nvl(text.anchor(said)).alias("anchor"))
 
 
@@ -101,9 +106,9 @@ def truncate_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate(t, 480).alias("hard"), text.truncate(t, 400, text.CUT).alias("soft"), text.compact(t, 200).alias("one_line"))
 
 
-@query(r"""SELECT conv_id, turn, substr(regexp_replace(trim(substr(text, 1, 100)), '[^A-Za-z0-9_\-]', '', 'g'), 1, 64) AS var_key, regexp_replace(substr(text, 1, 80), '[\\/:*?"<>|]', '_', 'g') AS file_name FROM conversations""")
+@query(r"""SELECT conv_id, turn, substr(regexp_replace(trim(text), '[^A-Za-z0-9_\-]', '', 'g'), 1, 64) AS var_key, md5(regexp_replace(text, '[\\/:*?"<>|]', '_', 'g')) AS file_name FROM conversations""")
 def sanitize_names(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", text.sanitize_key(F.substring("text", 1, 100)).alias("var_key"), text.safe_file_name(F.substring("text", 1, 80)).alias("file_name"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.sanitize_key(F.col("text")).alias("var_key"), F.md5(text.safe_file_name(F.col("text")).cast("binary")).alias("file_name"))
 
 
 @query("""SELECT o_orderkey, o_orderpriority, CASE WHEN v IN ('是', '否', '待确认') THEN v WHEN v IN ('yes', 'Y', '1') THEN '是' WHEN v IN ('No', 'false') THEN '否' WHEN v LIKE 'Pending%' OR v LIKE '%TBD%' THEN '待确认' WHEN v LIKE 'tender a%' THEN 'Tender A' ELSE v END AS choice
@@ -115,9 +120,9 @@ def choice_normalize(spark, d):
 
 
 @query(r"""SELECT doc_id, CASE WHEN len(l) = 0 THEN '[]' ELSE '["' || array_to_string(l, '","') || '"]' END AS items FROM
-(SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(substr(text, 1, 300), '[^A-Za-z\n ]', '', 'g'), '\n', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)""")
+(SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[^A-Za-z\n ]', '', 'g'), '\n', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)""")
 def list_normalize(spark, d):
-    plain = F.regexp_replace(F.substring("text", 1, 300), r"[^A-Za-z\n ]", "")
+    plain = F.regexp_replace("text", r"[^A-Za-z\n ]", "")
     return table(spark, d, "documents").select("doc_id", naming.normalize_list(plain).alias("items"))
 
 
@@ -180,21 +185,27 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT conv_id, turn, CAST(2 AS INTEGER) AS n, role AS first_role FROM conversations")
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n, md5(text) AS said FROM documents")
 def json_unwrap(spark, d):
-    inner = F.to_json(F.struct(F.array(F.struct("role", "turn"), F.struct(F.lit("x{\"").alias("role"), "turn")).alias("items")))
-    said = F.concat(F.lit("Here it is:\n```json\n"), inner, F.lit("\n``` done"))
-    items = table(spark, d, "conversations").select("conv_id", "turn", jsontext.json_items(said).alias("items"))
-    return items.select("conv_id", "turn", F.size("items").alias("n"), F.get_json_object(F.get("items", F.lit(0)), "$.role").alias("first_role"))
-
-
-@query("SELECT doc_id, 'P' || CAST(1 AS VARCHAR) AS page, round(0.5, 6) AS mean_confidence, CAST(2 AS INTEGER) AS n_lines FROM documents")
+    """Each text's lines as a model's list: wrapped under one name or another, fenced, with words before and behind."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line")))
+    wrapped = F.concat(F.lit('{"'), one_of(jsontext.WRAPPERS, F.col("doc_id") % 6), F.lit('": '), F.to_json(lines), F.lit("}"))
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), wrapped, F.lit("\n``` done"))).otherwise(F.concat(F.lit("Here it is: "), wrapped, F.lit(" (end)")))
+    items = table(spark, d, "documents").select("doc_id", jsontext.json_items(said).alias("items"))
+    back = F.array_join(F.transform("items", lambda x: F.from_json(x, "line string")["line"]), "\n")
+    return items.select("doc_id", F.size("items").alias("n"), F.md5(back.cast("binary")).alias("said"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), k AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x00-\\x20]'))
+SELECT d.doc_id, CAST(count(k.i) AS INTEGER) AS n_lines, round(avg((length(line) % 10) / 10.0), 6) AS mean_confidence, CAST(coalesce(sum(length(line)), 0) AS BIGINT) AS width, coalesce(md5(string_agg(line, chr(10) ORDER BY i)), md5('')) AS said
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY 1""".replace("\\\\", "\\"))
 def ocr_answers(spark, d):
-    line = lambda t, c: F.struct(F.substring(t, 1, 40).alias("rec_text"), F.lit(c).alias("score"), F.array(F.array(F.lit(0.0), F.lit(1.0)), F.array(F.lit(4.0), F.lit(3.0))).alias("poly"))
-    answer = F.to_json(F.struct(F.array(F.struct(F.array(line(F.concat(F.lit("a"), "text"), 0.25), line(F.concat(F.lit("b"), "text"), 0.75)).alias("lines"))).alias("results")))
+    """Each text's lines as a recogniser's answer."""
+    n = lambda x: F.length(x).cast("double")
+    line = lambda x: F.struct(x.alias("rec_text"), (F.length(x) % 10 / 10.0).alias("score"), F.array(F.array(n(x), F.lit(1.0)), F.array(F.lit(0.0), F.lit(3.0))).alias("poly"))
+    answer = F.to_json(F.struct(F.array(F.struct(F.transform(F.split("text", "\n"), line).alias("lines"))).alias("results")))
     lines = table(spark, d, "documents").select("doc_id", jsontext.parse_ocr(answer).alias("l"))
-    mean = F.aggregate("l", F.lit(0.0), lambda s, x: s + x["confidence"]) / F.size("l")
-    return lines.select("doc_id", F.lit("P1").alias("page"), F.round(mean, 6).alias("mean_confidence"), F.size("l").alias("n_lines"))
+    return lines.select("doc_id", F.size("l").alias("n_lines"), F.round(jsontext.mean_confidence(F.col("l")), 6).alias("mean_confidence"), F.aggregate("l", F.lit(0).cast("bigint"), lambda s, x: s + x["bbox"]["w"].cast("bigint")).alias("width"), F.md5(F.array_join(F.transform("l", lambda x: x["text"]), "\n").cast("binary")).alias("said"))
 
 
 # ---- findings
@@ -244,13 +255,15 @@ def longest_per_key(spark, d):
 _ORDER = "coalesce(list_position(['NTT', 'SCT', 'SCC', 'GCT', 'FT', 'AA', 'GCC', 'SL', 'PRE'], {0}), 10)"
 
 
-@query(f"""WITH {_READABLE}, t AS (SELECT project_id, min(CASE WHEN category = 'VETTING_PACKAGE' THEN 1 WHEN file_key IS NOT NULL THEN 2 WHEN category = 'STANDARD_TEMPLATE' THEN 3 ELSE 4 END) AS tier FROM base WHERE project_id NOT IN ('src1') OR category <> 'VETTING_PACKAGE' GROUP BY 1),
-h AS (SELECT b.*, t.tier FROM base b JOIN t ON b.project_id = t.project_id WHERE (b.project_id NOT IN ('src1') OR b.category <> 'VETTING_PACKAGE') AND ((tier = 1 AND category = 'VETTING_PACKAGE') OR (tier = 2 AND file_key IS NOT NULL) OR (tier = 3 AND category = 'STANDARD_TEMPLATE') OR tier = 4)),
-r AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_key ORDER BY length(text_content) DESC, id) AS k FROM h)
-SELECT project_id, id, file_key, tier, CAST({_ORDER.format('file_key')} AS INTEGER) AS rank FROM r WHERE tier IN (1, 4) OR k = 1""")
+_REVIEWABLE = f"""{_READABLE}, tier AS (SELECT project_id, min(CASE WHEN category = 'VETTING_PACKAGE' THEN 1 WHEN file_key IS NOT NULL THEN 2 WHEN category NOT IN ('VETTING_SUPPLEMENT', 'PROJECT_INPUT') THEN 3 ELSE 4 END) AS tier FROM base GROUP BY 1),
+th AS (SELECT b.*, t.tier FROM base b JOIN tier t ON b.project_id = t.project_id WHERE (tier = 1 AND category = 'VETTING_PACKAGE') OR (tier = 2 AND file_key IS NOT NULL) OR (tier = 3 AND category NOT IN ('VETTING_SUPPLEMENT', 'PROJECT_INPUT')) OR tier = 4),
+tr AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_key ORDER BY length(text_content) DESC, id) AS tk FROM th),
+reviewable AS (SELECT *, CAST({_ORDER.format('file_key')} AS INTEGER) AS rank, CASE WHEN tier IN (2, 3) THEN {_ORDER.format('file_key')} ELSE 0 END AS place FROM tr WHERE tier IN (1, 4) OR tk = 1)"""
+
+
+@query(f"WITH {_REVIEWABLE} SELECT project_id, id, file_key, tier, rank, CAST(place AS INTEGER) AS place FROM reviewable")
 def source_set_tiers(spark, d):
-    docs = source_documents(spark, d).where((F.col("project_id") != "src1") | (F.col("category") != "VETTING_PACKAGE"))
-    return sourceset.reviewable(docs).select("project_id", "id", "file_key", "tier", F.col("rank").cast("int").alias("rank"))
+    return sourceset.reviewable(source_documents(spark, d)).select("project_id", "id", "file_key", "tier", F.col("rank").cast("int").alias("rank"), F.col("place").cast("int").alias("place"))
 
 
 @query(f"""WITH {SOURCE_DOCUMENTS}, o AS (SELECT *, coalesce(file_key, 'OTHER:' || id) AS list_key FROM sd WHERE category IN ('VETTING_SUPPLEMENT', 'VETTING_PACKAGE')),
@@ -297,7 +310,7 @@ def confirm_all(spark, d):
     return merge.confirm_all(variables(spark, d).withColumn("confirmed_from", F.lit("")), "FILE", "SCT").select("id", "confirmed")
 
 
-@query(f"WITH {VARIABLES} SELECT project_id, max(sort_order) + 1 AS next_order FROM dv GROUP BY 1")
+@query(f"WITH {VARIABLES} SELECT project_id, greatest(max(coalesce(sort_order, 0)), 0) + 1 AS next_order FROM dv GROUP BY 1")
 def next_sort_order(spark, d):
     return merge.next_sort_order(variables(spark, d))
 
@@ -325,10 +338,12 @@ def affects_filter(spark, d):
     return v.select("*", keys).where(naming.affects_file(F.col("file_key"), F.col("affects"), F.col("doc_key"))).select("project_id", "doc_key", "id")
 
 
-@query("""WITH q AS (SELECT r_regionkey, n_nationkey, r_name, n_name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 0) SELECT * FROM q""")
+@query("""WITH f AS (SELECT unnest(['NTT', 'SCT', 'SCC', 'GCT', 'FT', 'AA', 'GCC', 'SL', 'PRE']) AS file_key), p AS (SELECT DISTINCT source AS project_id FROM documents)
+SELECT project_id, file_key, 'VETTING_SUPPLEMENT' AS category, CASE WHEN file_key IN ('NTT', 'SCT', 'SCC') THEN 'GENERATED' ELSE 'PENDING' END AS parse_status, 'role of ' || file_key AS parse_message FROM p, f""")
 def seed_pairs(spark, d):
-    r, n = table(spark, d, "region"), table(spark, d, "nation").where("n_nationkey % 2 = 0")
-    return r.join(F.broadcast(n), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("r_regionkey", "n_nationkey", "r_name", "n_name")
+    """Every project with a placeholder for each of the nine files."""
+    files = spark.createDataFrame([(k, f"{k}.pdf", f"role of {k}") for k in naming.FILE_ORDER], "file_key string, file_name string, role string")
+    return sourceset.placeholders(table(spark, d, "documents").select(F.col("source").alias("project_id")), files).select("project_id", "file_key", "category", "parse_status", "parse_message")
 
 
 # ---- chunks, retrieval, places
@@ -346,10 +361,23 @@ def chunk_index(spark, d):
     return chunk.index(docs, chunk.hard_split(F.col("text_content"))).drop("anchor", "content")
 
 
-@query()
+#: Chunks of c (id, txt): paragraphs are packed one by one.
+_CHUNKS = r"""b AS (SELECT id, list_filter(list_transform(regexp_split_to_array(txt, '\n{2,}'), lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: x <> '') AS bs FROM c),
+k(id, i, held, done) AS (SELECT id, 0, '', CAST([] AS VARCHAR[]) FROM b UNION ALL
+SELECT k.id, k.i + 1,
+  CASE WHEN length(p) > 800 THEN '' WHEN length(held) + length(p) + 2 > 800 THEN right(held, 120) || chr(10) || chr(10) || p || chr(10) || chr(10) ELSE held || p || chr(10) || chr(10) END,
+  CASE WHEN length(p) > 800 THEN list_concat(CASE WHEN held <> '' THEN list_append(done, held) ELSE done END, list_transform(range(0, CAST(ceil((length(p) - 800) / 680.0) AS BIGINT) + 1), lambda w: substr(p, w * 680 + 1, 800)))
+    WHEN length(held) + length(p) + 2 > 800 THEN list_append(done, held) ELSE done END
+FROM (SELECT k.*, b.bs[k.i + 1] AS p, len(b.bs) AS n FROM k JOIN b ON b.id = k.id) k WHERE k.i < k.n),
+pieces AS (SELECT k.id, list_filter(list_append(done, held), lambda x: regexp_matches(x, '[^\x00-\x20]')) AS l FROM k JOIN b ON b.id = k.id WHERE k.i = len(b.bs))"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id AS id, replace(text, chr(10), chr(10) || chr(10)) AS txt FROM documents), {_CHUNKS}
+SELECT id AS doc_id, CAST(i AS INTEGER) AS i, md5(regexp_replace(x, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) AS content FROM (SELECT id, unnest(range(len(l))) AS i, unnest(l) AS x FROM pieces)""".replace("\\\\", "\\"))
 def chunk_paragraphs(spark, d):
     paragraphs = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    return table(spark, d, "documents").select("doc_id", F.posexplode(chunk.split(paragraphs)).alias("i", "content"))
+    # windows of a long paragraph keep the blanks at their ends; they are compared without
+    return table(spark, d, "documents").select("doc_id", F.posexplode_outer(chunk.split(paragraphs)).alias("i", "content")).where("i IS NOT NULL").withColumn("content", F.md5(text.trim(F.col("content")).cast("binary")))
 
 
 @query("SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INTEGER % 4 AS INTEGER) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point FROM (SELECT doc_id, md5(doc_id || '-0') AS h FROM documents)")
@@ -371,36 +399,50 @@ def retrieve_hybrid(spark, d):
     return search.retrieve(e, queries, "label", "content", "vec_id", limit=50, threshold=0.1).select("label", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: Passages as findings: each is looked for as a whole, then by its sentences; in the documents of one source.
+_ASKED = r"""n AS (SELECT finding_id, source, unnest(range(len(l))) AS needle_pos, unnest(l) AS needle FROM (SELECT item_id AS finding_id, 'src' || item_id % 20 AS source,
+  list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 8) AS l FROM (SELECT *, list_concat([text], list_filter(regexp_split_to_array(text, '[.!?]\s*'), lambda x: length(x) >= 5)) AS a FROM benchmark)))"""
+
+
+def _asked(spark, d) -> DataFrame:
+    parts = F.filter(F.split("text", r"[.!?]\s*"), lambda x: F.length(x) >= 5)
+    needles = F.slice(F.array_distinct(F.concat(F.array("text"), parts)), 1, 8)
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("finding_id"), needles.alias("needles"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
+
+
 #: Where a needle stands in t.text: exactly but for case, else with white space skipped.
 _PLACES = r"""p AS (SELECT *, '(?i)' || array_to_string(list_transform(list_filter(string_split(needle, ''), lambda c: NOT regexp_matches(c, '\s')), lambda c: '\s*' || regexp_replace(c, '([^A-Za-z0-9\x{80}-\x{10FFFF}])', '\\\1')), '') AS pattern FROM n WHERE trim(needle) <> ''),
 q AS (SELECT finding_id, needle_pos, doc_id, instr(lower(t.text), lower(trim(needle))) AS direct, instr(t.text, regexp_extract(t.text, pattern)) AS loose, regexp_matches(t.text, pattern) AS any_, length(t.text) - length(trim(needle)) AS last FROM p JOIN documents t ON t.source = p.source),
 h AS (SELECT finding_id, needle_pos, doc_id, CASE WHEN direct > 0 THEN direct - 1 ELSE loose - 1 END AS idx FROM q WHERE direct > 0 OR (any_ AND loose - 1 <= last))"""
 
 
-@query(f"""WITH f AS (SELECT item_id AS finding_id, text, 'src' || item_id % 20 AS source FROM benchmark), n AS (SELECT finding_id, source, 0 AS needle_pos, substr(text, 1, 12) AS needle FROM f UNION ALL SELECT finding_id, source, 1, substr(text, 5, 4) FROM f), {_PLACES},
+@query(f"""WITH {_ASKED}, {_PLACES},
 r AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY needle_pos, doc_id) AS k FROM h) SELECT finding_id, CAST(needle_pos AS INTEGER) AS needle_pos, doc_id, CAST(idx AS INTEGER) AS "index" FROM r WHERE k = 1""")
 def locate_evidence(spark, d):
-    f = table(spark, d, "benchmark").select(F.col("item_id").alias("finding_id"), F.array(F.substring("text", 1, 12), F.substring("text", 5, 4)).alias("needles"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
-    hits = locate.first_place(f, table(spark, d, "documents").select("doc_id", "source", "text"), ["source"])
+    hits = locate.first_place(_asked(spark, d), table(spark, d, "documents").select("doc_id", "source", "text"), ["source"])
     return hits.select("finding_id", "needle_pos", "doc_id", "index")
 
 
-@query(f"WITH n AS (SELECT item_id AS finding_id, 0 AS needle_pos, substr(text, 1, 6) AS needle, 'src' || item_id % 20 AS source FROM benchmark), {_PLACES}, r AS (SELECT finding_id, doc_id, row_number() OVER (PARTITION BY finding_id ORDER BY doc_id) AS rank FROM h) SELECT finding_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
+@query(f"WITH {_ASKED}, {_PLACES}, r AS (SELECT finding_id, doc_id, row_number() OVER (PARTITION BY finding_id ORDER BY doc_id) AS rank FROM (SELECT DISTINCT finding_id, doc_id FROM h)) SELECT finding_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
 def evidence_top3(spark, d):
-    f = table(spark, d, "benchmark").select(F.col("item_id").alias("finding_id"), F.array(F.substring("text", 1, 6)).alias("needles"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
-    return locate.first_documents(f, table(spark, d, "documents").select("doc_id", "source", "text"), ["source"]).select("finding_id", "doc_id", "rank")
+    return locate.first_documents(_asked(spark, d), table(spark, d, "documents").select("doc_id", "source", "text"), ["source"]).select("finding_id", "doc_id", "rank")
 
 
-@query("SELECT doc_id, 'P' || CASE WHEN length(text) < 100 THEN '1' WHEN length(text) < 300 THEN '2' ELSE '3' END AS page FROM documents")
+@query("""WITH l AS (SELECT doc_id, text, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents)),
+m AS (SELECT *, coalesce(sum(10 + length(CAST(k AS VARCHAR)) + length(line)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
+SELECT doc_id, 'P' || max(k) AS last, 'P' || max(k) FILTER (start <= length(text) // 2) AS middle FROM m GROUP BY 1""")
 def page_markers(spark, d):
-    t = F.concat(F.lit("--- P1 ---\n"), F.substring("text", 1, 100), F.when(F.length("text") >= 100, F.lit("--- P2 ---")).otherwise(""), F.expr("substring(text, 101, 200)"), F.when(F.length("text") >= 300, F.lit("---P3---")).otherwise(""))
-    return table(spark, d, "documents").select("doc_id", text.page_at(t, F.length(t)).alias("page"))
+    """A marker before every line of a text: the page of its end and of a place inside."""
+    lines = F.split("text", "\n")
+    marked = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("--- P"), (i + 1).cast("string"), F.lit(" ---"), x)), "\n")
+    t = table(spark, d, "documents").select("doc_id", marked.alias("t"), F.floor(F.length("text") / 2).cast("int").alias("at"))
+    return t.select("doc_id", text.page_at(F.col("t"), F.length("t")).alias("last"), text.page_at(F.col("t"), F.col("at")).alias("middle"))
 
 
-@query("SELECT e.event_id, m.event_id AS as_of_mark FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) m ON e.user_id = m.user_id AND e.ts >= m.ts")
+@query("SELECT e.event_id, m.event_id AS as_of_mark FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'error' GROUP BY 1, 2) m ON e.user_id = m.user_id AND e.ts >= m.ts")
 def asof_page(spark, d):
     e = table(spark, d, "events")
-    marks = e.where("event_id % 3 = 0").groupBy("user_id", "ts").agg(F.max("event_id").alias("mark"))
+    marks = e.where("event_type = 'error'").groupBy("user_id", "ts").agg(F.max("event_id").alias("mark"))
     return locate.as_of(e.select("event_id", "user_id", "ts"), marks, "user_id", "ts", "ts", "mark").select("event_id", "as_of_mark")
 
 
@@ -412,19 +454,32 @@ def merge_spans(spark, d):
     return budget.merged_spans(spans, ["user_id"])
 
 
-@query()
+#: Words of the synthetic languages, as frequent as a template's markers; one holds another.
+_MARKERS = ["the ", "Theand", "ción", "heit", " that", "éle", "he "]
+_SPANS = """m AS (SELECT doc_id, text, unnest(range(7)) AS mi, unnest(%s) AS mark FROM documents), o AS (SELECT doc_id, mi, length(text) AS n, length(mark) AS lm, string_split(text, mark) AS l FROM m),
+o2 AS (SELECT doc_id, mi, n, unnest(range(1, len(l))) AS k, unnest(list_transform(range(1, len(l)), lambda k: list_sum(list_transform(l[1:k], lambda x: length(x))) + (k - 1) * lm)) AS i FROM o),
+o3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mi, k) AS pos FROM o2), o4 AS (SELECT doc_id, pos, greatest(0, i - 300) AS a, least(n, i + 500) AS b FROM o3 WHERE pos <= 400),
+o5 AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o4),
+o6 AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, pos ROWS UNBOUNDED PRECEDING) AS island FROM o5),
+spans AS (SELECT doc_id, min(a) AS start, max(b) AS "end", count(*) AS n FROM o6 GROUP BY doc_id, island)""" % _MARKERS
+
+
+@query(f"""WITH {_SPANS}, j AS (SELECT d.doc_id, any_value(text) AS text, string_agg(substr(text, CAST(start AS BIGINT) + 1, CAST("end" - start AS BIGINT)), chr(10) || '……（未命中决策线索的正文省略）……' || chr(10) ORDER BY start) AS said FROM documents d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY 1)
+SELECT doc_id, {_TRIM.format("CASE WHEN said IS NOT NULL THEN substr(said, 1, 2000) WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '...[已截断]' ELSE text END")} AS focused FROM j""")
 def focus_segments(spark, d):
-    return budget.focused(table(spark, d, "documents").select("doc_id", "text"), 2000).select("doc_id", "focused")
+    return budget.focused(table(spark, d, "documents").select("doc_id", "text"), 2000, markers=_MARKERS).select("doc_id", "focused")
 
 
-@query(f"""WITH RECURSIVE {_READABLE}, tot AS (SELECT project_id, count(*) AS total FROM base GROUP BY 1),
-i AS (SELECT project_id, id, length(text_content) AS n, length(coalesce(file_key, '')) + length(file_name) + 21 AS head, row_number() OVER (PARTITION BY project_id ORDER BY id) AS nth FROM base),
+_SHARES = f"""{_REVIEWABLE}, tot AS (SELECT project_id, count(*) AS total FROM reviewable GROUP BY 1),
+i AS (SELECT project_id, id, length(text_content) AS n, length(coalesce(file_key, '')) + length(file_name) + 21 AS head, row_number() OVER (PARTITION BY project_id ORDER BY place, id) AS nth FROM reviewable),
 w(project_id, nth, id, used, cut, rem) AS (SELECT project_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false, CAST(14000 AS BIGINT) FROM tot
 UNION ALL SELECT w.project_id, w.nth + 1, i.id, least(i.n, least(5000, greatest(1200, w.rem // (t.total - w.nth)))), i.n > least(5000, greatest(1200, w.rem // (t.total - w.nth))),
- w.rem - least(i.n, least(5000, greatest(1200, w.rem // (t.total - w.nth)))) - i.head - CASE WHEN i.n > least(5000, greatest(1200, w.rem // (t.total - w.nth))) THEN 9 ELSE 0 END FROM w JOIN i ON i.project_id = w.project_id AND i.nth = w.nth + 1 JOIN tot t ON t.project_id = w.project_id WHERE w.rem > 0)
-SELECT project_id, id, CAST(used AS INTEGER) AS used, cut FROM w WHERE nth > 0""")
+ w.rem - least(i.n, least(5000, greatest(1200, w.rem // (t.total - w.nth)))) - i.head - CASE WHEN i.n > least(5000, greatest(1200, w.rem // (t.total - w.nth))) THEN 9 ELSE 0 END FROM w JOIN i ON i.project_id = w.project_id AND i.nth = w.nth + 1 JOIN tot t ON t.project_id = w.project_id WHERE w.rem > 0)"""
+
+
+@query(f"WITH RECURSIVE {_SHARES} SELECT project_id, CAST(nth AS INTEGER) AS nth, id, CAST(used AS INTEGER) AS used, cut FROM w WHERE nth > 0")
 def budget_alloc(spark, d):
-    return budget.review_shares(sourceset.readable(source_documents(spark, d)))
+    return budget.review_shares(sourceset.reviewable(source_documents(spark, d)))
 
 
 # ---- conversations
@@ -473,10 +528,9 @@ def documents_of_file(spark, d):
     return sourceset.of_file(sourceset.readable(source_documents(spark, d)), "gcc").select("id")
 
 
-@query("SELECT doc_id, printf('VAR-%02d', CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS INTEGER)) AS var_key FROM documents QUALIFY doc_id % 3 = 0")
+@query("SELECT doc_id, printf('VAR-%02d', CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER)) AS var_key FROM documents")
 def auto_keys(spark, d):
-    blank = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", "source")
-    return findings.numbered(blank, "source", "doc_id").select("doc_id", F.format_string("VAR-%02d", "nth").alias("var_key"))
+    return drafting.named(table(spark, d, "documents").select(F.col("source").alias("project_id"), F.col("doc_id").alias("pos"), F.lit(" ").alias("key"))).select(F.col("pos").alias("doc_id"), "var_key")
 
 
 @query("WITH b AS (SELECT unnest(['contractTitle', 'worksType', 'fundingArrangement', 'billNos', 'subcontractors', 'twoEnvelopeSystem', 'foundationIncluded', 'contractPeriod39Months']) AS var_key, unnest(range(0, 8)) AS sort_order), p AS (SELECT DISTINCT c_nationkey AS project_id FROM customer) SELECT project_id, var_key, CAST(sort_order AS INTEGER) AS sort_order, 'BASE' AS scope, project_id % 3 = 0 AND var_key = 'billNos' AS confirmed FROM p, b")
@@ -516,13 +570,9 @@ def patch_rows(spark, d):
     return merge.patch(c, F.col("c_custkey") % 3 == 0, c_mktsegment=F.concat("c_mktsegment", F.lit(" 2")), c_name=None).select("c_custkey", "c_mktsegment")
 
 
-@query("""WITH m AS (SELECT doc_id, length(text) AS n, instr(text, 'the ') - 1 AS i FROM documents) SELECT doc_id, greatest(0, i - 300) AS start, least(n, i + 500) AS "end" FROM m WHERE i >= 0""")
-def first_marker_span(spark, d):
-    t = table(spark, d, "documents")
-    first = t.withColumn("text", F.concat(F.substring_index("text", "the ", 1), F.when(F.contains("text", F.lit("the ")), F.lit("the ")).otherwise(""), F.expr("repeat('x', cast(length(text) as int))")))
-    spans = budget.marker_spans(first, markers=["the "])
-    n = t.select("doc_id", F.length("text").alias("_n"))
-    return spans.join(n, "doc_id").select("doc_id", "start", F.least("end", "_n").alias("end"))
+@query(f'WITH {_SPANS} SELECT doc_id, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", n FROM spans')
+def marker_spans(spark, d):
+    return budget.marker_spans(table(spark, d, "documents"), markers=_MARKERS)
 
 
 @query(f"""WITH RECURSIVE {_READABLE}, tot AS (SELECT project_id, count(*) AS total FROM base GROUP BY 1),
@@ -534,26 +584,68 @@ def evidence_budget(spark, d):
     return budget.evidence_shares(sourceset.readable(source_documents(spark, d)))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 20), '[^a-zA-Z]', 'x', 'g') AS inner_text FROM documents")
+@query(f"SELECT doc_id, md5({_TRIM.format('text')}) AS inner_text FROM documents")
 def code_fences(spark, d):
-    fenced = F.concat(F.lit("```json\n"), F.regexp_replace(F.substring("text", 1, 20), "[^a-zA-Z]", "x"), F.lit("\n```"))
-    return table(spark, d, "documents").select("doc_id", jsontext.strip_fence(fenced).alias("inner_text"))
+    """Whole texts in fences: with a language or none, with words behind the last one or none, and without."""
+    i, t = F.col("doc_id") % 4, F.col("text")
+    fenced = F.when(i == 0, F.concat(F.lit("```json\n"), t, F.lit("\n```"))).when(i == 1, F.concat(F.lit(" ```\n"), t, F.lit("\n``` that's all"))).when(i == 2, F.concat(F.lit("\n"), t, F.lit(" \n"))).otherwise(F.concat(F.lit("```\n"), t))
+    return table(spark, d, "documents").select("doc_id", F.md5(jsontext.strip_fence(fenced).cast("binary")).alias("inner_text"))
 
 
 # ---- whole flows, on stand-in providers
 
 
-@query()
+_WHOLE = r"CASE WHEN length({0}) >= 5 THEN [{0}] ELSE [] END, list_filter(list_transform(regexp_split_to_array({0}, '[·→↔|,;\s\x0B]+'), lambda t: " + _TRIM.format("t") + "), lambda t: length(t) >= 5)"
+_NEEDLED = "list_concat(" + ", ".join(f"list_concat({_WHOLE.format(c)})" for c in ("q0", "location", "refs")) + ")"
+_RUN = rf"""{ACCEPTED}, {_REVIEWABLE}, a0 AS (SELECT *, {_TRIM.format("quote")} AS q0 FROM accepted), a1 AS (SELECT *, {_NEEDLED} AS a FROM a0),
+a2 AS (SELECT project_id, code, file_key, unnest(range(len(l))) AS needle_pos, unnest(l) AS needle FROM (SELECT *, list_slice(list_filter(a, lambda x, i: list_position(a, x) = i), 1, 8) AS l FROM a1)),
+a3 AS (SELECT *, '(?i)' || array_to_string(list_transform(list_filter(string_split(needle, ''), lambda c: NOT regexp_matches(c, '\s')), lambda c: '\s*' || regexp_replace(c, '([^A-Za-z0-9\x{{80}}-\x{{10FFFF}}])', '\\\1')), '') AS pattern FROM a2),
+a4 AS (SELECT n.project_id, code, needle_pos, t.place, t.id, instr(lower(t.text_content), lower(needle)) AS direct, instr(t.text_content, regexp_extract(t.text_content, pattern)) AS loose, regexp_matches(t.text_content, pattern) AS any_, length(t.text_content) - length(needle) AS last
+  FROM a3 n JOIN reviewable t ON t.project_id = n.project_id AND (n.file_key IS NULL OR t.file_key = n.file_key)),
+a5 AS (SELECT *, row_number() OVER (PARTITION BY project_id, code ORDER BY needle_pos, place, id) AS k FROM a4 WHERE direct > 0 OR (any_ AND loose - 1 <= last)),
+found AS (SELECT a.* EXCLUDE (page_no), CASE WHEN h.id IS NULL THEN 'unverified' ELSE 'doc:' || h.id || ':' END AS evidence_id, CASE WHEN trim(coalesce(a.page_no, '')) = '' THEN 'P1' ELSE a.page_no END AS page_no, 'Open' AS status
+  FROM accepted a LEFT JOIN a5 h ON h.k = 1 AND h.project_id = a.project_id AND h.code = a.code)"""
+
+
+@query(f"WITH {_RUN} SELECT * FROM found")
 def vetting_run(spark, d):
     return vetting.run(records(spark, d), source_documents(spark, d))
 
 
-@query()
+@query(f"WITH {_RUN}, b AS (SELECT project_id, count(*) AS said, count(*) FILTER (trim(types) = '') AS blank FROM rec GROUP BY 1), c AS (SELECT project_id, count(*) AS n, count(*) FILTER (group_key = 'risk' AND r > 10) AS over_cap FROM capped GROUP BY 1), k AS (SELECT project_id, count(*) AS kept, count(*) FILTER (evidence_id = 'unverified') AS unverified FROM found GROUP BY 1) SELECT b.project_id, said, blank, said - blank - coalesce(n, 0) AS repeated, coalesce(over_cap, 0) AS over_cap, coalesce(kept, 0) AS kept, coalesce(unverified, 0) AS unverified FROM b LEFT JOIN c ON b.project_id = c.project_id LEFT JOIN k ON b.project_id = k.project_id")
+def vetting_summary(spark, d):
+    said = records(spark, d)
+    return vetting.summary(vetting.run(said, source_documents(spark, d)), said)
+
+
+@query(f"WITH {_RUN} SELECT project_id, code, group_key, page_no FROM found WHERE group_key = 'conflict' AND scope = 'inter' AND (contains(lower(title), 'on') OR contains(lower(quote), 'on') OR contains(lower(code), 'on') OR contains(lower(refs), 'on') OR contains(lower(expected), 'on') OR contains(lower(location), 'on') OR contains(lower(types), 'on') OR contains(lower(coalesce(file_key, '')), 'on'))")
+def vetting_list(spark, d):
+    found = vetting.run(records(spark, d), source_documents(spark, d))
+    return vetting.listed(found, " ON ", group="conflict", scope="inter", file_key="all").select("project_id", "code", "group_key", "page_no")
+
+
+@query(f"WITH {_RUN} SELECT f.project_id, code, s.id AS document_id, s.file_name FROM found f JOIN sd s ON f.evidence_id = 'doc:' || s.id || ':' AND s.project_id = f.project_id")
+def evidence_lookup(spark, d):
+    docs = source_documents(spark, d)
+    return vetting.document_of(vetting.run(records(spark, d), docs), docs).select("project_id", "code", "document_id", "file_name")
+
+
+@query(f"""WITH {ACCEPTED}, m AS (SELECT project_id, count(*) FILTER (group_key = 'reference') AS reference, count(*) FILTER (group_key = 'conflict') AS conflict, count(*) FILTER (group_key = 'language') AS language, count(*) FILTER (group_key = 'risk') AS risk, count(*) AS total, count(*) FILTER (scope = 'inter') AS cross_file FROM accepted GROUP BY 1),
+r AS (SELECT *, coalesce(lag(group_key) OVER (PARTITION BY project_id ORDER BY code) <> group_key, true) AS header FROM accepted)
+SELECT project_id, '' AS code, 0 AS part, 'cover' AS kind, 'reference=' || reference || ' conflict=' || conflict || ' language=' || language || ' risk=' || risk || ' total=' || total || ' cross_file=' || cross_file AS said FROM m
+UNION ALL SELECT r.project_id, code, 1, 'header', group_key || ' ' || CASE group_key WHEN 'reference' THEN reference WHEN 'conflict' THEN conflict WHEN 'language' THEN language ELSE risk END FROM r JOIN m ON m.project_id = r.project_id WHERE header
+UNION ALL SELECT project_id, code, 2, 'card', concat_ws(' | ', code, severity, location, refs, title, page_no) FROM r""")
+def report_export(spark, d):
+    return vetting.export(findings.accept(records(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {_SHARES} SELECT w.project_id, string_agg(chr(10) || chr(10) || '===== 文件：' || coalesce(r.file_key, '') || ' · ' || r.file_name || ' =====' || chr(10) || substr(r.text_content, 1, w.used) || CASE WHEN cut THEN chr(10) || '...[已截断]' ELSE '' END, '' ORDER BY w.nth) AS payload FROM w JOIN reviewable r ON r.id = w.id AND r.project_id = w.project_id WHERE w.nth > 0 GROUP BY 1""")
 def vetting_payload(spark, d):
     return vetting.payload(source_documents(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SOURCE_DOCUMENTS}, c AS (SELECT id, text_content AS txt FROM sd WHERE {_TRIM.format("text_content")} <> ''), {_CHUNKS}, u AS (SELECT id, len(l) AS total, unnest(range(len(l))) AS i FROM pieces)
+SELECT project_id, u.id AS document_id, row_number() OVER (PARTITION BY project_id ORDER BY u.id, i) - 1 AS chunk_index, CASE WHEN page_count > 1 THEN 'P' || CAST(greatest(1, floor((i + 1) / total * page_count + 0.5)) AS BIGINT) ELSE 'P1' END AS page_no, u.id || '-' || i AS point_id, CAST(64 AS INTEGER) AS dim FROM u JOIN sd ON sd.id = u.id""")
 def rebuild_index(spark, d):
     return advice.rebuild_index(source_documents(spark, d)).select("project_id", "document_id", "chunk_index", "page_no", "point_id", F.size("embedding").alias("dim"))
 
@@ -563,7 +655,7 @@ def ask(spark, d):
     chunks = advice.rebuild_index(source_documents(spark, d))
     questions = chunks.groupBy("project_id").agg(F.min_by("content", "chunk_index").alias("question"))
     chat = lambda prompt: '{"grounded": true, "answer": "' + str(len(prompt)) + '", "citations": []}'
-    return advice.ask(questions.select("project_id", F.substring("question", 1, 100).alias("question")), chunks, chat)
+    return advice.ask(questions.select("project_id", "question"), chunks, chat)
 
 
 def _found(spark, d) -> DataFrame:

@@ -1,48 +1,66 @@
 """Golden values of text functions, chunks, names, JSON repair, merges and budgets."""
 
+import random
+import re
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parchment.functions import jsontext, naming, text
 from parchment.operators import budget, findings, merge, providers, sourceset
-from parchment.operators.chunk import chunks_of, hard_split, page_estimate
+from parchment.operators.chunk import page_estimate, split
 
 
 def one(spark, *cols):
     return tuple(spark.range(1).select(*cols).first())
 
 
-@pytest.mark.parametrize(
-    "said, size, overlap, chunks",
-    [
-        ("aaaa\n\nbbbb\n\ncccc", 12, 4, ["aaaa\n\nbbbb", "bb\n\n\n\ncccc"]),
-        ("abcdefghijklmnopqrstuvwxyz", 12, 4, ["abcdefghijkl", "ijklmnopqrst", "qrstuvwxyz"]),
-        ("aa\n\nabcdefghijklmnopqrst\n\nzz", 12, 4, ["aa", "abcdefghijkl", "ijklmnopqrst", "zz"]),
-        ("abcdefghijk\n\nzz", 12, 4, ["abcdefghijk", "jk\n\n\n\nzz"]),
-        ("", 12, 4, []),
-        (None, 12, 4, []),
-    ],
-)
-def test_chunks(said, size, overlap, chunks):
-    assert chunks_of(said, size, overlap) == chunks
+def chunks(spark, texts, size=800, overlap=120):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", split(F.col("t"), size, overlap).alias("c"))
+    return [r.c for r in df.orderBy("i").collect()]
 
 
-def test_chunk_sizes():
-    assert [len(c) for c in chunks_of("\n\n".join(["x" * 300] * 5))] == [602, 724, 422]
-    assert [len(c) for c in chunks_of("y" * 2000)] == [800, 800, 640]
+def test_chunks(spark):
+    said = {
+        "aaaa\n\nbbbb\n\ncccc": ["aaaa\n\nbbbb", "bb\n\n\n\ncccc"],
+        "abcdefghijklmnopqrstuvwxyz": ["abcdefghijkl", "ijklmnopqrst", "qrstuvwxyz"],
+        "aa\n\nabcdefghijklmnopqrst\n\nzz": ["aa", "abcdefghijkl", "ijklmnopqrst", "zz"],
+        "abcdefghijk\n\nzz": ["abcdefghijk", "jk\n\n\n\nzz"],
+        "": [],
+        None: [],
+    }
+    assert chunks(spark, said, 12, 4) == list(said.values())
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="ab \n", max_size=300))
-def test_chunks_cover_every_word(said):
-    joined = " ".join(chunks_of(said, 20, 5))
-    assert all(word[:20] in joined for word in said.split() if len(word) <= 20)
+def test_chunk_sizes(spark):
+    got = chunks(spark, ["\n\n".join(["x" * 300] * 5), "y" * 2000])
+    assert [[len(c) for c in g] for g in got] == [[602, 724, 422], [800, 800, 640]]
 
 
-def test_hard_split_is_a_single_block(spark):
-    assert one(spark, hard_split(F.lit("y" * 2000)))[0] == chunks_of("y" * 2000)
+def plain_chunks(said: str, size: int, overlap: int) -> list[str]:
+    """The rule on a list of paragraphs, by index."""
+    edge = "".join(map(chr, range(33)))
+    todo, out, held = [p for p in (x.strip(edge) for x in re.split(r"\n{2,}", said)) if p], [], ""
+    for p in todo:
+        if len(p) > size:
+            out.append(held)
+            out += [p[i : i + size] for i in range(0, len(p), size - overlap) if i == 0 or i + overlap < len(p)]
+            held = ""
+        else:
+            if len(held) + len(p) + 2 > size:
+                out.append(held)
+                held = held[max(0, len(held) - overlap) :] + "\n\n"
+            held += p + "\n\n"
+    return [c if len(c) == size else c.strip(edge) for c in [*out, held] if c.strip(edge)]
+
+
+def test_chunks_of_random_texts(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n\n") for _ in range(rng.randrange(200))) for _ in range(300)]
+    got = chunks(spark, texts, 20, 5)
+    for text, own in zip(texts, got):
+        assert [c.strip() for c in own] == [c.strip() for c in plain_chunks(text, 20, 5)]
+        assert all(word in " ".join(own) for word in text.split() if len(word) <= 20 and len(text) > 0 and max(map(len, text.split("\n\n"))) <= 20)
 
 
 def test_pages(spark):
@@ -158,8 +176,32 @@ def test_json_items(said, value):
     assert jsontext.items(said) == value
 
 
-def test_first_value_of_an_unbalanced_text():
-    assert jsontext.first_value("x {a [b") == "{a [b"
+@pytest.mark.parametrize(
+    "said, value",
+    [
+        ("x {a [b", "{a [b"),
+        ('```json\n{"a":1}\n``` done ``', '{"a":1}'),
+        ("no brackets", "no brackets"),
+        ("```\nno\n```", "no"),
+        ('```json\n{"a":[1\n```', '{"a":[1'),
+        ('x {"a":"}\\""} y', '{"a":"}\\""}'),
+        ('["a]","b"] z', '["a]","b"]'),
+        ('{"a": "not closed } ', '{"a": "not closed }'),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_first_value(said, value):
+    assert jsontext.first_value(said) == value
+
+
+def test_fences(spark):
+    said = ["```json\nx\n``` done", "```\na```b```c", "```", "```x", " y ", "x ```", None, "````\nq\n````"]
+    assert list(one(spark, *[jsontext.strip_fence(F.lit(t).cast("string")) for t in said])) == ["x", "a```b", "", "", "y", "x ```", "", "q\n`"]
+
+
+def test_blanks_around_a_file_key(spark):
+    assert one(spark, *[naming.file_key(F.lit(k).cast("string")) for k in ("ntt", " ntt ", "zzz", "", None)]) == ("NTT", None, None, None, None)
 
 
 def test_ocr():
@@ -177,7 +219,7 @@ def test_choices(spark):
 def test_first_wins_and_cap(spark):
     rows = [("p", i, "f2-ii", f"t{i}") for i in range(12)] + [("p", 12, "f2-i", "c"), ("p", 13, "f2-i", "c"), ("p", 14, " ", "d"), (None, 1, "f2-i", "n")]
     df = spark.createDataFrame(rows, "project_id string, pos long, types string, title string")
-    for c in ("refs", "location", "quote", "scope", "severity", "file_key", "bucket_key", "expected"):
+    for c in ("refs", "location", "quote", "scope", "severity", "file_key", "bucket_key", "expected", "page_no"):
         df = df.withColumn(c, F.lit(None).cast("string"))
     kept = {(r.project_id, r.pos): r for r in findings.accept(df).collect()}
     assert sorted(k[1] for k in kept if k[0]) == [*range(10), 12]
