@@ -67,6 +67,11 @@ def items(text: str | None) -> list[str] | None:
     return None if found is None else [json.dumps(x, ensure_ascii=False) for x in found]
 
 
+def fields(c: Column, names: list[str]) -> Column:
+    """Fields of an object as strings; an object, a list or a number among them as its JSON text."""
+    return F.from_json(c, ", ".join(f"`{n}` string" for n in names))
+
+
 def _by_batch(one, kind: str, c: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.astype(object).where(texts.notna(), None).map(one)

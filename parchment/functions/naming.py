@@ -140,6 +140,15 @@ def language_name(lang: Column) -> Column:
     return F.when(F.lower(lang) == "en", "English").when(F.lower(lang) == "zh-hant", "繁體中文").otherwise("简体中文")
 
 
+# What a scope is called.
+SCOPES = {"tender": "Tender documents only / 仅招标文件", "contract": "Conditions of Contract only / 仅合约条件"}
+
+
+def scope_label(scope: Column) -> Column:
+    out = F.when(scope == "tender", SCOPES["tender"]).when(scope == "contract", SCOPES["contract"])
+    return out.otherwise("Selected package conditions / 选定合约条件")
+
+
 def file_title(key: Column) -> Column:
     out = F.when(key.isNull(), "")
     for k, title in FILE_TITLES.items():

@@ -90,6 +90,12 @@ def sanitize_key(c: Column) -> Column:
     return F.substring(F.regexp_replace(trim(c), r"[^A-Za-z0-9_\-]", ""), 1, 64)
 
 
+def stored_path(root: str, project: Column, category: Column, name: Column, content: Column) -> Column:
+    """Where a file is kept: eight hex digits, here of its content so that a task that runs twice writes one file, then its
+    name without what a path can't hold."""
+    return F.concat_ws("/", F.lit(root.rstrip("/")), project, category, F.concat(F.substring(F.md5(content), 1, 8), F.lit("_"), safe_file_name(F.coalesce(name, F.lit("unnamed")))))
+
+
 def safe_file_name(c: Column) -> Column:
     return F.regexp_replace(c, r'[\\/:*?"<>|]', "_")
 

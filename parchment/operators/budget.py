@@ -12,6 +12,7 @@ from parchment.functions.text import CUT, is_blank, nvl, trim, truncate
 # Fixed values.
 HEADER = "\n\n===== 文件：{} · {} =====\n"
 EVIDENCE_HEADER = "\n\n=== {} ===\n"
+NO_SNIPPETS, LEFT_OUT = "（无聚焦摘录）", "\n……（中间内容省略）……\n"
 REVIEW, REVIEW_LEAST, REVIEW_MOST = 14_000, 1_200, 5_000
 
 
@@ -111,3 +112,70 @@ def keyword_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", keyw
     for k in keywords or BASE_KEYWORDS:
         hit = hit | F.contains(low, F.lit(k))
     return lines.where(hit & (F.length(trim(F.col("line"))) >= least)).withColumn("line", trim(F.col("line")))
+
+
+def snippets(docs: DataFrame, budget: int = 4_500, keywords: list[str] | None = None) -> DataFrame:
+    """For each project (project_id, snippets) the lines of its input files that hold a keyword, each file's name once before
+    them, until the budget is used; the line that goes over it is cut.
+
+    An entry takes nine characters at least, so no more than budget / 9 lines of a project are gathered.
+    """
+    inputs = docs.where("category = 'PROJECT_INPUT'")
+    lines = keyword_lines(inputs.withColumn("_of", F.struct("project_id", "id", "file_name")), "text_content", "_of", keywords)
+    ranked = lines.select("_of.*", "pos", "line").withColumn("_k", F.row_number().over(W.partitionBy("project_id").orderBy("id", "pos"))).where(F.col("_k") <= budget // 9)
+    listed = ranked.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("_k", "id", "file_name", "line"))).alias("_lines"))
+
+    def add(so_far: Column, x: Column) -> Column:
+        head = F.when(x["id"].eqNullSafe(so_far["id"]), "").otherwise(F.concat(F.lit("\n["), nvl(x["file_name"]), F.lit("]\n")))
+        entry, left = F.concat(F.lit("  "), x["line"], F.lit("\n")), so_far["left"] - F.length(head)
+        said = F.concat(so_far["said"], head, F.substring(entry, F.lit(1), F.greatest(left, F.lit(0))))
+        more = F.struct(F.greatest(left - F.length(entry), F.lit(0)).alias("left"), x["id"].alias("id"), said.alias("said"))
+        return F.when(so_far["left"] <= 0, so_far).otherwise(more)
+
+    seed = F.struct(F.lit(budget).alias("left"), F.lit(None).cast(docs.schema["id"].dataType).alias("id"), F.lit("").alias("said"))
+    found = listed.select("project_id", trim(F.aggregate("_lines", seed, add)["said"]).alias("_said"))
+    return docs.select("project_id").distinct().join(found, "project_id", "left").select("project_id", F.coalesce(F.nullif("_said", F.lit("")), F.lit(NO_SNIPPETS)).alias("snippets"))
+
+
+def templates(docs: DataFrame, budget: int = 14_000, least: int = 1_500, whole: int = 8_000, opening: int = 1_800, markers: list[str] | None = None) -> DataFrame:
+    """For each project (project_id, templates) its standard templates, each by its part of what is left of the budget, `least`
+    at the least: a text of up to `whole` characters from its beginning, a longer one around its markers, behind its opening
+    where more than 800 characters are left for it. Only lengths are folded; at most budget characters of texts are gathered.
+    """
+    own = docs.where("category = 'STANDARD_TEMPLATE'")
+    total = own.groupBy("project_id").agg(F.count("*").alias("total"))
+    place = own.select("project_id", "id", F.row_number().over(W.partitionBy("project_id").orderBy("id")).alias("nth")).where(F.col("nth") <= budget)
+    read = own.where(~is_blank(F.col("text_content"))).select("project_id", "id", F.col("text_content").alias("raw"), F.concat(F.lit("\n\n=== "), nvl(F.col("file_name")), F.lit(" ===\n")).alias("head"))
+    read = focused(read.withColumn("_key", F.struct("project_id", "id")), 1 << 30, "raw", "_key", markers)
+    long = F.length("raw") > whole
+    marked = F.when(long & (F.col("focused") != trim(F.col("raw"))), F.col("focused"))  # null: no marker
+    read = read.select("project_id", "id", "raw", "head", marked.alias("marked"), long.alias("long"))
+    sizes = read.join(place, ["project_id", "id"]).select("project_id", F.struct("nth", "id", F.length("raw").alias("n"), F.length("head").alias("h"), F.length("marked").alias("m"), "long").alias("d"))
+    listed = sizes.groupBy("project_id").agg(F.array_sort(F.collect_list("d")).alias("_docs")).join(total, "project_id")
+
+    def step(acc: Column, d: Column) -> Column:
+        share = F.greatest(F.lit(least), F.floor(acc["left"] / F.greatest(F.lit(1), F.col("total") - (d["nth"] - 1))).cast("int"))
+        allow = F.least(share, acc["left"] - d["h"])
+        body = F.when(d["m"].isNotNull(), F.least(d["m"], allow)).otherwise(F.least(d["n"], allow) + F.when(d["n"] > allow, F.lit(len(CUT))).otherwise(0))
+        first = F.when(d["long"] & (allow - body > 800), F.least(F.lit(opening), allow - body)).otherwise(0)
+        spent = d["h"] + body + F.when(first > 0, first + len(CUT) + len(LEFT_OUT)).otherwise(0)
+        entry = F.struct(d["nth"].cast("int").alias("nth"), d["id"].cast("bigint").alias("id"), allow.cast("int").alias("allow"), first.cast("int").alias("first"))
+        done = F.struct(F.lit(0).alias("left"), acc["out"].alias("out"))
+        return F.when((acc["left"] <= 0) | (allow <= 0), done).otherwise(F.struct((acc["left"] - spent).cast("int").alias("left"), F.array_append(acc["out"], entry).alias("out")))
+
+    seed = F.struct(F.lit(budget).alias("left"), F.array().cast("array<struct<nth:int,id:bigint,allow:int,first:int>>").alias("out"))
+    shares = listed.select("project_id", F.inline(F.aggregate("_docs", seed, step)["out"]))
+    parts = read.join(shares, ["project_id", "id"])
+    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, F.lit(1), n), F.lit(CUT))).otherwise(F.col(c))
+    body = F.when(F.col("marked").isNull(), cut("raw", F.col("allow"))).otherwise(F.substring("marked", F.lit(1), F.col("allow")))
+    before = F.when(F.col("first") > 0, F.concat(cut("raw", F.col("first")), F.lit(LEFT_OUT))).otherwise("")
+    return parts.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("nth", F.concat("head", before, body).alias("s")))).alias("_s")).select("project_id", trim(F.array_join(F.transform("_s", lambda x: x["s"]), "")).alias("templates"))
+
+
+def evidence(docs: DataFrame) -> DataFrame:
+    """For each project (project_id, evidence) its input files, cut to evidence_shares()."""
+    own = docs.where("category = 'PROJECT_INPUT'")
+    parts = own.join(evidence_shares(own), ["project_id", "id"])
+    body = F.concat(F.lit("\n\n=== "), nvl(F.col("file_name")), F.lit(" ===\n"), F.expr("substring(text_content, 1, used)"), F.when(F.col("cut"), F.lit(CUT)).otherwise(""))
+    listed = parts.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("id", body.alias("s")))).alias("_s"))
+    return listed.select("project_id", trim(F.array_join(F.transform("_s", lambda x: x["s"]), "")).alias("evidence"))

@@ -103,6 +103,27 @@ def parse_summary(docs: DataFrame) -> DataFrame:
     return both.select("project_id", "accepted", "parsed", "failed", F.coalesce("_messages", F.lit("")).alias("first_messages"))
 
 
+def reset(rows: DataFrame, defaults: DataFrame, keys: list[str], where: Column) -> DataFrame:
+    """Rows that match take the values of their default; a row without one stays."""
+    values = [c for c in defaults.columns if c not in keys]
+    new = defaults.select(*keys, F.struct(*values).alias("_default"))
+    both = rows.join(new, keys, "left")
+    take = F.coalesce(where, F.lit(False)) & F.col("_default").isNotNull()
+    return both.select(*[F.when(take, F.col("_default")[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns])
+
+
+def replaced(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys come again are replaced, others are added: how vectors are kept by their ids."""
+    return without(rows, new, keys).unionByName(new, allowMissingColumns=True)
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """With updated_at, now to the millisecond, and created_at, kept where there is one."""
+    now = F.date_trunc("millisecond", F.current_timestamp())
+    created = F.coalesce("created_at", now) if "created_at" in rows.columns else now
+    return rows.withColumn("created_at", created).withColumn("updated_at", now)
+
+
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not among those deleted."""
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")

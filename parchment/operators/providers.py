@@ -111,6 +111,39 @@ def http_chat(url: str, model: str, temperature: float = 0.2, timeout: float = 1
     return chat
 
 
+def http_embed(url: str, model: str, timeout: float = 300.0) -> Embed:
+    """Vectors from an address that takes a list of texts; where it fails for a list, texts are sent one by one."""
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": model, "input": texts}).encode()
+        with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as answer:
+            said = json.load(answer)
+        found = said["embeddings"] if "embeddings" in said else [x["embedding"] for x in said["data"]]
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        return found
+
+    def run(texts: list[str]) -> list[list[float]]:
+        try:
+            return ask(texts)
+        except (OSError, ValueError, KeyError):
+            return [ask([t])[0] for t in texts]
+
+    return run
+
+
+def chosen(settings: dict[str, str]) -> tuple[Chat | None, Embed]:
+    """Chat model and embedder by settings: 'kind' is 'openai', 'ollama' or 'none', with 'url', 'model', 'embed_model'."""
+    kind, at = settings.get("kind", "none"), settings.get("url", "").rstrip("/")
+    if kind == "none":
+        return None, stub_embed
+    paths = {"openai": ("/v1/chat/completions", "/v1/embeddings"), "ollama": ("/v1/chat/completions", "/api/embed")}
+    if kind not in paths:
+        raise ValueError(f"no provider {kind!r}")
+    chat, vectors = paths[kind]
+    return http_chat(at + chat, settings["model"]), http_embed(at + vectors, settings.get("embed_model", settings["model"]))
+
+
 def format_prompt(template: str, *values: str) -> str:
     """%s by %s; values that are left over follow on lines of their own."""
     parts = template.split("%s")

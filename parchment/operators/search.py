@@ -30,6 +30,26 @@ def stuffing(chunks: DataFrame, project: str, content: str, limit: int = STUFFIN
     return chunks.groupBy(project).agg(F.count("*").alias("n_chunks"), F.sum(F.length(nvl(F.col(content)))).alias("total_chars")).withColumn("stuffed", F.col("total_chars") <= limit)
 
 
+def counts(vectors: DataFrame, group: str) -> DataFrame:
+    """How many vectors a group has."""
+    return vectors.groupBy(group).agg(F.count("*").alias("n"))
+
+
+def first_labels(hits: DataFrame, group: str, label: str, order: list[str], most: int = 3) -> DataFrame:
+    """The first different labels of each group, in the order in which they come; ranked and limited before they are gathered."""
+    first = hits.groupBy(group, label).agg(F.min(F.struct(*order)).alias("_at"))
+    ranked = first.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy("_at", label))).where(F.col("_k") <= most)
+    return ranked.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col(label).alias("l")))), lambda x: x["l"]).alias("labels"))
+
+
+def grouped(rows: DataFrame, group: str, order: list[str], item: list[str]) -> DataFrame:
+    """Each group with its items in order, and the place of the group: that of its first item. Memory is bounded by a group's
+    items, prompts of a catalogue."""
+    key = F.struct(*order)
+    listed = F.array_sort(F.collect_list(F.struct(key.alias("o"), F.struct(*item).alias("i"))))
+    return rows.groupBy(group).agg(F.min(key).alias("first"), F.count("*").alias("n"), F.transform(listed, lambda x: x["i"]).alias("items"))
+
+
 def retrieve(chunks: DataFrame, queries: DataFrame, project: str = "project_id", content: str = "content", order: str = "chunk_index", vector: str = "embedding", limit: int = STUFFING_LIMIT, top_k: int = TOP_K, floor: int = TOP_K_FLOOR, threshold: float = THRESHOLD) -> DataFrame:
     """project's chunks: all of them in order, score 1, where they are few; else those nearest to the project's query."""
     how = stuffing(chunks, project, content, limit).select(project, "stuffed")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions import naming
-from parchment.functions.text import is_blank, sanitize_key, trim, truncate
-from parchment.operators import findings, merge, report
+from parchment.functions.text import CUT, is_blank, nvl, sanitize_key, trim, truncate
+from parchment.operators import budget, findings, merge, providers, report
 
 CONFIDENCE = 0.70
 VALUES = ["value_text", "choice", "source_ref", "label", "action", "affects", "kind", "file_key", "sort_order", "scope"]
@@ -60,7 +60,77 @@ def reconcile(records: DataFrame, stored: DataFrame) -> DataFrame:
     return merge.without(merged, gone, ["project_id", "var_key"]).withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
 
 
-def generate(variables: DataFrame, contract_no, keys: list[str] = naming.TEMPLATE_KEYS) -> DataFrame:
-    """Documents of projects whose variables are all confirmed."""
+ANSWER = "title string, content string"
+NO_TEMPLATE = "（未上传该文件的标准模板，请按已确认变量直接起草）"
+MOST = 8_000
+
+
+def extraction_prompts(docs: DataFrame, instruction: str = "Variables of this draft, as a JSON list.") -> DataFrame:
+    """For each project (project_id, prompt) what a model is asked to find variables in: templates, evidence, telling lines."""
+    parts = docs.select("project_id").distinct().join(budget.templates(docs), "project_id", "left").join(budget.evidence(docs), "project_id", "left").join(budget.snippets(docs), "project_id", "left")
+    return parts.select("project_id", F.concat_ws("\n\n", F.lit(instruction), *[F.coalesce(c, F.lit("")) for c in ("templates", "evidence", "snippets")]).alias("prompt"))
+
+
+def draft_prompts(variables: DataFrame, docs: DataFrame, contract_no: Column, keys: list[str] = naming.TEMPLATE_KEYS) -> DataFrame:
+    """For each project and file (project_id, doc_key, prompt) what a model is asked to write: title and contract number, the
+    variables that affect the file as a JSON list in their order, and the file's template. A project's variables of one file
+    meet in one value, as they do in the prompt."""
+    wanted = variables.select("project_id").distinct().select("project_id", F.explode(F.array(*map(F.lit, keys))).alias("doc_key"))
+    affects = naming.affects_file(F.col("file_key"), F.col("affects"), F.col("doc_key"))
+    item = F.struct(F.col("var_key").alias("key"), nvl(F.col("label")).alias("label"), nvl(F.col("action")).alias("action"), nvl(F.col("value_text")).alias("value"))
+    said = variables.join(wanted, "project_id").where(affects).groupBy("project_id", "doc_key").agg(F.array_sort(F.collect_list(F.struct("sort_order", "var_key", item.alias("v")))).alias("_v"))
+    first = findings.first_wins(docs.where("file_key IS NOT NULL").select("project_id", "file_key", "id", "category", "text_content"), ["project_id", "file_key"], "id")
+    own = first.where("category = 'STANDARD_TEMPLATE'").select("project_id", F.col("file_key").alias("doc_key"), truncate(F.col("text_content"), MOST, CUT).alias("_template"))
+    numbers = variables.select("project_id", contract_no.alias("_no")).groupBy("project_id").agg(F.min("_no").alias("_no"))
+    held = wanted.join(said, ["project_id", "doc_key"], "left").join(own, ["project_id", "doc_key"], "left").join(numbers, "project_id", "left")
+    listed = F.coalesce(F.to_json(F.transform("_v", lambda x: x["v"])), F.lit("[]"))
+    return held.select("project_id", "doc_key", F.concat_ws("\n\n", F.concat(naming.file_title(F.col("doc_key")), F.lit(" / "), nvl(F.col("_no"))), listed, F.coalesce("_template", F.lit(NO_TEMPLATE))).alias("prompt"))
+
+
+def draft(variables: DataFrame, docs: DataFrame, contract_no: Column, chat: providers.Chat, keys: list[str] = naming.TEMPLATE_KEYS) -> DataFrame:
+    """project_id, doc_key, title, content of projects whose variables are all confirmed: what the model wrote, or the points of
+    the confirmed variables where it gave no content."""
+    sure = _settled(variables)
+    said = providers.complete_json(draft_prompts(sure, docs, contract_no, keys), chat)
+    said = said.select("project_id", "doc_key", F.from_json("answer", ANSWER)["content"].alias("_content"))
+    plain = report.fallback_document(sure, keys, contract_no).withColumnRenamed("content", "_plain")
+    both = said.join(plain, ["project_id", "doc_key"], "left")
+    return both.select("project_id", "doc_key", naming.file_title(F.col("doc_key")).alias("title"), F.coalesce("_content", "_plain").alias("content"))
+
+
+def create(stored: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Variables that people add (project_id, pos, key, file_key, label, action, value, options, affects, source): each row with
+    var_key and error, null where it is taken; then its columns are a stored row's. 4007: no key or no file, 4008: a key that
+    is there already, or that an earlier row takes. Places run on from the project's last one."""
+    b = bodies.withColumn("var_key", sanitize_key(nvl(F.col("key")))).withColumn("file_key", naming.file_key(trim(F.col("file_key")), naming.TEMPLATE_KEYS))
+    known = stored.select("project_id", "var_key", F.lit(True).alias("_known")).distinct()
+    b = b.join(known, ["project_id", "var_key"], "left")
+    error = F.when(F.col("var_key") == "", 4007).when(F.col("_known"), 4008).when(F.col("file_key").isNull(), 4007)
+    b = b.withColumn("error", error)
+    first = b.where("error IS NULL").groupBy("project_id", "var_key").agg(F.min("pos").alias("_first"))
+    b = b.join(first, ["project_id", "var_key"], "left").withColumn("error", F.when(F.col("error").isNull() & (F.col("pos") > F.col("_first")), 4008).otherwise(F.col("error")))
+    nth = findings.numbered(b.where("error IS NULL").select("project_id", "pos"), "project_id", "pos", to="_nth")
+    b = b.join(nth, ["project_id", "pos"], "left").join(merge.next_sort_order(stored), "project_id", "left")
+    action = F.lower(trim(nvl(F.col("action"))))
+    return b.select(
+        "project_id", "pos", "var_key", "error", F.lit("FILE").alias("scope"), "file_key",
+        truncate(F.col("label"), 480, CUT).alias("label"),
+        F.when(action.isin(naming.ACTIONS), action).otherwise("fill").alias("action"),
+        nvl(F.col("value")).alias("value_text"),
+        F.when(action == "choice", F.filter(F.transform("options", trim), lambda o: o != "")).alias("options"),
+        truncate(F.col("affects"), 128, CUT).alias("affects"),
+        truncate(F.col("source"), 512, CUT).alias("source_ref"),
+        F.lit(False).alias("confirmed"),
+        (F.coalesce("next_order", F.lit(1)) + F.col("_nth") - 1).cast("int").alias("sort_order"),
+    )
+
+
+def _settled(variables: DataFrame) -> DataFrame:
+    """Variables of projects that have none to confirm."""
     open_ = variables.groupBy("project_id").agg(F.count_if(~F.col("confirmed")).alias("_open")).where("_open = 0").select("project_id")
-    return report.fallback_document(variables.join(open_, "project_id"), keys, contract_no)
+    return variables.join(open_, "project_id")
+
+
+def generate(variables: DataFrame, contract_no: Column, keys: list[str] = naming.TEMPLATE_KEYS) -> DataFrame:
+    """Documents of projects whose variables are all confirmed, without a model."""
+    return report.fallback_document(_settled(variables), keys, contract_no)

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions import jsontext, naming, text
-from parchment.operators import budget, chunk, findings, locate, merge, providers, report, search, sourceset
+from parchment.operators import budget, chatlog, chunk, findings, locate, merge, providers, report, search, sourceset
 from parchment.plans import advice, drafting, vetting
+from parchment.sources import files
 from parchment.queries.derived import ACCEPTED, RECORDS, SOURCE_DOCUMENTS, VARIABLES, one_of, records, source_documents, sql_one_of, table, variables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +53,7 @@ def knn_per_label(spark, d):
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def vector_counts(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return search.counts(table(spark, d, "embeddings"), "label")
 
 
 @query("""WITH p AS (SELECT vec_id, list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: i % 2 = 1) AS xs, list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: i % 2 = 0) AS ys FROM embeddings)
@@ -485,17 +486,25 @@ def budget_alloc(spark, d):
 # ---- conversations
 
 
-@query("SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'assistant') AS n_answers, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+@query("""WITH q AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next, role FROM conversations),
+a AS (SELECT conv_id, turn, text, answer, turn % 4 = 0 AS grounded, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM q WHERE role = 'user' AND next = 'assistant')
+SELECT conv_id AS project_id, 2 * nth - 1 AS id, 'user' AS role, md5(text) AS content, NULL AS unknown_scope, 0 AS cited, NULL AS evidence_id FROM a
+UNION ALL SELECT conv_id, 2 * nth, 'assistant', CASE WHEN grounded THEN md5(answer) END, CASE WHEN NOT grounded THEN 'fullset' END, 2, CASE WHEN grounded THEN 'chunk:a "b"' END FROM a""")
 def chat_history(spark, d):
-    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("role") == "assistant").alias("n_answers"), roles.alias("roles"))
+    """Questions and answers of conversations as they are logged and read again."""
+    c = table(spark, d, "conversations")
+    w = W.partitionBy("conv_id").orderBy("turn")
+    q = c.withColumn("answer", F.lead("text").over(w)).withColumn("next", F.lead("role").over(w)).where("role = 'user' AND next = 'assistant'")
+    answers = q.select(F.col("conv_id").alias("project_id"), F.col("turn").alias("pos"), F.col("text").alias("question"), (F.col("turn") % 4 == 0).alias("grounded"), "answer", F.array(F.lit('a "b"'), F.lit("c")).alias("citations"), F.lit("fullset").alias("scope"))
+    none = spark.createDataFrame([], f"project_id {c.schema['conv_id'].dataType.simpleString()}, id long")
+    rows = chatlog.history(chatlog.entries(answers, none))
+    return rows.select("project_id", "id", "role", F.md5(F.col("content").cast("binary")).alias("content"), "unknown_scope", F.size("citations").alias("cited"), "evidence_id")
 
 
-@query("WITH f AS (SELECT conv_id, w, min(turn) AS t FROM (SELECT conv_id, turn, substr(text, 1, 3) AS w FROM conversations) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, w) AS k FROM f) SELECT conv_id, string_agg(w, '|' ORDER BY k) AS labels FROM r WHERE k <= 3 GROUP BY conv_id")
+@query("WITH f AS (SELECT conv_id, text, min(turn) AS t FROM conversations GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, text) AS k FROM f) SELECT conv_id, md5(string_agg(text, '|' ORDER BY k)) AS labels FROM r WHERE k <= 3 GROUP BY conv_id")
 def citations_distinct3(spark, d):
-    firsts = table(spark, d, "conversations").groupBy("conv_id", F.substring("text", 1, 3).alias("w")).agg(F.min("turn").alias("t"))
-    ranked = firsts.withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy("t", "w"))).where("k <= 3")
-    return ranked.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]), "|").alias("labels"))
+    found = search.first_labels(table(spark, d, "conversations"), "conv_id", "text", ["turn"])
+    return found.select("conv_id", F.md5(F.array_join("labels", "|").cast("binary")).alias("labels"))
 
 
 @query("SELECT conv_id, turn, CAST((length(text) - length(replace(text, '%s', ''))) // 2 AS INTEGER) + 2 AS n FROM conversations")
@@ -556,14 +565,72 @@ def delete_project(spark, d):
 def vector_upsert(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label")
     new = e.where("vec_id % 4 = 0").withColumn("label", F.col("label") + 100)
-    return merge.without(e, new, ["vec_id"]).unionByName(new)
+    return merge.replaced(e, new, ["vec_id"])
 
 
-@query("SELECT o_orderpriority AS group_key, count(*) AS n, min(o_orderkey) AS first_key, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1")
+@query("SELECT p_brand AS group_key, count(*) AS n, min(p_partkey) AS first, md5(string_agg(p_name, '|' ORDER BY p_partkey)) AS items FROM part GROUP BY 1")
 def grouped_prompts(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("group_key")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
+    g = search.grouped(table(spark, d, "part"), "p_brand", ["p_partkey"], ["p_name"])
+    return g.select(F.col("p_brand").alias("group_key"), "n", F.col("first.p_partkey").alias("first"), F.md5(F.array_join(F.transform("items", lambda x: x["p_name"]), "|").cast("binary")).alias("items"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_partkey % 3 <> 0 THEN p_type ELSE p_name END AS body FROM part")
+def reset_defaults(spark, d):
+    p = table(spark, d, "part")
+    defaults = p.where("p_partkey % 3 <> 0").select("p_partkey", F.col("p_type").alias("body"))
+    return merge.reset(p.select("p_partkey", F.col("p_name").alias("body"), "p_size"), defaults, ["p_partkey"], F.col("p_size") % 2 == 0).select("p_partkey", "body")
+
+
+@query("SELECT event_id, CASE WHEN k % 2 = 0 THEN '{\"k\":' || k || '}' ELSE CAST(k AS VARCHAR) END AS said FROM (SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)")
+def lenient_strings(spark, d):
+    """A field that should be a string may be an object or a number: it is read as its JSON text."""
+    k = F.from_json("props", "k bigint")["k"]
+    inner = F.when(k % 2 == 0, F.concat(F.lit('{"k":'), k.cast("string"), F.lit("}"))).otherwise(k.cast("string"))
+    return table(spark, d, "events").select("event_id", jsontext.fields(F.concat(F.lit('{"said": '), inner, F.lit("}")), ["said"])["said"].alias("said"))
+
+
+@query(f"WITH {VARIABLES} SELECT id, CASE WHEN file_key = 'NTT' THEN 'Tender documents only / 仅招标文件' WHEN file_key = 'SCC' THEN 'Conditions of Contract only / 仅合约条件' ELSE 'Selected package conditions / 选定合约条件' END AS label FROM dv")
+def scope_labels(spark, d):
+    scope = F.when(F.col("file_key") == "NTT", "tender").when(F.col("file_key") == "SCC", "contract").otherwise("fullset")
+    return variables(spark, d).select("id", naming.scope_label(scope).alias("label"))
+
+
+@query(f"""WITH {SOURCE_DOCUMENTS} SELECT id, 'root/' || project_id || '/' || category || '/' || substr(md5(coalesce(text_content, '')), 1, 8) || '_' || regexp_replace(file_name, '[\\\\/:*?"<>|]', '_', 'g') AS path FROM sd""")
+def stored_paths(spark, d):
+    docs = source_documents(spark, d)
+    return docs.select("id", text.stored_path("root/", F.col("project_id"), F.col("category"), F.col("file_name"), text.nvl(F.col("text_content")).cast("binary")).alias("path"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, doc_id %% 3 = 0 AS poor FROM documents), p AS (SELECT doc_id, poor, 1 AS page_no, CASE WHEN poor THEN '' ELSE text END AS own, text AS seen FROM w UNION ALL SELECT doc_id, poor, 2, CASE WHEN poor THEN ' ' ELSE 'second' END, ' ' FROM w),
+t AS (SELECT doc_id, sum(length(CASE WHEN page_no = 1 THEN %(own)s ELSE trim(own) END)) < 80 AS thin FROM p GROUP BY 1),
+j AS (SELECT p.doc_id, page_no, CASE WHEN thin AND %(seen)s <> '' THEN seen ELSE %(own)s END AS said, thin AND %(seen)s <> '' AS ocr FROM p JOIN t ON t.doc_id = p.doc_id)
+SELECT doc_id, md5(coalesce(%(all)s, '')) AS said, CAST(2 AS INTEGER) AS page_count, bool_or(ocr) AS ocr_used FROM j GROUP BY 1""" % {"own": _NORMAL.format("own"), "seen": _NORMAL.format("seen"), "all": _NORMAL.format(r"string_agg('--- P' || page_no || ' ---' || chr(10) || said || chr(10) || chr(10), '' ORDER BY page_no) FILTER (regexp_matches(said, '[^\x00-\x20]'))")})
+def pages_read(spark, d):
+    """Pages with a text layer or, for every third document, with none: what was recognised on them counts then."""
+    docs, poor = table(spark, d, "documents"), F.col("doc_id") % 3 == 0
+    page = lambda n, own: docs.select("doc_id", F.lit(n).alias("page_no"), own.alias("text"))
+    pages = page(1, F.when(poor, "").otherwise(F.col("text"))).unionByName(page(2, F.when(poor, " ").otherwise("second")))
+    seen = page(1, F.col("text")).unionByName(page(2, F.lit(" ")))
+    return files.read_pages(pages, seen).select("doc_id", F.md5(F.col("text_content").cast("binary")).alias("said"), "page_count", "ocr_used")
+
+
+@query(f"""WITH RECURSIVE {SOURCE_DOCUMENTS}, li AS (SELECT project_id, id, file_name, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT *, regexp_split_to_array(text_content, '\\r?\\n') AS l FROM sd WHERE category = 'PROJECT_INPUT')),
+hit AS (SELECT *, {_TRIM.format('line')} AS said FROM li WHERE length({_TRIM.format('line')}) >= 6 AND (""".replace("\\\\", "\\") + " OR ".join(f"contains(lower(line), '{k}')" for k in ["the", "ción", "une", "und"]) + """)),
+e AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY id, pos) AS k, CASE WHEN lag(id) OVER (PARTITION BY project_id ORDER BY id, pos) = id THEN '' ELSE chr(10) || '[' || file_name || ']' || chr(10) END AS head, '  ' || said || chr(10) AS entry FROM hit),
+r(project_id, k, rem, said) AS (SELECT DISTINCT project_id, CAST(0 AS BIGINT), CAST(4500 AS BIGINT), '' FROM sd UNION ALL
+SELECT r.project_id, r.k + 1, greatest(r.rem - length(head) - length(entry), 0), r.said || head || substr(entry, 1, greatest(r.rem - length(head), 0)) FROM r JOIN e ON e.project_id = r.project_id AND e.k = r.k + 1 WHERE r.rem > 0),
+z AS (SELECT project_id, arg_max(said, k) AS said FROM r GROUP BY 1) SELECT project_id, CASE WHEN """ + _TRIM.format("said") + " = '' THEN '（无聚焦摘录）' ELSE " + _TRIM.format("said") + " END AS snippets FROM z")
+def project_snippets(spark, d):
+    return budget.snippets(source_documents(spark, d), keywords=["the", "ción", "une", "und"])
+
+
+@query(f"""WITH {VARIABLES}, k AS (SELECT unnest(['NTT', 'SCT', 'SCC']) AS doc_key),
+h AS (SELECT dv.*, doc_key FROM dv, k WHERE confirmed AND (coalesce(file_key = doc_key, false) OR list_contains(list_transform(string_split(coalesce(affects, ''), ','), lambda x: trim(x)), doc_key)))
+SELECT project_id, doc_key, '## ' || CASE doc_key WHEN 'NTT' THEN 'Notes to Tenderers' WHEN 'SCT' THEN 'Special Conditions of Tender' ELSE 'Special Conditions of Contract' END || chr(10) || chr(10) || '**Contract No.** C' || project_id || chr(10) || chr(10) ||
+ string_agg('- **' || label || '**（' || coalesce(action, '') || '）：' || coalesce(value_text, '') || chr(10), '' ORDER BY sort_order, var_key) || chr(10) || '> 模型未返回正文，以上为按已确认变量生成的条款要点。' || chr(10) AS content FROM h GROUP BY 1, 2""")
+def generate_documents(spark, d):
+    v = variables(spark, d).where("confirmed")
+    return drafting.generate(v, F.concat(F.lit("C"), F.col("project_id").cast("string")))
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || ' 2' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def patch_rows(spark, d):
     c = table(spark, d, "customer")
@@ -682,9 +749,3 @@ def _found(spark, d) -> DataFrame:
 def extract_variables(spark, d):
     stored = variables(spark, d).withColumns({c: F.lit(None).cast(t) for c, t in (("choice", "string"), ("source_ref", "string"), ("kind", "string"))}).drop("id")
     return drafting.reconcile(_found(spark, d), stored)
-
-
-@query()
-def generate_documents(spark, d):
-    v = variables(spark, d).where("confirmed")
-    return drafting.generate(v, F.concat(F.lit("C"), F.col("project_id").cast("string")))

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.functions.text import normalize, strip_html
+from parchment.functions.text import is_blank, join_pages, normalize, strip_html
+from parchment.operators.merge import needs_text
 
 #: Parsers that can be plugged in by extension: bytes to text (pdf, doc, msg, or better ones for the others).
 Parser = Callable[[bytes], str]
@@ -102,6 +103,29 @@ def seeds(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_pages(pages: DataFrame, recognised: DataFrame, least: int = 40) -> DataFrame:
+    """pages (doc_id, page_no, text) and recognised (doc_id, page_no, text): text_content, page_count, ocr_used, parse_status of each
+    document. Where a document's own text is thin, what was recognised on a page replaces the page's text unless it is empty."""
+    few = thin(pages, least).where("thin").select("doc_id", F.lit(True).alias("_thin"))
+    seen = recognised.where(~is_blank(F.col("text"))).select("doc_id", "page_no", F.col("text").alias("_seen")).join(few.select("doc_id"), "doc_id", "left_semi")
+    both = pages.join(seen, ["doc_id", "page_no"], "left").withColumn("text", F.coalesce("_seen", normalize(F.col("text"))))
+    out = both.groupBy("doc_id").agg(join_pages(F.collect_list(F.struct("page_no", "text"))).alias("text_content"), F.count("*").cast("int").alias("page_count"), F.bool_or(F.col("_seen").isNotNull()).alias("ocr_used"))
+    out = out.join(few, "doc_id", "left")
+    failed = F.col("_thin").isNotNull() & is_blank(F.col("text_content")) & ~F.col("ocr_used")
+    return out.select("doc_id", "text_content", "page_count", "ocr_used", F.when(failed, "FAILED").otherwise("PARSED").alias("parse_status"))
+
+
+def parsed_again(docs: DataFrame, files: DataFrame, plugins: dict[str, Parser] | None = None) -> DataFrame:
+    """docs whose text is blank though a file is stored (storage_path) take what their file says now, if it says something."""
+    again = needs_text(docs).select("storage_path").distinct()
+    said = parse(files.join(again, F.col("path") == F.col("storage_path"), "left_semi"), plugins)
+    said = said.where(~is_blank(F.col("text_content"))).select(F.col("path").alias("storage_path"), F.col("text_content").alias("_said"))
+    both = docs.join(said, "storage_path", "left")
+    new = is_blank(F.col("text_content")) & F.col("_said").isNotNull()
+    taken = {"text_content": F.when(new, F.col("_said")).otherwise(F.col("text_content")), "parse_status": F.when(new, "PARSED").otherwise(F.col("parse_status"))}
+    return both.select(*[taken[c].alias(c) if c in taken else F.col(c) for c in docs.columns])
+
+
 def thin(pages: DataFrame, least: int = 40) -> DataFrame:
     """pages (doc_id, page_no, text): documents whose pages hold so few characters that they are read by image."""
     return pages.groupBy("doc_id").agg(F.sum(F.length(normalize(F.col("text")))).alias("chars"), F.count("*").alias("pages")).withColumn("thin", F.col("chars") < least * F.greatest(F.lit(1), F.col("pages")))
