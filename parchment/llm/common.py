@@ -49,12 +49,13 @@ def scratch() -> Iterator[None]:
 
 
 def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    """df, written as Parquet to the shared folder and read again: cuts lineage and survives lost executors. keep: the scratch()
+    around this one, if any, deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _OPEN and not keep:
-        _OPEN[-1].append(found)
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(found)
     return found
 
 

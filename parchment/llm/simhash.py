@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import parts, parts_for, stored
+from parchment.llm.common import parts, parts_for, scratch, stored
 from parchment.llm.components import components
 
 SEED, SHINGLE, RADIUS, BLOCKS, TILE = 42, 3, 3, 5, 4096
@@ -221,6 +221,11 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable) of each row. A null id takes no part in links."""
+    with scratch():
+        return stored(_grouped(docs, key, text, radius, blocks, tile), "fingerprints", keep=True)
+
+
+def _grouped(docs: DataFrame, key: str, text: str, radius: int, blocks: int, tile: int) -> DataFrame:
     prints = stored(fingerprint(docs, key, text), "prints")
     distinct = stored(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
     links = near_links(distinct, radius, blocks, tile)
