@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import jsontext, naming, text
 from parchment.operators import budget, chatlog, chunk, findings, locate, merge, providers, report, search, sourceset
-from parchment.plans import advice, drafting, vetting
+from parchment.plans import advice, drafting, upload, vetting
 from parchment.sources import files
 from parchment.queries.derived import ACCEPTED, RECORDS, SOURCE_DOCUMENTS, VARIABLES, one_of, records, source_documents, sql_one_of, table, variables
 
@@ -659,6 +659,22 @@ def code_fences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(jsontext.strip_fence(fenced).cast("binary")).alias("inner_text"))
 
 
+@query(f"""WITH {SOURCE_DOCUMENTS}, u AS (SELECT source AS project_id, doc_id AS pos, ['NTT', 'SCT', 'SCC'][doc_id % 3 + 1] AS file_key, ['ntt', 'sct', 'scc'][doc_id % 3 + 1] || '.txt' AS file_name, {_NORMAL.format('text')} AS said FROM documents WHERE text <> ''),
+f AS (SELECT project_id, file_key, id AS old, category = 'STANDARD_TEMPLATE' AS own FROM (SELECT *, row_number() OVER (PARTITION BY project_id, file_key ORDER BY id) AS k FROM sd WHERE file_key IS NOT NULL) WHERE k = 1),
+b AS (SELECT u.*, old, own FROM u LEFT JOIN f ON f.project_id = u.project_id AND f.file_key = u.file_key),
+m AS (SELECT project_id, max(pos) AS pos, file_key, arg_max(file_name, pos) AS file_name, arg_max(said, pos) AS said, any_value(old) AS old FROM b WHERE coalesce(own, true) GROUP BY project_id, file_key),
+n AS (SELECT project_id, pos, file_key, file_name, said FROM m WHERE old IS NULL UNION ALL SELECT project_id, pos, file_key, file_name, said FROM b WHERE NOT own),
+t AS (SELECT project_id, max(id) AS top FROM sd GROUP BY 1)
+SELECT s.project_id, s.id, s.category, s.file_key, coalesce(m.file_name, s.file_name) AS file_name, md5(coalesce(m.said, s.text_content)) AS said FROM sd s LEFT JOIN m ON m.old = s.id AND m.project_id = s.project_id
+UNION ALL SELECT n.project_id, coalesce(top, 0) + row_number() OVER (PARTITION BY n.project_id ORDER BY pos), 'STANDARD_TEMPLATE', file_key, file_name, md5(said) FROM n LEFT JOIN t ON t.project_id = n.project_id""")
+def upload_templates(spark, d):
+    """Each text is sent as a template's file to the project of its source."""
+    names = one_of(["ntt.txt", "sct.txt", "scc.txt"], F.col("doc_id") % 3)
+    files = table(spark, d, "documents").select(F.col("source").alias("project_id"), F.col("doc_id").alias("pos"), names.alias("file_name"), F.col("text").cast("binary").alias("content"))
+    done = upload.templates(source_documents(spark, d), upload.received(files, upload.TEMPLATE, "root"))
+    return done.select("project_id", "id", "category", "file_key", "file_name", F.md5(F.col("text_content").cast("binary")).alias("said"))
+
+
 # ---- whole flows, on stand-in providers
 
 

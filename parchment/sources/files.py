@@ -68,8 +68,8 @@ def parse_text(data: bytes) -> str:
 BUILT_IN: dict[str, Parser] = {"docx": parse_docx, "eml": parse_mail, "emlx": parse_mail}
 
 
-def parse(files: DataFrame, plugins: dict[str, Parser] | None = None) -> DataFrame:
-    """files (path, content) as path, file_name, extension, parse_status, parse_message, text_content."""
+def parse(files: DataFrame, plugins: dict[str, Parser] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """files (path, content) as path, file_name, extension, parse_status, parse_message, text_content, and the columns to keep."""
     parsers = {**BUILT_IN, **{k: None for k in ("pdf", "doc", "msg")}, **(plugins or {})}
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,10 +83,11 @@ def parse(files: DataFrame, plugins: dict[str, Parser] | None = None) -> DataFra
                     found.append(("PARSED", "", parser(bytes(data))))
                 except Exception as e:  # noqa: BLE001  a bad file must not end the job
                     found.append(("FAILED", f"{type(e).__name__}: {e}"[:300], ""))
-            yield pd.DataFrame({"path": rows.path, "file_name": rows.file_name, "extension": rows.extension, "parse_status": [x[0] for x in found], "parse_message": [x[1] for x in found], "raw": [x[2] for x in found]})
+            yield pd.DataFrame({"path": rows.path, "file_name": rows.file_name, "extension": rows.extension, "parse_status": [x[0] for x in found], "parse_message": [x[1] for x in found], "raw": [x[2] for x in found]}).assign(**{c: rows[c] for c in keep})
 
-    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content").withColumn("extension", F.lower(F.regexp_extract("file_name", r"\.([^.]*)$", 1)))
-    raw = named.mapInPandas(over, "path string, file_name string, extension string, parse_status string, parse_message string, raw string")
+    named = files.select("path", *keep, F.element_at(F.split("path", "/"), -1).alias("file_name"), "content").withColumn("extension", F.lower(F.regexp_extract("file_name", r"\.([^.]*)$", 1)))
+    kept = "".join(f", `{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
+    raw = named.mapInPandas(over, "path string, file_name string, extension string, parse_status string, parse_message string, raw string" + kept)
     pieces = F.split("raw", "\x00")
     html = F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("html")), p).otherwise(p))
     marked = F.array_join(F.transform(html, lambda p, i: F.when((i > 0) & (F.get(pieces, i - 1) == "html"), strip_html(p)).when(p == "html", "").otherwise(p)), "")

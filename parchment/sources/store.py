@@ -52,3 +52,8 @@ class Store:
                 for column, value in equal.items():
                     match = match & F.coalesce(F.col(column) == value, F.lit(False))
                 self.write(name, rows.where(~match))
+
+    def prune(self, name: str, keep: int = 2) -> None:
+        """Delete all but the newest complete snapshots; a reader that still holds an older one fails."""
+        for version in self._versions(name)[: -max(1, keep)]:
+            self.fs.delete(self.path(f"{self.root}/{name}/v{version}"), True)

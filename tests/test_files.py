@@ -49,7 +49,9 @@ def test_store(spark, tmp_path):
     store.upsert("t", spark.createDataFrame([("p", 1, "z"), ("p", 3, "c")], "project_id string, id long, v string"), ["id"])
     assert sorted((r.id, r.v) for r in store.read("t").collect()) == [(1, "z"), (2, "b"), (3, "c")]
     store.delete(["t", "none"], project_id="p")
+    store.prune("t")
     assert [r.id for r in store.read("t").collect()] == [2]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v2", "v3"]
 
 
 def test_stream(spark, tmp_path):
