@@ -77,6 +77,28 @@ def apart(df: DataFrame, outputs: Iterable[str] = ()) -> tuple[list[str], Callab
     return ["`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() not in gone], lambda name: mark + name
 
 
+#: Bits of the largest map that among() broadcasts: 32 MB.
+MAP_BITS = 28
+
+
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows whose key, a long, is among ids (one column, a stored table, without nulls), and a few others: what a join on the key needs, so that
+    other rows are not shuffled. Hashed ids set bits of a map, 16 bits for each id and MAP_BITS at most, in pieces of 4 kB that
+    are broadcast. Beyond an id a bit the map would tell little, and all rows stay."""
+    n = ids.count()
+    bits = min(max(15, (n * 16).bit_length()), MAP_BITS)
+    if n > 1 << bits:
+        return rows
+    own = apart(rows)[1]
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << bits))
+    at, of = place(F.col(key)), place(F.col(ids.columns[0]))
+    pieces = ids.groupBy(F.shiftright(of, 15).alias(own("piece"))).agg(F.bitmap_construct_agg(of.bitwiseAND(F.lit(32767))).alias(own("map")))
+    byte = F.substring(F.col(own("map")), F.shiftright(at.bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))
+    found = rows.join(F.broadcast(pieces), F.shiftright(at, 15) == F.col(own("piece")))
+    hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return found.where(hit).select(*apart(rows)[0])
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
