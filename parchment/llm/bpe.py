@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from parchment.llm.common import apart, parts
 
 #: Pre-tokens kept by a worker; a full cache takes no more.
-CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
+CACHE_ENTRIES, CACHE_LENGTH = 100_000, 64
 BASE = 0x100
 
 

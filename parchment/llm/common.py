@@ -104,7 +104,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
-def parts(texts: pa.Array, rows: int = 1024, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def release() -> None:
+    """Give what Arrow and numpy have freed back to the system: an executor's Python workers live on beside later stages."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def parts(texts: pa.Array, rows: int = 512, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Start and length of runs of a batch: up to `rows` texts of up to `size` bytes together, or one longer text."""
     start = held = 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
@@ -114,6 +120,7 @@ def parts(texts: pa.Array, rows: int = 1024, size: int = 8 << 20) -> Iterator[tu
         held += n or 0
     if len(texts):
         yield start, len(texts) - start
+    release()
 
 
 def parts_for(spark: SparkSession) -> int:

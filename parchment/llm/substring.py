@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchment.llm.common import apart
+from parchment.llm.common import apart, release
 
 WINDOW = 20
 #: Text in a chunk, and text whose words' values make up a bucket.
@@ -89,6 +89,7 @@ class Chunk:
     """The words of a chunk's documents and the places of its windows."""
 
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int):
+        release()  # of the chunk before
         self.window, self.block = window, window // 2
         self.words = [(t or "").encode().split() for t in texts.to_pylist()]
         self.ids = np.array([NO_ID if i is None else i for i in ids.to_pylist()], np.int64)
