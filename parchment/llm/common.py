@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space; in Python ``bytes.split()`` gives the same words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,5 +124,18 @@ def parts(texts: pa.Array, rows: int = 512, size: int = 2 << 20) -> Iterator[tup
     release()
 
 
+def plainly(df: DataFrame, source: str, adds: dict[str, T.DataType], over: Callable[[Iterator[pa.RecordBatch], list[str], str], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df with the columns `adds`, which over(batches, columns to keep, column to read) gives in an Arrow stage. Columns of these names
+    are replaced. Names that Arrow stages can't take, with dots or backticks, are put back afterwards."""
+    gone = {a.lower() for a in adds}
+    kept = [c for c in df.columns if c.lower() not in gone]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    names = [f"c{i}" for i in range(len(kept))]
+    read = next((n for n, c in zip(names, kept) if c == source), "read")
+    inner = df.select(*[quoted(c).alias(n) for c, n in zip(kept, names)], *[quoted(source).alias(read)] * (read == "read"))
+    schema = T.StructType([*inner.schema.fields[: len(kept)], *[T.StructField(n, t) for n, t in adds.items()]])
+    return inner.mapInArrow(lambda batches: over(batches, names, read), schema).toDF(*kept, *adds)
+
+
 def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import bpe, chat, mixing, quality_model, quality_rules, sharding, simhash, substring, topk, toxicity
-from parchment.llm.common import table
+from parchment.llm import bpe, chat, mixing, periodic, quality_model, quality_rules, sharding, simhash, substring, topk, toxicity, whitening
+from parchment.llm.common import table, words
 from parchment.llm.labelled import held_out
 from parchment.llm.oracles import SQL  # noqa: F401
 
@@ -92,4 +92,34 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("query_id", "rank", "vec_id", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op4_substring_dedup, op5_sharding, op6_simhash, op7_mixing, op8_toxicity, op9_quality_model, op10_topk)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def with_period(docs: DataFrame) -> DataFrame:
+    """doc_id and text, whose words from a place on repeat with a period in a tenth of the documents, as op13's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, w = F.floor(h / 10).cast("long"), words(F.col("text"))
+    n = F.nullif(F.size(w).cast("long"), F.lit(0).cast("long"))
+    made = docs.select("doc_id", "text", w.alias("w"), n.alias("n"), (h % 10 == 0).alias("_chosen"), g.alias("g"), (g % n).alias("a"))
+    made = made.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    at, p, rest = F.col("a").cast("int"), F.col("p").cast("int"), (F.col("n") - F.col("a")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", at + 1, p), F.ceil(rest / p).cast("int"))), F.lit(1), rest)
+    text = F.when(F.col("_chosen") & F.col("n").isNotNull(), F.array_join(F.concat(F.slice("w", F.lit(1), at), again), " ")).otherwise(F.col("text"))
+    return made.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periodic.find(with_period(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return done.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op4_substring_dedup, op5_sharding, op6_simhash, op7_mixing, op8_toxicity, op9_quality_model, op10_topk, op11_whitening, op13_periodic_runs)}
