@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import bpe, chat, mixing, periodic, quality_model, quality_rules, sharding, simhash, substring, topk, toxicity, whitening
+from parchment.llm import bpe, chat, mixing, periodic, phrases, quality_model, quality_rules, sharding, simhash, substring, topk, toxicity, whitening
 from parchment.llm.common import table, words
 from parchment.llm.labelled import held_out
 from parchment.llm.oracles import SQL  # noqa: F401
@@ -96,6 +96,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = phrases.compare_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def with_period(docs: DataFrame) -> DataFrame:
     """doc_id and text, whose words from a place on repeat with a period in a tenth of the documents, as op13's contract says."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -122,4 +127,4 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op4_substring_dedup, op5_sharding, op6_simhash, op7_mixing, op8_toxicity, op9_quality_model, op10_topk, op11_whitening, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op3_chat_formatting, op4_substring_dedup, op5_sharding, op6_simhash, op7_mixing, op8_toxicity, op9_quality_model, op10_topk, op11_whitening, op12_phrase_fingerprints, op13_periodic_runs)}
