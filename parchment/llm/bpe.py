@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from parchment.llm.common import apart, parts
+from parchment.llm.common import parts, plainly
 
 #: Pre-tokens kept by a worker; a full cache takes no more.
 CACHE_ENTRIES, CACHE_LENGTH = 100_000, 64
@@ -121,20 +121,17 @@ class Codec:
 
 
 def _with_column(df: DataFrame, run, source: str, adds: dict[str, T.DataType]) -> DataFrame:
-    """df with the binary columns that run(batch) gives from its source column."""
-    kept = df.select(*apart(df, adds)[0])
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, t) for n, t in adds.items()]])
-    names = kept.columns
+    """df with the binary columns that run(column) gives from its source column."""
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def over(batches: Iterator[pa.RecordBatch], names: list[str], read: str) -> Iterator[pa.RecordBatch]:
         act = run()
         for batch in batches:
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            for at, n in parts(batch.column(batch.schema.get_field_index(source))):
+            for at, n in parts(batch.column(batch.schema.get_field_index(read))):
                 part = batch.slice(at, n)
-                yield pa.RecordBatch.from_arrays([*[a.slice(at, n) for a in arrays], *act(part)], [*names, *adds])
+                column = lambda name: part.column(part.schema.get_field_index(name))
+                yield pa.RecordBatch.from_arrays([*map(column, names), *act(column(read))], [*names, *adds])
 
-    return df.mapInArrow(over, schema)
+    return plainly(df, source, adds, over)
 
 
 def model_of(spark: SparkSession, path: str):
@@ -148,7 +145,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
 
     def run():
         codec = Codec(model.value, pattern)
-        return lambda batch: [pa.array([codec.encode(x.as_py()) for x in batch[text]], pa.binary())]
+        return lambda texts: [pa.array([codec.encode(x.as_py()) for x in texts], pa.binary())]
 
     return _with_column(df, run, text, {ids: T.BinaryType()})
 
@@ -159,7 +156,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", decode
 
     def run():
         codec = Codec(model.value, pattern)
-        return lambda batch: [pa.array([codec.decode(x.as_py() or b"") for x in batch[ids]], pa.binary())]
+        return lambda ids: [pa.array([codec.decode(x.as_py() or b"") for x in ids], pa.binary())]
 
     return _with_column(df, run, ids, {decoded: T.BinaryType()})
 
@@ -171,8 +168,8 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
     def run():
         codec = Codec(model.value, pattern)
 
-        def act(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [codec.encode(x.as_py()) for x in batch[text]]
+        def act(texts: pa.Array) -> list[pa.Array]:
+            found = [codec.encode(x.as_py()) for x in texts]
             return [pa.array(found, pa.binary()), pa.array([codec.decode(x) for x in found], pa.binary())]
 
         return act

@@ -70,6 +70,11 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def quoted(name: str) -> Column:
+    """A column of any name, with dots or backticks too."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def apart(df: DataFrame, outputs: Iterable[str] = ()) -> tuple[list[str], Callable[[str], str]]:
     """The columns of df that stay beside an operator's outputs, quoted, and names for its own columns that none of them has."""
     gone, mark = {o.lower() for o in outputs}, "_"
@@ -129,7 +134,6 @@ def plainly(df: DataFrame, source: str, adds: dict[str, T.DataType], over: Calla
     are replaced. Names that Arrow stages can't take, with dots or backticks, are put back afterwards."""
     gone = {a.lower() for a in adds}
     kept = [c for c in df.columns if c.lower() not in gone]
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     names = [f"c{i}" for i in range(len(kept))]
     read = next((n for n, c in zip(names, kept) if c == source), "read")
     inner = df.select(*[quoted(c).alias(n) for c, n in zip(kept, names)], *[quoted(source).alias(read)] * (read == "read"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parchment.llm.common import apart, stored, words
+from parchment.llm.common import apart, quoted, stored, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLICE_DIGITS = 3  # 4,096 slices
@@ -101,4 +101,4 @@ def repeat(mixed: DataFrame, columns: list[str], text: str = "text") -> DataFram
     first = apart(mixed)[1]("first")
     cut = F.when(F.col(first) < 0, F.col(text)).otherwise(F.array_join(F.slice(words(F.col(text)), 1, F.greatest(F.col(first), F.lit(1))), " "))
     out = mixed.select("*", F.explode(copies).alias(first)).withColumn(text, cut)
-    return out.select(*columns)
+    return out.select(*map(quoted, columns))

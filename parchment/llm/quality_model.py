@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from parchment.llm.common import apart, parts
+from parchment.llm.common import parts, plainly
 from parchment.llm.labelled import fitted, sample, shift
 
 DIMS = 1 << 20
@@ -126,15 +126,13 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds score (0 to 1)."""
-    rows = docs.select(*apart(docs, ("score",))[0])
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    held, names = docs.sparkSession.sparkContext.broadcast(model), schema.names
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def over(batches: Iterator[pa.RecordBatch], names: list[str], read: str) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in parts(batch.column(batch.schema.get_field_index(text))):
+            for at, n in parts(batch.column(batch.schema.get_field_index(read))):
                 part = batch.slice(at, n)
-                scores = held.value.score(part.column(part.schema.get_field_index(text)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names)
+                column = lambda name: part.column(part.schema.get_field_index(name))
+                yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(held.value.score(column(read).to_pylist()), pa.float64())], [*names, "score"])
 
-    return rows.mapInArrow(over, schema)
+    return plainly(docs, text, {"score": T.DoubleType()}, over)

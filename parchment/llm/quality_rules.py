@@ -30,6 +30,16 @@ PHRASES = "|".join(
         r"jetzt (?:anmelden|registrieren|abonnieren)|hier klicken|hier anmelden|mehr lesen",
         r"(?:utiliza|usa|aceptar|acepta) (?:las )?cookies|política de (?:privacidad|cookies)|todos los derechos reservados|(?:términos|condiciones) de uso",
         r"aviso legal|iniciar sesión|regístrate|suscríbete|haga clic aquí|leer más",
+        # notices: given out under a licence, whatever its name, or under one that goes by its letters
+        *(
+            rf"(?:{verbs}) (?:{under}) .{{0,60}}?(?:{name}|CC[ -]BY[-A-Z0-9. ]*|CC0|[AL]?GPL[-v0-9.]*|MIT|BSD|Creative Commons)|{alone}"
+            for verbs, under, name, alone in (
+                (r"licen[cs]ed|released|distributed|published|provided|available|shared", "under", r"licen[cs]es?", r"licen[cs]ed (?:under|to you)|spdx-license-identifier"),
+                (r"(?:licencié|publié|distribué|diffusé|proposé)e?s?|disponibles?", "sous|selon", "licences?", r"sous (?:la )?licence"),
+                (r"lizenziert|veröffentlicht|verfügbar|bereitgestellt|steht|stehen", "unter", r"\p{L}*lizenz(?:en)?", r"lizenziert unter"),
+                (r"(?:licenciad|publicad|distribuid|ofrecid)[oa]s?|disponibles?", "bajo", "licencias?", r"bajo (?:la |una )?licencia"),
+            )
+        ),
     )
 )
 BOILERPLATE = rf"(?iu)(?<!\p{{L}})(?:{PHRASES})(?!\p{{L}})"

@@ -188,9 +188,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     if window < 2 or window % 2:
         raise ValueError("a window is an even number of words")
     outputs = {"n_words": T.LongType(), "n_removed": T.LongType(), "removed": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])), "kept_text": T.StringType()}
-    keep, own = apart(docs, outputs)
-    rows, dealt = docs.select(*keep), own("chunk")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    keep = apart(docs, outputs)[0]
+    kept_names = [c for c in docs.columns if c.lower() not in outputs]
+    # Arrow stages take no names with dots or backticks
+    rows = docs.select(*keep).toDF(*[f"c{i}" for i in range(len(keep))])
+    key, text = (f"c{kept_names.index(c)}" for c in (key, text))
+    dealt = "chunk"
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks, bits = max(1, math.ceil(size / chunk_bytes)), math.ceil(math.log2(max(2, size / bucket_bytes)))
     held = rows.withColumn(dealt, F.pmod(F.xxhash64(key, text), F.lit(chunks)).cast("int"))
     fields, names = rows.schema.fields, rows.columns
@@ -284,4 +288,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     hits = by_chunk.applyInArrow(send_probes, _SENT).groupBy("bucket").applyInArrow(find_hits, _SENT)
     asked = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, _SENT)
     answers = asked.groupBy("bucket").applyInArrow(find_first, _SENT)
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(remove, schema)
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(remove, schema).toDF(*kept_names, *outputs)

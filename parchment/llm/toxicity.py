@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from parchment.llm.common import WORD, apart, parts
+from parchment.llm.common import WORD, parts, plainly
 from parchment.llm.labelled import fitted, sample, shift
 
 #: Words of a segment: segments of all texts are passed side by side.
@@ -408,17 +408,17 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2
 def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """Adds score (0 to 1) and toxic_spans (start, end in characters)."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    rows = docs.select(*apart(docs, ("score", "toxic_spans"))[0])
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", span)])
-    held, names = docs.sparkSession.sparkContext.broadcast(model), schema.names
+    held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    adds = {"score": T.DoubleType(), "toxic_spans": span}
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def over(batches: Iterator[pa.RecordBatch], names: list[str], read: str) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(held.value)
         for batch in batches:
-            for at, n in parts(batch.column(batch.schema.get_field_index(text))):
+            for at, n in parts(batch.column(batch.schema.get_field_index(read))):
                 part = batch.slice(at, n)
-                scores, spans = tagger.documents(part.column(part.schema.get_field_index(text)).to_pylist(), limit)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], names)
+                column = lambda name: part.column(part.schema.get_field_index(name))
+                scores, spans = tagger.documents(column(read).to_pylist(), limit)
+                yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(scores, pa.float64()), pa.array(spans, kind)], [*names, *adds])
 
-    return rows.mapInArrow(over, schema)
+    return plainly(docs, text, adds, over)

@@ -59,11 +59,12 @@ def test_documents(spark):
     assert kept(spark, rows + rows) == sorted(i for i, r in brute(rows).items() if i == r)
 
 
-@pytest.mark.parametrize("tile", [512, 8])
-def test_groups(spark, tile):
+@pytest.mark.parametrize(("tile", "wide"), [(512, 4096), (8, 4096), (8, 1), (512, 10)])
+def test_groups(spark, tile, wide):
+    """Whole groups, groups in tiles, groups by their buckets."""
     rows = varied(3, 8, 40) + [(900, None), (901, " \t"), (902, "One two"), (903, "one  TWO"), (904, "one three"), (904, "one two")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.node: r.root for r in J.copies(df, tile).collect()}
+    got = {r.node: r.root for r in J.copies(df, tile, wide).collect()}
     want = brute([r for r in rows if r[0] < 900]) | {900: 900, 901: 900, 902: 902, 903: 902, 904: 902}
     assert {i: got.get(i, i) for i in want} == want and len({*want.values()}) < len(want)
     assert J.copies(df.limit(0), tile).count() == 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from parchment.llm import bpe, chat, mixing, quality_model, quality_rules, sharding, simhash, substring, topk, toxicity
+from parchment.llm import bpe, chat, mixing, periodic, phrases, quality_model, quality_rules, sharding, simhash, substring, topk, toxicity
 from parchment.llm.common import scratch
 from tests.oracle import DATA
 
@@ -23,6 +23,8 @@ def rows(spark, extra):
 ACTS = {
     "bpe": lambda df: bpe.round_trip(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids="i_", decoded="d_"),
     "quality_rules": quality_rules.clean,
+    "periodic": periodic.find,
+    "phrases": phrases.fingerprints,
     "sharding": lambda df: sharding.shard(df, limit=300),
     "substring": substring.dedup,
     "mixing": lambda df: mixing.mix(df, source="src"),
@@ -44,11 +46,15 @@ def test_columns_come_back(spark, name):
 
 
 def test_odd_names(spark):
-    """Names that have to be quoted, in column functions (Spark's own Arrow stages take none)."""
+    """Names that have to be quoted."""
     df = spark.createDataFrame([(1, TEXT, "s", 7, 8)], "doc_id long, text string, src string, `a.b` int, `a``b` int")
-    for name in ("quality_rules", "sharding", "mixing"):
-        r = ACTS[name](df).first().asDict()
-        assert (r["a.b"], r["a`b"]) == (7, 8)
+    for name, act in ACTS.items():
+        r = act(df).first().asDict()
+        assert (r["a.b"], r["a`b"]) == (7, 8), name
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40).withColumns({"a.b": F.lit(7), "a`b": F.lit(8)})
+    for name, stage in P.STAGES:
+        with scratch():
+            assert {(r["a.b"], r["a`b"]) for r in stage(spark, docs, DATA).collect()} == {(7, 8)}, name
 
 
 def test_dropped_columns(spark):

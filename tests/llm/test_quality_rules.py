@@ -1,6 +1,10 @@
 import random
+import re
 
-from parchment.llm.quality_rules import clean
+from pyspark.sql import functions as F
+
+from parchment.llm.quality_rules import LineRules, clean, failing
+from tests.oracle import DATA
 
 SCHEMA = "doc_id long, text string, kept string"
 GOOD = "\n".join(" ".join(f"{w}{i}" for w in ("plain", "words", "that", "nobody", "would", "call", "strange", "at", "all")) + "." for i in range(8))
@@ -41,3 +45,41 @@ def test_long_text_and_empty_table(spark):
     r = clean(spark.createDataFrame([(1, text, "")], SCHEMA)).first()
     assert r.n_words == r.n_repeat_words == 100_000 and r.base_failed
     assert clean(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+NOTICES = """Licensed under the Apache License, Version 2.0.
+This work is licensed under the GNU General Public License, version 3.
+Released under the MIT License.
+Licensed under CC BY-NC 4.0.
+All rights reserved.
+SPDX-License-Identifier: GPL-3.0-or-later
+Made available under Creative Commons terms.
+Ce texte est publié sous licence libre.
+Distribué selon les termes de la licence publique générale.
+Dieser Text ist unter CC BY-SA 4.0 verfügbar und lizenziert unter dieser.
+Veröffentlicht unter der freien Dokumentationslizenz.
+Este texto está publicado bajo la licencia MIT.
+Distribuido bajo CC BY 4.0.""".split("\n")
+PROSE = """He was released under the watch of his elder brother.
+The driver showed a licence that had expired years ago.
+Available under the counter were apples and old bread.
+Sie steht unter der alten Brücke und wartet dort.
+Vivía bajo la sombra de un árbol muy viejo y alto.
+Il dormait sous la table de la grande cuisine.""".split("\n")
+
+
+def test_notices(spark):
+    lines = spark.createDataFrame([(x, n) for n, group in enumerate((NOTICES, PROSE)) for x in group], "line string, prose int")
+    got = {r["line"]: r["why"] for r in lines.select("line", failing(F.col("line"), LineRules()).alias("why")).collect()}
+    assert [x for x in NOTICES if got[x] != "boilerplate"] == [] and [x for x in PROSE if got[x]] == []
+
+
+def test_planted_notices(spark):
+    """Every line of the table that gives out a licence, or reserves rights, fails; they are gone from the cleaned texts."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    planted = lines.where(F.col("line").rlike("(?i)licen[cs]e|licenced|rights reserved|copyright")).withColumn("why", failing(F.col("line"), LineRules()))
+    counts = {r["why"]: r["n"] for r in planted.groupBy("why").agg(F.count("*").alias("n")).collect()}
+    assert set(counts) == {"boilerplate"} and counts["boilerplate"] > 0
+    left = [r["cleaned_text"] for r in clean(docs).select("cleaned_text").collect()]
+    assert not any(re.search("(?i)licen[cs]e|rights reserved", t) for t in left)
