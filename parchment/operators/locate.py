@@ -2,47 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions.text import excerpt, find_loose, is_blank, page_at, trim
+from parchment.operators import grams
 
 
-def _flat(c: Column) -> Column:
-    return F.regexp_replace(c, r"\p{javaWhitespace}+", "")
-
-
-#: Needles of a project or file that meet a text together.
+#: Candidate needles that a text is asked for together.
 TOGETHER = 256
 
 
-def _hits(findings: DataFrame, docs: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+def _hits(findings: DataFrame, docs: DataFrame, on: list[str], within: str | None = None) -> tuple[DataFrame, DataFrame]:
     """findings (finding_id, needles, *on) against docs (doc_id, place, text, *on): needles of findings, and which documents hold them.
 
-    Each distinct needle of a project or file is looked for once, whoever asks for it. Needles meet a text in lists of
-    bounded size, so a text is copied once for each list, not for each needle. What leaves a row are the needles that the
-    text holds; where they stand is asked of those alone that a finding ends with. (An outer generator: Spark would compute
-    the array of another one a second time, for a filter on its size.)
+    Each distinct needle of a project is looked for once, whoever asks for it, in the texts that have its rarest q-gram
+    (`grams`). A text with candidates is sent to them once for each TOGETHER of them; what comes back are the needles that it
+    holds. within: a column of both; a needle that has a value there is looked for in documents of that value alone.
     """
-    asked = findings.select("finding_id", *on, F.posexplode("needles").alias("needle_pos", "needle")).where(~is_blank(F.col("needle")))
-    distinct = asked.select(*on, "needle").distinct().withColumn("_n", _flat(F.col("needle")))
-    sizes = distinct.groupBy(*on).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_lists"))
-    one = F.struct("needle", F.lower(trim(F.col("needle"))).alias("as_is"), F.lower("_n").alias("lower"), F.upper("_n").alias("upper"), _odd(F.col("_n")).alias("odd"))
-    lists = distinct.join(sizes, on).groupBy(*on, F.pmod(F.xxhash64("needle"), "_lists").alias("_list")).agg(F.collect_list(one).alias("_needles"))
-    flat = docs.select("doc_id", "place", *on, "text", _flat(F.col("text")).alias("_t"))
-    flat = flat.withColumns({"_as_is": F.lower("text"), "_lower": F.lower("_t"), "_upper": F.upper("_t"), "_odd": _odd(F.col("_t"))}).drop("_t")
-    # white space aside, then as it is, then as find_loose() takes white space
-    same = lambda n: F.contains(F.col("_lower"), n["lower"]) | ((F.col("_odd") | n["odd"]) & F.contains(F.col("_upper"), n["upper"]))
-    holds = lambda n: same(n) & (F.contains(F.col("_as_is"), n["as_is"]) | (find_loose(F.col("text"), n["needle"]) >= 0))
-    found = F.transform(F.filter("_needles", holds), lambda n: n["needle"])
-    held = flat.join(lists, on).select(*on, "doc_id", "place", F.explode_outer(found).alias("needle")).where(F.col("needle").isNotNull())
-    return asked, held
-
-
-def _odd(c: Column) -> Column:
-    """Whether letters are there that small and capital letters don't turn into each other."""
-    return F.coalesce(F.lower(F.upper(c)) != F.lower(c), F.lit(False))
+    scope = [*on, *([within] if within else [])]
+    asked = findings.select("finding_id", *scope, F.posexplode("needles").alias("needle_pos", "needle")).where(~is_blank(F.col("needle")))
+    distinct = asked.select(*scope, "needle").distinct().withColumnsRenamed({within: "_within"} if within else {})
+    pairs = grams.candidates(distinct, docs, on)
+    if within:
+        pairs = pairs.where(F.col("_within").isNull() | (F.col("_within") == F.col(within))).drop(within).withColumnRenamed("_within", within)
+    of = F.struct(*([within] if within else []), "needle")
+    one = F.struct(of.alias("of"), F.col("needle"), F.lower(trim(F.col("needle"))).alias("as_is"), grams.folded(F.col("needle")).alias("folded"))
+    sizes = pairs.groupBy("doc_id", "place", *on).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_lists"))
+    at = ["doc_id", "place", *on]
+    lists = pairs.join(sizes, at).groupBy(*at, F.pmod(F.xxhash64("needle"), "_lists").alias("_list")).agg(F.collect_list(one).alias("_needles"))
+    flat = docs.select(*at, "text", F.lower("text").alias("_as_is"), grams.folded(F.col("text")).alias("_folded"))
+    # as it is but for case, else as find_loose() takes case and white space; neither without the folded form
+    holds = lambda x: F.contains(F.col("_folded"), x["folded"]) & (F.contains(F.col("_as_is"), x["as_is"]) | (find_loose(F.col("text"), x["needle"]) >= 0))
+    found = F.transform(F.filter("_needles", holds), lambda x: x["of"])
+    # an outer generator: Spark would compute the array of another one a second time, for a filter on its size
+    held = flat.join(lists, at).select(*at, F.explode_outer(found).alias("_of")).where(F.col("_of").isNotNull())
+    return asked, held.select(*at, "_of.*")
 
 
 def _shown(places: DataFrame, docs: DataFrame, on: list[str]) -> DataFrame:
@@ -56,23 +55,32 @@ def _placed(docs: DataFrame) -> DataFrame:
     return docs if "place" in docs.columns else docs.withColumn("place", F.lit(0))
 
 
-def first_place(findings: DataFrame, docs: DataFrame, on: list[str]) -> DataFrame:
+def _asked_at(asked: DataFrame, held: DataFrame, scope: list[str]) -> DataFrame:
+    """asked with the columns of held, rows of the same scope and needle."""
+    other = held.withColumnsRenamed({c: f"_{c}" for c in (*scope, "needle")})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*scope, "needle")])
+    return asked.join(other, same).drop(*[f"_{c}" for c in (*scope, "needle")])
+
+
+def first_place(findings: DataFrame, docs: DataFrame, on: list[str], within: str | None = None) -> DataFrame:
     """One place for each finding: the earliest needle that any document holds, in the document of least place (if docs have
-    that column) and id."""
-    asked, held = _hits(findings, _placed(docs), on)
-    least = held.groupBy(*on, "needle").agg(F.min(F.struct("place", "doc_id")).alias("_at"))
-    own = asked.join(least, [*on, "needle"]).groupBy("finding_id", *on).agg(F.min(F.struct("needle_pos", "_at.doc_id", "needle")).alias("_row"))
+    that column) and id. within: findings that have a value there are looked for in documents of that value alone."""
+    scope = [*on, *([within] if within else [])]
+    asked, held = _hits(findings, _placed(docs), on, within)
+    least = held.groupBy(*scope, "needle").agg(F.min(F.struct("place", "doc_id")).alias("_at"))
+    own = _asked_at(asked, least, scope).groupBy("finding_id", *on).agg(F.min(F.struct("needle_pos", "_at.doc_id", "needle")).alias("_row"))
     return _shown(own.select("finding_id", *on, "_row.*"), docs, on).drop(*on)
 
 
-def first_documents(findings: DataFrame, docs: DataFrame, on: list[str], most: int = 3) -> DataFrame:
+def first_documents(findings: DataFrame, docs: DataFrame, on: list[str], most: int = 3, within: str | None = None) -> DataFrame:
     """The first documents, by place and id, that hold any needle; each with its place in the text.
 
     A document that is among a finding's first is among the first of each needle that it holds, so no more are kept.
     """
-    asked, held = _hits(findings, _placed(docs), on)
-    few = held.withColumn("_k", F.row_number().over(W.partitionBy(*on, "needle").orderBy("place", "doc_id"))).where(F.col("_k") <= most).drop("_k")
-    each = asked.join(few, [*on, "needle"]).groupBy("finding_id", "doc_id", "place", *on).agg(F.min(F.struct("needle_pos", "needle")).alias("_row"))
+    scope = [*on, *([within] if within else [])]
+    asked, held = _hits(findings, _placed(docs), on, within)
+    few = held.withColumn("_k", F.row_number().over(W.partitionBy(*scope, "needle").orderBy("place", "doc_id"))).where(F.col("_k") <= most).drop("_k")
+    each = _asked_at(asked, few, scope).groupBy("finding_id", "doc_id", "place", *on).agg(F.min(F.struct("needle_pos", "needle")).alias("_row"))
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("finding_id").orderBy("place", "doc_id"))).where(F.col("rank") <= most)
     return _shown(ranked.select("finding_id", "doc_id", "rank", *on, "_row.*"), docs, on).drop(*on)
 

@@ -31,9 +31,7 @@ def run(records: DataFrame, docs: DataFrame) -> DataFrame:
     kept = findings.accept(records).withColumn("finding_id", F.concat_ws("/", "project_id", "code"))
     asked = kept.select("finding_id", "project_id", "file_key", needles_of(F.col("quote"), F.col("location"), F.col("refs")).alias("needles"))
     texts = sourceset.reviewable(docs).select(F.col("id").alias("doc_id"), "place", "project_id", F.col("text_content").alias("text"), "file_key")
-    own = locate.first_place(asked.where("file_key IS NOT NULL"), texts, ["project_id", "file_key"])
-    rest = locate.first_place(asked.where("file_key IS NULL").drop("file_key"), texts.drop("file_key"), ["project_id"])
-    placed = kept.join(own.unionByName(rest), "finding_id", "left")
+    placed = kept.join(locate.first_place(asked, texts, ["project_id"], within="file_key"), "finding_id", "left")
     given = F.when(is_blank(F.col("page_no")), "P1").otherwise(F.col("page_no"))
     evidence = F.when(F.col("doc_id").isNull(), UNVERIFIED).otherwise(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"), F.lit(":"), nvl(F.col("page"))))
     columns = [c for c in kept.columns if c not in ("finding_id", "page_no")]
@@ -57,10 +55,9 @@ def evidence(found: DataFrame, docs: DataFrame) -> DataFrame:
     and hold one of its needles. A finding without one has no row."""
     asked = found.select(F.concat_ws("/", "project_id", "code").alias("finding_id"), "project_id", F.upper("file_key").alias("file_key"), needles(F.col("quote"), F.col("location"), F.col("refs"), F.col("expected")).alias("needles"))
     texts = docs.where(~is_blank(F.col("text_content"))).select(F.col("id").alias("doc_id"), "project_id", F.col("text_content").alias("text"), F.upper("file_key").alias("file_key"), F.concat(nvl(F.col("file_key")), F.lit(" · "), nvl(F.col("file_name"))).alias("label"))
-    named = ~is_blank(F.col("file_key"))
-    own = locate.first_documents(asked.where(named), texts.drop("label"), ["project_id", "file_key"])
-    rest = locate.first_documents(asked.where(~F.coalesce(named, F.lit(False))).drop("file_key"), texts.drop("file_key", "label"), ["project_id"])
-    return own.unionByName(rest).join(texts.select("doc_id", "label"), "doc_id").select("finding_id", "rank", "doc_id", "label", "page", "excerpt")
+    asked = asked.withColumn("file_key", F.when(~is_blank(F.col("file_key")), F.col("file_key")))
+    found = locate.first_documents(asked, texts.drop("label"), ["project_id"], within="file_key")
+    return found.join(texts.select("doc_id", "label"), "doc_id").select("finding_id", "rank", "doc_id", "label", "page", "excerpt")
 
 
 def document_of(found: DataFrame, docs: DataFrame) -> DataFrame:
