@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parchment.sources.scratch import among, apart, forget, parts_for, quoted, scratch, shared_dir, stored  # noqa: F401
+
 #: A word is a run of anything but ASCII white space; in Python ``bytes.split()`` gives the same words.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -22,98 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary
-    one; a cluster has no folder of that kind, so there it is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-#: Tables that stored() wrote in each scratch() that is open.
-_OPEN: list[list[DataFrame]] = []
+def words(text: Column) -> Column:
+    """The words of a text, in order; none for null."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Tables that are stored inside are deleted at the end: what is made of them has to be written by then."""
-    _OPEN.append([])
+def _trim() -> Callable[[int], int]:
     try:
-        yield
-    finally:
-        for df in _OPEN.pop():
-            forget(df)
-
-
-def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts lineage and survives lost executors. keep: the scratch()
-    around this one, if any, deletes it."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
-    if len(_OPEN) > keep:
-        _OPEN[-1 - keep].append(found)
-    return found
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a stored() table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def quoted(name: str) -> Column:
-    """A column of any name, with dots or backticks too."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def apart(df: DataFrame, outputs: Iterable[str] = ()) -> tuple[list[str], Callable[[str], str]]:
-    """The columns of df that stay beside an operator's outputs, quoted, and names for its own columns that none of them has."""
-    gone, mark = {o.lower() for o in outputs}, "_"
-    while any(c.lower().startswith(mark) for c in df.columns):
-        mark += "_"
-    return ["`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() not in gone], lambda name: mark + name
-
-
-#: Bits of the largest map that among() broadcasts: 32 MB.
-MAP_BITS = 28
-
-
-def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """rows whose key, a long, is among ids (one column, a stored table, without nulls), and a few others: what a join on the key needs, so that
-    other rows are not shuffled. Hashed ids set bits of a map, 16 bits for each id and MAP_BITS at most, in pieces of 4 kB that
-    are broadcast. Beyond an id a bit the map would tell little, and all rows stay."""
-    n = ids.count()
-    bits = min(max(15, (n * 16).bit_length()), MAP_BITS)
-    if n > 1 << bits:
-        return rows
-    own = apart(rows)[1]
-    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << bits))
-    at, of = place(F.col(key)), place(F.col(ids.columns[0]))
-    pieces = ids.groupBy(F.shiftright(of, 15).alias(own("piece"))).agg(F.bitmap_construct_agg(of.bitwiseAND(F.lit(32767))).alias(own("map")))
-    byte = F.substring(F.col(own("map")), F.shiftright(at.bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))
-    found = rows.join(F.broadcast(pieces), F.shiftright(at, 15) == F.col(own("piece")))
-    hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), at.bitwiseAND(F.lit(7)).cast("int")) == 1
-    return found.where(hit).select(*apart(rows)[0])
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # a C library without it
+        return lambda _: 0
 
 
-def words(text: Column) -> Column:
-    """The words of a text, in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+_TRIM = _trim()
 
 
 def release() -> None:
-    """Give what Arrow and numpy have freed back to the system: an executor's Python workers live on beside later stages."""
+    """Give what Arrow, numpy and Python have freed back to the system: an executor's Python workers live on beside later stages."""
     for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
         pool.release_unused()
+    _TRIM(0)
+
+
+#: Rows and bytes of a batch between the JVM and Python, where the session doesn't say.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: ten thousand of them, Spark's default, are a batch of 25 MB and more, held several times over by both sides."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def parts(texts: pa.Array, rows: int = 512, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
@@ -132,6 +71,7 @@ def parts(texts: pa.Array, rows: int = 512, size: int = 2 << 20) -> Iterator[tup
 def plainly(df: DataFrame, source: str, adds: dict[str, T.DataType], over: Callable[[Iterator[pa.RecordBatch], list[str], str], Iterator[pa.RecordBatch]]) -> DataFrame:
     """df with the columns `adds`, which over(batches, columns to keep, column to read) gives in an Arrow stage. Columns of these names
     are replaced. Names that Arrow stages can't take, with dots or backticks, are put back afterwards."""
+    small_batches(df.sparkSession)
     gone = {a.lower() for a in adds}
     kept = [c for c in df.columns if c.lower() not in gone]
     names = [f"c{i}" for i in range(len(kept))]
@@ -139,7 +79,3 @@ def plainly(df: DataFrame, source: str, adds: dict[str, T.DataType], over: Calla
     inner = df.select(*[quoted(c).alias(n) for c, n in zip(kept, names)], *[quoted(source).alias(read)] * (read == "read"))
     schema = T.StructType([*inner.schema.fields[: len(kept)], *[T.StructField(n, t) for n, t in adds.items()]])
     return inner.mapInArrow(lambda batches: over(batches, names, read), schema).toDF(*kept, *adds)
-
-
-def parts_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchment.llm.common import parts, parts_for, plainly, release
+from parchment.llm.common import parts, parts_for, plainly, release, small_batches
 
 KEPT, FEW, ROUNDS = 64, 16, 4
 #: Code points parsed together, and texts.
@@ -200,6 +200,7 @@ def beside_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """slice, guard, id, text in order within partitions: each row's next one by falling id (ties: falling hash of the text; null
     ids last) follows it, and the first row follows the last. A slice ends with a guard, a copy of the first row of the next
     slice. Texts are shuffled once; what the driver holds are a row for each slice."""
+    small_batches(spark)
     n = parts_for(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
     rows = _slices(rows, n)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchment.llm.common import apart, release
+from parchment.llm.common import apart, release, small_batches
 
 WINDOW = 20
 #: Text in a chunk, and text whose words' values make up a bucket.
@@ -58,9 +58,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES, _OTHER = _WordHashes(0), _WordHashes(1)
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -97,7 +94,7 @@ class Chunk:
         self.ends = np.cumsum(self.n)
         self.starts = self.ends - self.n
         total = int(self.ends[-1]) if len(self.ends) else 0
-        look = _HASHES.__getitem__
+        look = _WordHashes(0).__getitem__
         parts = [np.fromiter(map(look, w), np.uint64, len(w)) for w in self.words]
         self.values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
@@ -117,7 +114,7 @@ class Chunk:
 
     def _others(self, docs: np.ndarray) -> np.ndarray:
         """Second hashes of the words of these documents."""
-        out, look = np.zeros(len(self.values), np.uint64), _OTHER.__getitem__
+        out, look = np.zeros(len(self.values), np.uint64), _WordHashes(1).__getitem__
         for d in np.unique(docs).tolist():
             out[self.starts[d] : self.ends[d]] = np.fromiter(map(look, self.words[d]), np.uint64, len(self.words[d]))
         return out
@@ -190,6 +187,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     outputs = {"n_words": T.LongType(), "n_removed": T.LongType(), "removed": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])), "kept_text": T.StringType()}
     keep = apart(docs, outputs)[0]
     kept_names = [c for c in docs.columns if c.lower() not in outputs]
+    small_batches(docs.sparkSession)
     # Arrow stages take no names with dots or backticks
     rows = docs.select(*keep).toDF(*[f"c{i}" for i in range(len(keep))])
     key, text = (f"c{kept_names.index(c)}" for c in (key, text))
