@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -87,43 +88,64 @@ def json_items(c: Column) -> Column:
     return _by_batch(items, "array<string>", c)
 
 
-def ocr_lines(text: str | None) -> list[dict]:
-    """Lines of text in a recogniser's answer, depth first, eight levels deep: text, confidence, box."""
-    found: list[dict] = []
-
-    def first(node: dict, names: tuple[str, ...]):
-        return next((node[n] for n in names if node.get(n) is not None), None)
-
-    def box(node: dict) -> dict | None:
-        points = first(node, ("text_region", "text_box", "bbox", "points", "poly"))
-        try:
-            xy = [(float(p["x"]), float(p["y"])) if isinstance(p, dict) else (float(p[0]), float(p[1])) for p in points]
-        except (TypeError, ValueError, KeyError, IndexError):
-            return None
-        if not xy:
-            return None
-        x, y = zip(*xy)
-        return {"x": min(x), "y": min(y), "w": max(x) - min(x), "h": max(y) - min(y)}
-
-    def walk(node, depth: int) -> None:
-        if depth > 8:
-            return
+# Under which names a recogniser gives a line's text, how sure it is, and where the line stands, by preference.
+OCR_FIELDS = {
+    "text": ("text", "transcription", "rec_text"),
+    "confidence": ("confidence", "score", "rec_score"),
+    "bbox": ("text_region", "text_box", "bbox", "points", "poly"),
+}
+OCR_DEPTH = 8
+
+
+def _objects(root) -> Iterator[dict]:
+    """The objects of a value, each before those inside it; what stands under "text" is not entered."""
+    todo = [(root, 0)] if isinstance(root, (dict, list)) else []
+    while todo:
+        node, depth = todo.pop()
+        inner = node
         if isinstance(node, dict):
-            said = first(node, ("text", "transcription", "rec_text"))
-            if isinstance(said, str) and said.strip():
-                sure = first(node, ("confidence", "score", "rec_score"))
-                found.append({"text": said, "confidence": float(sure) if isinstance(sure, (int, float)) else 1.0, "bbox": box(node)})
-            for k, v in node.items():
-                if k != "text" and isinstance(v, (dict, list)):
-                    walk(v, depth + 1)
-        elif isinstance(node, list):
-            for v in node:
-                walk(v, depth + 1)
+            yield node
+            inner = [v for k, v in node.items() if k != "text"]
+        if depth < OCR_DEPTH:
+            todo += [(v, depth + 1) for v in reversed(inner) if isinstance(v, (dict, list))]
+
+
+def _number(x, otherwise: float) -> float:
+    """A number, or a string that reads as one."""
+    try:
+        return float(x) if isinstance(x, (bool, int, float, str)) else otherwise
+    except ValueError:
+        return otherwise
 
+
+def _corner(p) -> tuple[float, float] | None:
+    if isinstance(p, dict):
+        return (_number(p["x"], 0.0), _number(p["y"], 0.0)) if {"x", "y"} <= p.keys() else None
+    plain = isinstance(p, list) and len(p) >= 2 and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in p[:2])
+    return (float(p[0]), float(p[1])) if plain else None
+
+
+def _box(points) -> dict | None:
+    corners = [_corner(p) for p in points] if isinstance(points, list) else []
+    if not corners or None in corners:
+        return None
+    (x, w), (y, h) = ((min(v), max(v) - min(v)) for v in zip(*corners))
+    return {"x": x, "y": y, "w": w, "h": h}
+
+
+def ocr_lines(text: str | None) -> list[dict]:
+    """Lines of text in a recogniser's answer: text (a number's digits too), confidence (1 where it is none), box. A value that is no JSON has none."""
     try:
-        walk(json.loads(text or "null"), 0)
+        objects = _objects(json.loads(text or "null"))
     except ValueError:
         return []
+    found = []
+    for node in objects:
+        said, sure, place = (next((node[n] for n in names if node.get(n) is not None), None) for names in OCR_FIELDS.values())
+        if isinstance(said, bool):
+            said = str(said).lower()
+        if isinstance(said, (int, float, str)) and str(said).strip(_BLANKS):
+            found.append({"text": str(said), "confidence": _number(sure, 1.0), "bbox": _box(place)})
     return found
 
 

@@ -74,6 +74,7 @@ def match_file_key(file_name: Column) -> Column:
 
 
 def match_template_key(file_name: Column) -> Column:
+    # Parts of names and their keys, in this order.
     pairs = [(k.lower(), k) for k in TEMPLATE_KEYS]
     pairs += [("tenderers", "NTT"), ("notes", "NTT"), ("special condition of tender", "SCT"), ("tender condition", "SCT"), ("special condition", "SCC"), ("contract", "SCC")]
     return _first(F.lower(nvl(file_name)), pairs, F.lit("NTT"))
@@ -196,5 +197,5 @@ def choice_of(value: Column, options: Column) -> Column:
 def normalize_list(value: Column) -> Column:
     """Lines of a value as a JSON array; an array stays as it is."""
     v = trim(nvl(value))
-    lines = F.regexp_replace(F.regexp_replace(v, r"\\r\\n|\\n|\\r", "\n"), r"\r\n|\r", "\n")
-    return F.when(v == "", "[]").when(F.startswith(v, F.lit("[")), v).otherwise(F.to_json(F.filter(F.transform(F.split(lines, "\n"), trim), lambda x: x != "")))
+    lines = F.regexp_replace(F.regexp_replace(v, r"\\r\\n|\\n|\\r", "\n"), r"\r\n", "\n")
+    return F.when(v == "", "[]").when(F.startswith(v, F.lit("[")), value).otherwise(F.to_json(F.filter(F.transform(F.split(lines, "\n"), trim), lambda x: x != "")))

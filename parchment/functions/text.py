@@ -36,6 +36,7 @@ def normalize(c: Column) -> Column:
 
 
 def strip_html(c: Column) -> Column:
+    # What is replaced, in this order.
     out = nvl(c)
     for pattern, by in (
         (r"(?is)<(script|style)[^>]*>.*?</\1>", " "),
@@ -64,9 +65,9 @@ def anchor(c: Column) -> Column:
 
 
 def excerpt(c: Column, index: Column, before: int = 200, after: int = 520) -> Column:
-    """What stands around a place (from 0), with dots where it is cut."""
+    """What stands around a place (from 0), trimmed, with dots where it is cut."""
     start, end = F.greatest(F.lit(0), index - before), F.least(F.length(c), index + after)
-    return F.concat(F.when(start > 0, "…").otherwise(""), F.substring(c, start + 1, end - start), F.when(end < F.length(c), "…").otherwise(""))
+    return F.concat(F.when(start > 0, "...").otherwise(""), trim(F.substring(c, start + 1, end - start)), F.when(end < F.length(c), "...").otherwise(""))
 
 
 def truncate(c: Column, n: int, suffix: str | None = None) -> Column:

@@ -10,22 +10,28 @@ from parchment.operators import findings
 COLUMNS = ["project_id", "id", "role", "title", "content", "unknown_scope", "citations_json", "evidence_id", "created_at"]
 
 
+# The titles of answers.
+GROUNDED, UNKNOWN = "带依据的回答", "I don't know"
+
+
 def entries(answers: DataFrame, log: DataFrame) -> DataFrame:
-    """Rows to add to a log for answers (project_id, pos, question, grounded, answer, citations, scope): each question, then
-    the answer, whose words are kept only if it is grounded. Ids run on from the project's last one."""
+    """Rows to add to a log for answers (project_id, pos, question, grounded, answer, citations, scope, evidence_id): each question, then
+    the answer, whose words are kept only if it is grounded; both kinds name the first source. An answer with an error, if there
+    is such a column, adds nothing, its question included. Ids run on from the project's last one."""
     last = log.groupBy("project_id").agg(F.max("id").alias("_last"))
     null = F.lit(None).cast("string")
     asked = F.struct(F.lit("user").alias("role"), null.alias("title"), F.col("question").alias("content"), null.alias("unknown_scope"), null.alias("citations_json"), null.alias("evidence_id"))
-    first = F.get("citations", F.lit(0))
+    sure = F.coalesce("grounded", F.lit(False))
     told = F.struct(
         F.lit("assistant").alias("role"),
-        null.alias("title"),
-        F.when(F.col("grounded"), F.coalesce("answer", F.lit(""))).alias("content"),
-        F.when(~F.col("grounded"), F.col("scope")).alias("unknown_scope"),
+        F.when(sure, GROUNDED).otherwise(UNKNOWN).alias("title"),
+        F.when(sure, F.coalesce("answer", F.lit(""))).alias("content"),
+        F.when(~sure, F.col("scope")).alias("unknown_scope"),
         F.to_json("citations").alias("citations_json"),
-        F.when(F.col("grounded"), F.concat(F.lit("chunk:"), first)).alias("evidence_id"),
+        F.col("evidence_id"),
     )
-    rows = answers.select("project_id", F.col("pos").alias("_pos"), F.posexplode(F.array(asked, told)).alias("_turn", "_row"))
+    rows = answers.where("error IS NULL") if "error" in answers.columns else answers
+    rows = rows.select("project_id", F.col("pos").alias("_pos"), F.posexplode(F.array(asked, told)).alias("_turn", "_row"))
     rows = findings.numbered(rows.withColumn("_pos", F.col("_pos") * 2 + F.col("_turn")), "project_id", "_pos", to="_nth")
     return rows.join(last, "project_id", "left").select("project_id", (F.coalesce("_last", F.lit(0)) + F.col("_nth")).alias("id"), "_row.*", F.date_trunc("millisecond", F.current_timestamp()).alias("created_at"))
 

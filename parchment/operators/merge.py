@@ -41,12 +41,13 @@ def follow_default(stored: DataFrame, catalog: DataFrame, key: str, text: str, d
 
 def ensure_base(stored: DataFrame, projects: DataFrame) -> DataFrame:
     """Every project has each base variable; what the blueprint fixes follows it, values and confirmations stay."""
-    spec = F.array(*[F.struct(F.lit(k).alias("var_key"), F.lit(i).alias("_order"), F.lit(label).alias("_label"), F.lit(action).alias("_action"), F.lit(files).alias("_affects")) for i, (k, label, action, _, _, files) in enumerate(BASE_VARIABLES)])
+    spec = F.array(*[F.struct(F.lit(k).alias("var_key"), F.lit(i).alias("_order"), F.lit(label).alias("_label"), F.lit(action).alias("_action"), F.lit(files).alias("_affects"), F.lit(kind).cast("string").alias("_kind")) for i, (k, label, action, _, kind, files) in enumerate(BASE_VARIABLES)])
     wanted = projects.select("project_id").distinct().select("project_id", F.inline(spec))
     both = stored.join(wanted, ["project_id", "var_key"], "full_outer")
     fixed = F.col("_order").isNotNull()
     take = lambda new, old: F.when(fixed, F.col(new)).otherwise(F.col(old)).alias(old)
-    rest = [c for c in stored.columns if c not in ("project_id", "var_key", "sort_order", "label", "action", "affects", "scope", "confirmed")]
+    rest = [c for c in stored.columns if c not in ("project_id", "var_key", "sort_order", "label", "action", "affects", "scope", "confirmed", "kind")]
+    rest += [take("_kind", "kind")] * ("kind" in stored.columns)
     return both.select("project_id", "var_key", take("_order", "sort_order"), take("_label", "label"), take("_action", "action"), take("_affects", "affects"), F.when(fixed, "BASE").otherwise(F.col("scope")).alias("scope"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), *rest)
 
 

@@ -28,14 +28,16 @@ def markdown_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def fallback_document(variables: DataFrame, keys: list[str], contract_no: Column) -> DataFrame:
-    """For each project and file the confirmed points as markdown, for when a model gives no text."""
+    """For each project and file, one that no variable affects too, the confirmed points as markdown, for when a model gives no text."""
     spark = variables.sparkSession
     files = spark.createDataFrame([(k,) for k in keys], "doc_key string")
     held = variables.join(F.broadcast(files), affects_file(F.col("file_key"), F.col("affects"), F.col("doc_key")))
     point = F.concat(F.lit("- **"), nvl(F.col("label")), F.lit("**（"), nvl(F.col("action")), F.lit("）："), nvl(F.col("value_text")), F.lit("\n"))
     points = held.groupBy("project_id", "doc_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "var_key", point.alias("p")))), lambda x: x["p"]), "").alias("_points"))
-    head = F.concat(F.lit("## "), file_title(F.col("doc_key")), F.lit("\n\n**Contract No.** "), nvl(contract_no), F.lit("\n\n"))
-    return points.select("project_id", "doc_key", F.concat(head, "_points", F.lit("\n> 模型未返回正文，以上为按已确认变量生成的条款要点。\n")).alias("content"))
+    every = variables.groupBy("project_id").agg(F.min(contract_no).alias("_no")).select("*", F.explode(F.array(*map(F.lit, keys))).alias("doc_key"))
+    head = F.concat(F.lit("## "), file_title(F.col("doc_key")), F.lit("\n\n**Contract No.** "), nvl(F.col("_no")), F.lit("\n\n"))
+    points = every.join(points, ["project_id", "doc_key"], "left")
+    return points.select("project_id", "doc_key", F.concat(head, nvl(F.col("_points")), F.lit("\n> 模型未返回正文，以上为按已确认变量生成的条款要点。\n")).alias("content"))
 
 
 def download(title: Column, content: Column) -> Column:

@@ -21,42 +21,58 @@ def named(records: DataFrame) -> DataFrame:
     return keyed.where(~is_blank(key)).unionByName(blank.withColumn("var_key", F.format_string("VAR-%02d", "_nth")).drop("_nth"))
 
 
-def cleaned(records: DataFrame) -> DataFrame:
+def cleaned(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """A model's records (project_id, pos, key, scope, file_key, label, action, options, affects, value, source, confidence)
-    with settled keys; unsure file variables and invented base ones are gone, a later record of a key wins."""
+    with settled keys. Unsure file variables are gone, and those that call themselves base ones but have no base key; a later record of a key
+    wins. Base variables take all but their value from the blueprint. File variables stand from place 1000 on, each record of
+    one counting, but for those whose key is confirmed in `stored` (project_id, var_key, confirmed): they have no place."""
     spec = records.sparkSession.createDataFrame([(k, i, label, action, options, kind, affects) for i, (k, label, action, options, kind, affects) in enumerate(naming.BASE_VARIABLES)], "base_key string, base_pos int, base_label string, base_action string, base_options array<string>, base_kind string, base_affects string")
-    r = named(records)
-    r = r.join(F.broadcast(spec), F.lower("var_key") == F.lower("base_key"), "left")
+    r = named(records).join(F.broadcast(spec), F.lower("var_key") == F.lower("base_key"), "left")
     known = F.col("base_key").isNotNull()
-    r = r.where((F.coalesce("confidence", F.lit(0.8)) >= CONFIDENCE) | known).where(~(F.coalesce(F.col("scope"), F.lit("")) == "BASE") | known)
+    invented = (F.lower(nvl(F.col("scope"))) == "base") & ~known
+    r = r.where(((F.coalesce("confidence", F.lit(0.8)) >= CONFIDENCE) | known) & ~invented)
+    sure = F.lit(False)
+    if stored is not None:
+        confirmed = stored.where("confirmed").select("project_id", "var_key", F.lit(True).alias("_sure")).distinct()
+        r = r.join(confirmed, ["project_id", "var_key"], "left")
+        sure = F.coalesce("_sure", F.lit(False))
+    own_places = findings.numbered(r.where(~known & ~sure).select("project_id", "pos"), "project_id", "pos", to="_nth")
     own = [c for c in r.columns if c not in ("project_id", "var_key")]
-    r = r.groupBy("project_id", "var_key").agg(F.max_by(F.struct(*own), "pos").alias("_r")).select("project_id", "var_key", "_r.*")
-    value = F.when(known, naming.normalize_choice(F.col("value"), F.col("base_options"))).otherwise(F.col("value"))
-    options = F.when(known, F.col("base_options")).otherwise(F.col("options"))
-    own_places = findings.numbered(r.where(~known).select("project_id", "pos"), "project_id", "pos", to="_nth")
-    r = r.join(own_places, ["project_id", "pos"], "left")
-    return r.select(
+    last = r.groupBy("project_id", "var_key").agg(F.max_by(F.struct(*own), "pos").alias("_r")).select("project_id", "var_key", "_r.*")
+    last = last.join(own_places, ["project_id", "pos"], "left")
+    value, said = nvl(F.col("value")), F.lower(trim(nvl(F.col("action"))))
+    action = F.coalesce("base_action", F.when(said.isin(naming.ACTIONS), said), F.lit("fill"))
+    listed = F.when(F.col("base_kind") == "list", naming.normalize_list(value)).otherwise(value)
+    fitted = naming.choice_of(naming.normalize_choice(listed, F.col("base_options")), F.col("base_options"))
+    return last.select(
         "project_id",
         "var_key",
-        F.when(F.col("base_kind") == "list", naming.normalize_list(F.col("value"))).otherwise(F.col("value")).alias("value_text"),
-        F.when(F.size(options) > 0, naming.choice_of(value, options)).alias("choice"),
-        truncate(F.col("source"), 480, "\n...[已截断]").alias("source_ref"),
-        F.coalesce("base_label", "label").alias("label"),
-        F.coalesce("base_action", F.when(F.col("action").isin(naming.ACTIONS), F.col("action")), F.lit("fill")).alias("action"),
+        listed.alias("value_text"),
+        F.when(action == "choice", F.when(known, fitted).otherwise(value)).alias("choice"),
+        truncate(F.col("source"), 480, CUT).alias("source_ref"),
+        F.coalesce("base_label", truncate(F.col("label"), 480, CUT)).alias("label"),
+        action.alias("action"),
         F.coalesce("base_affects", naming.sanitize_affects(F.col("affects"))).alias("affects"),
         F.col("base_kind").alias("kind"),
-        naming.file_key(trim(F.col("file_key")), naming.TEMPLATE_KEYS).alias("file_key"),
-        F.when(known, F.col("base_pos")).otherwise(1000 + F.col("_nth") - 1).alias("sort_order"),
+        F.when(~known, naming.file_key(trim(F.col("file_key")), naming.TEMPLATE_KEYS)).alias("file_key"),
+        F.when(known, F.col("base_pos")).otherwise((999 + F.col("_nth")).cast("int")).alias("sort_order"),
         F.when(known, "BASE").otherwise("FILE").alias("scope"),
     )
 
 
-def reconcile(records: DataFrame, stored: DataFrame) -> DataFrame:
-    """stored (project_id, var_key, confirmed, VALUES) after a run: confirmed rows stay, found ones take new values, file
-    variables that were not found again go."""
-    found = cleaned(records)
-    merged = merge.upsert(stored, found, ["project_id", "var_key"], F.col("confirmed"), VALUES)
-    gone = merge.orphans(stored, found, ["project_id", "var_key"], ~F.coalesce(F.col("confirmed"), F.lit(False)) & (F.col("scope") != "BASE"))
+def reconcile(records: DataFrame, stored: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """stored (project_id, var_key, confirmed, VALUES) after a run: every project (of `projects`, or that is stored or spoken of) has
+    the base variables; confirmed rows stay, found ones take new values, file variables that were not found again go. A file
+    variable that is no choice keeps the choice that it had."""
+    of = projects if projects is not None else stored.select("project_id").unionByName(records.select("project_id"))
+    held = merge.ensure_base(stored, of)
+    blueprint = F.lower("var_key").isin([k.lower() for k, *_ in naming.BASE_VARIABLES])
+    held = held.withColumn("file_key", F.when(~blueprint, F.col("file_key")))
+    found = cleaned(records, held)
+    had = held.select("project_id", "var_key", F.col("choice").alias("_had"))
+    found = found.join(had, ["project_id", "var_key"], "left").withColumn("choice", F.when((F.col("scope") == "FILE") & (F.col("action") != "choice"), F.col("_had")).otherwise(F.col("choice"))).drop("_had")
+    merged = merge.upsert(held, found, ["project_id", "var_key"], F.col("confirmed"), VALUES)
+    gone = merge.orphans(held, found, ["project_id", "var_key"], ~F.coalesce(F.col("confirmed"), F.lit(False)) & (F.col("scope") != "BASE"))
     return merge.without(merged, gone, ["project_id", "var_key"]).withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
 
 
@@ -126,8 +142,8 @@ def create(stored: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def _settled(variables: DataFrame) -> DataFrame:
-    """Variables of projects that have none to confirm."""
-    open_ = variables.groupBy("project_id").agg(F.count_if(~F.col("confirmed")).alias("_open")).where("_open = 0").select("project_id")
+    """Variables of projects that have none to confirm; one that was never looked at is open."""
+    open_ = variables.groupBy("project_id").agg(F.count_if(~F.coalesce(F.col("confirmed"), F.lit(False))).alias("_open")).where("_open = 0").select("project_id")
     return variables.join(open_, "project_id")
 
 

@@ -38,7 +38,7 @@ def test_draft(spark):
     head, listed, template = got["p", "NTT"].split("\n\n")[:3]
     assert head == "Notes to Tenderers / C1" and template == "the template"
     assert [v["key"] for v in json.loads(listed)] == ["k0", "k1"]
-    assert got["p", "SCC"].startswith("## Special Conditions of Contract") and got["p", "SCT"] is None
+    assert got["p", "SCC"].startswith("## Special Conditions of Contract") and got["p", "SCT"].startswith("## Special Conditions of Tender")
     assert drafting.extraction_prompts(docs).first().prompt.count("the template") == 1
 
 
@@ -62,10 +62,10 @@ def test_parsed_again(spark):
 
 
 def test_log_goes_on(spark):
-    answers = spark.createDataFrame([("p", 5, "q?", False, None, ["a"], "tender")], "project_id string, pos long, question string, grounded boolean, answer string, citations array<string>, scope string")
+    answers = spark.createDataFrame([("p", 5, "q?", False, None, ["a"], "tender", "chunk:L", None), ("p", 6, "lost", None, None, None, None, None, 4203)], "project_id string, pos long, question string, grounded boolean, answer string, citations array<string>, scope string, evidence_id string, error int")
     log = spark.createDataFrame([("p", 9), ("r", 1)], "project_id string, id long")
     new = chatlog.entries(answers, log)
-    assert sorted((r.id, r.role, r.content, r.unknown_scope) for r in new.collect()) == [(10, "user", "q?", None), (11, "assistant", None, "tender")]
+    assert sorted((r.id, r.role, r.title, r.content, r.unknown_scope, r.evidence_id) for r in new.collect()) == [(10, "user", None, "q?", None, None), (11, "assistant", "I don't know", None, "tender", "chunk:L")]
     assert chatlog.clear(new, log.where("project_id = 'p'")).count() == 0
 
 
@@ -100,3 +100,39 @@ def test_embedder_sends_one_by_one_where_a_list_fails(monkeypatch):
 
     monkeypatch.setattr(providers.urllib.request, "urlopen", urlopen)
     assert providers.http_embed("http://x", "m")(["a", "bb"]) == [[1.0], [2.0]] and sent == [["a", "bb"], ["a"], ["bb"]]
+
+
+RECORDS = "project_id string, pos long, key string, scope string, file_key string, label string, action string, value string, affects string, source string, confidence double"
+
+
+def test_extraction_order(spark):
+    """Confirmed keys take no place, repeats take one each and the last one wins; invented base keys of any case go."""
+    rows = [
+        ("p", 1, "K1", "FILE", "NTT", "a", "fill", "v", None, None, 0.9),
+        ("p", 2, "K2", "file", "NTT", "b", " Choice", "pick me", None, None, None),
+        ("p", 3, "made", "base", None, "c", "fill", "v", None, None, 0.9),
+        ("p", 4, "K3", None, "sct", "d" * 600, "odd", None, "ntt,zz", "s" * 500, 0.9),
+        ("p", 5, "K2", "FILE", "NTT", "b2", "Choice", "other", None, None, 0.9),
+        ("p", 6, "fundingarrangement", "FILE", "SCC", "x", "fill", "tender b (both)", None, None, 0.0),
+        ("p", 7, "K4", "FILE", "NTT", "e", "fill", "v", None, None, 0.5),
+    ]
+    stored = spark.createDataFrame([("p", "K1", "FILE", "old", True), ("p", "K4", "FILE", "old", False), ("p", "K9", "FILE", "old", None)], "project_id string, var_key string, scope string, value_text string, confirmed boolean")
+    for c in ("choice", "source_ref", "label", "action", "affects", "kind", "file_key"):
+        stored = stored.withColumn(c, F.lit(None).cast("string"))
+    df = spark.createDataFrame(rows, RECORDS).withColumn("options", F.array().cast("array<string>"))
+    got = {r.var_key: r for r in drafting.reconcile(df, stored.withColumn("sort_order", F.lit(5))).collect()}
+    own = {k for k in got if k.startswith("K")}
+    assert own == {"K1", "K2", "K3"} and "made" not in got and len(got) == 3 + 8 + 1
+    assert (got["K1"].sort_order, got["K1"].value_text) == (5, "old")
+    assert (got["K2"].sort_order, got["K2"].choice, got["K2"].action, got["K2"].label) == (1002, "other", "choice", "b2")
+    assert (got["K3"].sort_order, got["K3"].file_key, got["K3"].action, got["K3"].value_text, got["K3"].affects) == (1001, "SCT", "fill", "", "NTT")
+    assert got["K3"].label.startswith("d" * 480) and not got["K3"].label.startswith("d" * 481) and got["K3"].source_ref.startswith("s" * 480)
+    base = got["fundingarrangement"]  # a row of its own, as keys are compared as they are
+    assert (base.scope, base.file_key, base.choice, base.sort_order, base.label) == ("BASE", None, "Tender B", 2, "Tender A / B Funding Arrangement")
+    assert {r.sort_order for k, r in got.items() if r.scope == "BASE" and k != "fundingarrangement"} == set(range(8))
+
+
+def test_unconfirmed_is_not_settled(spark):
+    rows = [("p", "a", "NTT", None, "A", "fill", "v", 1, None), ("q", "b", "NTT", None, "B", "fill", "v", 1, True)]
+    got = {(r.project_id, r.doc_key): r.content for r in drafting.generate(spark.createDataFrame(rows, VARIABLES), F.lit("C1")).collect()}
+    assert sorted(got) == [("q", "NTT"), ("q", "SCC"), ("q", "SCT")] and "- **B**" in got["q", "NTT"] and "**" not in got["q", "SCC"].split("C1")[1]

@@ -207,6 +207,10 @@ def test_blanks_around_a_file_key(spark):
 def test_ocr():
     said = '{"r": [{"text": "a", "score": 0.5, "bbox": [[1, 2], [3, 5]]}, {"rec_text": " "}, {"transcription": "b", "points": [{"x": 1, "y": 1}]}]}'
     assert jsontext.ocr_lines(said) == [{"text": "a", "confidence": 0.5, "bbox": {"x": 1.0, "y": 2.0, "w": 2.0, "h": 3.0}}, {"text": "b", "confidence": 1.0, "bbox": {"x": 1.0, "y": 1.0, "w": 0.0, "h": 0.0}}]
+    odd = '{"b": [{"text": 12.5, "score": "0.5", "points": [{"x": "1", "y": 2}]}, {"transcription": "x", "confidence": "much", "bbox": [[1]]}], "a": {"text": {"text": "in"}}, "c": {"text": true, "rec_score": 1}, "d": {"text": " "}}'
+    assert [(x["text"], x["confidence"], x["bbox"]) for x in jsontext.ocr_lines(odd)] == [("12.5", 0.5, {"x": 1.0, "y": 2.0, "w": 0.0, "h": 0.0}), ("x", 1.0, None), ("true", 1.0, None)]
+    deep = "[" * 8 + '{"text": "in"}' + "]" * 8
+    assert len(jsontext.ocr_lines(deep)) == 1 and jsontext.ocr_lines(f"[{deep}]") == []
     assert jsontext.ocr_lines(None) == jsontext.ocr_lines("{") == []
 
 
