@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.naming import BASE_KEYWORDS, DECISION_MARKERS
 from parchment.functions.text import CUT, is_blank, nvl, trim, truncate
+from parchment.operators import scan
 
 # Fixed values.
 HEADER = "\n\n===== 文件：{} · {} =====\n"
@@ -71,14 +72,23 @@ def evidence_shares(docs: DataFrame, budget: int = 8_000, least: int = 400) -> D
 
 
 def merged_spans(rows: DataFrame, key: list[str], start: str = "start", end: str = "end", tie: str = "pos") -> DataFrame:
-    """Overlapping or touching spans of a key as one: first start, last end, how many."""
-    order = W.partitionBy(*key).orderBy(start, tie)
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    new = (reach.isNull() | (F.col(start) > reach)).cast("int")
-    island = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """Overlapping or touching spans of a key as one: first start, last end, how many. Both scans run in slices of the order, so a
+    key may hold all rows."""
+    reached = scan.running(scan.sliced(rows, start), key, [start, tie], {"_reach": ("max", end)}, before=True)
+    new = (F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("int")
+    island = scan.running(reached.withColumn("_new", new), key, [start, tie], {"_island": ("sum", "_new")})
     return island.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
+def _few_merged(rows: DataFrame, key: str) -> DataFrame:
+    """merged_spans() of keys that have a bounded number of rows each: one window."""
+    order = W.partitionBy(key).orderBy("start", "pos")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    new = (reach.isNull() | (F.col("start") > reach)).cast("int")
+    island = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return island.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
+
+
 def marker_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", markers: list[str] | None = None, before: int = 300, after: int = 500, most: int = 400) -> DataFrame:
     """Merged spans around the markers of each text, the first `most` in order of markers and places."""
 
@@ -92,7 +102,7 @@ def marker_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", marke
     n = F.length(text)
     rows = docs.select(key, n.alias("_n"), F.posexplode(F.slice(spans, 1, most)).alias("pos", "_i"))
     rows = rows.select(key, "pos", F.greatest(F.lit(0), F.col("_i") - before).alias("start"), F.least(F.col("_n"), F.col("_i") + after).alias("end"))
-    return merged_spans(rows, [key])
+    return _few_merged(rows, key)
 
 
 def focused(docs: DataFrame, budget: int, text: str = "text", key: str = "doc_id", markers: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import naming
 from parchment.functions.text import dedupe_key, is_blank, truncate
+from parchment.operators import scan
 
 MAX_RISK = 10
 #: Rows of a project numbered in one slice; a project of any size spreads over slices.
@@ -91,6 +92,8 @@ def count_of(group: Column) -> Column:
 
 
 def report_rows(findings: DataFrame) -> DataFrame:
-    """Findings in order of their codes with `header`: true where the group differs from the one before."""
-    before = F.lag("group_key").over(W.partitionBy("project_id").orderBy("code"))
-    return findings.withColumn("header", ~F.col("group_key").eqNullSafe(before))
+    """Findings in order of their codes with `header`: true where the group differs from the one before. The row before is
+    looked up in slices of the order, so a project may hold all rows."""
+    held = F.struct(F.col("group_key").alias("g"))  # a value even where the group is null
+    rows = scan.running(scan.sliced(findings, "code"), ["project_id"], ["code"], {"_before": ("last", held)}, before=True)
+    return rows.withColumn("header", F.col("_before").isNull() | ~F.col("group_key").eqNullSafe(F.col("_before.g"))).drop("_before", "_slice")

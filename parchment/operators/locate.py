@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions.text import excerpt, find_loose, is_blank, page_at, trim
-from parchment.operators import grams
+from parchment.operators import grams, scan
 
 
 #: Candidate needles that a text is asked for together.
@@ -86,9 +86,10 @@ def first_documents(findings: DataFrame, docs: DataFrame, on: list[str], most: i
 
 
 def as_of(events: DataFrame, marks: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
-    """Each event with the value of its key's last mark at or before it: one union, one sort within keys, no join of ranges."""
+    """Each event with the value of its key's last mark at or before it: one union, one sort within slices of a key's time, what
+    the slices before end with carried in; no join of ranges, and a key may hold all rows."""
     e = events.withColumn("_at", F.col(at)).withColumn("_kind", F.lit(1)).withColumn("_value", F.lit(None).cast(marks.schema[value].dataType))
     m = marks.select(F.col(key), F.col(since).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_value"))
-    both = e.unionByName(m, allowMissingColumns=True)
-    last = F.last("_value", ignorenulls=True).over(W.partitionBy(key).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn(f"as_of_{value}", last).where("_kind = 1").drop("_at", "_kind", "_value")
+    both = scan.sliced(e.unionByName(m, allowMissingColumns=True), "_at")
+    done = scan.running(both, [key], ["_at", "_kind"], {f"as_of_{value}": ("last", "_value")})
+    return done.where("_kind = 1").drop("_at", "_kind", "_value", "_slice")
