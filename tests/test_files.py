@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from parchment.functions import naming
 from parchment.plans import advice, drafting
 from parchment.sources.files import parse, scan, thin
 from parchment.sources.store import Store
@@ -51,7 +52,7 @@ def test_store(spark, tmp_path):
     store.delete(["t", "none"], project_id="p")
     store.prune("t")
     assert [r.id for r in store.read("t").collect()] == [2]
-    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v2", "v3"]
+    assert store.versions("t") == [2, 3] and sorted(p.name for p in (tmp_path / "t").iterdir()) == ["data", "manifests"]
 
 
 def test_stream(spark, tmp_path):
@@ -72,9 +73,30 @@ def test_ask(spark):
     assert (row.chunk_index, row.page_no, row.anchor, row.file_label, row.point_id) == (0, "P3", "SCC 4.1", "NTT · n.txt", "1-0")
     asked = spark.createDataFrame([("p", "when?"), ("q", "what?"), ("p", " ")], "project_id string, question string")
     chat = lambda p: '{"grounded": true, "answer": "monthly", "citations": []}'
-    got = {r.project_id: r for r in advice.ask(asked, index, chat).collect()}
-    assert got["p"].answer == "monthly" and got["p"].citations == ["NTT · n.txt"]
-    assert not got["q"].grounded and got["q"].citations == [advice.NOTHING]
+    got = {(r.project_id, r.question): r for r in advice.ask(asked, index, chat).collect()}
+    first = got["p", "when?"]
+    assert first.answer == "monthly" and first.citations == ["NTT · n.txt"] and first.evidence_id == "chunk:NTT · n.txt" and first.sources[0].page_no == "P3" and first.error is None
+    assert got["q", "what?"].error == 4204 and got["p", ""].error == 4202 and got["p", ""].grounded is None and got["p", ""].citations is None
+
+    def down(prompt):
+        raise OSError("down")
+
+    assert [r.error for r in advice.ask(asked.limit(1), index, down).collect()] == [4203]
+    unsure = lambda p: '{"grounded": false, "missingReason": "not said"}'
+    r = advice.ask(asked.limit(1), index, unsure).first()
+    assert (r.grounded, r.title, r.unknown_scope, r.citations, r.answer) == (False, "I don't know", "fullset", ["NTT · n.txt", "not said"], None)
+
+
+def test_ask_without_hits(spark):
+    """A project whose chunks are too many to send whole, and none near the question: the model isn't asked."""
+    docs = spark.createDataFrame([("p", 1, "NTT", "n.txt", 3, "words " * 20_000)], "project_id string, id long, file_key string, file_name string, page_count int, text_content string")
+    index = advice.rebuild_index(docs).withColumn("embedding", F.transform("embedding", lambda x: F.lit(0.0).cast("float")))
+
+    def chat(prompt):
+        raise AssertionError("asked")
+
+    r = advice.ask(spark.createDataFrame([("p", "what?")], "project_id string, question string"), index, chat).first()
+    assert (r.grounded, r.citations, r.sources, r.evidence_id, r.error) == (False, [advice.NOTHING], [], None, None)
 
 
 def test_reconcile(spark):
@@ -92,6 +114,6 @@ def test_reconcile(spark):
         if c not in stored.columns:
             stored = stored.withColumn(c, F.lit(None).cast("int" if c == "sort_order" else "string"))
     got = {r.var_key: r for r in drafting.reconcile(spark.createDataFrame(said, schema), stored).collect()}
-    assert sorted(got) == ["billNos", "locked", "ownkey", "twoEnvelopeSystem", "worksType"]
+    assert sorted(got) == sorted([*(k for k, *_ in naming.BASE_VARIABLES), "locked", "ownkey"])
     assert got["locked"].value_text == "old" and got["ownkey"].affects == "NTT" and got["ownkey"].sort_order == 1000
     assert got["twoEnvelopeSystem"].choice == "是" and got["worksType"].sort_order == 1
