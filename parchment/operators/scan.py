@@ -59,9 +59,9 @@ def running(rows: DataFrame, key: list[str], order: list[Column | str], values:
     # the last row's value in a slice is that of the greatest place in it
     ranked = rows.withColumns({f"_v_{n}": c for n, c in columns.items()})
     if any(kind == "last" for kind, _ in values.values()):
-        ranked = ranked.withColumn("_nth", F.row_number().over(W.partitionBy(*key, slices).orderBy(*order)))
+        ranked = ranked.withColumn("_scan_nth", F.row_number().over(W.partitionBy(*key, slices).orderBy(*order)))
     own = ranked.withColumns({n: fold[kind](F.col(f"_v_{n}")).over(within) for n, (kind, _) in values.items()})
-    total = {"max": lambda v: F.max(v), "sum": lambda v: F.sum(v), "last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.col("_nth")))}
+    total = {"max": lambda v: F.max(v), "sum": lambda v: F.sum(v), "last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.col("_scan_nth")))}
     ends = ranked.groupBy(*key, slices).agg(*[total[kind](F.col(f"_v_{n}")).alias(f"_t_{n}") for n, (kind, _) in values.items()])
     across = W.partitionBy(*key).orderBy(slices).rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col(slices).alias("_k_slice"), *[fold[kind](F.col(f"_t_{n}")).over(across).alias(f"_c_{n}") for n, (kind, _) in values.items()])
@@ -69,4 +69,4 @@ def running(rows: DataFrame, key: list[str], order: list[Column | str], values:
     both = own.join(carried, same)
     join = {"max": lambda a, b: F.greatest(a, b), "sum": lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "last": lambda a, b: F.coalesce(a, b)}
     done = both.withColumns({n: join[kind](F.col(n), F.col(f"_c_{n}")) for n, (kind, _) in values.items()})
-    return done.drop("_k_slice", "_nth", *[f"_k_{k}" for k in key], *[f"{m}{n}" for n in values for m in ("_v_", "_t_", "_c_")])
+    return done.drop("_k_slice", "_scan_nth", *[f"_k_{k}" for k in key], *[f"{m}{n}" for n in values for m in ("_v_", "_t_", "_c_")])

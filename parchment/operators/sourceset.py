@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.naming import FILE_ORDER, TEMPLATE_KEYS
 from parchment.functions.text import is_blank, nvl
+from parchment.operators import scan
 from parchment.operators.findings import first_wins
 
 
@@ -50,14 +51,22 @@ def reviewable(docs: DataFrame) -> DataFrame:
 
 
 def listed_files(docs: DataFrame) -> DataFrame:
-    """Files of a project: one document for each key of supplements and packages, then templates of keys not seen; ranked."""
+    """Files of a project: one document for each key of supplements and packages, then templates of keys not seen; ranked. Keys without
+    a place in the fixed order follow it as they are first seen: those of supplements and packages by id, then templates. They are
+    counted in slices of ids, so a project may hold any number."""
     key = F.coalesce("file_key", F.concat(F.lit("OTHER:"), F.col("id")))
     own = first_wins(docs.where(F.col("category").isin("VETTING_SUPPLEMENT", "VETTING_PACKAGE")).withColumn("list_key", key), ["project_id", "list_key"], "id")
     templates = docs.where((F.col("category") == "STANDARD_TEMPLATE") & F.col("file_key").isNotNull()).withColumn("list_key", F.col("file_key"))
     new = first_wins(templates.join(own.select("project_id", "list_key"), ["project_id", "list_key"], "left_anti"), ["project_id", "list_key"], "id")
     generated = F.col("list_key").isin(TEMPLATE_KEYS)
-    both = own.unionByName(new)
-    return both.select("project_id", "list_key", "id", rank(F.col("list_key")).alias("rank"), generated.alias("generated"), ((F.col("parse_status") == "PARSED") | generated).alias("parsed"), F.coalesce("page_count", F.lit(0)).alias("page_count"))
+    both = own.withColumn("_phase", F.lit(0)).unionByName(new.withColumn("_phase", F.lit(1))).withColumn("_rank", rank(F.col("list_key")))
+    known, unknown = both.where(F.col("_rank") <= len(FILE_ORDER)), both.where(F.col("_rank") > len(FILE_ORDER))
+    counted = scan.running(scan.sliced(unknown, "id"), ["project_id", "_phase"], ["id"], {"_place": ("sum", F.lit(1))}).drop("_slice")
+    first = unknown.where("_phase = 0").groupBy("project_id").agg(F.count("*").alias("_before")).withColumnRenamed("project_id", "_project")
+    placed = counted.join(first, F.col("project_id").eqNullSafe(F.col("_project")), "left").drop("_project")
+    place = len(FILE_ORDER) + F.col("_place") + F.when(F.col("_phase") == 1, F.coalesce("_before", F.lit(0))).otherwise(0)
+    both = known.unionByName(placed.withColumn("_rank", place).select(known.columns))
+    return both.select("project_id", "list_key", "id", F.col("_rank").alias("rank"), generated.alias("generated"), ((F.col("parse_status") == "PARSED") | generated).alias("parsed"), F.coalesce("page_count", F.lit(0)).alias("page_count"))
 
 
 def placeholders(projects: DataFrame, files: DataFrame) -> DataFrame:

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from parchment.functions.naming import match_file_key
 
+#: Names that hold a key, or none.
 FILE_NAMES = [
-    "01_Notes to Tenderers (NTT).docx",
-    "03_Special Condition of Tender (SCT).docx",
-    "07_Special Conditions of Contract (SCC).docx",
-    "02_General Conditions of Tender (GCT).pdf",
-    "04_Form of Tender.pdf",
-    "05_Articles of Agreement.pdf",
-    "06_General Conditions of Contract (GCC).pdf",
-    "Specification Library.pdf",
-    "PSS - Preliminaries (PRE).docx",
+    "tender notes NTT r2.docx",
+    "rules of tender SCT.docx",
+    "our SCC, revised.docx",
+    "GCT 2020.pdf",
+    "FT to be filled.pdf",
+    "AA for signing.pdf",
+    "main GCC.pdf",
+    "specification of works.pdf",
+    "opening bills PRE.docx",
     "Draft.pdf",
     "Translation.docx",
     "memo.txt",

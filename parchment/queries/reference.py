@@ -272,8 +272,9 @@ def source_set_tiers(spark, d):
 own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, list_key ORDER BY id) AS k FROM o) WHERE k = 1),
 n AS (SELECT *, file_key AS list_key FROM sd WHERE category = 'STANDARD_TEMPLATE' AND file_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own WHERE own.project_id = sd.project_id AND own.list_key = sd.file_key)),
 new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, list_key ORDER BY id) AS k FROM n) WHERE k = 1),
-b AS (SELECT project_id, list_key, id, parse_status, page_count FROM own UNION ALL SELECT project_id, list_key, id, parse_status, page_count FROM new)
-SELECT project_id, list_key, id, CAST({_ORDER.format('list_key')} AS INTEGER) AS rank, list_key IN ('NTT', 'SCT', 'SCC') AS generated, parse_status = 'PARSED' OR list_key IN ('NTT', 'SCT', 'SCC') AS parsed, page_count FROM b""")
+b AS (SELECT project_id, list_key, id, parse_status, page_count, 0 AS phase FROM own UNION ALL SELECT project_id, list_key, id, parse_status, page_count, 1 FROM new),
+c AS (SELECT *, {_ORDER.format('list_key')} AS place, row_number() OVER (PARTITION BY project_id, {_ORDER.format('list_key')} = 10 ORDER BY phase, id) AS nth FROM b)
+SELECT project_id, list_key, id, CAST(CASE WHEN place = 10 THEN 9 + nth ELSE place END AS INTEGER) AS rank, list_key IN ('NTT', 'SCT', 'SCC') AS generated, parse_status = 'PARSED' OR list_key IN ('NTT', 'SCT', 'SCC') AS parsed, page_count FROM c""")
 def listed_files(spark, d):
     return sourceset.listed_files(source_documents(spark, d)).withColumn("rank", F.col("rank").cast("int"))
 

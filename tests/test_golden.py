@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,20 @@ def test_chunk_sizes(spark):
     assert [[len(c) for c in g] for g in got] == [[602, 724, 422], [800, 800, 640]]
 
 
+def test_chunks_of_many_paragraphs(spark):
+    """Twenty thousand paragraphs; twice as many take about twice as long, not four times."""
+    said = "\n\n".join(f"paragraph {i} " + "x" * (i % 90) for i in range(20_000))
+    assert chunks(spark, [said])[0] == plain_chunks(said, 800, 120)
+    spent = []
+    for n in (10_000, 40_000):
+        text_ = "\n\n".join(f"paragraph {i}" for i in range(n))
+        df = spark.createDataFrame([(text_,)], "t string").select(F.size(split(F.col("t"))).alias("n"))
+        began = time.time()
+        df.collect()
+        spent.append(time.time() - began)
+    assert spent[1] < 9 * max(spent[0], 0.3)
+
+
 def plain_chunks(said: str, size: int, overlap: int) -> list[str]:
     """The rule on a list of paragraphs, by index."""
     edge = "".join(map(chr, range(33)))
