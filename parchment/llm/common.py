@@ -37,11 +37,12 @@ def _trim() -> Callable[[int], int]:
 _TRIM = _trim()
 
 
-def release() -> None:
-    """Give what Arrow, numpy and Python have freed back to the system: an executor's Python workers live on beside later stages."""
+def release(trim: bool = True) -> None:
+    """Give what Arrow and, trim, numpy and Python have freed back to the system: an executor's Python workers live on beside later stages."""
     for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
         pool.release_unused()
-    _TRIM(0)
+    if trim:
+        _TRIM(0)
 
 
 #: Rows and bytes of a batch between the JVM and Python, where the session doesn't say.

@@ -58,6 +58,9 @@ class _WordHashes(dict):
         return value
 
 
+_HASHES, _OTHER = _WordHashes(0), _WordHashes(1)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -86,7 +89,7 @@ class Chunk:
     """The words of a chunk's documents and the places of its windows."""
 
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int):
-        release()  # of the chunk before
+        release(trim=False)  # of the chunk before; what is given back to the system has to be asked for again for each chunk
         self.window, self.block = window, window // 2
         self.words = [(t or "").encode().split() for t in texts.to_pylist()]
         self.ids = np.array([NO_ID if i is None else i for i in ids.to_pylist()], np.int64)
@@ -94,7 +97,7 @@ class Chunk:
         self.ends = np.cumsum(self.n)
         self.starts = self.ends - self.n
         total = int(self.ends[-1]) if len(self.ends) else 0
-        look = _WordHashes(0).__getitem__
+        look = _HASHES.__getitem__
         parts = [np.fromiter(map(look, w), np.uint64, len(w)) for w in self.words]
         self.values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
@@ -114,7 +117,7 @@ class Chunk:
 
     def _others(self, docs: np.ndarray) -> np.ndarray:
         """Second hashes of the words of these documents."""
-        out, look = np.zeros(len(self.values), np.uint64), _WordHashes(1).__getitem__
+        out, look = np.zeros(len(self.values), np.uint64), _OTHER.__getitem__
         for d in np.unique(docs).tolist():
             out[self.starts[d] : self.ends[d]] = np.fromiter(map(look, self.words[d]), np.uint64, len(self.words[d]))
         return out
