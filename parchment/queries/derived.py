@@ -51,6 +51,12 @@ def _names(i, j, shape):
     return F.when(shape < 2, one_of(FILE_NAMES, (i + j) % 14)).otherwise(one_of(PLAIN_NAMES, j % 4))
 
 
+def paged(c: F.Column) -> F.Column:
+    """A text with a page's mark before every third line."""
+    mark = lambda x, i: F.when(i % 3 == 2, F.concat(F.lit("--- P"), F.floor((i + 1) / 3).cast("string"), F.lit(" ---\n"), x)).otherwise(x)
+    return F.array_join(F.transform(F.split(c, "\n"), mark), "\n")
+
+
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source_document: a project is a source."""
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
@@ -66,7 +72,7 @@ def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         _names(i, j, shape).alias("file_name"),
         F.when(j % 7 == 1, "FAILED").when(j % 7 == 2, "PENDING").otherwise("PARSED").alias("parse_status"),
         (1 + i % 12).cast("int").alias("page_count"),
-        F.when(j % 11 == 5, F.lit(" \n")).otherwise(F.col("text")).alias("text_content"),
+        F.when(j % 11 == 5, F.lit(" \n")).otherwise(paged(F.col("text"))).alias("text_content"),
     )
     return rows.withColumn("file_key", match_file_key(F.col("file_name")))
 
@@ -77,7 +83,7 @@ _FILE_NAME = f"CASE WHEN shape < 2 THEN {sql_one_of(FILE_NAMES, '(doc_id + j) %
 SOURCE_DOCUMENTS = f"""sd AS (SELECT *, {_KEY} AS file_key FROM (SELECT doc_id AS id, source AS project_id,
   CASE shape WHEN 0 THEN {sql_one_of(CATEGORIES[0], 'j % 4')} WHEN 3 THEN {sql_one_of(CATEGORIES[3], 'j % 4')} ELSE {sql_one_of(CATEGORIES[1], 'j % 4')} END AS category,
   {_FILE_NAME} AS file_name, CASE WHEN j % 7 = 1 THEN 'FAILED' WHEN j % 7 = 2 THEN 'PENDING' ELSE 'PARSED' END AS parse_status,
-  CAST(1 + doc_id % 12 AS INTEGER) AS page_count, CASE WHEN j % 11 = 5 THEN ' ' || chr(10) ELSE text END AS text_content FROM {_SHAPED}))"""
+  CAST(1 + doc_id % 12 AS INTEGER) AS page_count, CASE WHEN j % 11 = 5 THEN ' ' || chr(10) ELSE array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 0 THEN '--- P' || (i // 3) || ' ---' || chr(10) || x ELSE x END), chr(10)) END AS text_content FROM {_SHAPED}))"""
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

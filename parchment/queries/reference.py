@@ -693,9 +693,10 @@ a2 AS (SELECT project_id, code, file_key, unnest(range(len(l))) AS needle_pos, u
 a3 AS (SELECT *, '(?i)' || array_to_string(list_transform(list_filter(string_split(needle, ''), lambda c: NOT regexp_matches(c, '\s')), lambda c: '\s*' || regexp_replace(c, '([^A-Za-z0-9\x{{80}}-\x{{10FFFF}}])', '\\\1')), '') AS pattern FROM a2),
 a4 AS (SELECT n.project_id, code, needle_pos, t.place, t.id, instr(lower(t.text_content), lower(needle)) AS direct, instr(t.text_content, regexp_extract(t.text_content, pattern)) AS loose, regexp_matches(t.text_content, pattern) AS any_, length(t.text_content) - length(needle) AS last
   FROM a3 n JOIN reviewable t ON t.project_id = n.project_id AND (n.file_key IS NULL OR t.file_key = n.file_key)),
-a5 AS (SELECT *, row_number() OVER (PARTITION BY project_id, code ORDER BY needle_pos, place, id) AS k FROM a4 WHERE direct > 0 OR (any_ AND loose - 1 <= last)),
-found AS (SELECT a.* EXCLUDE (page_no), CASE WHEN h.id IS NULL THEN 'unverified' ELSE 'doc:' || h.id || ':' END AS evidence_id, CASE WHEN trim(coalesce(a.page_no, '')) = '' THEN 'P1' ELSE a.page_no END AS page_no, 'Open' AS status
-  FROM accepted a LEFT JOIN a5 h ON h.k = 1 AND h.project_id = a.project_id AND h.code = a.code)"""
+a5 AS (SELECT *, CASE WHEN direct > 0 THEN direct - 1 ELSE loose - 1 END AS idx, row_number() OVER (PARTITION BY project_id, code ORDER BY needle_pos, place, id) AS k FROM a4 WHERE direct > 0 OR (any_ AND loose - 1 <= last)),
+a6 AS (SELECT h.project_id, code, h.id, 'P' || list_last(regexp_extract_all(substr(t.text_content, 1, CAST(idx AS BIGINT)), '---\s*P(\d+)\s*---', 1)) AS page FROM a5 h JOIN reviewable t ON t.project_id = h.project_id AND t.id = h.id WHERE k = 1),
+found AS (SELECT a.* EXCLUDE (page_no), CASE WHEN h.id IS NULL THEN 'unverified' ELSE 'doc:' || h.id || ':' || coalesce(page, '') END AS evidence_id, coalesce(page, CASE WHEN trim(coalesce(a.page_no, '')) = '' THEN 'P1' ELSE a.page_no END) AS page_no, 'Open' AS status
+  FROM accepted a LEFT JOIN a6 h ON h.project_id = a.project_id AND h.code = a.code)"""
 
 
 @query(f"WITH {_RUN} SELECT * FROM found")
@@ -715,10 +716,10 @@ def vetting_list(spark, d):
     return vetting.listed(found, " ON ", group="conflict", scope="inter", file_key="all").select("project_id", "code", "group_key", "page_no")
 
 
-@query(f"WITH {_RUN} SELECT f.project_id, code, s.id AS document_id, s.file_name FROM found f JOIN sd s ON f.evidence_id = 'doc:' || s.id || ':' AND s.project_id = f.project_id")
+@query(f"WITH {_RUN} SELECT f.project_id, code, s.id AS document_id, s.file_name, nullif(split_part(f.evidence_id, ':', 3), '') AS page FROM found f JOIN sd s ON starts_with(f.evidence_id, 'doc:' || s.id || ':') AND s.project_id = f.project_id")
 def evidence_lookup(spark, d):
     docs = source_documents(spark, d)
-    return vetting.document_of(vetting.run(records(spark, d), docs), docs).select("project_id", "code", "document_id", "file_name")
+    return vetting.document_of(vetting.run(records(spark, d), docs), docs).select("project_id", "code", "document_id", "file_name", F.nullif("page", F.lit("")).alias("page"))
 
 
 @query(f"""WITH {ACCEPTED}, m AS (SELECT project_id, count(*) FILTER (group_key = 'reference') AS reference, count(*) FILTER (group_key = 'conflict') AS conflict, count(*) FILTER (group_key = 'language') AS language, count(*) FILTER (group_key = 'risk') AS risk, count(*) AS total, count(*) FILTER (scope = 'inter') AS cross_file FROM accepted GROUP BY 1),
