@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parchment.functions import jsontext, naming, text
-from parchment.operators import budget, chatlog, chunk, findings, locate, merge, providers, report, search, sourceset
+from parchment.operators import budget, chatlog, chunk, findings, locate, many, merge, providers, report, search, sourceset
 from parchment.plans import advice, drafting, upload, vetting
 from parchment.sources import files
 from parchment.queries.derived import ACCEPTED, RECORDS, SOURCE_DOCUMENTS, VARIABLES, one_of, records, source_documents, sql_one_of, table, variables
@@ -53,6 +53,18 @@ def knn_per_label(spark, d):
     return search.nearest_per_group(e, queries, "label", 20, 0.05).select("label", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""WITH q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS nth FROM embeddings) WHERE nth <= 3),
+s AS (SELECT a.label, b.vec_id AS query_id, a.vec_id, round({_COSINE}, 9) AS score FROM q b JOIN embeddings a ON a.label = b.label AND (b.nth <> 2 OR a.vec_id // 10 BETWEEN b.vec_id // 10 AND b.vec_id // 10 + 20))
+SELECT label, query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= -0.5) WHERE rank <= 10""")
+def knn_many(spark, d):
+    """Three questions for each label, the second of them among some documents only."""
+    e = table(spark, d, "embeddings").withColumn("document_id", F.floor(F.col("vec_id") / 10).cast("long"))
+    first = e.withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).where("nth <= 3")
+    few = F.when(F.col("nth") == 2, F.sequence(F.col("document_id"), F.col("document_id") + 20))
+    queries = first.select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), few.alias("documents"))
+    return many.nearest(e, queries, 10, -0.5, project="label").withColumn("score", F.round("score", 6))
+
+
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def vector_counts(spark, d):
     return search.counts(table(spark, d, "embeddings"), "label")
