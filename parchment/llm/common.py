@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parchment.sources.scratch import among, apart, forget, parts_for, quoted, scratch, shared_dir, stored  # noqa: F401
+from parchment.sources.scratch import among, apart, forget, parts_for, quoted, scratch, shared_dir, small_batches, stored  # noqa: F401
 
 #: A word is a run of anything but ASCII white space; in Python ``bytes.split()`` gives the same words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,17 +45,6 @@ def release(trim: bool = True) -> None:
         _TRIM(0)
 
 
-#: Rows and bytes of a batch between the JVM and Python, where the session doesn't say.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long: ten thousand of them, Spark's default, are a batch of 25 MB and more, held several times over by both sides."""
-    for key, value in BATCHES.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
-
-
 def parts(texts: pa.Array, rows: int = 512, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Start and length of runs of a batch: up to `rows` texts of up to `size` bytes together, or one longer text."""
     start = held = 0

@@ -1,7 +1,9 @@
-"""Needles by their rarest gram against find_loose() on every pair."""
+"""Needles by their keys against find_loose() on every pair."""
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from parchment.functions.text import find_loose
@@ -52,3 +54,42 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, project string, text string")
     asked = spark.createDataFrame([], "finding_id long, project string, needles array<string>")
     assert locate.first_place(asked, docs, ["project"]).collect() == []
+
+
+def test_first_documents_whose_form_alone_is_equal(spark):
+    """Documents whose folded text has the needle but that don't hold it come first: the next ones count."""
+    fillers = [(i, "p", "xx İ yy") for i in range(5)]
+    docs = spark.createDataFrame([*fillers, (7, "p", "here xx iyy"), (8, "p", "xx i  yy"), (9, "q", "xxiyy")], "doc_id long, project string, text string")
+    asked = spark.createDataFrame([(1, "p", ["xxiyy"]), (2, "p", ["　xx　iyy"])], "finding_id long, project string, needles array<string>")
+    every = [r[0] for r in docs.where((F.col("project") == "p") & (find_loose(F.col("text"), F.lit("xxiyy")) >= 0)).orderBy("doc_id").select("doc_id").collect()]
+    got = sorted((r["finding_id"], r["rank"], r["doc_id"]) for r in locate.first_documents(asked, docs, ["project"]).collect())
+    assert [d for f, _, d in got if f == 1] == every[:3] and 0 not in every
+    assert [r["doc_id"] for r in locate.first_place(asked, docs, ["project"]).where("finding_id = 1").collect()] == every[:1]
+
+
+def test_keys_in_texts():
+    """Every needle that a text holds, of any length, across slices and ends of texts; no other."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcé😀") for _ in range(rng.randrange(700))) for _ in range(30)] + ["", "a"]
+    needles = sorted({t[a : a + rng.choice([1, 2, 5, 7, 9, 30, 70, 200, 600])] for t in texts if t for a in (rng.randrange(len(t)) for _ in range(9))} | {"zz", "é" * 9})
+    n, keys, heads = grams.keys_of(needles, np.full(len(needles), 3))
+
+    def bits(values, size):
+        out = np.zeros(1 << size, np.uint8)
+        out[(values.view(np.uint64) >> np.uint64(64 - size)).astype(np.int64)] = 1
+        return out
+
+    for size in (64, 1 << 15):
+        grams.SLICE, before = size, grams.SLICE
+        docs, found = grams.keys_in(texts, np.full(len(texts), 3), sorted({*n.tolist()}), bits(heads, 18), np.packbits(bits(keys, 22), bitorder="little"))
+        grams.SLICE = before
+        got = {*zip(docs.tolist(), found.tolist())}
+        assert len(got) == len(docs)
+        assert all(((i, k) in got) == (x in t) for i, t in enumerate(texts) for x, k in zip(needles, keys.tolist()))
+
+
+def test_common_grams_of_a_rare_needle(spark):
+    """All texts have each five characters of the needle, one has the needle: one is asked."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("p").alias("project"), F.when(F.col("id") == 77, "abcdefghijkl").otherwise("abcdefgh efghijkl").alias("text"), F.lit(0).alias("place"))
+    pairs = grams.candidates(spark.createDataFrame([("p", "abcd EFGHijkl")], "project string, needle string"), docs, ["project"])
+    assert [r["doc_id"] for r in pairs.collect()] == [77]
