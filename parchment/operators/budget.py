@@ -80,38 +80,43 @@ def merged_spans(rows: DataFrame, key: list[str], start: str = "start", end: str
     return island.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
-def _few_merged(rows: DataFrame, key: str) -> DataFrame:
-    """merged_spans() of keys that have a bounded number of rows each: one window."""
-    order = W.partitionBy(key).orderBy("start", "pos")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    new = (reach.isNull() | (F.col("start") > reach)).cast("int")
-    island = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
-
-
-def marker_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", markers: list[str] | None = None, before: int = 300, after: int = 500, most: int = 400) -> DataFrame:
-    """Merged spans around the markers of each text, the first `most` in order of markers and places."""
+def _spans(text: Column, markers: list[str], before: int, after: int, most: int) -> Column:
+    """Merged spans (start, end, n) around the markers of a text, the first `most` in order of markers and places: what marker_spans() gives,
+    as an array in the text's row."""
 
     def places(marker: str) -> Column:
-        pieces, seed = F.split(F.col(text), f"\\Q{marker}\\E"), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        # no more than `most` of a marker can count, so what stands behind them is left in one piece
+        pieces, seed = F.split(text, f"\\Q{marker}\\E", most + 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
         step = lambda a, p: F.struct((a["at"] + F.length(p) + len(marker)).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out"))
-        ends = F.aggregate(pieces, seed, step)["out"]
-        return F.slice(ends, F.lit(1), F.size(ends) - 1)  # the last piece has no marker behind it
+        return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), seed, step)["out"]  # the last piece has no marker behind it
+
+    found = F.array_sort(F.slice(F.concat(*map(places, markers)), 1, most))
+    # all spans reach equally far, so in order of places both ends rise, and a gap is one between neighbours
+    apart = lambda a, i, j: F.get(a, i) - before > F.get(a, j) + after
+    clipped = lambda a: F.zip_with(
+        F.filter(F.transform(a, lambda x, i: F.when((i == 0) | apart(a, i, i - 1), F.struct(i.alias("i"), x.alias("x")))), lambda s: s.isNotNull()),
+        F.filter(F.transform(a, lambda x, i: F.when((i == F.size(a) - 1) | apart(a, i + 1, i), F.struct(i.alias("i"), x.alias("x")))), lambda s: s.isNotNull()),
+        lambda s, e: F.struct(F.greatest(F.lit(0), s["x"] - before).alias("start"), F.least(F.length(text), e["x"] + after).alias("end"), (e["i"] - s["i"] + 1).cast("long").alias("n")),
+    )
+    # an array of one: the places are computed once, however often they are looked at
+    return F.get(F.transform(F.array(found), clipped), F.lit(0))
 
-    spans = F.concat(*map(places, markers or DECISION_MARKERS))
-    n = F.length(text)
-    rows = docs.select(key, n.alias("_n"), F.posexplode(F.slice(spans, 1, most)).alias("pos", "_i"))
-    rows = rows.select(key, "pos", F.greatest(F.lit(0), F.col("_i") - before).alias("start"), F.least(F.col("_n"), F.col("_i") + after).alias("end"))
-    return _few_merged(rows, key)
+
+def marker_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", markers: list[str] | None = None, before: int = 300, after: int = 500, most: int = 400) -> DataFrame:
+    """Merged spans around the markers of each text, the first `most` in order of markers and places. Nothing leaves its row."""
+    return docs.select(key, F.inline(_spans(F.col(text), markers or DECISION_MARKERS, before, after, most)))
 
 
 def focused(docs: DataFrame, budget: int, text: str = "text", key: str = "doc_id", markers: list[str] | None = None) -> DataFrame:
     """Each text cut to what stands around its markers, or to its beginning if it has none."""
     gap = "\n……（未命中决策线索的正文省略）……\n"
-    spans = marker_spans(docs, text, key, markers).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(spans, key, "left")
-    pieces = F.array_join(F.transform("_spans", lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])), gap)
-    return joined.withColumn("focused", trim(F.when(F.col("_spans").isNull(), truncate(F.col(text), budget, CUT)).otherwise(F.substring(pieces, 1, budget)))).drop("_spans")
+
+    def said(spans: Column) -> Column:
+        pieces = F.array_join(F.transform(spans, lambda s: F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])), gap)
+        return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, F.substring(pieces, 1, budget)).otherwise(truncate(F.col(text), budget, CUT))
+
+    spans = F.array(_spans(F.col(text), markers or DECISION_MARKERS, 300, 500, 400))
+    return docs.withColumn("focused", trim(F.get(F.transform(spans, said), F.lit(0))))
 
 
 def keyword_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", keywords: list[str] | None = None, least: int = 6) -> DataFrame:
