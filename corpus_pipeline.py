@@ -39,8 +39,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies (5-word shingles, similarity 0.8 or more). Of rows of one id the
-    one whose columns have the least hash stays; rows without an id all stay."""
+    """The document of least id of each group of near copies: near by SimHash of 5-word shingles, then of similarity 0.8 or more.
+    Of rows of one id the one whose columns have the least hash stays; rows without an id all stay."""
     own = apart(docs)[1]
     # tables of known size, so that Spark sends them to all tasks if they are small, and texts stay where they are
     gone = jaccard.copies(docs).select(F.col("node").alias(own("id")))

@@ -1,10 +1,10 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands give candidates, shingle sets decide.
+"""Near copies by SimHash, decided by the Jaccard similarity of word shingles.
 
-Each text's distinct shingles give BANDS x ROWS minima; texts with equal minima in a band form a bucket. Two texts of
-similarity 0.8 share none of the 40 buckets with probability 1.2e-7. Buckets that hang together are a candidate group, so that
-each text goes to its group once, not once for each bucket. On a large corpus chance buckets chain unlike texts together; a
-group of more than `wide` texts therefore falls apart into its buckets again, and each text goes to each of its buckets, 40 at
-most. A group above `tile` texts is cut into tiles, and each pair of tiles is a task's work: only texts that share a bucket and
+Wide fingerprints of each text's distinct shingles give candidates (`simhash.wide_links`: buckets of equal keys, compared by bit
+slices); nothing else does. Two texts of similarity 0.8 are missed with probability 3e-5, of 0.85 with less than 1e-6. Candidates that
+hang together are a group, so that each text goes to its group once, not once for each bucket. A group of more than `wide` texts
+falls apart into its buckets again, and each text goes to each of its buckets, 128 at most: beyond that, its tiles would be more. A
+group above `tile` texts is cut into tiles, and each pair of tiles is a task's work: only texts whose fingerprints are near and
 whose sizes allow it are compared, similarities are exact, pairs that are joined already are skipped, and no more links than
 join the texts come out.
 
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchment.llm import simhash
 from parchment.llm.common import among, parts_for, release, scratch, small_batches, stored
 from parchment.llm.components import components
 
-SEED, SHINGLE, BANDS, ROWS, TILE, WIDE = 42, 5, 40, 5, 512, 4096
+SEED, SHINGLE, TILE, WIDE = 42, 5, 512, 1 << 16
 #: Least similarity in tenths.
 TENTHS = 8
-#: Shingles whose minima are taken together.
+#: Shingles whose fingerprints are made together.
 TOGETHER = 1 << 16
 
 
@@ -47,32 +48,23 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     return line, [xxhash.xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
 
 
-def _odd(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(hashes: list[list[int]]) -> np.ndarray:
-    """A row of BANDS keys for each list of hashes, none of them empty."""
-    flat = np.fromiter((h for x in hashes for h in x), np.uint64)
-    sizes = np.array([len(x) for x in hashes])
-    firsts = np.cumsum(sizes) - sizes
-    turned, out = _odd(BANDS * ROWS, SEED), np.tile(_odd(BANDS, SEED + 1), (len(hashes), 1))
-    mixed = _odd(BANDS * ROWS, SEED + 2)
-    for k in range(BANDS * ROWS):
-        out[:, k // ROWS] += np.minimum.reduceat(flat * turned[k], firsts) * mixed[k]
-    return out
+def _distinct(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.fromiter(hashes, np.uint64, len(hashes)))
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    def done(ids: list[int], whole: list[bytes], hashes: list[list[int]]) -> pa.RecordBatch:
-        some = [i for i, x in enumerate(hashes) if x]
-        keys: list = [[]] * len(ids)
+    def done(ids: list[int], whole: list[bytes], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        some = [i for i, x in enumerate(hashes) if len(x)]
+        keys: list = [None] * len(ids)
+        words = np.zeros((len(ids), simhash.COMPARED), np.uint64)
         if some:
-            for i, row in zip(some, band_keys([hashes[i] for i in some]).view(np.int64).tolist()):
-                keys[i] = row
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "words", "keys"])
+            found, words[some] = simhash.wide_prints([hashes[i] for i in some])
+            for i, row in zip(some, found):
+                keys[i] = row.tobytes()
+        compared = [pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(simhash.COMPARED)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole, pa.binary()), pa.array(keys, pa.binary()), *compared], ["doc_id", "words", "keys", *simhash.WIDE])
 
     for batch in batches:
         ids, whole, hashes, n = [], [], [], 0
@@ -80,7 +72,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line, found = shingle_hashes(text)
             ids.append(i)
             whole.append(xxhash.xxh3_128_digest(line))
-            hashes.append(found)
+            hashes.append(_distinct(found))
             n += len(found)
             if n >= TOGETHER:
                 yield done(ids, whole, hashes)
@@ -90,9 +82,9 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
 
 
-def joined(sets: list[set[int]], tile: list[int], keys: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that join all similar sets of one tile, or those of two tiles across. keys: a row of band keys for each set;
-    sets without a common one are not compared."""
+def joined(sets: list[set[int]], tile: list[int], words: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join all similar sets of one tile, or those of two tiles across. words: of each set's fingerprint; sets
+    whose fingerprints are not near are not compared."""
     size, label, of = np.array([len(s) for s in sets]), np.arange(len(sets)), np.array(tile)
     one, found = len({*tile}) == 1, []
     for i in range(1, len(sets)):
@@ -101,8 +93,7 @@ def joined(sets: list[set[int]], tile: list[int], keys: np.ndarray | None = None
         if not one:
             able &= of[:i] != of[i]
         near = np.flatnonzero(able)
-        if keys is not None and len(near):
-            near = near[(keys[near] == keys[i]).any(axis=1)]
+        near = near[np.bitwise_count(words[near] ^ words[i]).sum(axis=1) <= simhash.WIDE_RADIUS]
         for j in near.tolist():
             if label[j] == label[i]:
                 continue
@@ -118,10 +109,11 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links(rows: list[tuple]) -> pa.RecordBatch:
         some = [i for i, r in enumerate(rows) if r[2]]
-        keys = np.zeros((len(rows), BANDS), np.uint64)
-        if some:
-            keys[some] = band_keys([list(rows[i][2]) for i in some])
-        found = joined([r[2] for r in rows], [r[0] for r in rows], keys)
+        words = np.zeros((len(rows), simhash.COMPARED), np.uint64)
+        for at in range(0, len(some), 64):
+            few = some[at : at + 64]
+            words[few] = simhash.wide_prints([_distinct([*rows[i][2]]) for i in few], simhash.COMPARED)[1]
+        found = joined([r[2] for r in rows], [r[0] for r in rows], words)
         return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][1] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     now, rows = None, []
@@ -139,18 +131,15 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_links(prints: DataFrame, texts: DataFrame, tile: int = TILE, wide: int = WIDE) -> DataFrame:
-    """prints (id, keys), one row for each distinct text; texts (id, text). Returns links (a, b) that join all near ones."""
-    keyed = prints.select(F.explode("keys").alias("bucket"), "id")
-    hubs = stored(keyed.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("bucket", "hub"), "hubs")
-    shared = among(keyed, "bucket", hubs.select("bucket"))
-    roots = stored(components(shared.join(hubs, "bucket").where("id != hub").select("id", "hub").distinct()), "candidates")
+    """prints (id, keys, words), one row for each distinct text; texts (id, text). Returns links (a, b) that join all near ones."""
+    roots = stored(components(simhash.wide_links(prints)), "candidates")
     members = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
     texts = among(texts, "id", members.select("node"))
     sizes = stored(members.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     in_groups = members.join(sizes.where(F.col("n") <= wide), "root").select(F.col("root").alias("group"), "node", "n")
     # of groups that are too wide: each text in each of its buckets
     apart_ = members.join(sizes.where(F.col("n") > wide), "root").select("node")
-    by_bucket = shared.join(apart_, F.col("id") == F.col("node")).join(hubs.select("bucket"), "bucket", "left_semi").select(F.col("bucket").alias("group"), "node")
+    by_bucket = simhash.wide_buckets(prints.join(apart_, F.col("id") == F.col("node"), "left_semi")).select(F.col("bucket").alias("group"), F.col("id").alias("node")).distinct()
     in_buckets = by_bucket.join(by_bucket.groupBy("group").agg(F.count("*").alias("n")), "group").select("group", "node", "n")
     tiles = F.ceil((F.col("n") + 1) / tile).cast("int")
     placed = in_groups.unionByName(in_buckets).where("n > 1").withColumn("tiles", tiles)
@@ -169,7 +158,9 @@ def copies(docs: DataFrame, tile: int = TILE, wide: int = WIDE) -> DataFrame:
 def _roots(docs: DataFrame, tile: int, wide: int) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    prints = stored(texts.mapInArrow(_prints, "doc_id long, words binary, keys array<long>"), "prints")
-    distinct = stored(prints.groupBy("words").agg(F.min(F.struct("doc_id", "keys")).alias("least")).select("words", F.col("least.doc_id").alias("id"), F.col("least.keys").alias("keys")), "distinct")
+    columns = ", ".join(f"{w} long" for w in simhash.WIDE)
+    prints = stored(texts.mapInArrow(_prints, f"doc_id long, words binary, keys binary, {columns}"), "prints")
+    least = F.min(F.struct("doc_id", "keys", *simhash.WIDE)).alias("least")
+    distinct = stored(prints.groupBy("words").agg(least).select("words", F.col("least.doc_id").alias("id"), *[F.col(f"least.{c}").alias(c) for c in ("keys", *simhash.WIDE)]), "distinct")
     same = prints.select("doc_id", "words").join(distinct.select("words", "id"), "words").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    return components(near_links(distinct.select("id", "keys"), texts, tile, wide).unionByName(same))
+    return components(near_links(distinct.where("keys IS NOT NULL").drop("words"), texts, tile, wide).unionByName(same))

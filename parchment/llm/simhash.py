@@ -11,6 +11,11 @@ its groups, not all pairs. A bucket above `tile` fingerprints is cut into tiles,
 A null or empty text has no words: fingerprint zero, linked like any other. A text with fewer words than a shingle is one
 shingle. Repeated rows share a fingerprint, an empty table gives an empty one. Texts are read whole, whatever their length.
 Rows of one id with different texts each keep their own fingerprint and share the id's group. Extra columns are dropped.
+
+Three bits of 64 are far less than what parts texts of similarity 0.8. For those (`wide_links`, the pipeline's near copies) a
+fingerprint has WORDS words of 64 bits, in blocks of 32. A bit whose count is far from half the shingles is the same in a near
+copy, so a block's key is its bit of greatest margin, and the block with two others is a table. The buckets' texts are compared by
+bit slices of the first COMPARED words.
 """
 
 from __future__ import annotations
@@ -23,12 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import parts, parts_for, scratch, stored
+from parchment.llm.common import parts, parts_for, scratch, small_batches, stored
 from parchment.llm.components import components
 
 SEED, SHINGLE, RADIUS, BLOCKS, TILE = 42, 3, 3, 5, 4096
 #: Buckets up to this size are compared together, pair by pair in lanes.
 SMALL = 12
+#: Of wide fingerprints: words, bits in a block, the blocks that a table takes (counted on from each block in turn), words that are
+#: compared, how many of their bits may differ, and buckets compared pair by pair. At similarity 0.8 a bit differs with probability
+#: 0.15, a block's key is the same with 0.47, and no table has both texts with 3e-5; of 5 shingles against 4 of them 0.19 of the bits.
+WORDS, BLOCK, CHOICE, COMPARED, WIDE_RADIUS, WIDE_SMALL = 64, 32, (0, 1, 3), 2, 42, 256
+#: Columns of the words that are compared.
+WIDE = [f"w{i}" for i in range(COMPARED)]
+#: One of so many texts is counted to find buckets above `tile`; a wrong guess only deals the work in another way.
+GUESS = 64
+#: Rows and pairs that are compared together.
+ROWS, PAIRS = 1 << 14, 1 << 16
 #: Planes that are added between two looks at which blocks are left.
 STRIDE = 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -58,27 +73,41 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE, seed: int = SE
     if not found:
         return out
     some, hashes = np.flatnonzero(sizes), np.concatenate(found)
-    firsts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+    out[some] = _bits(counters(hashes, *_runs(sizes[some])) * 2 > sizes[some][:, None])
+    return out
+
+
+def _runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of up to 255 of a text's hashes start, and each text's first run. No text is without hashes."""
+    firsts = np.cumsum(sizes) - sizes
+    cuts = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(firsts, sizes)])
+    return cuts, np.searchsorted(cuts, firsts)
+
+
+def counters(hashes: np.ndarray, cuts: np.ndarray, of_doc: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes have each of the 64 bits."""
+    out = np.empty((len(of_doc), 8, 8), np.int64)
     # bytes of a word count up to 255 hashes, for eight bits at a time
-    cuts = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(firsts, sizes[some])])
-    of_doc = np.searchsorted(cuts, firsts)
     for j in range(8):
         lanes = np.add.reduceat(hashes >> np.uint64(j) & np.uint64(0x0101010101010101), cuts)
-        counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), of_doc, axis=0)
-        for k in range(8):
-            out[some] |= (counts[:, k] * 2 > sizes[some]).astype(np.uint64) << np.uint64(8 * k + j)
-    return out
+        out[:, :, j] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), of_doc, axis=0)
+    return out.reshape(-1, 64)
+
+
+def _bits(on: np.ndarray) -> np.ndarray:
+    return np.packbits(on, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
-    """Row b: bit b of each value, 64 values to a word; the last word is filled with zeros."""
-    padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
-    padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Row b: bit b of each value, a word or a row of words, 64 values to a word; the last word is filled with zeros."""
+    rows = values[:, None] if values.ndim == 1 else values
+    padded = np.zeros((-(-len(rows) // 64) * 64, rows.shape[1]), np.uint64)
+    padded[: len(rows)] = rows
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits, axis=0, bitorder="little").T).view(np.uint64)
 
 
-def within(plane: Callable[[int, np.ndarray], np.ndarray], n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def within(plane: Callable[[int, np.ndarray], np.ndarray], n: int, radius: int, planes: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Lanes of at most `radius` set planes. plane(b, blocks): plane b's words of these blocks, of n in all.
 
     Returns the blocks that were not given up, and a word of lanes for each. Counters start so that they run over when
@@ -88,7 +117,7 @@ def within(plane: Callable[[int, np.ndarray], np.ndarray], n: int, radius: int)
     start = (1 << bits) - 1 - radius
     counters = [np.full(n, ALL if start >> i & 1 else np.uint64(0)) for i in range(bits)]
     over = np.zeros(n, np.uint64)
-    for b in range(64):
+    for b in range(planes):
         carry = plane(b, blocks)
         for c in counters:
             c ^= carry
@@ -113,18 +142,21 @@ def small_links(fps: np.ndarray, first: np.ndarray, size: np.ndarray, radius: in
     """Places (i, j) of linked fingerprints in the same of many small buckets, each a run of fps."""
     last = np.repeat(first + size, size)
     place = np.concatenate([np.arange(a, a + n) for a, n in zip(first, size)]) if len(first) else np.zeros(0, np.int64)
-    a, b = [], []
-    for o in range(1, int(size.max(initial=0))):
+    a, b, held, found, most = [], [], 0, [(place[:0], place[:0])], int(size.max(initial=0))
+    for o in range(1, most):
         ok = place + o < last
-        a.append(place[ok])
-        b.append(place[ok] + o)
-    if not a:
-        return place[:0], place[:0]
-    a, b = np.concatenate(a), np.concatenate(b)
-    planes = planes_of(fps[a] ^ fps[b])
-    hit = _lanes(*within(lambda k, blocks: planes[k][blocks], planes.shape[1], radius))
-    hit = hit[hit < len(a)]
-    return a[hit], b[hit]
+        place, last = place[ok], last[ok]
+        a.append(place)
+        b.append(place + o)
+        held += len(place)
+        if held >= PAIRS or o == most - 1:
+            x, y = np.concatenate(a), np.concatenate(b)
+            planes = planes_of(fps[x] ^ fps[y])
+            hit = _lanes(*within(lambda k, blocks, planes=planes: planes[k][blocks], planes.shape[1], radius, len(planes)))
+            hit = hit[hit < len(x)]
+            found.append((x[hit], y[hit]))
+            a, b, held = [], [], 0
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def large_links(fps: np.ndarray, radius: int, queries: int = 64) -> list[tuple[int, int]]:
@@ -133,10 +165,11 @@ def large_links(fps: np.ndarray, radius: int, queries: int = 64) -> list[tuple[i
     width, label = planes.shape[1], np.arange(m)
     for at in range(0, m, queries):
         asked = fps[at : at + queries]
-        masks = np.where(asked[None, :] >> np.arange(64, dtype=np.uint64)[:, None] & np.uint64(1), ALL, np.uint64(0))
+        bits = np.unpackbits(asked.reshape(len(asked), -1).view(np.uint8), axis=1, bitorder="little")
+        masks = np.where(bits.T, ALL, np.uint64(0))
         start = at // 64  # words before hold only earlier fingerprints, which have asked already
         w = width - start
-        blocks, words = within(lambda k, x: planes[k][start + x % w] ^ masks[k][x // w], len(asked) * w, radius)
+        blocks, words = within(lambda k, x: planes[k][start + x % w] ^ masks[k][x // w], len(asked) * w, radius, len(planes))
         lanes = _lanes(blocks, words)
         q, v = at + lanes // (w * 64), start * 64 + lanes % (w * 64)
         ok = (v > q) & (v < m)
@@ -151,36 +184,38 @@ def large_links(fps: np.ndarray, radius: int, queries: int = 64) -> list[tuple[i
     return found
 
 
-def _link(radius: int):
+def _link(radius: int, small: int = SMALL, together: int = 1):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, cell, fp, id) in order of bucket and cell: links (a, b) of ids."""
-        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        """Rows (bucket, cell, words of the fingerprint, id) in order of bucket and cell: links (a, b) of ids."""
+        rest: list[np.ndarray] = []
 
         def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-            bucket, cell, fps, ids = cols
-            fps = fps.view(np.uint64)
+            bucket, cell, *words, ids = cols
+            fps = np.stack(words, axis=1).view(np.uint64)
             first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]))
             size = np.diff(np.concatenate([first, [len(bucket)]]))
-            few = (size > 1) & (size <= SMALL)
+            few = (size > 1) & (size <= small)
             a, b = small_links(fps, first[few], size[few], radius)
             pairs = [(ids[a], ids[b])]
-            for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            for at, n in zip(first[size > small].tolist(), size[size > small].tolist()):
                 if found := large_links(fps[at : at + n], radius):
                     x, y = np.array(found).T
                     pairs.append((ids[at + x], ids[at + y]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs])) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            cols = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns)]
-            if not len(cols[0]):
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rest = [np.concatenate(c) for c in zip(rest, cols)] if rest else cols
+            if len(rest[0]) < together:
                 continue
+            cols = rest
             # the last bucket may go on in the next batch
             same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
             cut = int(np.argmax(same))
             rest = [c[cut:] for c in cols]
             if cut:
                 yield links([c[:cut] for c in cols])
-        if len(rest[0]):
+        if rest and len(rest[0]):
             yield links(rest)
 
     return over
@@ -197,15 +232,67 @@ def near_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, ti
     # a hash collision of two buckets only adds comparisons
     keyed = prints.select(F.explode(F.array(*keys)).alias("bucket"), "fp", "id")
     hot = keyed.groupBy("bucket").count().where(F.col("count") > tile).select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    cold = keyed.join(hot, "bucket", "left_anti").select("bucket", F.lit(0).cast("long").alias("cell"), "fp", "id")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    return _compared(keyed, hot, radius)
+
+
+def _compared(keyed: DataFrame, hot: DataFrame, radius: int, small: int = SMALL, together: int = 1) -> DataFrame:
+    """keyed (bucket, words of the fingerprint, id); hot (bucket, tiles): buckets that are cut. Links (a, b) of ids."""
+    words = [c for c in keyed.columns if c not in ("bucket", "id")]
+    cold = keyed.join(hot, "bucket", "left_anti").select("bucket", F.lit(0).cast("long").alias("cell"), *words, "id")
+    own = F.pmod(F.xxhash64(*words), F.col("tiles")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(own, t).cast("long") * F.col("tiles") + F.greatest(own, t))
-    warm = keyed.join(hot, "bucket").select("bucket", F.explode(cells).alias("cell"), "fp", "id")
-    n = parts_for(prints.sparkSession)
-    found = [d.repartition(n, "bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(_link(radius), "a long, b long") for d in (cold, warm)]
+    warm = keyed.join(hot, "bucket").select("bucket", F.explode(cells).alias("cell"), *words, "id")
+    n = parts_for(keyed.sparkSession)
+    link = _link(radius, small, together)
+    found = [d.repartition(n, "bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(link, "a long, b long") for d in (cold, warm)]
     return found[0].unionByName(found[1]).distinct()
 
 
+def wide_prints(hashes: list[np.ndarray], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """For each text's hashes of distinct shingles, none without: the key of each block (2 x the place of its bit of greatest margin,
+    plus that bit), and the first COMPARED words."""
+    flat, sizes = np.concatenate(hashes), np.array([len(x) for x in hashes])
+    runs, odd = _runs(sizes), np.random.default_rng(SEED).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    keys, compared = np.empty((len(sizes), words, 64 // BLOCK), np.uint8), np.empty((len(sizes), COMPARED), np.uint64)
+    for w in range(words):
+        turned = flat * odd[w]
+        turned ^= turned >> np.uint64(32)
+        margins = counters(turned, *runs) * 2 - sizes[:, None]
+        if w < COMPARED:
+            compared[:, w] = _bits(margins > 0)
+        blocks = margins.reshape(len(sizes), -1, BLOCK)
+        at = np.abs(blocks).argmax(axis=2)
+        keys[:, w] = 2 * at + (np.take_along_axis(blocks, at[:, :, None], 2)[:, :, 0] > 0)
+    return keys.reshape(len(sizes), -1), compared
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, keys, words): a row (bucket, words, id) for each table."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            ids, keys, *words = batch.slice(at, 128).columns
+            of = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+            bucket = np.broadcast_to(np.arange(of.shape[1]), of.shape)
+            for c in CHOICE:
+                bucket = bucket * (2 * BLOCK) + np.roll(of, -c, axis=1)
+            rows = [np.repeat(c.to_numpy(zero_copy_only=False), of.shape[1]) for c in (*words, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket.ravel(), *rows)], ["bucket", *WIDE, "id"])
+
+
+def wide_buckets(prints: DataFrame) -> DataFrame:
+    """prints (id, keys, words), as wide_prints gives them: bucket, words, id for each table."""
+    small_batches(prints.sparkSession)
+    return prints.select("id", "keys", *WIDE).mapInArrow(_dealt, f"bucket long, {', '.join(f'{w} long' for w in WIDE)}, id long")
+
+
+def wide_links(prints: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links (a, b) of ids that join all texts of prints, one row for each distinct text, that share a bucket and are near."""
+    some = wide_buckets(prints.where(F.pmod(F.xxhash64("id"), F.lit(GUESS)) == 0))
+    n = F.col("count") * GUESS
+    hot = stored(some.groupBy("bucket").count().where(n > tile).select("bucket", F.ceil(n / tile).cast("int").alias("tiles")), "hot")
+    return _compared(wide_buckets(prints), hot, WIDE_RADIUS, WIDE_SMALL, ROWS)
+
+
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed number) of each whole text."""
 
