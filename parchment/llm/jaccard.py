@@ -4,9 +4,9 @@ Wide fingerprints of each text's distinct shingles give candidates (`simhash.wid
 slices); nothing else does. Two texts of similarity 0.8 are missed with probability 3e-5, of 0.85 with less than 1e-6. Candidates that
 hang together are a group, so that each text goes to its group once, not once for each bucket. A group of more than `wide` texts
 falls apart into its buckets again, and each text goes to each of its buckets, 128 at most: beyond that, its tiles would be more. A
-group above `tile` texts is cut into tiles, and each pair of tiles is a task's work: only texts whose fingerprints are near and
-whose sizes allow it are compared, similarities are exact, pairs that are joined already are skipped, and no more links than
-join the texts come out.
+group above `tile` texts is cut into tiles, and each tile, then each pair of tiles, is a task's work: only texts whose fingerprints are
+near and whose sizes allow it are compared, similarities are exact, pairs that are joined already are skipped, those that the tiles
+joined too, and no more links than join the texts come out.
 
 Texts of equal words are one text. A text with fewer words than a shingle is one shingle. Null and empty texts are equal.
 Rows of one id with different texts share a group. Texts are read whole, whatever their length; an empty table gives none.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm import simhash
@@ -82,10 +82,10 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
 
 
-def joined(sets: list[set[int]], tile: list[int], words: np.ndarray) -> list[tuple[int, int]]:
+def joined(sets: list[set[int]], tile: list[int], words: np.ndarray, ids: list[int]) -> list[tuple[int, int]]:
     """Links (i, j) that join all similar sets of one tile, or those of two tiles across. words: of each set's fingerprint; sets
-    whose fingerprints are not near are not compared."""
-    size, label, of = np.array([len(s) for s in sets]), np.arange(len(sets)), np.array(tile)
+    whose fingerprints are not near are not compared. Sets of one id are joined already."""
+    size, label, of = np.array([len(s) for s in sets]), np.unique(ids, return_inverse=True)[1], np.array(tile)
     one, found = len({*tile}) == 1, []
     for i in range(1, len(sets)):
         n = size[i]
@@ -113,7 +113,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(some), 64):
             few = some[at : at + 64]
             words[few] = simhash.wide_prints([_distinct([*rows[i][2]]) for i in few], simhash.COMPARED)[1]
-        found = joined([r[2] for r in rows], [r[0] for r in rows], words)
+        found = joined([r[2] for r in rows], [r[0] for r in rows], words, [r[1] for r in rows])
         return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][1] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     now, rows = None, []
@@ -142,11 +142,19 @@ def near_links(prints: DataFrame, texts: DataFrame, tile: int = TILE, wide: int
     by_bucket = simhash.wide_buckets(prints.join(apart_, F.col("id") == F.col("node"), "left_semi")).select(F.col("bucket").alias("group"), F.col("id").alias("node")).distinct()
     in_buckets = by_bucket.join(by_bucket.groupBy("group").agg(F.count("*").alias("n")), "group").select("group", "node", "n")
     tiles = F.ceil((F.col("n") + 1) / tile).cast("int")
-    placed = in_groups.unionByName(in_buckets).where("n > 1").withColumn("tiles", tiles)
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(F.col("tile"), t).cast("long") * F.col("tiles") + F.greatest(F.col("tile"), t))
-    dealt = placed.withColumn("tile", own).join(texts, F.col("node") == F.col("id")).select("group", F.explode(cells).alias("cell"), "tile", "id", "text")
-    return dealt.repartition(parts_for(prints.sparkSession), "group", "cell").sortWithinPartitions("group", "cell").mapInArrow(_link, "a long, b long")
+    placed = stored(in_groups.unionByName(in_buckets).where("n > 1").withColumn("tiles", tiles).withColumn("tile", own), "placed")
+    cell = lambda t: F.least(F.col("tile"), t).cast("long") * F.col("tiles") + F.greatest(F.col("tile"), t)
+
+    def links(rows: DataFrame, cells: Column) -> DataFrame:
+        """rows: placed, and an id that what is joined already has in common."""
+        dealt = rows.join(texts.withColumnRenamed("id", "of"), F.col("node") == F.col("of")).select("group", F.explode(cells).alias("cell"), "tile", "id", "text")
+        return dealt.repartition(parts_for(prints.sparkSession), "group", "cell").sortWithinPartitions("group", "cell").mapInArrow(_link, "a long, b long")
+
+    inside = components(links(placed.withColumn("id", F.col("node")), F.array(cell(F.col("tile"))))).toDF("a", "b")
+    across = placed.where("tiles > 1").join(inside, F.col("node") == F.col("a"), "left").withColumn("id", F.coalesce("b", "node"))
+    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t != F.col("tile"))
+    return inside.unionByName(links(across, F.transform(others, cell)))
 
 
 def copies(docs: DataFrame, tile: int = TILE, wide: int = WIDE) -> DataFrame:

@@ -5,8 +5,8 @@ least blocks - radius blocks agree. Each choice of that many blocks is a table;
 bit planes lie vertically, 64 fingerprints to a word; carry-save counters add up a query's differing planes for 64
 fingerprints at once; a block of lanes is given up once all its counters are above the radius.
 
-Only distinct fingerprints are compared, each standing for the least id that has it. A bucket gives as many links as join
-its groups, not all pairs. A bucket above `tile` fingerprints is cut into tiles, and each pair of tiles is a task's work.
+Only distinct fingerprints are compared, each standing for the least id that has it. Buckets that are compared together give as many
+links as join their groups, not all pairs. A bucket above `tile` fingerprints is cut into tiles, and each pair of tiles is a task's work.
 
 A null or empty text has no words: fingerprint zero, linked like any other. A text with fewer words than a shingle is one
 shingle. Repeated rows share a fingerprint, an empty table gives an empty one. Texts are read whole, whatever their length.
@@ -15,7 +15,8 @@ Rows of one id with different texts each keep their own fingerprint and share th
 Three bits of 64 are far less than what parts texts of similarity 0.8. For those (`wide_links`, the pipeline's near copies) a
 fingerprint has WORDS words of 64 bits, in blocks of 32. A bit whose count is far from half the shingles is the same in a near
 copy, so a block's key is its bit of greatest margin, and the block with two others is a table. The buckets' texts are compared by
-bit slices of the first COMPARED words.
+bit slices of the first COMPARED words. The first FIRST tables go before the others: texts that they join are one id in the others, which
+link only what is apart yet, so that a text of a large group is not linked anew in each table.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SMALL = 12
 #: compared, how many of their bits may differ, and buckets compared pair by pair. At similarity 0.8 a bit differs with probability
 #: 0.15, a block's key is the same with 0.47, and no table has both texts with 3e-5; of 5 shingles against 4 of them 0.19 of the bits.
 WORDS, BLOCK, CHOICE, COMPARED, WIDE_RADIUS, WIDE_SMALL = 64, 32, (0, 1, 3), 2, 42, 256
+#: Tables whose links are grouped before the other tables are compared.
+FIRST = 8
 #: Columns of the words that are compared.
 WIDE = [f"w{i}" for i in range(COMPARED)]
 #: One of so many texts is counted to find buckets above `tile`; a wrong guess only deals the work in another way.
@@ -159,10 +162,13 @@ def small_links(fps: np.ndarray, first: np.ndarray, size: np.ndarray, radius: in
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def large_links(fps: np.ndarray, radius: int, queries: int = 64) -> list[tuple[int, int]]:
-    """Links that join each group of one bucket: fewer than its fingerprints."""
+def large_links(fps: np.ndarray, radius: int, queries: int = 64, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join each group of one bucket: fewer than its fingerprints. Those of equal label are joined already."""
+    label = np.arange(len(fps)) if label is None else label.copy()
+    if (label == label[0]).all():
+        return []
     planes, m, found = planes_of(fps), len(fps), []
-    width, label = planes.shape[1], np.arange(m)
+    width = planes.shape[1]
     for at in range(0, m, queries):
         asked = fps[at : at + queries]
         bits = np.unpackbits(asked.reshape(len(asked), -1).view(np.uint8), axis=1, bitorder="little")
@@ -184,9 +190,26 @@ def large_links(fps: np.ndarray, radius: int, queries: int = 64) -> list[tuple[i
     return found
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of ids as links of each id to the least one that it reaches: fewer than ids."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label != (up := label[label])).any():
+            label = up
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
 def _link(radius: int, small: int = SMALL, together: int = 1):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, cell, words of the fingerprint, id) in order of bucket and cell: links (a, b) of ids."""
+        """Rows (bucket, cell, words of the fingerprint, id) in order of bucket and cell: links (a, b) of ids, each to the least one
+        that it reaches in the buckets compared together."""
         rest: list[np.ndarray] = []
 
         def links(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -198,10 +221,10 @@ def _link(radius: int, small: int = SMALL, together: int = 1):
             a, b = small_links(fps, first[few], size[few], radius)
             pairs = [(ids[a], ids[b])]
             for at, n in zip(first[size > small].tolist(), size[size > small].tolist()):
-                if found := large_links(fps[at : at + n], radius):
+                if found := large_links(fps[at : at + n], radius, label=ids[at : at + n]):
                     x, y = np.array(found).T
                     pairs.append((ids[at + x], ids[at + y]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs])) for k in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in stars(*[np.concatenate([p[k] for p in pairs]) for k in (0, 1)])], ["a", "b"])
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -266,31 +289,38 @@ def wide_prints(hashes: list[np.ndarray], words: int = WORDS) -> tuple[np.ndarra
     return keys.reshape(len(sizes), -1), compared
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, keys, words): a row (bucket, words, id) for each table."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            ids, keys, *words = batch.slice(at, 128).columns
-            of = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-            bucket = np.broadcast_to(np.arange(of.shape[1]), of.shape)
-            for c in CHOICE:
-                bucket = bucket * (2 * BLOCK) + np.roll(of, -c, axis=1)
-            rows = [np.repeat(c.to_numpy(zero_copy_only=False), of.shape[1]) for c in (*words, ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket.ravel(), *rows)], ["bucket", *WIDE, "id"])
+def _dealt(tables: slice):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (id, keys, words): a row (bucket, words, id) for each of the tables."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                ids, keys, *words = batch.slice(at, 128).columns
+                of = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+                bucket = np.broadcast_to(np.arange(of.shape[1]), of.shape)
+                for c in CHOICE:
+                    bucket = bucket * (2 * BLOCK) + np.roll(of, -c, axis=1)
+                bucket = bucket[:, tables]
+                rows = [np.repeat(c.to_numpy(zero_copy_only=False), bucket.shape[1]) for c in (*words, ids)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket.ravel(), *rows)], ["bucket", *WIDE, "id"])
+
+    return over
 
 
-def wide_buckets(prints: DataFrame) -> DataFrame:
-    """prints (id, keys, words), as wide_prints gives them: bucket, words, id for each table."""
+def wide_buckets(prints: DataFrame, tables: slice = slice(None)) -> DataFrame:
+    """prints (id, keys, words), as wide_prints gives them: bucket, words, id for each of the tables."""
     small_batches(prints.sparkSession)
-    return prints.select("id", "keys", *WIDE).mapInArrow(_dealt, f"bucket long, {', '.join(f'{w} long' for w in WIDE)}, id long")
+    return prints.select("id", "keys", *WIDE).mapInArrow(_dealt(tables), f"bucket long, {', '.join(f'{w} long' for w in WIDE)}, id long")
 
 
-def wide_links(prints: DataFrame, tile: int = TILE) -> DataFrame:
+def wide_links(prints: DataFrame, tile: int = TILE, first: int = FIRST) -> DataFrame:
     """Links (a, b) of ids that join all texts of prints, one row for each distinct text, that share a bucket and are near."""
     some = wide_buckets(prints.where(F.pmod(F.xxhash64("id"), F.lit(GUESS)) == 0))
     n = F.col("count") * GUESS
     hot = stored(some.groupBy("bucket").count().where(n > tile).select("bucket", F.ceil(n / tile).cast("int").alias("tiles")), "hot")
-    return _compared(wide_buckets(prints), hot, WIDE_RADIUS, WIDE_SMALL, ROWS)
+    link = lambda rows, tables: _compared(wide_buckets(rows, tables), hot, WIDE_RADIUS, WIDE_SMALL, ROWS)
+    roots = components(link(prints, slice(first)))
+    known = prints.join(roots, F.col("id") == F.col("node"), "left").select(F.coalesce("root", "id").alias("id"), "keys", *WIDE)
+    return roots.toDF("a", "b").unionByName(link(known, slice(first, None)))
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

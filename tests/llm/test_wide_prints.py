@@ -79,3 +79,71 @@ def test_hot_buckets(spark, tile):
     prints = df.mapInArrow(J._prints, f"doc_id long, words binary, keys binary, {columns}").withColumnRenamed("doc_id", "id")
     got = {(min(r), max(r)) for r in S.wide_links(prints.localCheckpoint(), tile).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(40)}
+
+
+def prints_of(df):
+    columns = ", ".join(f"{w} long" for w in S.WIDE)
+    return df.mapInArrow(J._prints, f"doc_id long, words binary, keys binary, {columns}").withColumnRenamed("doc_id", "id").localCheckpoint()
+
+
+def one_group(spark, n: int):
+    """n texts of 200 words, each with two words of its own: all near one another."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(i, " ".join([f"x{i}", *base[1:-1], f"y{i}"])) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def reached(links: list) -> dict:
+    root = {i: i for r in links for i in r}
+    for x, y in links:
+        low, high = sorted((root[x], root[y]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_links_of_a_large_group(spark):
+    """Not a link for each pair, nor one for each table."""
+    got = [tuple(r) for r in S.wide_links(prints_of(one_group(spark, 200))).collect()]
+    assert len(got) < 2 * 200 and set(reached(got).values()) == {0} and len(reached(got)) == 200
+
+
+@pytest.mark.parametrize("n", [100, 300])
+def test_links_of_a_bucket(n):
+    """Small or large, one bucket gives fewer links than texts; texts of one id give none."""
+    import pyarrow as pa
+
+    def made(ids):
+        cols = [np.full(n, 5), np.zeros(n, np.int64), np.full(n, 77), np.full(n, -1), ids]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "cell", *S.WIDE, "id"])
+        out = [b.to_pydict() for b in S._link(S.WIDE_RADIUS, S.WIDE_SMALL, S.ROWS)(iter([batch]))]
+        return [p for b in out for p in zip(b["a"], b["b"])]
+
+    assert sorted(made(np.arange(n))) == [(i, 0) for i in range(1, n)]
+    assert made(np.arange(n) // (n // 2)) == [(1, 0)]
+    assert made(np.zeros(n, np.int64)) == []
+
+
+def test_stars():
+    rng = np.random.default_rng(3)
+    a, b = rng.permutation(2000)[rng.integers(0, 2000, (2, 1500))]
+    path = rng.permutation(np.arange(5000, 9000))
+    a, b = np.concatenate([a, path[1:]]), np.concatenate([b, path[:-1]])
+    want = reached([*zip(a[:1500].tolist(), b[:1500].tolist())]) | dict.fromkeys(range(5000, 9000), 5000)
+    assert {*zip(*(c.tolist() for c in S.stars(a, b)))} == {(i, r) for i, r in want.items() if i != r}
+    assert [len(c) for c in S.stars(a[:0], b[:0])] == [0, 0]
+
+
+def test_tables_after_the_first(spark):
+    """What no early table joins, later ones do, also to texts that are joined already."""
+    prints = prints_of(edited(spark).unionByName(one_group(spark, 30).selectExpr("doc_id + 1000 AS doc_id", "text", "'' AS lang", "'' AS source", "0L AS n_chars")).where("doc_id != 500").selectExpr("doc_id", "text"))
+    want = {i: i - i % 2 for i in range(80)} | dict.fromkeys(range(1000, 1030), 1000)
+    for first in (1, 8, 127):
+        assert reached([tuple(r) for r in S.wide_links(prints, first=first).collect()]) == want
+
+
+def test_links_across_tiles(spark):
+    """Tiles of one large group are joined by few links, not by one for each text and tile."""
+    df = one_group(spark, 300)
+    got = [tuple(r) for r in J.near_links(prints_of(df), df.withColumnRenamed("doc_id", "id"), tile=16).collect()]
+    assert len(got) < 2 * 300 and set(reached(got).values()) == {0} and len(reached(got)) == 300
